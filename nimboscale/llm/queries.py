@@ -5,10 +5,11 @@ from __future__ import annotations
 from nimboscale.llm.fingerprints import op6_document_fingerprints
 from nimboscale.llm.lines import OP5_SQL, op5_line_dedup
 from nimboscale.llm.mixing import op2_source_mix
+from nimboscale.llm.simhash import op3_simhash_near_dedup
 from nimboscale.llm.url_rules import OP7_SQL, op7_url_filters
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_source_mix, op5_line_dedup, op6_document_fingerprints, op7_url_filters)
+    for f in (op2_source_mix, op3_simhash_near_dedup, op5_line_dedup, op6_document_fingerprints, op7_url_filters)
 }
 ORACLES = {"op5_line_dedup": OP5_SQL, "op7_url_filters": OP7_SQL}
