@@ -5,6 +5,7 @@ from __future__ import annotations
 from nimboscale.llm.fingerprints import op6_document_fingerprints
 from nimboscale.llm.lines import OP5_SQL, op5_line_dedup
 from nimboscale.llm.mixing import op2_source_mix
+from nimboscale.llm.pieces import op10_piece_samples
 from nimboscale.llm.quality import op9_quality_rules
 from nimboscale.llm.simhash import op3_simhash_near_dedup
 from nimboscale.llm.telephony import op4_telephony_media
@@ -14,6 +15,6 @@ from nimboscale.llm.warc import OP1_SQL, op1_warc_archive
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_warc_archive, op2_source_mix, op3_simhash_near_dedup, op4_telephony_media, op5_line_dedup, op6_document_fingerprints, op7_url_filters, op8_toxic_spans, op9_quality_rules)
+    for f in (op1_warc_archive, op2_source_mix, op3_simhash_near_dedup, op4_telephony_media, op5_line_dedup, op6_document_fingerprints, op7_url_filters, op8_toxic_spans, op9_quality_rules, op10_piece_samples)
 }
 ORACLES = {"op1_warc_archive": OP1_SQL, "op5_line_dedup": OP5_SQL, "op7_url_filters": OP7_SQL}
