@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from nimboscale.llm.fingerprints import op6_document_fingerprints
 from nimboscale.llm.lines import OP5_SQL, op5_line_dedup
 from nimboscale.llm.mixing import op2_source_mix
@@ -16,5 +17,5 @@ from nimboscale.llm.warc import OP1_SQL, op1_warc_archive
 QUERIES = {
     f.__name__: f
     for f in (op1_warc_archive, op2_source_mix, op3_simhash_near_dedup, op4_telephony_media, op5_line_dedup, op6_document_fingerprints, op7_url_filters, op8_toxic_spans, op9_quality_rules, op10_piece_samples)
-}
+} | {"pipeline": corpus_pipeline.run}
 ORACLES = {"op1_warc_archive": OP1_SQL, "op5_line_dedup": OP5_SQL, "op7_url_filters": OP7_SQL}
