@@ -66,7 +66,7 @@ def edge_only_scores(spark, sf_dir):
     return V.edge_only(d.unionByName(v), ["method", "lead"], "mask", ["H", "M", "F", "CN"])
 
 
-@query(f"""WITH {SC}, c AS (SELECT method, lead, count(*) FILTER (WHERE fc AND obs) / count(*) FILTER (WHERE fc OR obs)::DOUBLE * (1 - lead / 300.0::DOUBLE) AS csi FROM sc GROUP BY ALL),
+@query(f"""WITH {SC}, c AS (SELECT method, lead, count(*) FILTER (WHERE fc AND obs) / count(*) FILTER (WHERE fc OR obs)::DOUBLE * max(1 - lead / 300.0::DOUBLE) AS csi FROM sc GROUP BY method, lead),
 r AS (SELECT *, csi > 0.1 AS ok, first_value(csi) OVER w AS c1, min(CASE WHEN csi > 0.1 THEN 1 ELSE 0 END) OVER (PARTITION BY method ORDER BY lead) AS held FROM c WINDOW w AS (PARTITION BY method ORDER BY lead))
 SELECT method, max(lead) FILTER (WHERE held = 1) AS useful_to, CAST(sum(held) AS BIGINT) AS useful_leads, min(lead) FILTER (WHERE csi <= 0.5 * c1) AS half_lead, round(-var_pop(lead) / covar_pop(ln(csi), lead), 5) AS e_folding FROM r GROUP BY method""")
 def skill_decay(spark, sf_dir):
