@@ -179,7 +179,7 @@ def laea(lat: Column, lon: Column, lat0: float, lon0: float) -> tuple[Column, Co
 
 
 def laea_inverse(x: Column, y: Column, lat0: float, lon0: float) -> tuple[Column, Column]:
-    """(lat, lon); the authalic latitude series is good to micrometres."""
+    """(lat, lon); the authalic latitude series is good to millimetres."""
     b0, d = _centre(lat0)
     rho = F.hypot(x / d, y * d)
     c = 2 * F.asin(F.least(F.lit(1.0), rho / (2 * _RQ)))
