@@ -60,8 +60,8 @@ def local_time(time: Column, minutes: int = 330) -> Column:
 
 
 def lead_label(minutes: Column) -> Column:
-    whole = F.concat(F.lit("T+"), (minutes / 60).cast("int").cast("string"), F.lit("h"))
-    return F.when(minutes == 0, "T").when(minutes % 60 == 0, whole).otherwise(F.concat(F.lit("T+"), minutes.cast("string"), F.lit("m")))
+    hours = F.regexp_replace((minutes / 60).cast("double").cast("string"), r"\.0$", "")
+    return F.when(minutes == 0, "T+0").when(minutes < 60, F.concat(F.lit("T+"), minutes.cast("string"), F.lit("m"))).otherwise(F.concat(F.lit("T+"), hours, F.lit("h")))
 
 
 def hour_block(hour: Column, width: int = 6) -> Column:
@@ -70,11 +70,11 @@ def hour_block(hour: Column, width: int = 6) -> Column:
 
 
 def probability_bin(p: Column, steps=(0.1, 0.3, 0.5, 0.7, 0.9)) -> Column:
-    """Index of the last step that p reaches; -1 below the first; null for null."""
+    """Index of the last step that p reaches; -1 below the first and for null."""
     out = F.lit(-1)
     for i, s in enumerate(steps):
         out = F.when(p >= s, i).otherwise(out)
-    return F.when(p.isNotNull(), out)
+    return out
 
 
 # ---- geodesy -------------------------------------------------------------------
@@ -196,7 +196,7 @@ def laea_inverse(x: Column, y: Column, lat0: float, lon0: float) -> tuple[Column
 
 
 def xml_escape(text: Column) -> Column:
-    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;")):
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
         text = F.replace(text, F.lit(sign), F.lit(name))
     return text
 

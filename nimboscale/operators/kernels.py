@@ -233,7 +233,7 @@ def advected(field: np.ndarray, u: np.ndarray, v: np.ndarray, steps: int) -> lis
 
 
 def extrapolate(px: DataFrame, height: int, width: int, leads: list[int], reference: float, frames: int = 3, value: str = "v") -> DataFrame:
-    """(issue, lead, y, x, forecast, tendency): motion of the coldness over the last frames, then semi-Lagrangian advection.
+    """(issue, lead, y, x, forecast, tendency, speed): motion of the coldness over the last frames, then semi-Lagrangian advection.
 
     An issue reads its own frame and the ``frames - 1`` before it, never a later
     one; the tendency is the last change of the field, moved along. Issues
@@ -245,7 +245,7 @@ def extrapolate(px: DataFrame, height: int, width: int, leads: list[int], refere
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         k = int(pdf["issue"].iloc[0])
         parts = {int(f): raster_of(g, value, (height, width)) for f, g in pdf.groupby("frame")}
-        names = ["issue", "lead", "y", "x", "forecast", "tendency"]
+        names = ["issue", "lead", "y", "x", "forecast", "tendency", "speed"]
         if set(parts) != set(range(k - frames + 1, k + 1)):
             return pd.DataFrame({n: pd.Series([], dtype=float) for n in names})
         cold = {f: np.nan_to_num(np.maximum(0.0, reference - a)) for f, a in parts.items()}
@@ -255,25 +255,42 @@ def extrapolate(px: DataFrame, height: int, width: int, leads: list[int], refere
         drift = advected(parts[k] - parts[k - 1], u, v, max(leads))
         yy, xx = (a.ravel() for a in np.meshgrid(np.arange(height), np.arange(width), indexing="ij"))
         none = lambda a: pd.Series(a.ravel()).astype("Float64").mask(np.isnan(a.ravel()))
-        return pd.concat([pd.DataFrame({"issue": k, "lead": n, "y": yy, "x": xx, "forecast": none(moved[n - 1]), "tendency": none(drift[n - 1])}) for n in leads])
+        return pd.concat([pd.DataFrame({"issue": k, "lead": n, "y": yy, "x": xx, "forecast": none(moved[n - 1]), "tendency": none(drift[n - 1]), "speed": np.hypot(u, v).ravel()}) for n in leads])
 
-    return dealt.groupBy("issue").applyInPandas(run, "issue int, lead int, y int, x int, forecast double, tendency double")
+    return dealt.groupBy("issue").applyInPandas(run, "issue int, lead int, y int, x int, forecast double, tendency double, speed double")
 
 
-def issue_features(px: DataFrame, forecast: DataFrame, event: float, sizes: tuple[int, ...] = (3, 11), value: str = "v") -> DataFrame:
-    """Predictors of every (issue, lead, y, x): the issue's value and surroundings, the moved field and its surroundings,
-    the tendency, the frame's cold share and its change, and the lead."""
-    from pyspark.sql import Window
+FEATURES = [
+    "lead_min", "adv_bt", "adv_frac11", "adv_frac31", "adv_min11", "adv_valid_frac31", "pers_bt", "pers_frac31", "pers_min11", "tend30", "speed_px",
+    "adv_tend", "adv_tend_mean31", "dom_cold_frac", "dom_cold_change60", "valid_hour_sin", "valid_hour_cos",
+]
+
+
+def issue_features(px: DataFrame, forecast: DataFrame, event: float, minutes: int = 30, value: str = "v") -> DataFrame:
+    """(issue, lead, y, x) with the predictors FEATURES of every pixel; nothing after the issue is read but the clock.
+
+    ``adv_*``: the moved field, its event shares in 11 and 31 pixel boxes, its
+    box minimum, its valid share, and the moved tendency; ``pers_*``: the issue's
+    own field; ``dom_*``: the frame's cold share and its change over two frames.
+    """
+    import math
 
     from nimboscale.operators.raster import box_fraction, box_mean, box_min
 
-    now = px.select("frame", "y", "x", value).withColumn("_e", F.col(value) < event)
-    for s in sizes:
-        now = box_fraction(now, "_e", s, f"frac{s}")
-    now = box_mean(box_min(now, value, sizes[-1], "near_min"), value, sizes[-1], "near_mean").drop("_e").withColumnRenamed("frame", "issue")
-    fc = forecast.select(F.struct("issue", "lead").alias("frame"), "issue", "lead", "y", "x", "forecast", "tendency").withColumn("_e", F.col("forecast") < event)
-    for s in sizes:
-        fc = box_fraction(fc, "_e", s, f"adv_frac{s}")
-    share = px.groupBy(F.col("frame").alias("issue")).agg(F.avg(F.coalesce(F.col(value) < event, F.lit(False)).cast("double")).alias("cold_frac"))
-    share = share.withColumn("cold_change", F.col("cold_frac") - F.lag("cold_frac", 2).over(Window.orderBy("issue")))  # a row a frame
-    return fc.drop("frame", "_e").join(now, ["issue", "y", "x"]).join(share, "issue")
+    now = box_min(box_fraction(px.select("frame", "y", "x", value).withColumn("_e", F.col(value) < event), "_e", 31, "pers_frac31"), value, 11, "pers_min11")
+    last = px.select((F.col("frame") + 1).alias("frame"), "y", "x", F.col(value).alias("_last"))
+    now = now.join(last, ["frame", "y", "x"], "left").withColumn("tend30", F.col(value) - F.col("_last"))
+    now = now.select(F.col("frame").alias("issue"), "y", "x", F.col(value).alias("pers_bt"), "pers_frac31", "pers_min11", "tend30")
+    # The box operators' frame is a forecast's (issue, lead) here.
+    fc = forecast.withColumns({"frame": F.struct("issue", "lead"), "_e": F.col("forecast") < event, "_ok": F.col("forecast").isNotNull()})
+    fc = box_fraction(box_fraction(fc, "_e", 11, "adv_frac11"), "_e", 31, "adv_frac31")
+    fc = box_mean(box_min(box_fraction(fc, "_ok", 31, "adv_valid_frac31"), "forecast", 11, "adv_min11"), "tendency", 31, "adv_tend_mean31")
+    share = px.groupBy(F.col("frame").alias("issue")).agg(F.coalesce(F.avg(F.when(F.col(value).isNotNull(), (F.col(value) < event).cast("double"))), F.lit(0.0)).alias("dom_cold_frac"))
+    before = share.select((F.col("issue") + 2).alias("issue"), F.col("dom_cold_frac").alias("_before"))
+    share = share.join(before, "issue", "left").withColumn("dom_cold_change60", F.col("dom_cold_frac") - F.col("_before"))
+    turn = F.pmod((F.col("issue") + F.col("lead")) * minutes, F.lit(1440)) * (2 * math.pi / 1440)
+    named = fc.join(now, ["issue", "y", "x"]).join(share, "issue").withColumns({
+        "lead_min": (F.col("lead") * minutes).cast("double"), "adv_bt": F.col("forecast"), "adv_tend": F.col("tendency"), "speed_px": F.col("speed"),
+        "valid_hour_sin": F.sin(turn), "valid_hour_cos": F.cos(turn),
+    })
+    return named.select("issue", "lead", "y", "x", *FEATURES)

@@ -6,18 +6,20 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from nimboscale.functions.scalars import haversine_km, slug, xml_escape
+from nimboscale.functions.scalars import geodesic, haversine_km, slug, xml_escape
 from nimboscale.operators.raster import window_extreme
 
 
-def nearest_place(points: DataFrame, places: DataFrame, by: list[str], km: float) -> DataFrame:
+def nearest_place(points: DataFrame, places: DataFrame, by: list[str], km: float, sphere: bool = False) -> DataFrame:
     """The nearest of ``places`` (place, place_id, lat, lon) within ``km`` of each point (by..., lat, lon); ties to the smaller id.
 
+    Distances are on the ellipsoid, or on the sphere that displays use.
+
     Both sides are dealt to cells of latitude and longitude as wide as the
     radius, and points look into the cells around their own: an equi-join whose
     work grows with the pairs that are near, not with all pairs.
     """
-    step = km / 111.0
+    step = km / 110.5  # no degree of latitude is shorter
     row = lambda lat: F.floor(lat / step).cast("long")
     # Longitude cells are as wide as the radius at the row's edge nearest a pole.
     edge = F.radians(F.least((F.abs(F.col("_row")) + 1) * step, F.lit(89.0)))
@@ -26,7 +28,9 @@ def nearest_place(points: DataFrame, places: DataFrame, by: list[str], km: float
     dealt = dealt.select("place", "place_id", F.col("lat").alias("_plat"), F.col("lon").alias("_plon"), "_row", "_col")
     look = points.withColumn("_row", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: row(F.col("lat")) + d)))
     look = look.withColumn("_own", F.floor(F.col("lon") / wide()).cast("long")).withColumn("_col", F.explode(F.sequence(F.col("_own") - 1, F.col("_own") + 1)))
-    met = look.join(dealt, ["_row", "_col"]).withColumn("km", haversine_km(F.col("lat"), F.col("lon"), F.col("_plat"), F.col("_plon"))).where(F.col("km") <= km)
+    ends = [F.col(c) for c in ("lat", "lon", "_plat", "_plon")]
+    far = haversine_km(*ends) if sphere else geodesic(*ends)["km"]
+    met = look.join(dealt, ["_row", "_col"]).withColumn("km", far).where(F.col("km") <= km)
     return met.groupBy(*by).agg(F.min_by("place", F.struct("km", "place_id")).alias("place"), F.min("km").alias("km"))
 
 
@@ -41,17 +45,30 @@ def window_alerts(points: DataFrame, px: DataFrame, p: str, half: int, leads: li
     return first.withColumn("alert_id", F.concat(F.lit(prefix + "/"), "issue", F.lit("/L"), "lead_min", F.lit("#"), slug(F.col("place"))))
 
 
-def cap_alert(identifier: Column, sent: Column, headline: Column, area: Column, expires: Column) -> Column:
-    """A CAP 1.2 alert as XML text; values are escaped."""
-    tag = lambda name, value: F.concat(F.lit(f"<{name}>"), xml_escape(value), F.lit(f"</{name}>"))
-    time = lambda t: F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss'-00:00'")
-    info = F.concat(
-        F.lit("<info><category>Met</category><event>Convective storm</event><urgency>Expected</urgency><severity>Unknown</severity><certainty>Possible</certainty>"),
-        tag("expires", time(expires)), tag("headline", headline), F.lit("<area>"), tag("areaDesc", area), F.lit("</area></info>"),
-    )
+NOTICE = "Exercise only: replay of past data, not an official warning."
+
+
+def cap_alert(alert: dict[str, Column], issue: Column, event: Column, model: Column, sender: str = "demo@example.invalid", prefix: str = "demo") -> Column:
+    """A CAP 1.2 alert as XML text; status is always Exercise, values are escaped, and it expires an hour after the lead.
+
+    ``alert`` has alert_id, prediction_id, place, lat, lon, p_max and lead_min.
+    """
+    tag = lambda name, *parts: F.concat(F.lit(f"<{name}>"), xml_escape(F.concat(*parts)), F.lit(f"</{name}>"))
+    time = lambda t: F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+    fixed = lambda v, d: F.format_string(f"%.{d}f", v)
+    lead, place, p = alert["lead_min"].cast("string"), alert["place"], fixed(alert["p_max"], 2)
+    expires = issue + F.make_dt_interval(mins=(alert["lead_min"] + 60).cast("int"))
     return F.concat(
-        F.lit('<?xml version="1.0" encoding="UTF-8"?><alert xmlns="urn:oasis:names:tc:emergency:cap:1.2">'), tag("identifier", identifier), tag("sender", F.lit("demo")),
-        tag("sent", time(sent)), F.lit("<status>Exercise</status><msgType>Alert</msgType><scope>Private</scope>"), info, F.lit("</alert>"),
+        F.lit('<?xml version="1.0" encoding="UTF-8"?><alert xmlns="urn:oasis:names:tc:emergency:cap:1.2">'),
+        tag("identifier", F.lit(f"{prefix}-"), event, F.lit("-"), slug(alert["alert_id"])), tag("sender", F.lit(sender)), tag("sent", time(issue)),
+        F.lit("<status>Exercise</status><msgType>Alert</msgType><scope>Private</scope>"),
+        tag("note", F.lit(NOTICE + " Prediction "), alert["prediction_id"], F.lit(", model "), model, F.lit(".")),
+        F.lit("<info><category>Met</category><event>Deep convection</event><urgency>Expected</urgency><severity>Moderate</severity><certainty>Possible</certainty>"),
+        tag("expires", time(expires)),
+        tag("headline", F.lit("EXERCISE: probability "), p, F.lit(" of cold cloud near "), place, F.lit(" within "), lead, F.lit(" min")),
+        tag("description", F.lit("Probability "), p, F.lit(" that the cloud top is colder than 235 K within 10 km of "), place, F.lit(" at +"), lead, F.lit(" min.")),
+        F.lit("<parameter><valueName>prediction_id</valueName>"), tag("value", alert["prediction_id"]), F.lit("</parameter><area>"),
+        tag("areaDesc", place, F.lit(" (10 km)")), tag("circle", fixed(alert["lat"], 4), F.lit(","), fixed(alert["lon"], 4), F.lit(" 10")), F.lit("</area></info></alert>"),
     )
 
 

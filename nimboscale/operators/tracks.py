@@ -10,7 +10,7 @@ import math
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from nimboscale.functions.scalars import bearing_deg, haversine_km
+from nimboscale.functions.scalars import bearing_deg, geodesic, haversine_km
 from nimboscale.operators.graph import connected_components
 from nimboscale.operators.verify import ratio
 from nimboscale.session import stored
@@ -77,7 +77,7 @@ def chains(links: DataFrame, max_rounds: int = 40) -> DataFrame:
 
 
 def assign_tracks(segment: DataFrame, edges: DataFrame) -> DataFrame:
-    """(frame, feature, cell): ids in the order of the chains' first (frame, feature), from 0; call with all frames.
+    """(frame, feature, cell): ids in the order of the chains' first (frame, feature), from 1; call with all frames.
 
     Roots are numbered by a global order over chains: counts by root frame give
     each frame its first number, so no task sorts all roots.
@@ -91,7 +91,7 @@ def assign_tracks(segment: DataFrame, edges: DataFrame) -> DataFrame:
     # One row a frame.
     first = counts.withColumn("_first", F.coalesce(F.sum("_n").over(Window.orderBy("root_frame").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     rank = F.row_number().over(Window.partitionBy("root_frame").orderBy("root"))
-    named = roots.join(first, "root_frame").select("root_frame", "root", (F.col("_first") + rank - 1).cast("long").alias("cell"))
+    named = roots.join(first, "root_frame").select("root_frame", "root", (F.col("_first") + rank).cast("long").alias("cell"))
     return nodes.join(named, ["root_frame", "root"]).select("frame", "feature", "cell")
 
 
@@ -140,45 +140,50 @@ def turns(pos: DataFrame, least: float) -> DataFrame:
     return fit.withColumn("cos", (F.col("dx") * F.col("_px") + F.col("dy") * F.col("_py")) / (F.col("dist") * F.col("_pd")))
 
 
-def movement(fixes: DataFrame, time: str = "frame", seconds: float = 1800.0) -> DataFrame:
-    """Speed in km/h and heading between consecutive (lat, lon) of a cell; null at the first."""
+def movement(fixes: DataFrame, time: str = "frame", seconds: float = 1800.0, sphere: bool = False) -> DataFrame:
+    """Speed in km/h and heading between consecutive (lat, lon) of a cell, on the ellipsoid or the display sphere; null at the first."""
     w = by_cell(time)
     la, lo = F.lag("lat").over(w), F.lag("lon").over(w)
     hours = (F.col(time) - F.lag(time).over(w)) * (seconds / 3600)
     out = fixes.withColumns({"_la": la, "_lo": lo, "_h": hours})
+    if not sphere:
+        out = out.withColumn("_g", geodesic(F.col("_la"), F.col("_lo"), F.col("lat"), F.col("lon")))
+        return out.withColumns({"speed_kmh": F.try_divide(F.col("_g.km"), F.col("_h")), "heading_deg": F.col("_g.azimuth")}).drop("_la", "_lo", "_h", "_g")
     km = haversine_km(F.col("_la"), F.col("_lo"), F.col("lat"), F.col("lon"))
     return out.withColumns({"speed_kmh": F.try_divide(km, F.col("_h")), "heading_deg": F.when(km > 0, bearing_deg(F.col("_la"), F.col("_lo"), F.col("lat"), F.col("lon")))}).drop("_la", "_lo", "_h")
 
 
 def rates(rows: DataFrame, per: float = 1.0) -> DataFrame:
-    """Changes per ``per`` frames of min_bt and core, and the relative change of area (null from a zero area)."""
+    """Changes per ``per`` frames of min_bt and core area, and the relative change of area (null from a zero area)."""
     w = by_cell()
     gap = F.col("frame") - F.lag("frame").over(w)
     scale = F.lit(per) / gap
     before = F.lag("area").over(w)
     return rows.withColumns({
         "d_min_bt": (F.col("min_bt") - F.lag("min_bt").over(w)) * scale,
+        "d_core": (F.col("core") - F.lag("core").over(w)) * scale,
         "area_change_frac": F.try_divide((F.col("area") - before).cast("double"), F.nullif(before, F.lit(0)).cast("double")) * scale,
     })
 
 
-def phases(rows: DataFrame, cold: float, cooling: float, growth: float, warming: float) -> DataFrame:
-    """``phase`` by rule; where no rule speaks the last phase persists, at first Unclassified. Initiation only in the first two rows.
+def phases(rows: DataFrame, warming: float, mature_below: float, steady: float, start_below: float, cooling: float) -> DataFrame:
+    """``phase`` of each row from its rates; the first rule that holds speaks, else the last phase persists, at first Unclassified.
 
-    Mature: at most ``cold`` and changing little; Developing: cooling or
-    growing; Decaying: warming and shrinking.
+    Decaying: warming by ``warming`` or more while the core shrinks. Mature:
+    colder than ``mature_below`` with an area change of at most ``steady``.
+    Developing: cooling and growing. Initiation, in a cell's first two rows:
+    colder than ``start_below`` and cooling by ``cooling`` (negative) or more.
+    Null rates make no rule hold.
     """
     w = by_cell()
-    n = F.row_number().over(w)
-    d, a = F.coalesce("d_min_bt", F.lit(0.0)), F.coalesce("area_change_frac", F.lit(0.0))
+    d, a = F.col("d_min_bt"), F.col("area_change_frac")
     rule = (
-        F.when(F.col("d_min_bt").isNull(), F.lit(None).cast("string"))
-        .when((F.col("_n") <= 2) & (d <= cooling) & (F.col("min_bt") > cold), "Initiation")
-        .when((d <= cooling) | ((a >= growth) & (d <= 0)), "Developing")
-        .when((d >= warming) & (a < 0), "Decaying")
-        .when((F.col("min_bt") <= cold) & (F.abs(d) < warming), "Mature")
+        F.when((d >= warming) & (F.col("d_core") < 0), "Decaying")
+        .when((F.col("min_bt") < mature_below) & (F.abs(a) <= steady), "Mature")
+        .when((d < 0) & (a > 0), "Developing")
+        .when((F.col("_n") <= 2) & (F.col("min_bt") < start_below) & (d <= cooling), "Initiation")
     )
-    out = rows.withColumn("_n", n).withColumn("_rule", rule)
+    out = rows.withColumn("_n", F.row_number().over(w)).withColumn("_rule", rule)
     kept = F.last("_rule", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     return out.withColumn("phase", F.coalesce(kept, F.lit("Unclassified"))).drop("_n", "_rule")
 

@@ -92,24 +92,32 @@ def area_matched(df: DataFrame, by: list[str], value: str, observed: str, order:
 
 
 def bias_factors(df: DataFrame, by: list[str]) -> DataFrame:
-    """Edge x area x intensity from summed areas a0 (issue), af (forecast on D), afv (on V), aod, aov (observed): their product is the bias on V."""
+    """Edge x area x intensity from summed areas a0 (issue), af (forecast on D), afv (on V), aod, aov (observed).
+
+    Their product is the bias on V: edge = (afv / af) / (aov / aod), area = af / a0 (what moving changes), intensity = a0 / aod (what staying unchanged misses).
+    """
     s = df.groupBy(*by).agg(*[F.sum(c).cast("double").alias(c) for c in ("a0", "af", "afv", "aod", "aov")])
     edge = ratio(ratio(F.col("afv"), F.col("aov")), ratio(F.col("af"), F.col("aod")))
-    return s.withColumns({"edge": edge, "area": ratio(F.col("a0"), F.col("aod")), "intensity": ratio(F.col("af"), F.col("a0")), "bias_v": ratio(F.col("afv"), F.col("aov"))})
+    made = s.withColumns({"edge": edge, "area": ratio(F.col("af"), F.col("a0")), "intensity": ratio(F.col("a0"), F.col("aod")), "bias_v": ratio(F.col("afv"), F.col("aov"))})
+    logs = {f"log_{c}": F.when(F.col(c) > 0, F.ln(c)) for c in ("edge", "area", "intensity", "bias_v")}
+    return made.withColumns(logs | {"obs_in_edge": 1 - ratio(F.col("aov"), F.col("aod")), "fc_outside": 1 - ratio(F.col("afv"), F.col("af"))})
+
 
+def skill_decay(df: DataFrame, by: list[str], lead: str, csi: str, ok: str, fit_to: int = 180) -> DataFrame:
+    """Last uninterrupted useful lead (0 if none), first lead at half the first score, and the e-folding time.
 
-def skill_decay(df: DataFrame, by: list[str], lead: str, csi: str, ok: str) -> DataFrame:
-    """Uninterrupted useful leads from the first, first lead at half the first score, and the e-folding time of a log fit."""
+    The time is from a log fit over leads up to ``fit_to``; null unless the score falls.
+    """
     running = Window.partitionBy(*by).orderBy(lead).rowsBetween(Window.unboundedPreceding, 0)
     first = F.first_value(csi).over(Window.partitionBy(*by).orderBy(lead))
     held = F.min(F.col(ok).cast("int")).over(running)
     rows = df.withColumns({"_held": held, "_first": first})
-    log = F.when(F.col(csi) > 0, F.ln(F.col(csi)))
+    slope = F.regr_slope(F.when((F.col(csi) > 0) & (F.col(lead) <= fit_to), F.ln(F.col(csi))), F.col(lead).cast("double"))
     return rows.groupBy(*by).agg(
-        F.max(F.when(F.col("_held") == 1, F.col(lead))).alias("useful_to"),
+        F.coalesce(F.max(F.when(F.col("_held") == 1, F.col(lead))), F.lit(0)).alias("useful_to"),
         F.sum("_held").alias("useful_leads"),
         F.min(F.when(F.col(csi) <= 0.5 * F.col("_first"), F.col(lead))).alias("half_lead"),
-        F.try_divide(F.lit(-1.0), F.regr_slope(log, F.col(lead).cast("double"))).alias("e_folding"),
+        F.when(slope < 0, -1.0 / slope).alias("e_folding"),
     )
 
 

@@ -62,7 +62,7 @@ def extrapolated_contingency(spark, sf_dir):
 def forecast_predictors(spark, sf_dir):
     px = pixels(spark, sf_dir)
     rows = K.issue_features(px, K.extrapolate(px, HEIGHT, WIDTH, [1, 2], 0.0), EVENT)
-    return rows.groupBy("issue", "lead").agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(c), 6).alias(c) for c in ("frac3", "frac11", "near_min", "near_mean", "adv_frac3", "adv_frac11", "tendency", "cold_frac", "cold_change")])
+    return rows.groupBy("issue", "lead").agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(c), 6).alias(c) for c in K.FEATURES])
 
 
 @query(f"""WITH {PX}, s AS (SELECT frame, CAST(1 + frame * 100 + (y // 10) * 10 + (x // 8) AS INT) AS feature, y, x FROM px WHERE v < {EVENT})

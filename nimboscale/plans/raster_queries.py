@@ -209,7 +209,7 @@ def oracle_area_matched(spark, sf_dir):
   JOIN px b ON b.frame = a.frame + l.lead AND b.y = a.y AND b.x = a.x
 ), s AS (SELECT lead, count(*) FILTER (WHERE fc) AS a0, count(*) FILTER (WHERE fc AND inv) AS af, count(*) FILTER (WHERE fc AND inv AND obs IS NOT NULL) AS afv,
   count(*) FILTER (WHERE obs) AS aod, count(*) FILTER (WHERE obs AND inv) AS aov FROM j GROUP BY lead)
-SELECT lead, a0, af, afv, aod, aov, round((afv / aov::DOUBLE) / (af / aod::DOUBLE), 8) AS edge, round(a0 / aod::DOUBLE, 8) AS area, round(af / a0::DOUBLE, 8) AS intensity, round(afv / aov::DOUBLE, 8) AS bias_v FROM s""")
+SELECT lead, a0, af, afv, aod, aov, round((afv / aov::DOUBLE) / (af / aod::DOUBLE), 8) AS edge, round(af / a0::DOUBLE, 8) AS area, round(a0 / aod::DOUBLE, 8) AS intensity, round(afv / aov::DOUBLE, 8) AS bias_v FROM s""")
 def bias_factorisation(spark, sf_dir):
     inv = F.col("x") + F.col("lead") < WIDTH
     rows = verified(spark, sf_dir).select(

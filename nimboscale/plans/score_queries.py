@@ -68,7 +68,7 @@ def edge_only_scores(spark, sf_dir):
 
 @query(f"""WITH {SC}, c AS (SELECT method, lead, count(*) FILTER (WHERE fc AND obs) / count(*) FILTER (WHERE fc OR obs)::DOUBLE * max(1 - lead / 300.0::DOUBLE) AS csi FROM sc GROUP BY method, lead),
 r AS (SELECT *, csi > 0.1 AS ok, first_value(csi) OVER w AS c1, min(CASE WHEN csi > 0.1 THEN 1 ELSE 0 END) OVER (PARTITION BY method ORDER BY lead) AS held FROM c WINDOW w AS (PARTITION BY method ORDER BY lead))
-SELECT method, max(lead) FILTER (WHERE held = 1) AS useful_to, CAST(sum(held) AS BIGINT) AS useful_leads, min(lead) FILTER (WHERE csi <= 0.5 * c1) AS half_lead, round(-var_pop(lead) / covar_pop(ln(csi), lead), 5) AS e_folding FROM r GROUP BY method""")
+SELECT method, coalesce(max(lead) FILTER (WHERE held = 1), 0) AS useful_to, CAST(sum(held) AS BIGINT) AS useful_leads, min(lead) FILTER (WHERE csi <= 0.5 * c1) AS half_lead, round(-var_pop(lead) FILTER (WHERE lead <= 180) / covar_pop(ln(csi), lead) FILTER (WHERE lead <= 180), 5) AS e_folding FROM r GROUP BY method""")
 def skill_decay(spark, sf_dir):
     c = V.contingency(scores(spark, sf_dir), ["method", "lead"], "fc", "obs")
     c = c.withColumn("csi", V.ratio(F.col("H"), F.col("H") + F.col("M") + F.col("F")) * (1 - F.col("lead") / 300.0)).withColumn("ok", F.col("csi") > 0.1)
@@ -228,14 +228,18 @@ def permutation_importance(spark, sf_dir):
 # ---- products -------------------------------------------------------------------
 
 
-@query("""SELECT s_suppkey AS place_id, '<?xml version="1.0" encoding="UTF-8"?><alert xmlns="urn:oasis:names:tc:emergency:cap:1.2"><identifier>a&amp;b-' || s_suppkey || '</identifier><sender>demo</sender><sent>2026-05-01T09:30:00-00:00</sent><status>Exercise</status><msgType>Alert</msgType><scope>Private</scope>'
-|| '<info><category>Met</category><event>Convective storm</event><urgency>Expected</urgency><severity>Unknown</severity><certainty>Possible</certainty><expires>' || strftime(TIMESTAMP '2026-05-01 09:30:00' + to_minutes((s_suppkey % 2 * 30 + 90)::INT), '%Y-%m-%dT%H:%M:%S') || '-00:00</expires><headline>Cold cloud &lt; 235 K near ' || s_name
-|| '</headline><area><areaDesc>' || s_name || '</areaDesc></area></info></alert>' AS cap FROM supplier""")
+@query(f"""WITH {PLACES}, a AS (SELECT *, (place_id % 90 + 10) / 100.0::DOUBLE AS p, place_id % 2 * 30 + 30 AS lead FROM places)
+SELECT place_id, '<?xml version="1.0" encoding="UTF-8"?><alert xmlns="urn:oasis:names:tc:emergency:cap:1.2"><identifier>demo-E&amp;1-x-' || place_id || '-' || lead || '</identifier><sender>demo@example.invalid</sender><sent>2026-05-01T09:30:00+00:00</sent><status>Exercise</status><msgType>Alert</msgType><scope>Private</scope>'
+|| '<note>{products.NOTICE} Prediction m&lt;1&gt;/' || place_id || ', model v0.</note><info><category>Met</category><event>Deep convection</event><urgency>Expected</urgency><severity>Moderate</severity><certainty>Possible</certainty>'
+|| '<expires>' || strftime(TIMESTAMP '2026-05-01 09:30:00' + to_minutes(CAST(lead + 60 AS INT)), '%Y-%m-%dT%H:%M:%S') || '+00:00</expires><headline>EXERCISE: probability ' || printf('%.2f', p) || ' of cold cloud near ' || place || ' within ' || lead || ' min</headline>'
+|| '<description>Probability ' || printf('%.2f', p) || ' that the cloud top is colder than 235 K within 10 km of ' || place || ' at +' || lead || ' min.</description><parameter><valueName>prediction_id</valueName><value>m&lt;1&gt;/' || place_id || '</value></parameter>'
+|| '<area><areaDesc>' || place || ' (10 km)</areaDesc><circle>' || printf('%.4f', lat) || ',' || printf('%.4f', lon) || ' 10</circle></area></info></alert>' AS cap FROM a""")
 def cap_xml(spark, sf_dir):
-    sent = F.lit("2026-05-01 09:30:00").cast("timestamp")
-    expires = sent + F.make_dt_interval(mins=(F.col("s_suppkey") % 2 * 30 + 90).cast("int"))
-    cap = products.cap_alert(F.concat(F.lit("a&b-"), "s_suppkey"), sent, F.concat(F.lit("Cold cloud < 235 K near "), "s_name"), F.col("s_name"), expires)
-    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("place_id"), cap.alias("cap"))
+    p = places(spark, sf_dir).withColumns({"p_max": (F.col("place_id") % 90 + 10) / 100.0, "lead_min": F.col("place_id") % 2 * 30 + 30})
+    alert = {c: F.col(c) for c in ("place", "lat", "lon", "p_max", "lead_min")}
+    alert |= {"alert_id": F.concat(F.lit("x#"), "place_id", F.lit("/"), "lead_min"), "prediction_id": F.concat(F.lit("m<1>/"), "place_id")}
+    cap = products.cap_alert(alert, F.lit("2026-05-01 09:30:00").cast("timestamp"), F.lit("E&1"), F.lit("v0"))
+    return p.select("place_id", cap.alias("cap"))
 
 
 @query()

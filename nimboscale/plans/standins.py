@@ -47,7 +47,7 @@ SEG = f"""seg AS (
 
 
 def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(cell, frame, x, y, min_bt, area): users of ``events`` as cells, half days as frames; metres and kelvin in name only."""
+    """(cell, frame, x, y, min_bt, area, core): users of ``events`` as cells, half days as frames; metres and kelvin in name only."""
     hours = F.expr("unix_micros(cast(ts AS timestamp)) - unix_micros(timestamp'2024-01-01 00:00:00')")
     return (
         table(spark, sf_dir, "events")
@@ -63,6 +63,7 @@ def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.round(1000 * F.avg("k"), 3).alias("y"),
             F.round(F.lit(300.0) - F.max("value") / 5, 6).alias("min_bt"),
             F.count(F.lit(1)).alias("area"),
+            F.count_if(F.col("value") > 60).alias("core"),
         )
     )
 
@@ -71,7 +72,7 @@ POS = """pos AS (
   SELECT user_id AS cell,
          CAST(floor((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01 00:00:00')) / (12 * 3600 * 1000000.0)) AS INT) AS frame,
          round(1000 * avg(value), 3) AS x, round(1000 * avg(CAST(json_extract_string(props, '$.k') AS DOUBLE)), 3) AS y,
-         round(300.0 - max(value) / 5, 6) AS min_bt, count(*) AS area
+         round(300.0 - max(value) / 5, 6) AS min_bt, count(*) AS area, count(*) FILTER (WHERE value > 60) AS core
   FROM events GROUP BY ALL
 )"""
 

@@ -23,7 +23,7 @@ walk AS (
   UNION ALL
   SELECT w.frame + 1, k.child, w.rf, w.rr FROM walk w JOIN kinds k ON k.kind = 'CONTINUE' AND k.frame = w.frame AND k.parent = w.feature
 ),
-named AS (SELECT rf, rr, row_number() OVER (ORDER BY rf, rr) - 1 AS cell FROM (SELECT DISTINCT rf, rr FROM walk)),
+named AS (SELECT rf, rr, row_number() OVER (ORDER BY rf, rr) AS cell FROM (SELECT DISTINCT rf, rr FROM walk)),
 tracks AS (SELECT w.frame, w.feature, n.cell FROM walk w JOIN named n USING (rf, rr))"""
 
 
@@ -147,25 +147,30 @@ def _fixes(spark, sf_dir):
 
 @query(f"""WITH {FIX} SELECT cell, frame, round(km / h, 5) AS speed_kmh, round(CASE WHEN km > 0 THEN CASE WHEN bd < 0 THEN bd + 360 ELSE bd END END, 5) AS heading_deg FROM km""")
 def movement_speed_heading(spark, sf_dir):
+    return T.movement(_fixes(spark, sf_dir), sphere=True).select("cell", "frame", F.round("speed_kmh", 5).alias("speed_kmh"), F.round("heading_deg", 5).alias("heading_deg"))
+
+
+@query()
+def geodesic_movement(spark, sf_dir):
+    """Steps on the ellipsoid; the iteration has no SQL form."""
     return T.movement(_fixes(spark, sf_dir)).select("cell", "frame", F.round("speed_kmh", 5).alias("speed_kmh"), F.round("heading_deg", 5).alias("heading_deg"))
 
 
 RATES = f"""{POS}, rt AS (SELECT *, (min_bt - lag(min_bt) OVER w) / (frame - lag(frame) OVER w) AS d_min_bt,
-  ((area - lag(area) OVER w)::DOUBLE / nullif(lag(area) OVER w, 0)) / (frame - lag(frame) OVER w) AS acf, row_number() OVER w AS n FROM pos WINDOW w AS (PARTITION BY cell ORDER BY frame)),
-rule AS (SELECT *, CASE WHEN d_min_bt IS NULL THEN NULL WHEN n <= 2 AND d_min_bt <= -10 AND min_bt > 240 THEN 'Initiation'
-  WHEN d_min_bt <= -10 OR (coalesce(acf, 0) >= 0.5 AND d_min_bt <= 0) THEN 'Developing' WHEN d_min_bt >= 5 AND coalesce(acf, 0) < 0 THEN 'Decaying'
-  WHEN min_bt <= 240 AND abs(d_min_bt) < 5 THEN 'Mature' END AS r FROM rt),
+  ((area - lag(area) OVER w)::DOUBLE / nullif(lag(area) OVER w, 0)) / (frame - lag(frame) OVER w) AS acf, (core - lag(core) OVER w)::DOUBLE / (frame - lag(frame) OVER w) AS d_core, row_number() OVER w AS n FROM pos WINDOW w AS (PARTITION BY cell ORDER BY frame)),
+rule AS (SELECT *, CASE WHEN d_min_bt >= 2 AND d_core < 0 THEN 'Decaying' WHEN min_bt < 285 AND abs(acf) <= 0.1 THEN 'Mature'
+  WHEN d_min_bt < 0 AND acf > 0 THEN 'Developing' WHEN n <= 2 AND min_bt < 295 AND d_min_bt <= -1 THEN 'Initiation' END AS r FROM rt),
 ph AS (SELECT *, coalesce(last_value(r IGNORE NULLS) OVER (PARTITION BY cell ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'Unclassified') AS phase FROM rule)"""
 
 
 def _phased(spark, sf_dir):
-    return T.phases(T.rates(positions(spark, sf_dir)), 240.0, -10.0, 0.5, 5.0)
+    return T.phases(T.rates(positions(spark, sf_dir)), 2.0, 285.0, 0.1, 295.0, -1.0)
 
 
-@query(f"WITH {RATES} SELECT cell, frame, round(d_min_bt, 6) + 0.0 AS d_min_bt, round(acf, 6) + 0.0 AS area_change_frac FROM rt")
+@query(f"WITH {RATES} SELECT cell, frame, round(d_min_bt, 6) + 0.0 AS d_min_bt, round(acf, 6) + 0.0 AS area_change_frac, round(d_core, 6) + 0.0 AS d_core FROM rt")
 def lifecycle_rates(spark, sf_dir):
     r = T.rates(positions(spark, sf_dir))
-    return r.select("cell", "frame", (F.round("d_min_bt", 6) + 0.0).alias("d_min_bt"), (F.round("area_change_frac", 6) + 0.0).alias("area_change_frac"))
+    return r.select("cell", "frame", (F.round("d_min_bt", 6) + 0.0).alias("d_min_bt"), (F.round("area_change_frac", 6) + 0.0).alias("area_change_frac"), (F.round("d_core", 6) + 0.0).alias("d_core"))
 
 
 @query(f"WITH {RATES} SELECT cell, frame, phase FROM ph")
@@ -255,7 +260,7 @@ SELECT cell, frame, arg_min(place, km * 1000000 + place_id / 1000000.0) AS place
 def station_proximity_50km(spark, sf_dir):
     from nimboscale.operators.products import nearest_place
 
-    return nearest_place(_fixes(spark, sf_dir), places(spark, sf_dir), ["cell", "frame"], 50.0).withColumn("km", F.round("km", 5))
+    return nearest_place(_fixes(spark, sf_dir), places(spark, sf_dir), ["cell", "frame"], 50.0, sphere=True).withColumn("km", F.round("km", 5))
 
 
 _POINT = "CAST(s_suppkey * 17 % 50 AS INT) AS y, CAST(s_suppkey * 23 % 64 AS INT) AS x"

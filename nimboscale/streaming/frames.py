@@ -31,7 +31,7 @@ def link_frames(segments: DataFrame, width: int) -> DataFrame:
 
     def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(batches))
-        last, features, cells, pixels, fresh = state.get if state.exists else (-(1 << 30), [], [], [], 0)
+        last, features, cells, pixels, fresh = state.get if state.exists else (-(1 << 30), [], [], [], 1)
         parents = dict(zip(features, (set(p) for p in pixels)))
         owner = dict(zip(features, cells))
         for frame, part in sorted(rows.groupby("frame"), key=lambda x: x[0]):

@@ -84,10 +84,10 @@ def test_overlap_links_golden(spark):
     two = seg([(0, 1, (0, 4), (0, 4)), (0, 2, (0, 4), (6, 10)), (1, 1, (0, 4), (0, 10)), (2, 1, (0, 4), (0, 5)), (2, 2, (0, 4), (6, 9))])
     edges = T.overlaps(two, least=0.2)
     cells = {(r.frame, r.feature): r.cell for r in T.assign_tracks(two, edges).collect()}
-    assert cells[0, 1] == cells[1, 1] == cells[2, 1] == 0 and cells[0, 2] == 1 and cells[2, 2] == 2
+    assert cells[0, 1] == cells[1, 1] == cells[2, 1] == 1 and cells[0, 2] == 2 and cells[2, 2] == 3
     kinds = sorted((r.frame, r.kind, r.from_cell, r.into_cell) for r in T.genealogy(T.assign_tracks(two, edges), edges).collect())
-    assert kinds == [(1, "MERGE", 1, 0), (2, "SPLIT", 0, 2)]
-    assert {r.family for r in T.families(T.assign_tracks(two, edges), edges).collect()} == {0}
+    assert kinds == [(1, "MERGE", 2, 1), (2, "SPLIT", 1, 3)]
+    assert {r.family for r in T.families(T.assign_tracks(two, edges), edges).collect()} == {1}
     apart = seg([(0, 1, (0, 2), (0, 2)), (1, 1, (6, 8), (6, 8))])
     assert T.overlaps(apart).count() == 0 and T.assign_tracks(apart, T.overlaps(apart)).agg(F.count_distinct("cell")).first()[0] == 2
     edge = seg([(0, 1, (0, 4), (0, 5)), (1, 1, (3, 7), (4, 9))])
@@ -139,11 +139,15 @@ def test_zigzag_golden(spark):
 
 
 def test_phase_rules(spark):
-    rows = [(0, 265.0, 10), (1, 240.0, 20), (2, 215.0, 36), (3, 214.0, 38), (4, 222.0, 26)]
-    df = spark.createDataFrame([(1, *r) for r in rows], "cell int, frame int, min_bt double, area long")
-    got = [r.phase for r in T.phases(T.rates(df), 221.0, -5.0, 0.5, 5.0).orderBy("frame").collect()]
-    assert got == ["Unclassified", "Initiation", "Developing", "Mature", "Decaying"]
-    assert [r.phases_seen for r in T.cell_summary(T.phases(T.rates(df), 221.0, -5.0, 0.5, 5.0).withColumns({"x": F.lit(0.0), "y": F.lit(0.0)})).collect()] == [",".join(got)]
+    rules = (5.0, 221.0, 0.2, 273.0, -4.0)
+    rows = [(0, 265.0, 100, 0), (1, 240.0, 200, 0), (2, 215.0, 360, 400), (3, 214.0, 378, 420), (4, 222.0, 265, 120)]
+    df = spark.createDataFrame([(1, *r) for r in rows] + [(2, 0, 280.0, 10, 0), (2, 1, 260.0, 8, 0), (2, 2, 261.0, 0, 0), (2, 3, 255.0, 5, 0)], "cell int, frame int, min_bt double, area long, core long")
+    made = T.phases(T.rates(df), *rules)
+    got = {c: [r.phase for r in made.where(F.col("cell") == c).orderBy("frame").collect()] for c in (1, 2)}
+    assert got[1] == ["Unclassified", "Developing", "Developing", "Mature", "Decaying"]
+    assert got[2] == ["Unclassified", "Initiation", "Initiation", "Initiation"]
+    seen = {r.cell: r.phases_seen for r in T.cell_summary(made.withColumns({"x": F.lit(0.0), "y": F.lit(0.0)})).collect()}
+    assert seen == {1: "Unclassified,Developing,Mature,Decaying", 2: "Unclassified,Initiation"}
 
 
 def test_qc_and_time_golden(spark):
@@ -260,7 +264,7 @@ def test_codes_and_labels(spark):
                    *[S.probability_bin(F.lit(p)).alias(n) for n, p in (("a", 0.05), ("b", 0.1), ("c", 0.55), ("d", 0.95))],
                    S.to_code(F.lit(2.5), 1.0, 0.0).alias("even"), S.lead_label(F.lit(120)).alias("l2"), S.lead_label(F.lit(90)).alias("l90"),
                    S.local_time(F.lit("2026-05-01 23:30:00").cast("timestamp") + F.expr("interval 60 minutes")).alias("local")).first()
-    assert (r.bt, r.p, r.none, r.a, r.b, r.c, r.d, r.even, r.l2, r.l90, r.local) == (235.0, 0.5, None, -1, 0, 2, 4, 2, "T+2h", "T+90m", "06:00")
+    assert (r.bt, r.p, r.none, r.a, r.b, r.c, r.d, r.even, r.l2, r.l90, r.local) == (235.0, 0.5, None, -1, 0, 2, 4, 2, "T+2h", "T+1.5h", "06:00")
 
 
 def test_extrapolation_recovers_motion_and_is_causal(spark):
@@ -343,7 +347,7 @@ def test_near_places_equal_all_pairs(spark):
     rng = np.random.default_rng(5)
     pts = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(rng.uniform((-62, 10), (62, 14), (60, 2)))], "i int, lat double, lon double")
     pl = spark.createDataFrame([(f"p{i}", i, float(a), float(b)) for i, (a, b) in enumerate(rng.uniform((-62, 10), (62, 14), (400, 2)))], "place string, place_id int, lat double, lon double")
-    got = {r.i: (r.place, round(r.km, 6)) for r in products.nearest_place(pts, pl, ["i"], 120.0).collect()}
+    got = {r.i: (r.place, round(r.km, 6)) for r in products.nearest_place(pts, pl, ["i"], 120.0, sphere=True).collect()}
     all_ = pts.crossJoin(pl.select("place", "place_id", F.col("lat").alias("a"), F.col("lon").alias("b"))).withColumn("km", S.haversine_km(F.col("lat"), F.col("lon"), F.col("a"), F.col("b"))).where("km <= 120")
     want = {r.i: (r.place, round(r.km, 6)) for r in all_.groupBy("i").agg(F.min_by("place", F.struct("km", "place_id")).alias("place"), F.min("km").alias("km")).collect()}
     assert got == want and len(want) > 10
