@@ -273,7 +273,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     share = {1: MAX_TOXIC / max(1, counts.get(1, 0)), 0: MAX_CLEAN / max(1, counts.get(0, 0))}
     draw = F.pmod(F.xxhash64(F.lit(11), F.col("_labelled")), F.lit(1 << 30))
     most = F.when(F.col("_y") == 1, int(min(1.0, share[1]) * (1 << 30))).otherwise(int(min(1.0, share[0]) * (1 << 30)))
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(own.where(draw < most), F.col("_id") == F.col("_labelled"))
+    # The sample's ids are bounded as above, so the texts need not move to meet them.
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(own.where(draw < most)), F.col("_id") == F.col("_labelled"))
     got = sorted(rows.select("_id", "_text", "_y").collect(), key=lambda r: (r[0], r[1] or ""))
     return [r[1] or "" for r in got], [int(r[2]) for r in got]
 
