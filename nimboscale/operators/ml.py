@@ -88,6 +88,33 @@ def calibrated(validation: DataFrame, rows: DataFrame, p: str, label: str, weigh
     return made.unionByName(rows.where(~F.coalesce(known, F.lit(False))).withColumn(out, F.lit(None).cast("double")))
 
 
+def save_model(stage, model, path: str, card: dict) -> str:
+    """Write both parts and a card beside them; returns the card's digest, which ``load_model`` wants back."""
+    import hashlib
+    import json
+
+    from pyspark.sql import SparkSession
+
+    stage.write().overwrite().save(f"{path}/features")
+    model.write().overwrite().save(f"{path}/trees")
+    text = json.dumps(card, sort_keys=True)
+    SparkSession.active().createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/card")
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def load_model(spark, path: str, digest: str):
+    """(feature model, trees, card); raises if the card is not the one that was saved."""
+    import hashlib
+    import json
+
+    from pyspark.ml import PipelineModel
+
+    text = spark.read.text(f"{path}/card").first()[0]
+    if hashlib.sha256(text.encode()).hexdigest() != digest:
+        raise ValueError("the model card differs from the recorded one")
+    return PipelineModel.load(f"{path}/features"), GBTClassificationModel.load(f"{path}/trees"), json.loads(text)
+
+
 def permutation_importance(rows: DataFrame, stage, model, features: list[str], label: str, weight: str, key: str, seed: int = 11) -> DataFrame:
     """(feature, increase) of the weighted log-loss when the feature is shuffled over all rows."""
     loss = lambda d: scored(d, stage, model, features).agg(log_loss(F.col("p"), F.col(label), F.col(weight)).alias("loss"))

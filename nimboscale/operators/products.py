@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import struct
+import zlib
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -36,7 +38,7 @@ def nearest_place(points: DataFrame, places: DataFrame, by: list[str], km: float
 
 def window_alerts(points: DataFrame, px: DataFrame, p: str, half: int, leads: list[int], least: float, prefix: str) -> DataFrame:
     """First lead at which the largest p near a place reaches ``least``: (issue, place, lead_min, p_max, alert_id)."""
-    near = window_extreme(points.crossJoin(F.broadcast(px.select("frame").distinct())), px, p, half, ["frame", "place"])
+    near = window_extreme(points.select("place", "y", "x"), px, p, half, ["frame", "place"])
     lead = F.explode(F.array(*[F.lit(n) for n in leads]))
     ahead = near.where(F.col("max_value") >= least).select((F.col("frame")).alias("_valid"), "place", F.col("max_value").alias("p_max"), lead.alias("lead"))
     issued = px.select(F.col("frame").alias("issue")).distinct()
@@ -147,6 +149,21 @@ def rings(mask_rows: DataFrame, by: list[str]) -> DataFrame:
     return mask_rows.select(*by, "y", "x").groupBy(*by).applyInPandas(chain, f"{kinds}, rings array<array<array<double>>>")
 
 
+def png_tiles(rows: DataFrame, height: int, width: int) -> DataFrame:
+    """(frame, png): grey 8-bit images of code rows (frame, y, codes), absent rows filled with 255; a frame is the unit of work."""
+    import pandas as pd
+
+    def image(pdf: pd.DataFrame) -> pd.DataFrame:
+        lines = dict(zip(pdf["y"], pdf["codes"]))
+        raw = b"".join(b"\0" + bytes(lines.get(y, b"\xff" * width)) for y in range(height))
+        part = lambda name, data: struct.pack(">I", len(data)) + name + data + struct.pack(">I", zlib.crc32(name + data))
+        head = struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0)
+        png = b"\x89PNG\r\n\x1a\n" + part(b"IHDR", head) + part(b"IDAT", zlib.compress(raw, 6)) + part(b"IEND", b"")
+        return pd.DataFrame({"frame": [pdf["frame"].iloc[0]], "png": [png]})
+
+    return rows.select("frame", "y", "codes").groupBy("frame").applyInPandas(image, "frame int, png binary")
+
+
 def mercator_rows(north: float, south: float, rows: int) -> list[float]:
     """Latitudes of display rows evenly spaced in Web Mercator, north first."""
     m = lambda d: math.log(math.tan(math.pi / 4 + math.radians(d) / 2))

@@ -84,8 +84,12 @@ def touches(mask: DataFrame, other: DataFrame, by: list[str], steps=CROSS) -> Da
 
 
 def window_extreme(points: DataFrame, px: DataFrame, value: str, half: int, by: list[str]) -> DataFrame:
-    """(by..., max_value) of ``value`` within ``half`` steps of points (frame, y, x): offsets are exploded, then an equi-join."""
-    return spread(points, square(half)).join(px.select(*KEY, value), KEY).groupBy(*by).agg(F.max(value).alias("max_value"))
+    """(by..., max_value) of ``value`` within ``half`` steps of points: offsets are exploded, then an equi-join.
+
+    Points with a ``frame`` meet that frame; points without one meet every frame.
+    """
+    keys = [k for k in KEY if k in points.columns]
+    return spread(points, square(half)).join(px.select(*KEY, value), keys).groupBy(*by).agg(F.max(value).alias("max_value"))
 
 
 def shifted_iou(first: DataFrame, second: DataFrame, by: list[str], dy: int, dx: int, height: int, width: int) -> DataFrame:
@@ -107,7 +111,7 @@ def persistence(px: DataFrame, leads: list[int], value: str = "v") -> DataFrame:
 
 def moved_forecast(px: DataFrame, motion: DataFrame, leads: list[int], height: int, width: int, value: str = "v") -> DataFrame:
     """Whole-pixel extrapolation along one motion an issue (issue, u, v_y): inflow has no row."""
-    fc = persistence(px, leads, value).join(F.broadcast(motion) if motion.isLocal() else motion, "issue")
+    fc = persistence(px, leads, value).join(motion, "issue")
     return shifted(fc, F.rint(F.col("lead") * F.col("v_y")).cast("int"), F.rint(F.col("lead") * F.col("u")).cast("int"), height, width)
 
 

@@ -140,14 +140,14 @@ def time_monotonic(spark, sf_dir):
 SELECT frame, area, frame = (SELECT frame FROM a ORDER BY area DESC, frame LIMIT 1) AS largest,
   round(area / 3200.0::DOUBLE, 9) AS cold_frac, round((area - lag(area, 2) OVER (ORDER BY frame)) / 3200.0::DOUBLE, 9) AS change FROM a""")
 def cold_area_argmax_frame(spark, sf_dir):
-    from pyspark.sql import Window
-
     a = pixels(spark, sf_dir).groupBy("frame").agg(F.count_if(F.col("v") < E).alias("area"), F.count(F.lit(1)).alias("n"))
     best = a.agg(F.max_by("frame", F.struct("area", -F.col("frame"))).alias("best"))
     frac = F.col("area") / F.col("n")
-    return a.crossJoin(F.broadcast(best)).select(
+    before = a.select((F.col("frame") + 2).alias("frame"), F.col("area").alias("before"))
+    # best is one row.
+    return a.join(before, "frame", "left").crossJoin(F.broadcast(best)).select(
         "frame", "area", (F.col("frame") == F.col("best")).alias("largest"), F.round(frac, 9).alias("cold_frac"),
-        F.round((F.col("area") - F.lag("area", 2).over(Window.orderBy("frame"))) / F.col("n"), 9).alias("change"),
+        F.round((F.col("area") - F.col("before")) / F.col("n"), 9).alias("change"),
     )
 
 

@@ -2,7 +2,12 @@
 
 import gzip
 import math
+import os
+import shutil
 import subprocess
+import sys
+import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -331,6 +336,24 @@ def test_isotonic_and_guards(spark):
     assert ml.guarded(days("2026-05-01"), leak, "day").count() == 1
 
 
+def test_model_round_trip(spark, tmp_path):
+    rows = spark.createDataFrame([(float(i), None if i % 7 == 0 else float(i % 5), int(i % 40 > 20), 1.0 + i % 2) for i in range(200)], "a double, b double, y int, w double")
+    stage, model, losses = ml.fit_boosted(rows.where("a % 2 = 0"), rows.where("a % 2 = 1"), ["a", "b"], "y", "w", rounds=4)
+    assert model.getNumTrees == losses.index(min(losses)) + 1
+    seal = ml.save_model(stage, model, f"file://{tmp_path}/m", {"rounds": 4})
+    s, m, card = ml.load_model(spark, f"file://{tmp_path}/m", seal)
+    assert card == {"rounds": 4} and ml.scored(rows, s, m, ["a", "b"]).exceptAll(ml.scored(rows, stage, model, ["a", "b"])).count() == 0
+    with pytest.raises(ValueError):
+        ml.load_model(spark, f"file://{tmp_path}/m", "0")
+
+
+def test_rest_works_without_corpus_operators(tmp_path):
+    root = Path(__file__).resolve().parent.parent
+    shutil.copytree(root, tmp_path / "r", ignore=shutil.ignore_patterns("llm", "corpus_pipeline.py", ".git", "__pycache__", ".pytest_cache"))
+    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 50 and not any(n.startswith('op') and n[2].isdigit() for n in q) and 'pipeline' not in q"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "r", env={**os.environ, "PYTHONPATH": str(tmp_path / "r")}, check=True, timeout=120)
+
+
 def test_digests_and_products(spark):
     files = spark.createDataFrame([("a", bytearray(b"1")), ("b", bytearray(b"2")), ("c", bytearray(b"3"))], "path string, content binary")
     rec = files.where("path <> 'c'").select("path", F.when(F.col("path") == "a", F.sha2("content", 256)).otherwise("x").alias("sha256"))
@@ -370,6 +393,9 @@ def test_io_round_trips(spark, tmp_path):
     assert packed.join(px.withColumnRenamed("v", "w"), ["frame", "y", "x"]).where("abs(v - w) > 0.00501").count() == 0
     codes = io.tile_rows(io.tile_codes(px, 1.0, 0.0), 3).orderBy("y").collect()
     assert [bytes(r.codes) for r in codes] == [bytes([1, 255, 255]), bytes([3, 250, 255])]
+    png = products.png_tiles(io.tile_rows(io.tile_codes(px, 1.0, 0.0), 2), 2, 2).first().png
+    at = bytes(png).index(b"IDAT")
+    assert zlib.decompressobj().decompress(bytes(png)[at + 4 :]) == bytes([0, 1, 255, 0, 3, 250])
     io.write_csv(px.drop("event"), f"file://{tmp_path}/csv")
     assert io.read_csv(spark, f"file://{tmp_path}/csv", "frame int, y int, x int, v double").where("v = 250").count() == 1
     st_ = spark.createDataFrame([("q1", "A"), ("q2", "B")], "query string, name string")
