@@ -158,9 +158,9 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataF
     """
     plan = mix_sources(docs, id_col=id_col, split_last=False, **options)
     times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(1).cast("int")
-    plan = plan.groupBy(id_col).agg(F.max(times).alias("_times")).withColumnRenamed(id_col, "_planned").where(F.col("_times") > 0)
-    met = docs.join(plan, docs[id_col].eqNullSafe(F.col("_planned")))
-    return met.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[docs[c] for c in docs.columns])
+    plan = plan.groupBy(id_col).agg(F.max(times).alias("_nb_times")).withColumnRenamed(id_col, "_nb_planned").where(F.col("_nb_times") > 0)
+    met = docs.join(plan, docs[id_col].eqNullSafe(F.col("_nb_planned")))
+    return met.withColumn("_nb_copy", F.explode(F.sequence(F.lit(1), F.col("_nb_times")))).select(*[docs[c] for c in docs.columns])
 
 
 def op2_source_mix(spark, sf_dir: str) -> DataFrame:

@@ -154,8 +154,8 @@ def fit_rules(rows: DataFrame, label: str = "label", trees: int = 24, depth: int
 
 
 def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    out = without(docs, *STATISTICS).withColumn("_stats", text_statistics(F.col(text_col)))
-    return out.select(*[c for c in out.columns if c != "_stats"], "_stats.*")
+    out = without(docs, *STATISTICS).withColumn("_nb_stats", text_statistics(F.col(text_col)))
+    return out.select(*[c for c in out.columns if c != "_nb_stats"], "_nb_stats.*")
 
 
 def held_out(id_col: Column, parts: int, part: int = 0) -> Column:
@@ -175,8 +175,8 @@ def score_quality(
     label counts once for each row with that id. Equal texts score alike.
     Without usable labels all scores are one constant.
     """
-    narrow = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    stats = stored(with_statistics(narrow, "_text").drop("_text"), "quality-statistics")
+    narrow = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_nb_text"))
+    stats = stored(with_statistics(narrow, "_nb_text").drop("_nb_text"), "quality-statistics")
     own = labels.where(~held_out(F.col(id_col), 5)).groupBy(F.col(id_col).alias("_labelled")).agg(F.max(label_col).alias("label"))
     train = stats.join(own.where("label IS NOT NULL"), F.col("_id") == F.col("_labelled"))
     n = train.count()
@@ -190,8 +190,8 @@ def score_quality(
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs`` that score at least ``threshold``, judged by their own text; columns unchanged."""
     _, model = score_quality(docs, labels, id_col, text_col, label_col, threshold)
-    test = with_statistics(docs.select(F.struct(*docs.columns).alias("_row"), F.col(text_col).cast("string").alias("_text")), "_text")
-    return test.where(model.score() >= threshold).select("_row.*")
+    test = with_statistics(docs.select(F.struct(*docs.columns).alias("_nb_row"), F.col(text_col).cast("string").alias("_nb_text")), "_nb_text")
+    return test.where(model.score() >= threshold).select("_nb_row.*")
 
 
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -333,8 +333,8 @@ def simhash_groups(
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its component, one row an id; rows with a null id stay."""
     keep = simhash_groups(docs, id_col, text_col, **options).where(F.col(id_col) == F.col("component_id"))
-    keep = keep.select(F.col(id_col).alias("_kept")).distinct()
-    own = docs.where(F.col(id_col).isNotNull()).join(keep, F.col(id_col) == F.col("_kept"), "left_semi").dropDuplicates([id_col])
+    keep = keep.select(F.col(id_col).alias("_nb_kept")).distinct()
+    own = docs.where(F.col(id_col).isNotNull()).join(keep, F.col(id_col) == F.col("_nb_kept"), "left_semi").dropDuplicates([id_col])
     return own.unionByName(docs.where(F.col(id_col).isNull()))
 
 

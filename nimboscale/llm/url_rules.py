@@ -35,13 +35,13 @@ def split_url(df: DataFrame, url_col: str = "url") -> DataFrame:
     url = F.coalesce(F.col(url_col), F.lit(""))
     at = F.instr(url, "://")
     rest = F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise(F.lit(""))
-    out = without(df, "host", "path").withColumn("_rest", rest)
-    out = out.withColumn("_host", F.regexp_extract("_rest", r"^([^/?#]*)", 1))
-    tail = F.expr("substring(_rest, char_length(_host) + 1)")
+    out = without(df, "host", "path").withColumn("_nb_rest", rest)
+    out = out.withColumn("_nb_host", F.regexp_extract("_nb_rest", r"^([^/?#]*)", 1))
+    tail = F.expr("substring(_nb_rest, char_length(_nb_host) + 1)")
     return (
-        out.withColumn("host", ascii_lower(F.col("_host")))
+        out.withColumn("host", ascii_lower(F.col("_nb_host")))
         .withColumn("path", F.regexp_extract(tail, r"^([^?#]*)", 1))
-        .drop("_rest", "_host")
+        .drop("_nb_rest", "_nb_host")
     )
 
 
