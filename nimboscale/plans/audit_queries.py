@@ -68,7 +68,7 @@ def selected_lifecycle_cell(spark, sf_dir):
     return s.where("coldest < 290 AND lifetime >= 120").orderBy("coldest", F.col("lifetime").desc(), "cell").limit(1).withColumn("coldest", F.round("coldest", 6))
 
 
-@query(f"""WITH {SC}, c AS (SELECT method, lead, issue, max(p) AS p FROM sc WHERE lead = 60 GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY method ORDER BY coalesce(p, -1) DESC, issue) AS rk FROM c)
+@query(f"""WITH {SC}, c AS (SELECT method, lead, issue, max(p) AS p FROM sc WHERE lead = 60 GROUP BY ALL), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY method ORDER BY coalesce(p, -1) DESC, issue) AS INT) AS rk FROM c)
 SELECT method, issue, round(p, 6) AS p, rk FROM r WHERE rk <= 5""")
 def top_five_by_probability(spark, sf_dir):
     from pyspark.sql import Window

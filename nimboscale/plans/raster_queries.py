@@ -50,7 +50,7 @@ def advection_contingency_by_lead(spark, sf_dir):
   SELECT a.frame AS issue, l.lead, a.v AS fv, b.v AS ov FROM pm a CROSS JOIN (VALUES (1), (2)) l(lead)
   JOIN pm b ON b.frame = a.frame + l.lead AND b.y = a.y AND b.x = a.x
 ), i AS (SELECT issue, lead, count(*) AS n, count(*) FILTER (WHERE fv IS NOT NULL AND ov IS NOT NULL) AS ok FROM j GROUP BY ALL)
-SELECT lead, sum(ok) AS scored, round(avg(1 - ok / n::DOUBLE), 9) AS excluded FROM i GROUP BY lead""")
+SELECT lead, CAST(sum(ok) AS BIGINT) AS scored, round(avg(1 - ok / n::DOUBLE), 9) AS excluded FROM i GROUP BY lead""")
 def excluded_fraction_by_lead(spark, sf_dir):
     valid = F.col("forecast").isNotNull() & F.col("observed").isNotNull()
     issue = verified(spark, sf_dir, True, (1, 2)).groupBy("issue", "lead").agg(F.count(F.lit(1)).alias("n"), F.count_if(valid).alias("ok"))

@@ -7,6 +7,8 @@ import os
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,6 +31,22 @@ def get_session(app: str = "nimboscale", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors where their Python would not find it on its path."""
+    context = spark.sparkContext
+    root = Path(__file__).resolve().parent.parent
+    known = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    if getattr(context, "_nimboscale_shipped", False) or str(root) in (os.path.realpath(p) for p in known if p):
+        return
+    folder = tempfile.mkdtemp(prefix="nimboscale-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    with zipfile.ZipFile(f"{folder}/nimboscale.zip", "w") as out:
+        for file in [*root.glob("nimboscale/**/*.py"), *root.glob("corpus_pipeline.py")]:
+            out.write(file, file.relative_to(root))
+    context.addPyFile(f"{folder}/nimboscale.zip")
+    context._nimboscale_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and every executor can reach.
 
