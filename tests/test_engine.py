@@ -419,3 +419,35 @@ def test_entry(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).count() == 3 and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_event_pipeline(spark, tmp_path):
+    """A moving cold disc, from raw files to cells, forecasts and scores."""
+    from nimboscale.plans.event_pipeline import Event, Source, run_event
+
+    rows, cols = 60, 70
+    raw = tmp_path / "raw"
+    raw.mkdir()
+    yy, xx = np.meshgrid(np.arange(rows), np.arange(cols), indexing="ij")
+    for hour in range(3):
+        fields = []
+        for half in range(2):
+            t = 2 * hour + half
+            bt = 290 - 90 * np.exp(-((yy - 30) ** 2 + (xx - 24 - 2 * t) ** 2) / 60.0)
+            fields.append(np.clip(bt - 75, 0, 254).astype(np.uint8)[::-1])
+        (raw / f"merg_20260501{hour:02d}_4km-pixel").write_bytes(np.stack(fields).tobytes())
+    source = Source(rows, cols, 28.0, 76.0, 0.036, 0.036)
+    settings_ = tmp_path / "event.yaml"
+    settings_.write_text("name: t\nstart: '2026-05-01 00:00:00'\nbox: [28.3, 29.8, 76.4, 78.2]\nresolution_m: 4000\nleads: [1, 2]\nscales: [5]\n")
+    out = run_event(spark, f"file://{raw}", f"file://{tmp_path}/out", source, Event.read(str(settings_)), until=6)
+    assert {r.status for r in out["frame_quality"].collect()} == {"OK"} and out["frame_quality"].count() == 6
+    life = out["lifecycle"].orderBy("frame").collect()
+    assert {r.cell for r in life} == {1} and len(life) == 6
+    speeds = [r.speed_kmh for r in life[1:]]
+    east = 2 * 0.036 * 111.32 * math.cos(math.radians(29.1)) / 0.5
+    assert all(abs(s - east) < 0.25 * east for s in speeds) and all(60 < r.heading_deg < 120 for r in life[1:])
+    score = {(r.method, r.lead): r.csi for r in out["scores"].collect()}
+    assert score["extrapolation", 2] > score["persistence", 2] + 0.1
+    n = {(r.method, r.lead): r.H + r.M + r.F + r.CN for r in out["scores"].collect()}
+    assert n["extrapolation", 1] == n["persistence", 1]
+    assert out["fss"].count() == 4 and out["genealogy"].count() == 0
