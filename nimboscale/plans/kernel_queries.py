@@ -93,3 +93,17 @@ def streamed_links(spark, sf_dir):
     run = flow.writeStream.format("parquet").option("path", out).option("checkpointLocation", check).queryName(name).trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.parquet(out)
+
+
+@query()
+def probability_scores(spark, sf_dir):
+    """Five methods on identical pixels: trained on even issues, scored on odd ones."""
+    from nimboscale.plans import probability as pr
+    from nimboscale.session import stored
+
+    rows = stored(pr.labelled_pixels(pixels(spark, sf_dir, True), EVENT, HEIGHT, WIDTH, [1, 2], 0.0), "predictors")
+    sample = stored(pr.dataset(rows), "sample")
+    even, odd = sample.where("issue % 2 = 0"), sample.where("issue % 2 = 1")
+    _, _, _, calibrate = pr.train(even, odd, rounds=5)
+    scored = stored(calibrate(rows.where("issue % 2 = 1")), "scored")
+    return pr.evaluate(scored, pr.climatology(even), EVENT)["scores"].select("method", "mask", "lead", "n", *V.COUNTS, "csi", "bs", "bss")

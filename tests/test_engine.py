@@ -451,3 +451,17 @@ def test_event_pipeline(spark, tmp_path):
     n = {(r.method, r.lead): r.H + r.M + r.F + r.CN for r in out["scores"].collect()}
     assert n["extrapolation", 1] == n["persistence", 1]
     assert out["fss"].count() == 4 and out["genealogy"].count() == 0
+
+
+def test_probability_scores_share_pixels(spark):
+    from nimboscale.plans.kernel_queries import probability_scores
+
+    rows = probability_scores(spark, "/root/testdata/sf0.001").collect()
+    n = {}
+    for r in rows:
+        n.setdefault((r["mask"], r.lead), set()).add(r.n)
+        assert r.H + r.M + r.F + r.CN == r.n
+    assert all(len(v) == 1 for v in n.values()) and {r.method for r in rows} == {"persistence", "advection", "neighbourhood", "ml", "climatology"}
+    bss = {(r.method, r["mask"], r.lead): r.bss for r in rows}
+    assert abs(bss["climatology", "V", 1]) < 1e-9 and bss["ml", "V", 1] > bss["persistence", "V", 1]
+    assert all(max(n["D", k]) >= max(n["V", k]) for k in (1, 2))
