@@ -40,6 +40,7 @@ def parse_stamp(text: Column) -> Column:
 
 
 def hourly_name(time: Column, prefix: str = "merg") -> Column:
+    """Name of the public hourly merged-infrared file that holds ``time``. Fixed format."""
     return F.concat(F.lit(prefix + "_"), F.date_format(time, "yyyyMMddHH"), F.lit("_4km-pixel"))
 
 
