@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from nimboscale.llm.text import ascii_lower, bind, trim_space, without
+from nimboscale.session import stored
 
 OUT = ("n_lines", "n_dropped", "kept_text")
 
@@ -33,42 +34,46 @@ def drop_repeated_lines(
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = (
         docs.where(F.col(id_col).isNotNull())
-        .select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_row"), F.posexplode(F.split(text, "\n", -1)).alias("_pos", "_line"))
-        .select("_id", "_row", "_pos", ascii_lower(trim_space(F.col("_line"))).alias("_key"))
+        .select(F.col(id_col).alias("_nb_id"), F.xxhash64(text).alias("_nb_row"), F.posexplode(F.split(text, "\n", -1)).alias("_pos", "_line"))
+        .select("_nb_id", "_nb_row", "_pos", ascii_lower(trim_space(F.col("_line"))).alias("_key"))
         .where(F.char_length("_key") >= min_chars)
-        .select("_id", "_row", "_pos", F.unhex(F.md5("_key")).alias("_hash"))
+        .select("_nb_id", "_nb_row", "_pos", F.unhex(F.md5("_key")).alias("_hash"))
     )
+    # Both the counts and the join read the hashes: split and hash the texts once.
+    lines = stored(lines, "lines")
     if min_docs <= 2:
         # Two documents hold a key exactly if its smallest and largest id differ.
-        repeated = lines.groupBy("_hash").agg(F.min("_id").alias("_keep"), F.max("_id").alias("_last"))
+        repeated = lines.groupBy("_hash").agg(F.min("_nb_id").alias("_keep"), F.max("_nb_id").alias("_last"))
         repeated = repeated.where(F.col("_keep") < F.col("_last")) if min_docs == 2 else repeated
     else:
-        once = lines.groupBy("_hash", "_id").agg(F.lit(1).alias("_one"))
-        repeated = once.groupBy("_hash").agg(F.min("_id").alias("_keep"), F.count("_one").alias("_docs"))
+        once = lines.groupBy("_hash", "_nb_id").agg(F.lit(1).alias("_one"))
+        repeated = once.groupBy("_hash").agg(F.min("_nb_id").alias("_keep"), F.count("_one").alias("_docs"))
         repeated = repeated.where(F.col("_docs") >= min_docs)
+    # As a table, so that the join below has plain shuffles on both sides, which adaptive execution splits where a line is very common.
+    repeated = stored(repeated.select("_hash", "_keep"), "repeated-lines")
     dropped = (
-        lines.join(repeated.select("_hash", "_keep"), "_hash")
-        .where(F.col("_id") > F.col("_keep"))
-        .groupBy("_id", "_row")
-        .agg(F.collect_set("_pos").alias("_gone"))
+        lines.join(repeated, "_hash")
+        .where(F.col("_nb_id") > F.col("_keep"))
+        .groupBy("_nb_id", "_nb_row")
+        .agg(F.collect_set("_pos").alias("_nb_gone"))
     )
-    kept = without(docs, *OUT).withColumn("_row", F.xxhash64(text))
-    kept = kept.join(dropped, (kept[id_col] == dropped["_id"]) & (kept["_row"] == dropped["_row"]), "left").drop(dropped["_row"])
+    kept = without(docs, *OUT).withColumn("_nb_row", F.xxhash64(text))
+    kept = kept.join(dropped, (kept[id_col] == dropped["_nb_id"]) & (kept["_nb_row"] == dropped["_nb_row"]), "left").drop(dropped["_nb_row"])
     every = F.split(text, "\n", -1)
 
     def without_gone(lines):
-        stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
+        stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_nb_gone"))
         return F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
 
-    gone = F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone"))
+    gone = F.when(F.col("_nb_gone").isNull(), 0).otherwise(F.size("_nb_gone"))
     return (
         kept.withColumn("n_lines", F.size(every).cast("long"))
         .withColumn("n_dropped", gone.cast("long"))
         .withColumn(
             "kept_text",
-            F.when(F.col("_gone").isNull(), text).otherwise(bind(every, without_gone)),
+            F.when(F.col("_nb_gone").isNull(), text).otherwise(bind(every, without_gone)),
         )
-        .drop("_id", "_row", "_gone")
+        .drop("_nb_id", "_nb_row", "_nb_gone")
     )
 
 
