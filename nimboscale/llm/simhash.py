@@ -29,12 +29,16 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
+from nimboscale.llm.fingerprints import _shingles
+from nimboscale.llm.text import ascii_lower, bind, words
 from nimboscale.operators.graph import connected_components
 from nimboscale.session import stored
 
 WIDTH = 3
 RADIUS = 3
 MOST = 20_000
+#: Of the search for similar texts: bits of candidates, likeness of links, members of a task.
+REACH, SIMILARITY, BLOCK_ROWS = 9, 0.8, 4000
 FANOUT = 16
 CHUNK = 1 << 18
 
@@ -270,30 +274,15 @@ def _split_units(units: DataFrame, most: int, radius: int) -> DataFrame:
         )
 
 
-def near_links(classes: DataFrame, radius: int = RADIUS, most: int = MOST) -> DataFrame:
-    """Links (src, dst) between ``_rep`` of classes (_fp, _rep) that connect whatever lies within ``radius`` bits."""
-    bands = radius + 1
-    width = 64 // bands
-    rotations = F.array(*[F.lit(r * width) for r in range(bands)])
-    rotated = F.expr("shiftleft(_fp, _band) | if(_band = 0, 0L, shiftrightunsigned(_fp, 64 - _band))")
-    units = (
-        classes.select("_fp", "_rep", F.explode(rotations).alias("_band"))
-        .withColumn("_rotated", rotated)
-        .select(
-            "_band",
-            F.lit(width).alias("_depth"),
-            F.shiftrightunsigned("_rotated", 64 - width).alias("_a"),
-            F.shiftrightunsigned("_rotated", 64 - width).alias("_b"),
-            F.lit(0).alias("_side"),
-            "_rotated",
-            _gray_rank(F.col("_rotated")).alias("_rank"),
-            "_fp",
-            "_rep",
-        )
+def _indexed(entries: DataFrame, width: int, radius: int, most: int) -> DataFrame:
+    """Links from index entries (_band, _rotated, _fp, _rep), whose first ``width`` rotated bits name the top node."""
+    top = F.shiftrightunsigned("_rotated", 64 - width)
+    units = entries.select(
+        "_band", F.lit(width).alias("_depth"), top.alias("_a"), top.alias("_b"), F.lit(0).alias("_side"), "_rotated", _gray_rank(F.col("_rotated")).alias("_rank"), "_fp", "_rep"
     )
     units = _split_units(units, most, radius)
     key = ["_band", "_depth", "_a", "_b"]
-    kind = classes.schema["_rep"].dataType.simpleString()
+    kind = entries.schema["_rep"].dataType.simpleString()
     return (
         units.repartition(*key)
         .sortWithinPartitions(*key, "_side", "_rank")
@@ -302,6 +291,118 @@ def near_links(classes: DataFrame, radius: int = RADIUS, most: int = MOST) -> Da
     )
 
 
+def near_links(classes: DataFrame, radius: int = RADIUS, most: int = MOST) -> DataFrame:
+    """Links (src, dst) between ``_rep`` of classes (_fp, _rep) that connect whatever lies within ``radius`` bits."""
+    bands = radius + 1
+    width = 64 // bands
+    rotations = F.array(*[F.lit(r * width) for r in range(bands)])
+    rotated = F.expr("shiftleft(_fp, _band) | if(_band = 0, 0L, shiftrightunsigned(_fp, 64 - _band))")
+    entries = classes.select("_fp", "_rep", F.explode(rotations).alias("_band")).withColumn("_rotated", rotated)
+    return _indexed(entries, width, radius, most)
+
+
+def wide_links(classes: DataFrame, radius: int = REACH, most: int = MOST) -> DataFrame:
+    """Links within ``radius`` bits between classes that agree in two of eight bands.
+
+    Up to six differing bits always leave two bands alike; beyond that a pair
+    may be missed. Two bands of eight bits keep the top nodes as small as one of
+    sixteen does in ``near_links``, for any of the 28 pairs of bands.
+    """
+    orders = [[i, j, *(k for k in range(8) if k not in (i, j))] for i in range(8) for j in range(i + 1, 8)]
+    turns = F.array(*[F.array(*[F.lit(k) for k in order]) for order in orders])
+    entries = classes.select("_fp", "_rep", F.posexplode(turns).alias("_band", "_order"))
+    rotated = F.expr("aggregate(sequence(0, 7), 0L, (bits, k) -> shiftleft(bits, 8) | (shiftrightunsigned(_fp, 8 * _order[k]) & 255L))")
+    return _indexed(entries.withColumn("_rotated", rotated).drop("_order"), 16, radius, most)
+
+
+# ---- exact check of candidate groups ----------------------------------------
+
+
+def _similar_forest(sets: list[np.ndarray], least: float) -> np.ndarray:
+    """Root of each set under links of Jaccard likeness ``least`` or more, exactly; two empty sets are alike.
+
+    Postings of every hash give the overlaps of one set with all others at
+    once. A set is compared only with those not reached yet.
+    """
+    n = len(sets)
+    size = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(n), size)
+    _, word = np.unique(np.concatenate(sets) if size.sum() else np.zeros(0, np.int64), return_inverse=True)
+    order = np.argsort(word, kind="stable")
+    posting = owner[order]
+    count = np.bincount(word)
+    first = np.cumsum(count) - count
+    start = np.cumsum(size) - size
+    root, left = np.arange(n), np.ones(n, bool)
+    for seed in range(n):
+        if not left[seed]:
+            continue
+        left[seed] = False
+        todo = [seed]
+        while todo and left.any():
+            p = todo.pop()
+            own = word[start[p] : start[p] + size[p]]
+            shared = np.bincount(posting[_runs(first[own], count[own])], minlength=n) if len(own) else np.zeros(n, np.int64)
+            union = size + size[p] - shared
+            alike = left & (shared >= least * union)
+            found = np.flatnonzero(alike)
+            root[found], left[found] = seed, False
+            todo += found.tolist()
+    return root
+
+
+def verified_links(members: DataFrame, least: float = SIMILARITY, block: int = BLOCK_ROWS) -> DataFrame:
+    """Links (src, dst) between members (_group, _rep, _set) of a group whose sets are alike by ``least``: a spanning forest.
+
+    A group of up to ``block`` members is one task. A larger one is cut into
+    blocks of half as many, and every pair of its blocks is a task, so that no
+    task holds more than ``block`` members and every pair meets in some task.
+    """
+    sizes = members.groupBy("_group").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    parts = F.when(F.col("_n") <= block, 1).otherwise(F.ceil(F.col("_n") / (block // 2))).cast("int")
+    own = F.pmod(F.xxhash64("_rep"), F.col("_parts")).cast("int")
+    dealt = members.join(sizes.withColumn("_parts", parts), "_group").withColumn("_own", own)
+    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    dealt = dealt.select("_group", F.least("_own", "_other").alias("_one"), F.greatest("_own", "_other").alias("_two"), "_rep", "_set")
+    kind = members.schema["_rep"].dataType.simpleString()
+
+    def check(table: pa.Table) -> pa.Table:
+        reps = table.column("_rep").to_numpy()
+        order = np.argsort(reps, kind="stable")
+        listed = table.column("_set").combine_chunks()
+        sets = [listed[int(i)].values.to_numpy(zero_copy_only=False) for i in order]
+        reps = reps[order]
+        root = _similar_forest(sets, least)
+        moved = root != np.arange(len(reps))
+        return pa.table({"src": reps[moved], "dst": reps[root[moved]]})
+
+    return dealt.groupBy("_group", "_one", "_two").applyInArrow(check, f"src {kind}, dst {kind}")
+
+
+def similar_groups(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = SIMILARITY, reach: int = REACH, most: int = MOST
+) -> DataFrame:
+    """(id, component_id): groups of texts whose sets of ``width``-word shingles have a Jaccard likeness of ``similarity`` or more.
+
+    SimHash fingerprints find the candidates: classes within ``reach`` bits form
+    candidate groups through the Gray-order index. Inside them, likeness is
+    exact, over the distinct shingles of whole texts. Equal fingerprints are
+    taken as copies. Pairs beyond ``reach`` are the misses of this operator.
+
+    Edge cases as in ``simhash_groups``.
+    """
+    made = stored(fingerprints(docs, id_col, text_col, WIDTH), "simhash")
+    classes = stored(made.where("_id IS NOT NULL").groupBy("_fp").agg(F.min("_id").alias("_rep")), "simhash-classes")
+    candidates = stored(connected_components(wide_links(classes, reach, most)).select(F.col("node").alias("_rep"), F.col("component").alias("_group")), "candidates")
+    texts = docs.select(F.col(id_col).alias("_rep"), F.col(text_col).cast("string").alias("_text"))
+    hashed = F.transform(words(ascii_lower(F.col("_text"))), lambda w: F.xxhash64(w))
+    sets = bind(hashed, lambda h: F.when(F.size(h) == 0, F.array().cast("array<bigint>")).otherwise(F.array_distinct(_shingles(h, width))))
+    members = candidates.join(texts, "_rep").withColumn("_set", sets).drop("_text").dropDuplicates(["_rep"])
+    components = connected_components(verified_links(members, similarity))
+    labels = classes.join(components, F.col("_rep") == F.col("node"), "left").select(F.col("_fp").alias("_class"), F.coalesce("component", "_rep").alias("component_id"))
+    return made.join(labels, F.col("_fp") == F.col("_class"), "left").select(F.col("_id").alias(id_col), "component_id")
+
+
 def simhash_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, radius: int = RADIUS, most: int = MOST
 ) -> DataFrame:
@@ -331,8 +432,8 @@ def simhash_groups(
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its component, one row an id; rows with a null id stay."""
-    keep = simhash_groups(docs, id_col, text_col, **options).where(F.col(id_col) == F.col("component_id"))
+    """The rows of ``docs`` whose id is the smallest of its group in ``similar_groups``, one row an id; rows with a null id stay."""
+    keep = similar_groups(docs, id_col, text_col, **options).where(F.col(id_col) == F.col("component_id"))
     keep = keep.select(F.col(id_col).alias("_nb_kept")).distinct()
     own = docs.where(F.col(id_col).isNotNull()).join(keep, F.col(id_col) == F.col("_nb_kept"), "left_semi").dropDuplicates([id_col])
     return own.unionByName(docs.where(F.col(id_col).isNull()))

@@ -5,7 +5,7 @@ from nimboscale.llm import quality as q
 from nimboscale.llm.pieces import MODEL, vocabulary
 from nimboscale.session import stored, table
 from tests.llm.test_native import brute_lines, water_fill
-from tests.llm.test_simhash import brute_components, brute_fingerprint
+from tests.llm.test_simhash import brute_similar
 
 SF = "/root/testdata/sf0.01"
 
@@ -38,8 +38,10 @@ def test_stages(spark):
     assert all(r.n_chars == len(r.text) for r in got)
 
     before, after = made[names[2]]
-    groups = brute_components({r.doc_id: brute_fingerprint(r.text) for r in before.collect()})
-    assert {r.doc_id for r in after.collect()} == set(groups.values()) and after.exceptAll(before).count() == 0
+    groups = brute_similar({r.doc_id: r.text for r in before.collect()})
+    kept, every = {r.doc_id for r in after.collect()}, set(groups.values())
+    # Candidates come from fingerprints: what is kept beyond one a group are their misses.
+    assert every <= kept and len(kept) <= 1.01 * len(every) + 2 and after.exceptAll(before).count() == 0
 
     before, after = made[names[3]]
     rows = before.collect()

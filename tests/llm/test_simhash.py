@@ -107,3 +107,84 @@ def test_deep_index_equals_all_pairs():
     other.link(np.arange(cut, len(fps)), half.root + cut)
     sh.search(a, b, cut, 3, other)
     assert [int(x) for x in other.root] == [want[i] for i in range(len(fps))]
+
+
+def shingle_set(text, width=5):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
+
+
+def brute_similar(texts, least=0.8):
+    ids = sorted(texts)
+    sets = {i: shingle_set(texts[i]) for i in ids}
+    root = {i: i for i in ids}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for n, i in enumerate(ids):
+        for j in ids[:n]:
+            a, b = sets[i], sets[j]
+            if len(a & b) >= least * len(a | b):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    return {i: find(i) for i in ids}
+
+
+def edited(rng, words, n):
+    out = list(words)
+    for at in rng.integers(0, len(out), n):
+        out[at] = f"edit{rng.integers(10**6)}"
+    return " ".join(out)
+
+
+@pytest.mark.parametrize("block", [4, 4000])
+def test_similar_groups_are_exact_inside_candidates(spark, block, monkeypatch):
+    rng = np.random.default_rng(8)
+    texts, n = {}, 0
+    for g in range(12):
+        base = [f"w{rng.integers(3000)}" for _ in range(300)]
+        for _ in range(6):
+            texts[n] = edited(rng, base, int(rng.integers(0, 6)))
+            n += 1
+        texts[n] = edited(rng, base, 60)  # related, but far from alike
+        n += 1
+    for _ in range(40):
+        texts[n] = " ".join(f"w{rng.integers(3000)}" for _ in range(200))
+        n += 1
+    monkeypatch.setattr(sh.verified_links, "__defaults__", (0.8, block))
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in sh.similar_groups(df).collect()}
+    want = brute_similar(texts)
+    assert got == want and len(set(want.values())) < n - 40
+
+
+def test_forest_of_sets_equals_all_pairs():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(0, 40))) for _ in range(80)]
+    root = sh._similar_forest(sets, 0.4)
+    texts = {i: set(x.tolist()) for i, x in enumerate(sets)}
+    for i in texts:
+        for j in texts:
+            if len(texts[i] & texts[j]) >= 0.4 * len(texts[i] | texts[j]):
+                assert root[i] == root[j]
+    assert len(set(root.tolist())) > 1
+
+
+def test_wide_links_reach_six_bits(spark):
+    rng = np.random.default_rng(12)
+    fps = set()
+    for centre in rng.integers(0, 2**63, 40, dtype=np.uint64).tolist():
+        for _ in range(6):
+            x = centre
+            for b in rng.choice(64, 6, replace=False):
+                x ^= 1 << int(b)
+            fps |= {centre, x}
+    fps = dict(enumerate(sorted(fps)))
+    df = spark.createDataFrame([(f - (1 << 64) if f >= 1 << 63 else f, i) for i, f in fps.items()], "_fp long, _rep long")
+    from nimboscale.operators.graph import connected_components
+
+    got = {i: i for i in fps} | {r.node: r.component for r in connected_components(sh.wide_links(df, 6)).collect()}
+    assert got == brute_components(fps, 6)
