@@ -37,8 +37,8 @@ from nimboscale.session import stored
 WIDTH = 3
 RADIUS = 3
 MOST = 20_000
-#: Of the search for similar texts: bits of candidates, likeness of links, members of a task.
-REACH, SIMILARITY, BLOCK_ROWS = 9, 0.8, 4000
+#: Of the search for similar texts: bits of candidates, likeness of links, members and shingles of a task.
+REACH, SIMILARITY, BLOCK_ROWS, BLOCK_HASHES = 9, 0.8, 4000, 6_000_000
 FANOUT = 16
 CHUNK = 1 << 18
 
@@ -344,22 +344,23 @@ def _similar_forest(sets: list[np.ndarray], least: float) -> np.ndarray:
             own = word[start[p] : start[p] + size[p]]
             shared = np.bincount(posting[_runs(first[own], count[own])], minlength=n) if len(own) else np.zeros(n, np.int64)
             union = size + size[p] - shared
-            alike = left & (shared >= least * union)
+            alike = left & (shared + 1e-9 >= least * union)
             found = np.flatnonzero(alike)
             root[found], left[found] = seed, False
             todo += found.tolist()
     return root
 
 
-def verified_links(members: DataFrame, least: float = SIMILARITY, block: int = BLOCK_ROWS) -> DataFrame:
+def verified_links(members: DataFrame, least: float = SIMILARITY, block: int = BLOCK_ROWS, hashes: int = BLOCK_HASHES) -> DataFrame:
     """Links (src, dst) between members (_group, _rep, _set) of a group whose sets are alike by ``least``: a spanning forest.
 
-    A group of up to ``block`` members is one task. A larger one is cut into
-    blocks of half as many, and every pair of its blocks is a task, so that no
-    task holds more than ``block`` members and every pair meets in some task.
+    A group of up to ``block`` members with ``hashes`` shingles is one task. A
+    larger one is cut into blocks of about half as many, and every pair of its
+    blocks is a task, so that tasks stay small and every pair meets in some task.
     """
-    sizes = members.groupBy("_group").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    parts = F.when(F.col("_n") <= block, 1).otherwise(F.ceil(F.col("_n") / (block // 2))).cast("int")
+    sizes = members.groupBy("_group").agg(F.count(F.lit(1)).alias("_n"), F.sum(F.size("_set")).alias("_h")).where("_n > 1")
+    share = F.greatest(F.col("_n") / block, F.col("_h") / hashes)
+    parts = F.when(share <= 1, 1).otherwise(F.ceil(2 * share)).cast("int")
     own = F.pmod(F.xxhash64("_rep"), F.col("_parts")).cast("int")
     dealt = members.join(sizes.withColumn("_parts", parts), "_group").withColumn("_own", own)
     dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))

@@ -154,7 +154,7 @@ def test_similar_groups_are_exact_inside_candidates(spark, block, monkeypatch):
     for _ in range(40):
         texts[n] = " ".join(f"w{rng.integers(3000)}" for _ in range(200))
         n += 1
-    monkeypatch.setattr(sh.verified_links, "__defaults__", (0.8, block))
+    monkeypatch.setattr(sh.verified_links, "__defaults__", (0.8, block, 10**6 if block > 10 else 2000))
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in sh.similar_groups(df).collect()}
     want = brute_similar(texts)
