@@ -39,12 +39,14 @@ RADIUS = 3
 MOST = 20_000
 #: Of the search for similar texts: bits of candidates, likeness of links, members and shingles of a task.
 REACH, SIMILARITY, BLOCK_ROWS, BLOCK_HASHES = 9, 0.8, 4000, 6_000_000
+#: Of the prefix join: one text in SAMPLED names the common shingles, at most COMMON of them; members of a shingle in a task, shingles of an array.
+SAMPLED, COMMON, SHARE_ROWS, PIECE = 8, 200_000, 400, 1 << 20
 FANOUT = 16
 CHUNK = 1 << 18
 
 
-def fingerprint(text: str | None, width: int = WIDTH) -> int:
-    """Signed 64-bit SimHash of the shingles of the lower-cased (A-Z) words; 0 without words."""
+def fingerprint(text: str | None, width: int = WIDTH, distinct: bool = False) -> int:
+    """Signed 64-bit SimHash of the shingles of the lower-cased (A-Z) words, each counted once if ``distinct``; 0 without words."""
     words = (text or "").encode("utf-8", "replace").lower().split()
     n = len(words)
     if not n:
@@ -55,6 +57,8 @@ def fingerprint(text: str | None, width: int = WIDTH) -> int:
         shingles = map(b" ".join, zip(*(words[i:] for i in range(width))))
     digest = xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(s, 42) for s in shingles), np.uint64)
+    if distinct:
+        hashes = np.unique(hashes)
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), CHUNK):
         part = hashes[at : at + CHUNK]
@@ -62,13 +66,13 @@ def fingerprint(text: str | None, width: int = WIDTH) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int = WIDTH) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int = WIDTH, distinct: bool = False) -> DataFrame:
     """(_id, _fp) of each row."""
     pairs = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [fingerprint(t.as_py(), width) for t in batch.column(1)]
+            made = [fingerprint(t.as_py(), width, distinct) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.int64())], ["_id", "_fp"])
 
     kind = pairs.schema["_id"].dataType.simpleString()
@@ -380,27 +384,134 @@ def verified_links(members: DataFrame, least: float = SIMILARITY, block: int = B
     return dealt.groupBy("_group", "_one", "_two").applyInArrow(check, f"src {kind}, dst {kind}")
 
 
+def _common_shingles(sets: DataFrame) -> np.ndarray:
+    """Shingles that at least four of a sample of the sets hold, the most frequent first if there are too many.
+
+    Only speed depends on them: the prefix join is exact under any order of the
+    shingles that is the same for all sets.
+    """
+    some = sets.where(F.pmod(F.xxhash64("_rep"), F.lit(SAMPLED)) == 0)
+    counts = some.select(F.explode("_set").alias("_h")).groupBy("_h").agg(F.count(F.lit(1)).alias("_n")).where("_n > 3")
+    top = counts.orderBy(F.desc("_n"), "_h").limit(COMMON).select("_h").toArrow()
+    return np.sort(top.column(0).to_numpy())
+
+
+def _prefixes(common: np.ndarray, least: float):
+    """Task function: rows (_rep, _component, sorted _set) to (_rep, _component, _n, _prefix, _odd).
+
+    ``_prefix`` holds the first shingles of the set, common ones last, of which
+    two alike sets share one or more. ``_odd`` is the parity of the shingles in
+    each of 512 cells, as eight numbers: two sets differ in at least as many
+    shingles as these differ in bits.
+    """
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(2).offsets.to_numpy().astype(np.int64)
+            first = 0
+            while first < batch.num_rows:  # about PIECE shingles, one set at least
+                last = max(first + 1, int(np.searchsorted(at, at[first] + PIECE, "right")) - 1)
+                yield batch.slice(first, last - first)
+                first = last
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            listed = batch.column(2)
+            at = listed.offsets.to_numpy().astype(np.int64)
+            value = listed.values.to_numpy(zero_copy_only=False)[at[0] : at[-1]]
+            at = at - at[0]
+            n = np.diff(at)
+            doc = np.repeat(np.arange(len(n)), n)
+            seat = np.minimum(np.searchsorted(common, value), max(len(common) - 1, 0))
+            late = common[seat] == value if len(common) else np.zeros(len(value), bool)
+            value_in_order = value[np.argsort(2 * doc + late, kind="stable")]
+            keep = np.where(n > 0, n - np.ceil(least * n - 1e-9).astype(np.int64) + 1, 0)
+            first = value_in_order[np.arange(len(value)) - at[doc] < keep[doc]]
+            odd = (np.bincount(doc * 512 + (value & 511), minlength=512 * len(n)) & 1).astype(np.uint8)
+            odd = np.packbits(odd).view(np.int64)
+            ends = np.concatenate([[0], np.cumsum(keep)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    batch.column(1),
+                    pa.array(n, pa.int64()),
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array(first)),
+                    pa.ListArray.from_arrays(pa.array(np.arange(0, len(odd) + 1, 8, dtype=np.int32)), pa.array(odd)),
+                ],
+                ["_rep", "_component", "_n", "_prefix", "_odd"],
+            )
+
+    return run
+
+
+def prefix_links(sets: DataFrame, least: float = SIMILARITY, share: int = SHARE_ROWS) -> DataFrame:
+    """Links (src, dst) between ``_component`` of sets (_rep, _component, sorted _set) alike by ``least``: every pair of different components.
+
+    Two such sets share a shingle among the first n - ceil(least * n) + 1 of
+    each, in any common order. Pairs that meet there within the length and
+    position bounds are thinned by the parity bound, all without loss, and then
+    compared exactly. A shingle of more than ``share`` sets is dealt into parts,
+    and every pair of its parts is a key of its own.
+    """
+    kind = sets.schema["_rep"].dataType.simpleString()
+    made = sets.select("_rep", "_component", "_set").mapInArrow(
+        _prefixes(_common_shingles(sets), least), f"_rep {kind}, _component {kind}, _n long, _prefix array<long>, _odd array<long>"
+    )
+    made = stored(made, "prefixes")
+    rows = made.select("_rep", "_component", F.col("_n").cast("int").alias("_n"), F.posexplode("_prefix").alias("_at", "_h"))
+    held = rows.groupBy("_h").agg(F.count(F.lit(1)).alias("_df"), F.min("_component").alias("_low"), F.max("_component").alias("_high"))
+    held = held.where("_low < _high").select("_h", F.ceil(F.col("_df") / share).cast("int").alias("_parts"))
+    dealt = rows.join(held, "_h").withColumn("_own", F.pmod(F.xxhash64("_rep"), F.col("_parts")).cast("int"))
+    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    dealt = stored(dealt.select("_h", F.least("_own", "_other").alias("_one"), F.greatest("_own", "_other").alias("_two"), "_own", "_rep", "_component", "_n", "_at"), "prefix-rows")
+    a, b = dealt.alias("a"), dealt.alias("b")
+    both = F.col("a._n") + F.col("b._n")
+    need = F.ceil(both * (least / (1 + least)) - 1e-6)
+    can = F.least("a._at", "b._at") + F.least(F.col("a._n") - F.col("a._at"), F.col("b._n") - F.col("b._at"))
+    meet = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in ("_h", "_one", "_two")]
+    # Inside a pair of parts, the pairs of one part would be met again in its pairs with others.
+    own = (F.col("a._one") == F.col("a._two")) | (F.col("a._own") != F.col("b._own"))
+    fits = (F.col("a._rep") < F.col("b._rep")) & (F.col("a._component") != F.col("b._component")) & own
+    pairs = a.join(b, [*meet, fits, can >= need, F.least("a._n", "b._n") >= F.greatest("a._n", "b._n") * least - 1e-6])
+    pairs = pairs.select(F.col("a._rep").alias("_a"), F.col("b._rep").alias("_b")).distinct()
+    brief = lambda tag: made.select(*[F.col(c).alias(f"{c}{tag}") for c in ("_rep", "_component", "_n", "_odd")])
+    pairs = pairs.join(brief("_a"), F.col("_a") == F.col("_rep_a")).join(brief("_b"), F.col("_b") == F.col("_rep_b"))
+    total = F.col("_n_a") + F.col("_n_b")
+    needed = F.ceil(total * (least / (1 + least)) - 1e-6)
+    apart = sum((F.bit_count(F.get("_odd_a", F.lit(i)).bitwiseXOR(F.get("_odd_b", F.lit(i)))) for i in range(8)), F.lit(0))
+    pairs = stored(pairs.where(apart <= total - 2 * needed).select("_a", "_b", "_component_a", "_component_b", "_n_a", "_n_b"), "prefix-pairs")
+    full = lambda tag: sets.select(F.col("_rep").alias(f"_rep{tag}"), F.col("_set").alias(f"_set{tag}"))
+    checked = pairs.join(full("_a"), F.col("_a") == F.col("_rep_a")).join(full("_b"), F.col("_b") == F.col("_rep_b"))
+    shared = F.size(F.array_intersect("_set_a", "_set_b"))
+    alike = shared + 1e-9 >= least * (F.col("_n_a") + F.col("_n_b") - shared)
+    return checked.where(alike).select(F.col("_component_a").alias("src"), F.col("_component_b").alias("dst")).distinct()
+
+
 def similar_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = SIMILARITY, reach: int = REACH, most: int = MOST
 ) -> DataFrame:
     """(id, component_id): groups of texts whose sets of ``width``-word shingles have a Jaccard likeness of ``similarity`` or more.
 
-    SimHash fingerprints find the candidates: classes within ``reach`` bits form
-    candidate groups through the Gray-order index. Inside them, likeness is
-    exact, over the distinct shingles of whole texts. Equal fingerprints are
-    taken as copies. Pairs beyond ``reach`` are the misses of this operator.
+    SimHash fingerprints of distinct shingles find most links cheaply: classes
+    within ``reach`` bits form candidate groups through the Gray-order index,
+    and inside them likeness is exact, over the distinct shingles of whole
+    texts. An exact prefix join then finds the links between the groups so made
+    that the fingerprints miss. Equal fingerprints are taken as copies.
 
     Edge cases as in ``simhash_groups``.
     """
-    made = stored(fingerprints(docs, id_col, text_col, WIDTH), "simhash")
+    made = stored(fingerprints(docs, id_col, text_col, WIDTH, distinct=True), "simhash")
     classes = stored(made.where("_id IS NOT NULL").groupBy("_fp").agg(F.min("_id").alias("_rep")), "simhash-classes")
     candidates = stored(connected_components(wide_links(classes, reach, most)).select(F.col("node").alias("_rep"), F.col("component").alias("_group")), "candidates")
     texts = docs.select(F.col(id_col).alias("_rep"), F.col(text_col).cast("string").alias("_text"))
     hashed = F.transform(words(ascii_lower(F.col("_text"))), lambda w: F.xxhash64(w))
-    sets = bind(hashed, lambda h: F.when(F.size(h) == 0, F.array().cast("array<bigint>")).otherwise(F.array_distinct(_shingles(h, width))))
-    members = candidates.join(texts, "_rep").withColumn("_set", sets).drop("_text").dropDuplicates(["_rep"])
-    components = connected_components(verified_links(members, similarity))
-    labels = classes.join(components, F.col("_rep") == F.col("node"), "left").select(F.col("_fp").alias("_class"), F.coalesce("component", "_rep").alias("component_id"))
+    sets = bind(hashed, lambda h: F.when(F.size(h) == 0, F.array().cast("array<bigint>")).otherwise(F.sort_array(F.array_distinct(_shingles(h, width)))))
+    sets = stored(classes.select("_rep").join(texts, "_rep").withColumn("_set", sets).drop("_text").dropDuplicates(["_rep"]), "shingle-sets")
+    found = connected_components(verified_links(candidates.join(sets, "_rep"), similarity)).select(F.col("node").alias("_rep"), F.col("component").alias("_component"))
+    found = stored(sets.select("_rep").join(found, "_rep", "left").select("_rep", F.coalesce("_component", "_rep").alias("_component")), "similar")
+    more = connected_components(prefix_links(sets.join(found, "_rep"), similarity))
+    components = found.join(more, F.col("_component") == F.col("node"), "left").select("_rep", F.coalesce("component", "_component").alias("component_id"))
+    labels = classes.join(components, "_rep").select(F.col("_fp").alias("_class"), "component_id")
     return made.join(labels, F.col("_fp") == F.col("_class"), "left").select(F.col("_id").alias(id_col), "component_id")
 
 

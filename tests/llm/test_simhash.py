@@ -188,3 +188,24 @@ def test_wide_links_reach_six_bits(spark):
 
     got = {i: i for i in fps} | {r.node: r.component for r in connected_components(sh.wide_links(df, 6)).collect()}
     assert got == brute_components(fps, 6)
+
+
+@pytest.mark.parametrize("share", [3, 400])
+def test_similar_groups_beyond_the_reach_of_fingerprints(spark, share, monkeypatch):
+    rng = np.random.default_rng(21)
+    vocabulary = lambda n: [f"w{i}" for i in rng.integers(0, 3000, n)]
+    passage, texts = vocabulary(40), {}
+    for g in range(60):
+        base = vocabulary(300)
+        # Likeness from 0.75 to 0.9, by a passage appended.
+        texts[3 * g], texts[3 * g + 1] = " ".join(base), " ".join(base + vocabulary(int(rng.integers(33, 99))))
+        texts[3 * g + 2] = " ".join(passage + vocabulary(100))
+    base = " ".join(vocabulary(400))
+    texts |= {1000: base, 1001: base + " -" * 500, 1002: " ".join(vocabulary(4)), 1003: "", 1004: " ", 1005: None}
+    for i in range(8):  # few shingles: five of which four are shared, and pairs just short of that
+        short = vocabulary(9)
+        texts[1010 + 3 * i], texts[1011 + 3 * i], texts[1012 + 3 * i] = " ".join(short), " ".join(short[:8]), " ".join(short[:7])
+    monkeypatch.setattr(sh.prefix_links, "__defaults__", (0.8, share))
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in sh.similar_groups(df).collect()}
+    assert got == brute_similar(texts) and got[1001] == 1000
