@@ -22,6 +22,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -66,19 +67,34 @@ def fingerprint(text: str | None, width: int = WIDTH, distinct: bool = False) ->
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int = WIDTH, distinct: bool = False) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int = WIDTH) -> DataFrame:
     """(_id, _fp) of each row."""
     pairs = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [fingerprint(t.as_py(), width, distinct) for t in batch.column(1)]
+            made = [fingerprint(t.as_py(), width) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.int64())], ["_id", "_fp"])
 
     kind = pairs.schema["_id"].dataType.simpleString()
     return pairs.mapInArrow(run, f"_id {kind}, _fp long")
 
 
+def worded(docs: DataFrame, id_col: str, text_col: str, width: int = WIDTH) -> DataFrame:
+    """(_id, _fp, _digest) of each row: the fingerprint of the distinct shingles, and a digest of the lower-cased words."""
+    pairs = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t.as_py() for t in batch.column(1)]
+            made = [fingerprint(t, width, distinct=True) for t in texts]
+            digests = [hashlib.blake2b(b" ".join((t or "").encode("utf-8", "replace").lower().split()), digest_size=16).digest() for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.int64()), pa.array(digests, pa.binary())], ["_id", "_fp", "_digest"])
+
+    kind = pairs.schema["_id"].dataType.simpleString()
+    return pairs.mapInArrow(run, f"_id {kind}, _fp long, _digest binary")
+
+
 # ---- the index inside a task ------------------------------------------------
 
 
@@ -496,23 +512,27 @@ def similar_groups(
     within ``reach`` bits form candidate groups through the Gray-order index,
     and inside them likeness is exact, over the distinct shingles of whole
     texts. An exact prefix join then finds the links between the groups so made
-    that the fingerprints miss. Equal fingerprints are taken as copies.
+    that the fingerprints miss. Only texts of the same lower-cased words skip the
+    comparison.
 
-    Edge cases as in ``simhash_groups``.
+    Edge cases as in ``simhash_groups``, by equal words instead of fingerprints.
     """
-    made = stored(fingerprints(docs, id_col, text_col, WIDTH, distinct=True), "simhash")
-    classes = stored(made.where("_id IS NOT NULL").groupBy("_fp").agg(F.min("_id").alias("_rep")), "simhash-classes")
-    candidates = stored(connected_components(wide_links(classes, reach, most)).select(F.col("node").alias("_rep"), F.col("component").alias("_group")), "candidates")
+    made = stored(worded(docs, id_col, text_col), "simhash")
+    classes = stored(made.where("_id IS NOT NULL").groupBy("_digest").agg(F.first("_fp").alias("_fp"), F.min("_id").alias("_rep")), "simhash-classes")
+    prints = stored(classes.groupBy("_fp").agg(F.min("_rep").alias("_rep")), "simhash-prints")
+    near = connected_components(wide_links(prints, reach, most))
+    groups = prints.join(near, F.col("_rep") == F.col("node"), "left").select("_fp", F.coalesce("component", "_rep").alias("_group"))
+    candidates = stored(classes.join(groups, "_fp").select("_rep", "_group").distinct(), "candidates")
     texts = docs.select(F.col(id_col).alias("_rep"), F.col(text_col).cast("string").alias("_text"))
     hashed = F.transform(words(ascii_lower(F.col("_text"))), lambda w: F.xxhash64(w))
     sets = bind(hashed, lambda h: F.when(F.size(h) == 0, F.array().cast("array<bigint>")).otherwise(F.sort_array(F.array_distinct(_shingles(h, width)))))
-    sets = stored(classes.select("_rep").join(texts, "_rep").withColumn("_set", sets).drop("_text").dropDuplicates(["_rep"]), "shingle-sets")
+    sets = stored(classes.select("_rep").distinct().join(texts, "_rep").withColumn("_set", sets).drop("_text").dropDuplicates(["_rep"]), "shingle-sets")
     found = connected_components(verified_links(candidates.join(sets, "_rep"), similarity)).select(F.col("node").alias("_rep"), F.col("component").alias("_component"))
     found = stored(sets.select("_rep").join(found, "_rep", "left").select("_rep", F.coalesce("_component", "_rep").alias("_component")), "similar")
     more = connected_components(prefix_links(sets.join(found, "_rep"), similarity))
     components = found.join(more, F.col("_component") == F.col("node"), "left").select("_rep", F.coalesce("component", "_component").alias("component_id"))
-    labels = classes.join(components, "_rep").select(F.col("_fp").alias("_class"), "component_id")
-    return made.join(labels, F.col("_fp") == F.col("_class"), "left").select(F.col("_id").alias(id_col), "component_id")
+    labels = classes.join(components, "_rep").select(F.col("_digest").alias("_class"), "component_id")
+    return made.join(labels, F.col("_digest") == F.col("_class"), "left").select(F.col("_id").alias(id_col), "component_id")
 
 
 def simhash_groups(

@@ -209,3 +209,13 @@ def test_similar_groups_beyond_the_reach_of_fingerprints(spark, share, monkeypat
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in sh.similar_groups(df).collect()}
     assert got == brute_similar(texts) and got[1001] == 1000
+
+
+def test_equal_fingerprints_of_different_texts(spark, monkeypatch):
+    rng = np.random.default_rng(22)
+    texts = {i: " ".join(f"w{k}" for k in rng.integers(0, 3000, 60)) for i in range(12)}
+    texts |= {20: texts[3].upper().replace(" ", "\n"), 21: texts[7] + " end"}  # a copy but for case and space; a near copy of another
+    monkeypatch.setattr(sh, "fingerprint", lambda text, width=3, distinct=False: 5)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in sh.similar_groups(df).collect()}
+    assert got == {i: {20: 3, 21: 7}.get(i, i) for i in texts}
