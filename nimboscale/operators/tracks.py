@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from nimboscale.functions.scalars import bearing_deg, geodesic, haversine_km
@@ -224,33 +226,65 @@ def suspicious(one: DataFrame, least: float, far: float) -> DataFrame:
     ).withColumn("score", F.col("reversals") + 2 * F.col("jumps"))
 
 
-def extreme_members(rows: DataFrame, by: list[str], directions: int = 32) -> DataFrame:
-    """(by..., x, y): the members of a group that lie farthest along each of ``directions`` evenly spread directions.
+def _hull(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Indices of the corners of the convex hull; points that are not finite are kept."""
+    order = np.lexsort((y, x))
+    fine = np.isfinite(x[order]) & np.isfinite(y[order])
+    odd, order = order[~fine], order[fine]
+    new = np.ones(len(order), bool)
+    new[1:] = (np.diff(x[order]) != 0) | (np.diff(y[order]) != 0)
+    order = order[new]
+    px, py, kept = x[order].tolist(), y[order].tolist(), set()
+    for way in (range(len(order)), range(len(order) - 1, -1, -1)):
+        chain: list[int] = []
+        for k in way:
+            while len(chain) > 1:
+                i, j = chain[-2:]
+                if (px[j] - px[i]) * (py[k] - py[i]) - (py[j] - py[i]) * (px[k] - px[i]) > 0:
+                    break
+                chain.pop()
+            chain.append(k)
+        kept |= set(chain)
+    return np.concatenate([order[sorted(kept)], odd]).astype(np.int64)
 
-    Both ends of every direction: two candidates each, whatever the group's
-    size, gathered by map-side combined maxima.
-    """
-    turn = F.explode(F.transform(F.sequence(F.lit(0), F.lit(directions - 1)), lambda i: i * (math.pi / directions)))
-    along = rows.select(*by, "x", "y", turn.alias("_t")).withColumn("_d", F.col("x") * F.cos("_t") + F.col("y") * F.sin("_t"))
-    ends = along.groupBy(*by, "_t").agg(F.max_by(F.struct("x", "y"), "_d").alias("_hi"), F.min_by(F.struct("x", "y"), "_d").alias("_lo"))
-    return ends.select(*by, F.explode(F.array("_hi", "_lo")).alias("_p")).select(*by, "_p.x", "_p.y").distinct()
+
+def _points(part: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    return part.column("x").to_numpy(), part.column("y").to_numpy()
+
+
+def _corners(part: pa.Table) -> pa.Table:
+    return part.take(pa.array(_hull(*_points(part))))
+
+
+def _widest(by: list[str], block: int = 1024):
+    def run(part: pa.Table) -> pa.Table:
+        part = _corners(part)
+        x, y = _points(part)
+        far = [np.hypot(x[i : i + block, None] - x, y[i : i + block, None] - y).max() for i in range(0, len(x), block)]
+        return part.slice(0, 1).select(by).append_column("spread", pa.array([float(np.max(far))]))
+
+    return run
 
 
-def pairwise_spread(rows: DataFrame, by: list[str], small: int = 64) -> DataFrame:
+def pairwise_spread(rows: DataFrame, by: list[str], small: int = 64, part: int = 50_000) -> DataFrame:
     """Largest distance between two members (x, y) of a group; groups of one are left out.
 
-    Groups of up to ``small`` members compare all of them. Larger ones compare
-    the extreme members of 32 directions, which gives the largest distance to
-    within a factor of cos(pi / 64), over 0.998, at any size.
+    Exact at any size. Groups of up to ``small`` members compare all of them.
+    Larger ones are dealt into parts of about ``part`` members; the corners of
+    the parts' convex hulls give the group's hull, whose corners are compared.
     """
     n = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
     few = rows.join(n.where(F.col("_n") <= small).drop("_n"), by, "left_semi").select(*by, "x", "y")
-    many = extreme_members(rows.join(n.where(F.col("_n") > small).drop("_n"), by, "left_semi"), by)
-    members = few.unionByName(many)
-    pts = F.collect_list(F.struct("x", "y"))
-    # At most max(small, 64) points a group.
+    # At most ``small`` points a group.
     far = F.transform(F.col("_m"), lambda a: F.array_max(F.transform(F.col("_m"), lambda b: F.hypot(a["x"] - b["x"], a["y"] - b["y"]))))
-    return members.groupBy(*by).agg(pts.alias("_m")).withColumn("spread", F.array_max(far)).join(n.where("_n > 1"), by).select(*by, F.col("_n").alias("members"), "spread")
+    few = few.groupBy(*by).agg(F.collect_list(F.struct("x", "y")).alias("_m")).select(*by, F.array_max(far).alias("spread"))
+    many = rows.join(n.where(F.col("_n") > small), by).where("x IS NOT NULL AND y IS NOT NULL")
+    many = many.select(*by, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.expr(f"cast(pmod(xxhash64(x, y), ceil(_n / {part})) AS int)").alias("_part"))
+    corners = many.groupBy(*by, "_part").applyInArrow(_corners, many.schema)
+    keys = [f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in by]
+    wide = corners.groupBy(*by).applyInArrow(_widest(by), ", ".join([*keys, "spread double"]))
+    known = n.where("_n > 1").where(" AND ".join(f"`{k}` IS NOT NULL" for k in by))
+    return known.join(few.unionByName(wide), by, "left").select(*by, F.col("_n").alias("members"), "spread")
 
 
 def object_forecasts(pos: DataFrame, leads: list[int], window: int = 2) -> DataFrame:

@@ -384,6 +384,19 @@ def test_pairwise_spread_of_large_groups(spark):
     assert 0.998 * true <= T.pairwise_spread(df, ["g"]).first().spread <= true + 1e-9
 
 
+@pytest.mark.parametrize("part", [40, 50_000])
+def test_pairwise_spread_is_exact_at_any_size(spark, part):
+    rng = np.random.default_rng(16)
+    turn = rng.uniform(0, 2 * math.pi, 1500)
+    sets = {0: 4000 * np.stack([np.cos(turn), np.sin(turn)], 1), 1: rng.uniform(0, 3000, (65, 2)), 2: rng.integers(0, 9, (300, 2)) * [1.0, 0.0], 3: np.ones((70, 2))}
+    sets |= {4 + k: rng.normal(size=(90, 2)) * 1000 for k in range(8)} | {20: rng.normal(size=(5, 2))}
+    df = spark.createDataFrame([(g, float(a), float(b)) for g, p in sets.items() for a, b in p], "g int, x double, y double")
+    got = {r.g: (r.members, r.spread) for r in T.pairwise_spread(df, ["g"], part=part).collect()}
+    want = {g: np.hypot(p[:, None, 0] - p[:, 0], p[:, None, 1] - p[:, 1]).max() for g, p in sets.items()}
+    assert {g: m for g, (m, _) in got.items()} == {g: len(p) for g, p in sets.items()}
+    assert all(abs(got[g][1] - want[g]) <= 1e-9 for g in sets)
+
+
 def test_io_round_trips(spark, tmp_path):
     px = grid(spark, [[[1.004, np.nan], [3.0, 250.0]]]).withColumn("event", F.lit("e"))
     io.write_cube(px, f"file://{tmp_path}/cube", ["event", "frame"])
