@@ -413,7 +413,7 @@ def _common_shingles(sets: DataFrame) -> np.ndarray:
 
 
 def _prefixes(common: np.ndarray, least: float):
-    """Task function: rows (_rep, _component, sorted _set) to (_rep, _component, _n, _prefix, _odd).
+    """Task function: rows (_rep, sorted _set) to (_rep, _n, _prefix, _odd).
 
     ``_prefix`` holds the first shingles of the set, common ones last, of which
     two alike sets share one or more. ``_odd`` is the parity of the shingles in
@@ -423,7 +423,7 @@ def _prefixes(common: np.ndarray, least: float):
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.column(2).offsets.to_numpy().astype(np.int64)
+            at = batch.column(1).offsets.to_numpy().astype(np.int64)
             first = 0
             while first < batch.num_rows:  # about PIECE shingles, one set at least
                 last = max(first + 1, int(np.searchsorted(at, at[first] + PIECE, "right")) - 1)
@@ -432,7 +432,7 @@ def _prefixes(common: np.ndarray, least: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            listed = batch.column(2)
+            listed = batch.column(1)
             at = listed.offsets.to_numpy().astype(np.int64)
             value = listed.values.to_numpy(zero_copy_only=False)[at[0] : at[-1]]
             at = at - at[0]
@@ -449,19 +449,18 @@ def _prefixes(common: np.ndarray, least: float):
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
-                    batch.column(1),
                     pa.array(n, pa.int64()),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(first)),
                     pa.ListArray.from_arrays(pa.array(np.arange(0, len(odd) + 1, 8, dtype=np.int32)), pa.array(odd)),
                 ],
-                ["_rep", "_component", "_n", "_prefix", "_odd"],
+                ["_rep", "_n", "_prefix", "_odd"],
             )
 
     return run
 
 
-def prefix_links(sets: DataFrame, least: float = SIMILARITY, share: int = SHARE_ROWS) -> DataFrame:
-    """Links (src, dst) between ``_component`` of sets (_rep, _component, sorted _set) alike by ``least``: every pair of different components.
+def prefix_links(sets: DataFrame, found: DataFrame, least: float = SIMILARITY, share: int = SHARE_ROWS) -> DataFrame:
+    """Links (src, dst) between ``_component`` of sets (_rep, sorted _set) alike by ``least``: every pair of different components of ``found`` (_rep, _component).
 
     Two such sets share a shingle among the first n - ceil(least * n) + 1 of
     each, in any common order. Pairs that meet there within the length and
@@ -470,10 +469,9 @@ def prefix_links(sets: DataFrame, least: float = SIMILARITY, share: int = SHARE_
     and every pair of its parts is a key of its own.
     """
     kind = sets.schema["_rep"].dataType.simpleString()
-    made = sets.select("_rep", "_component", "_set").mapInArrow(
-        _prefixes(_common_shingles(sets), least), f"_rep {kind}, _component {kind}, _n long, _prefix array<long>, _odd array<long>"
-    )
-    made = stored(made, "prefixes")
+    made = sets.select("_rep", "_set").mapInArrow(_prefixes(_common_shingles(sets), least), f"_rep {kind}, _n long, _prefix array<long>, _odd array<long>")
+    # Only prefixes are joined with components, not the sets.
+    made = stored(made.join(found, "_rep"), "prefixes")
     rows = made.select("_rep", "_component", F.col("_n").cast("int").alias("_n"), F.posexplode("_prefix").alias("_at", "_h"))
     held = rows.groupBy("_h").agg(F.count(F.lit(1)).alias("_df"), F.min("_component").alias("_low"), F.max("_component").alias("_high"))
     held = held.where("_low < _high").select("_h", F.ceil(F.col("_df") / share).cast("int").alias("_parts"))
@@ -529,7 +527,7 @@ def similar_groups(
     sets = stored(classes.select("_rep").distinct().join(texts, "_rep").withColumn("_set", sets).drop("_text").dropDuplicates(["_rep"]), "shingle-sets")
     found = connected_components(verified_links(candidates.join(sets, "_rep"), similarity)).select(F.col("node").alias("_rep"), F.col("component").alias("_component"))
     found = stored(sets.select("_rep").join(found, "_rep", "left").select("_rep", F.coalesce("_component", "_rep").alias("_component")), "similar")
-    more = connected_components(prefix_links(sets.join(found, "_rep"), similarity))
+    more = connected_components(prefix_links(sets, found, similarity))
     components = found.join(more, F.col("_component") == F.col("node"), "left").select("_rep", F.coalesce("component", "_component").alias("component_id"))
     labels = classes.join(components, "_rep").select(F.col("_digest").alias("_class"), "component_id")
     return made.join(labels, F.col("_digest") == F.col("_class"), "left").select(F.col("_id").alias(id_col), "component_id")
