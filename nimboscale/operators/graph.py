@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from nimboscale.session import stored
+from nimboscale.session import discard, stored
 
 
 def _smallest(edges: DataFrame) -> DataFrame:
@@ -35,9 +35,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     run out, which needs far longer chains than 2**max_rounds / 2.
     """
     given = edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull())
-    given = given.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).distinct()
+    given = stored(given.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).distinct(), "edges")
     loops = given.where("u = v").select(F.col("u").alias("node"), F.col("u").alias("component"))
-    now = stored(given.where("u > v"), "components")
+    now, rounds = given.where("u > v"), []
 
     def state(df: DataFrame):
         return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -47,6 +47,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         if seen[0] == 0:
             break
         now = stored(_small_star(_large_star(now)), "components")
+        discard(*rounds)
+        rounds = [now]
         after = state(now)
         if after == seen:
             break

@@ -11,6 +11,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.functions import broadcast
 
 
 def get_session(app: str = "nimboscale", master: str | None = None, **conf: str) -> SparkSession:
@@ -82,7 +83,22 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = new_shared_path(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._nimboscale_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove the files of what ``stored`` returned, once tables written later hold all that is needed of them."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df._nimboscale_path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def gathered(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """``df``, marked for broadcast if it has at most ``rows`` rows; a larger one is left to a shuffled join. For narrow, stored tables."""
+    return broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
