@@ -17,7 +17,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, functions as F
 
 from nimboscale.llm.text import bind, without, words
-from nimboscale.session import stored
+from nimboscale.session import gathered, stored
 
 #: At most about this many labelled rows, chosen by a hash of the id, train the ensemble.
 MAX_TRAIN = 40_000
@@ -162,6 +162,19 @@ def held_out(id_col: Column, parts: int, part: int = 0) -> Column:
     return F.coalesce(F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(parts)) == part, F.lit(False))
 
 
+def trained(docs: DataFrame, labels: DataFrame, label_col: str, max_train: int) -> RuleEnsemble:
+    """The ensemble for rows (_id, _nb_text) of ``docs``, fitted on about ``max_train`` labelled rows at most, chosen by a hash of the id."""
+    own = labels.groupBy("_labelled").agg(F.max(label_col).alias("label")).where("label IS NOT NULL")
+    both = docs.select("_id").join(own, F.col("_id") == F.col("_labelled"))
+    n = both.count()
+    if n > max_train:
+        own = own.where(F.pmod(F.xxhash64("_labelled"), F.lit(1 << 20)) < int(max_train / n * (1 << 20)))
+    # Only texts of the chosen ids are measured.
+    chosen = stored(own.join(both.select("_labelled").distinct(), "_labelled", "left_semi"), "quality-chosen")
+    train = docs.join(gathered(chosen), F.col("_id") == F.col("_labelled"))
+    return fit_rules(stored(with_statistics(train, "_nb_text").select(*STATISTICS, "label"), "quality-train"))
+
+
 def score_quality(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.3,
     max_train: int = MAX_TRAIN,
@@ -176,19 +189,18 @@ def score_quality(
     Without usable labels all scores are one constant.
     """
     narrow = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_nb_text"))
-    stats = stored(with_statistics(narrow, "_nb_text").drop("_nb_text"), "quality-statistics")
-    own = labels.where(~held_out(F.col(id_col), 5)).groupBy(F.col(id_col).alias("_labelled")).agg(F.max(label_col).alias("label"))
-    train = stats.join(own.where("label IS NOT NULL"), F.col("_id") == F.col("_labelled"))
-    n = train.count()
-    if n > max_train:
-        train = train.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) < int(max_train / n * (1 << 20)))
-    model = fit_rules(stored(train, "quality-train"))
-    scored = stats.select(F.col("_id").alias(id_col), held_out(F.col("_id"), 5).alias("held_out"), model.score().alias("score"))
+    model = trained(narrow, labels.where(~held_out(F.col(id_col), 5)).select(F.col(id_col).alias("_labelled"), label_col), label_col, max_train)
+    scored = with_statistics(narrow, "_nb_text").select(F.col("_id").alias(id_col), held_out(F.col("_id"), 5).alias("held_out"), model.score().alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int")), model
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` that score at least ``threshold``, judged by their own text; columns unchanged."""
+    """The rows of ``docs`` that score at least ``threshold``, judged by their own text; columns unchanged.
+
+    Edge cases as in ``score_quality``; rows are judged one by one, so repeated
+    rows and rows with null ids stay or go by their texts. An empty table gives
+    an empty table.
+    """
     _, model = score_quality(docs, labels, id_col, text_col, label_col, threshold)
     test = with_statistics(docs.select(F.struct(*docs.columns).alias("_nb_row"), F.col(text_col).cast("string").alias("_nb_text")), "_nb_text")
     return test.where(model.score() >= threshold).select("_nb_row.*")

@@ -24,30 +24,40 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from nimboscale.llm.fingerprints import _shingles
-from nimboscale.llm.text import ascii_lower, bind, words
 from nimboscale.operators.graph import connected_components
-from nimboscale.session import stored
+from nimboscale.session import discard, gathered, stored
 
 WIDTH = 3
 RADIUS = 3
 MOST = 20_000
-#: Of the search for similar texts: bits of candidates, likeness of links, members and shingles of a task.
-REACH, SIMILARITY, BLOCK_ROWS, BLOCK_HASHES = 9, 0.8, 4000, 6_000_000
-#: Of the prefix join: one text in SAMPLED names the common shingles, at most COMMON of them; members of a shingle in a task, shingles of an array.
-SAMPLED, COMMON, SHARE_ROWS, PIECE = 8, 200_000, 400, 1 << 20
+#: Members of a top node, as expected of random fingerprints, up to which short keys do.
+NODE = 2000
+#: Of the search for similar texts: words of a shingle, bits of candidates, likeness of links, members and shingles of a task.
+SIMILAR_WIDTH, REACH, SIMILARITY, BLOCK_ROWS, BLOCK_HASHES = 5, 9, 0.8, 4000, 6_000_000
+#: Of the prefix join: one text in SAMPLED names the common shingles, at most COMMON of them; members of a shingle in a task; shingles and distinct words held at once.
+SAMPLED, COMMON, SHARE_ROWS, PIECE, KNOWN_WORDS = 16, 200_000, 400, 1 << 19, 1 << 19
 FANOUT = 16
 CHUNK = 1 << 18
 
 
-def fingerprint(text: str | None, width: int = WIDTH, distinct: bool = False) -> int:
-    """Signed 64-bit SimHash of the shingles of the lower-cased (A-Z) words, each counted once if ``distinct``; 0 without words."""
+def majority(hashes: np.ndarray) -> np.int64:
+    """SimHash: each bit that over half of the hashes (uint64) have; 0 for none."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), CHUNK):
+        part = hashes[at : at + CHUNK]
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0]
+
+
+def fingerprint(text: str | None, width: int = WIDTH) -> int:
+    """Signed 64-bit SimHash of the shingles, repeats included, of the lower-cased (A-Z) words; 0 without words."""
     words = (text or "").encode("utf-8", "replace").lower().split()
     n = len(words)
     if not n:
@@ -57,14 +67,7 @@ def fingerprint(text: str | None, width: int = WIDTH, distinct: bool = False) ->
     else:
         shingles = map(b" ".join, zip(*(words[i:] for i in range(width))))
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(s, 42) for s in shingles), np.uint64)
-    if distinct:
-        hashes = np.unique(hashes)
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), CHUNK):
-        part = hashes[at : at + CHUNK]
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
+    return int(majority(np.fromiter((digest(s, 42) for s in shingles), np.uint64)))
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int = WIDTH) -> DataFrame:
@@ -80,19 +83,33 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int = WIDTH
     return pairs.mapInArrow(run, f"_id {kind}, _fp long")
 
 
-def worded(docs: DataFrame, id_col: str, text_col: str, width: int = WIDTH) -> DataFrame:
-    """(_id, _fp, _digest) of each row: the fingerprint of the distinct shingles, and a digest of the lower-cased words."""
-    pairs = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
+class WordHashes(dict):
+    """XXH64 of words, each computed once."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t.as_py() for t in batch.column(1)]
-            made = [fingerprint(t, width, distinct=True) for t in texts]
-            digests = [hashlib.blake2b(b" ".join((t or "").encode("utf-8", "replace").lower().split()), digest_size=16).digest() for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.int64()), pa.array(digests, pa.binary())], ["_id", "_fp", "_digest"])
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > KNOWN_WORDS:
+            self.clear()
+        value = self[word] = xxhash.xxh64_intdigest(word, 42)
+        return value
+
+
+def lowered_words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "replace").lower().split()
 
-    kind = pairs.schema["_id"].dataType.simpleString()
-    return pairs.mapInArrow(run, f"_id {kind}, _fp long, _digest binary")
+
+def shingle_set(words: list[bytes], known: WordHashes, width: int) -> np.ndarray:
+    """Sorted distinct hashes (uint64) of the shingles of ``width`` words; shorter texts have one, the whole sequence, or none."""
+    n = len(words)
+    if not n:
+        return np.zeros(0, np.uint64)
+    own = np.fromiter(map(known.__getitem__, words), np.uint64, n)
+    m = max(1, n - width + 1)
+    h = np.zeros(m, np.uint64)
+    for j in range(min(width, n)):
+        # Rotations between odd factors: the order of the words counts.
+        h = (((h << np.uint64(23)) | (h >> np.uint64(41))) + own[j : j + m]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return np.unique(h)
 
 
 # ---- the index inside a task ------------------------------------------------
@@ -260,7 +277,7 @@ def _split_units(units: DataFrame, most: int, radius: int) -> DataFrame:
     key = ["_band", "_depth", "_a", "_b"]
     done: DataFrame | None = None
     while True:
-        counts = units.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where((F.col("_n") > most) & (F.col("_depth") < 64))
+        counts = units.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where((F.col("_n") > most) & (F.col("_depth") <= 56))
         large = stored(counts.drop("_n"), "hot-nodes")
         if large.isEmpty():
             return units if done is None else done.unionByName(units)
@@ -311,28 +328,54 @@ def _indexed(entries: DataFrame, width: int, radius: int, most: int) -> DataFram
     )
 
 
-def near_links(classes: DataFrame, radius: int = RADIUS, most: int = MOST) -> DataFrame:
-    """Links (src, dst) between ``_rep`` of classes (_fp, _rep) that connect whatever lies within ``radius`` bits."""
-    bands = radius + 1
-    width = 64 // bands
-    rotations = F.array(*[F.lit(r * width) for r in range(bands)])
-    rotated = F.expr("shiftleft(_fp, _band) | if(_band = 0, 0L, shiftrightunsigned(_fp, 64 - _band))")
-    entries = classes.select("_fp", "_rep", F.explode(rotations).alias("_band")).withColumn("_rotated", rotated)
+def key_bands(n: int, plans: tuple[tuple[int, int], ...], most: int = NODE) -> tuple[int, int]:
+    """The first (bands, bands of a key) of ``plans`` whose top nodes hold at most ``most`` of ``n`` random fingerprints; else the last."""
+    return next(((b, k) for b, k in plans if n <= most << (64 * k // b)), plans[-1])
+
+
+def band_links(classes: DataFrame, radius: int, bands: int, kept: int, most: int = MOST) -> DataFrame:
+    """Links (src, dst) between ``_rep`` of classes (_fp, _rep) within ``radius`` bits that agree in ``kept`` of ``bands`` bands.
+
+    A class enters the index once for each choice of ``kept`` bands, with those
+    bits first. Up to bands - kept differing bits leave such a choice alike, so
+    nothing within that many bits is missed.
+    """
+    cuts = [64 * i // bands for i in range(bands + 1)]
+    tables = list(combinations(range(bands), kept))
+    width = min(cuts[b + 1] - cuts[b] for b in range(bands)) * kept
+
+    def rotated(chosen: tuple[int, ...]) -> Column:
+        """Bits of the chosen bands, cut to the same number for every table, then the others."""
+        out = F.lit(0).cast("long")
+        order = [*chosen, *(b for b in range(bands) if b not in chosen)]
+        for b in order:
+            size = cuts[b + 1] - cuts[b]
+            out = F.shiftleft(out, size).bitwiseOR(F.shiftrightunsigned("_fp", cuts[b]).bitwiseAND(F.lit((1 << size) - 1)))
+        return out
+
+    turned = F.array(*[rotated(t) for t in tables])
+    entries = classes.select("_fp", "_rep", F.posexplode(turned).alias("_band", "_rotated"))
     return _indexed(entries, width, radius, most)
 
 
-def wide_links(classes: DataFrame, radius: int = REACH, most: int = MOST) -> DataFrame:
-    """Links within ``radius`` bits between classes that agree in two of eight bands.
+def near_links(classes: DataFrame, radius: int = RADIUS, most: int = MOST, n: int | None = None) -> DataFrame:
+    """Links (src, dst) between ``_rep`` of classes (_fp, _rep) that connect whatever lies within ``radius`` bits.
+
+    With ``n``, the number of classes, keys grow with it: one of radius + 1
+    bands, two of radius + 2, three of radius + 3. Nodes stay small, so few are
+    ever split, and what is found is the same.
+    """
+    plans = tuple((radius + k, k) for k in (1, 2, 3))
+    return band_links(classes, radius, *key_bands(n or 0, plans), most)
+
+
+def wide_links(classes: DataFrame, radius: int = REACH, most: int = MOST, n: int | None = None) -> DataFrame:
+    """Links within ``radius`` bits between classes that agree in two of eight bands (28 keys of 16 bits); of five, where there are too many (ten of 24).
 
-    Up to six differing bits always leave two bands alike; beyond that a pair
-    may be missed. Two bands of eight bits keep the top nodes as small as one of
-    sixteen does in ``near_links``, for any of the 28 pairs of bands.
+    Up to six (three) differing bits always leave two bands alike; beyond that a
+    pair may be missed, and is left to the prefix join.
     """
-    orders = [[i, j, *(k for k in range(8) if k not in (i, j))] for i in range(8) for j in range(i + 1, 8)]
-    turns = F.array(*[F.array(*[F.lit(k) for k in order]) for order in orders])
-    entries = classes.select("_fp", "_rep", F.posexplode(turns).alias("_band", "_order"))
-    rotated = F.expr("aggregate(sequence(0, 7), 0L, (bits, k) -> shiftleft(bits, 8) | (shiftrightunsigned(_fp, 8 * _order[k]) & 255L))")
-    return _indexed(entries.withColumn("_rotated", rotated).drop("_order"), 16, radius, most)
+    return band_links(classes, radius, *key_bands(n or 0, ((8, 2), (5, 2))), most)
 
 
 # ---- exact check of candidate groups ----------------------------------------
@@ -400,84 +443,96 @@ def verified_links(members: DataFrame, least: float = SIMILARITY, block: int = B
     return dealt.groupBy("_group", "_one", "_two").applyInArrow(check, f"src {kind}, dst {kind}")
 
 
-def _common_shingles(sets: DataFrame) -> np.ndarray:
-    """Shingles that at least four of a sample of the sets hold, the most frequent first if there are too many.
+def _common_shingles(docs: DataFrame, width: int) -> np.ndarray:
+    """Shingles (uint64) that more than two of a sample of the texts hold, the most frequent if there are too many.
 
     Only speed depends on them: the prefix join is exact under any order of the
     shingles that is the same for all sets.
     """
-    some = sets.where(F.pmod(F.xxhash64("_rep"), F.lit(SAMPLED)) == 0)
-    counts = some.select(F.explode("_set").alias("_h")).groupBy("_h").agg(F.count(F.lit(1)).alias("_n")).where("_n > 3")
+    some = docs.where(F.pmod(F.xxhash64("_raw"), F.lit(SAMPLED)) == 0).select("_text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
+        for batch in batches:
+            for text in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(lowered_words(text.as_py()), known, width).view(np.int64))], ["_h"])
+
+    counts = some.mapInArrow(run, "_h long").groupBy("_h").agg(F.count(F.lit(1)).alias("_n")).where("_n > 2")
     top = counts.orderBy(F.desc("_n"), "_h").limit(COMMON).select("_h").toArrow()
-    return np.sort(top.column(0).to_numpy())
+    return np.sort(top.column(0).to_numpy().view(np.uint64))
 
 
-def _prefixes(common: np.ndarray, least: float):
-    """Task function: rows (_rep, sorted _set) to (_rep, _n, _prefix, _odd).
+def _described(sets: list[np.ndarray], common: np.ndarray, least: float) -> list[pa.Array]:
+    """Of some sorted sets: sizes, prefixes and parities.
 
-    ``_prefix`` holds the first shingles of the set, common ones last, of which
-    two alike sets share one or more. ``_odd`` is the parity of the shingles in
-    each of 512 cells, as eight numbers: two sets differ in at least as many
-    shingles as these differ in bits.
+    The prefix holds the first shingles of the set, common ones last, of which
+    two alike sets share one or more. The parity is that of the shingles in each
+    of 512 cells, as eight numbers: two sets differ in at least as many shingles
+    as these differ in bits.
     """
-
-    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.column(1).offsets.to_numpy().astype(np.int64)
-            first = 0
-            while first < batch.num_rows:  # about PIECE shingles, one set at least
-                last = max(first + 1, int(np.searchsorted(at, at[first] + PIECE, "right")) - 1)
-                yield batch.slice(first, last - first)
-                first = last
+    n = np.array([len(x) for x in sets])
+    at = np.concatenate([[0], np.cumsum(n)])
+    value = np.concatenate(sets)
+    doc = np.repeat(np.arange(len(n)), n)
+    seat = np.minimum(np.searchsorted(common, value), max(len(common) - 1, 0))
+    late = common[seat] == value if len(common) else np.zeros(len(value), bool)
+    in_order = value[np.argsort(2 * doc + late, kind="stable")]
+    keep = np.where(n > 0, n - np.ceil(least * n - 1e-9).astype(np.int64) + 1, 0)
+    first = in_order[np.arange(len(value)) - at[doc] < keep[doc]]
+    odd = (np.bincount(doc * 512 + (value & np.uint64(511)).astype(np.int64), minlength=512 * len(n)) & 1).astype(np.uint8)
+    odd = np.packbits(odd).view(np.int64)
+    ends = np.concatenate([[0], np.cumsum(keep)]).astype(np.int32)
+    return [
+        pa.array(n, pa.int64()),
+        pa.ListArray.from_arrays(pa.array(ends), pa.array(first.view(np.int64))),
+        pa.ListArray.from_arrays(pa.array(np.arange(0, len(odd) + 1, 8, dtype=np.int32)), pa.array(odd)),
+    ]
+
+
+def _portions(batches: Iterator[pa.RecordBatch], text: int, width: int) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]], list[np.ndarray]]]:
+    """Slices of the batches of about PIECE shingles, one row at least, with each row's words and shingle set."""
+    known = WordHashes()
+    for batch in batches:
+        first, words, sets, held = 0, [], [], 0
+        for i, value in enumerate(batch.column(text)):
+            words.append(lowered_words(value.as_py()))
+            sets.append(shingle_set(words[-1], known, width))
+            held += len(words[-1])
+            if held >= PIECE or i == batch.num_rows - 1:
+                yield batch.slice(first, i + 1 - first), words, sets
+                first, words, sets, held = i + 1, [], [], 0
+
+
+def _worded(docs: DataFrame, common: np.ndarray, width: int, least: float) -> DataFrame:
+    """(_id, _raw, _digest, _fp, _n, _prefix, _odd) of rows (_id, _raw, _text): digest of the words, fingerprint of the distinct shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
-            listed = batch.column(1)
-            at = listed.offsets.to_numpy().astype(np.int64)
-            value = listed.values.to_numpy(zero_copy_only=False)[at[0] : at[-1]]
-            at = at - at[0]
-            n = np.diff(at)
-            doc = np.repeat(np.arange(len(n)), n)
-            seat = np.minimum(np.searchsorted(common, value), max(len(common) - 1, 0))
-            late = common[seat] == value if len(common) else np.zeros(len(value), bool)
-            value_in_order = value[np.argsort(2 * doc + late, kind="stable")]
-            keep = np.where(n > 0, n - np.ceil(least * n - 1e-9).astype(np.int64) + 1, 0)
-            first = value_in_order[np.arange(len(value)) - at[doc] < keep[doc]]
-            odd = (np.bincount(doc * 512 + (value & 511), minlength=512 * len(n)) & 1).astype(np.uint8)
-            odd = np.packbits(odd).view(np.int64)
-            ends = np.concatenate([[0], np.cumsum(keep)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array(n, pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(first)),
-                    pa.ListArray.from_arrays(pa.array(np.arange(0, len(odd) + 1, 8, dtype=np.int32)), pa.array(odd)),
-                ],
-                ["_rep", "_n", "_prefix", "_odd"],
-            )
+        for batch, words, sets in _portions(batches, 2, width):
+            digests = [hashlib.blake2b(b" ".join(w), digest_size=16).digest() for w in words]
+            fps = np.array([majority(x) for x in sets], np.int64)
+            columns = [batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(fps), *_described(sets, common, least)]
+            yield pa.RecordBatch.from_arrays(columns, ["_id", "_raw", "_digest", "_fp", "_n", "_prefix", "_odd"])
 
-    return run
+    kind = docs.schema["_id"].dataType.simpleString()
+    return docs.mapInArrow(run, f"_id {kind}, _raw binary, _digest binary, _fp long, _n long, _prefix array<long>, _odd array<long>")
 
 
-def prefix_links(sets: DataFrame, found: DataFrame, least: float = SIMILARITY, share: int = SHARE_ROWS) -> DataFrame:
-    """Links (src, dst) between ``_component`` of sets (_rep, sorted _set) alike by ``least``: every pair of different components of ``found`` (_rep, _component).
+def prefix_pairs(classes: DataFrame, groups: DataFrame, least: float = SIMILARITY, share: int = SHARE_ROWS) -> DataFrame:
+    """Pairs (_a, _b, _n_a, _n_b) of classes (_class, _n, _prefix, _odd) in different ``groups`` (_class, _group) that may be alike: no pair alike by ``least`` is missing.
 
     Two such sets share a shingle among the first n - ceil(least * n) + 1 of
     each, in any common order. Pairs that meet there within the length and
-    position bounds are thinned by the parity bound, all without loss, and then
-    compared exactly. A shingle of more than ``share`` sets is dealt into parts,
-    and every pair of its parts is a key of its own.
+    position bounds are thinned by the parity bound, all without loss. A shingle
+    of more than ``share`` sets is dealt into parts, and every pair of its parts
+    is a key of its own. Only shingles that meet in two groups are joined.
     """
-    kind = sets.schema["_rep"].dataType.simpleString()
-    made = sets.select("_rep", "_set").mapInArrow(_prefixes(_common_shingles(sets), least), f"_rep {kind}, _n long, _prefix array<long>, _odd array<long>")
-    # Only prefixes are joined with components, not the sets.
-    made = stored(made.join(found, "_rep"), "prefixes")
-    rows = made.select("_rep", "_component", F.col("_n").cast("int").alias("_n"), F.posexplode("_prefix").alias("_at", "_h"))
-    held = rows.groupBy("_h").agg(F.count(F.lit(1)).alias("_df"), F.min("_component").alias("_low"), F.max("_component").alias("_high"))
-    held = held.where("_low < _high").select("_h", F.ceil(F.col("_df") / share).cast("int").alias("_parts"))
-    dealt = rows.join(held, "_h").withColumn("_own", F.pmod(F.xxhash64("_rep"), F.col("_parts")).cast("int"))
+    rows = classes.join(gathered(groups), "_class").select("_class", "_group", F.col("_n").cast("int").alias("_n"), F.posexplode("_prefix").alias("_at", "_h"))
+    held = rows.groupBy("_h").agg(F.count(F.lit(1)).alias("_df"), F.min("_group").alias("_low"), F.max("_group").alias("_high"))
+    held = stored(held.where("_low < _high").select("_h", F.ceil(F.col("_df") / share).cast("int").alias("_parts")), "shared-shingles")
+    dealt = rows.join(gathered(held), "_h").withColumn("_own", F.pmod(F.xxhash64("_class"), F.col("_parts")).cast("int"))
     dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-    dealt = stored(dealt.select("_h", F.least("_own", "_other").alias("_one"), F.greatest("_own", "_other").alias("_two"), "_own", "_rep", "_component", "_n", "_at"), "prefix-rows")
+    dealt = stored(dealt.select("_h", F.least("_own", "_other").alias("_one"), F.greatest("_own", "_other").alias("_two"), "_own", "_class", "_group", "_n", "_at"), "prefix-rows")
+    discard(held)
     a, b = dealt.alias("a"), dealt.alias("b")
     both = F.col("a._n") + F.col("b._n")
     need = F.ceil(both * (least / (1 + least)) - 1e-6)
@@ -485,52 +540,95 @@ def prefix_links(sets: DataFrame, found: DataFrame, least: float = SIMILARITY, s
     meet = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in ("_h", "_one", "_two")]
     # Inside a pair of parts, the pairs of one part would be met again in its pairs with others.
     own = (F.col("a._one") == F.col("a._two")) | (F.col("a._own") != F.col("b._own"))
-    fits = (F.col("a._rep") < F.col("b._rep")) & (F.col("a._component") != F.col("b._component")) & own
+    fits = (F.col("a._class") < F.col("b._class")) & (F.col("a._group") != F.col("b._group")) & own
     pairs = a.join(b, [*meet, fits, can >= need, F.least("a._n", "b._n") >= F.greatest("a._n", "b._n") * least - 1e-6])
-    pairs = pairs.select(F.col("a._rep").alias("_a"), F.col("b._rep").alias("_b")).distinct()
-    brief = lambda tag: made.select(*[F.col(c).alias(f"{c}{tag}") for c in ("_rep", "_component", "_n", "_odd")])
-    pairs = pairs.join(brief("_a"), F.col("_a") == F.col("_rep_a")).join(brief("_b"), F.col("_b") == F.col("_rep_b"))
+    pairs = pairs.select(F.col("a._class").alias("_a"), F.col("b._class").alias("_b")).distinct()
+    brief = lambda tag: classes.select(*[F.col(c).alias(f"{c}{tag}") for c in ("_class", "_n", "_odd")])
+    pairs = pairs.join(brief("_a"), F.col("_a") == F.col("_class_a")).join(brief("_b"), F.col("_b") == F.col("_class_b"))
     total = F.col("_n_a") + F.col("_n_b")
     needed = F.ceil(total * (least / (1 + least)) - 1e-6)
     apart = sum((F.bit_count(F.get("_odd_a", F.lit(i)).bitwiseXOR(F.get("_odd_b", F.lit(i)))) for i in range(8)), F.lit(0))
-    pairs = stored(pairs.where(apart <= total - 2 * needed).select("_a", "_b", "_component_a", "_component_b", "_n_a", "_n_b"), "prefix-pairs")
+    pairs = stored(pairs.where(apart <= total - 2 * needed).select("_a", "_b", "_n_a", "_n_b"), "prefix-pairs")
+    discard(dealt)
+    return pairs
+
+
+def _picked(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of docs (_id, _raw, ...) joined with ``wanted`` (_own, _of, _times, ...) by id and digest, one for each."""
+    hit = docs.join(gathered(wanted), (F.col("_id") == F.col("_own")) & (F.col("_raw") == F.col("_of")))
+    if wanted.where("_times > 1").isEmpty():
+        return hit
+    return hit.where("_times = 1").unionByName(hit.where("_times > 1").dropDuplicates(["_own", "_of"]))
+
+
+def _raw_digest(text_col: str) -> Column:
+    return F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+
+
+def _similar(docs: DataFrame, id_col: str, text_col: str, width: int, similarity: float, reach: int, most: int) -> DataFrame:
+    """(_own, _of, _times, _component) of each distinct id and text (by ``_raw_digest``) of rows with an id: how often it occurs, the least of its group."""
+    docs = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), _raw_digest(text_col).alias("_raw"), F.col(text_col).cast("string").alias("_text"))
+    made = stored(_worded(docs, _common_shingles(docs, width), width, similarity), "similar-rows")
+    same = [F.first(c).alias(c) for c in ("_fp", "_n", "_prefix", "_odd")]
+    classes = made.groupBy("_digest").agg(F.min(F.struct("_id", "_raw")).alias("_least"), *same)
+    classes = stored(classes.withColumn("_class", F.monotonically_increasing_id()), "similar-classes")
+    rows = made.groupBy(F.col("_id").alias("_own"), F.col("_raw").alias("_of")).agg(F.first("_digest").alias("_digest"), F.count(F.lit(1)).alias("_times"))
+    rows = stored(rows.join(classes.select("_digest", "_class"), "_digest").drop("_digest"), "similar-ids")
+    discard(made)
+    # Candidates by fingerprint.
+    prints = stored(classes.groupBy("_fp").agg(F.min("_class").alias("_rep")), "similar-prints")
+    near = connected_components(wide_links(prints, reach, most, prints.count()))
+    groups = prints.join(near, F.col("_rep") == F.col("node"), "left").select("_fp", F.coalesce("component", "_rep").alias("_group"))
+    groups = stored(classes.select("_class", "_fp").join(groups, "_fp").select("_class", "_group"), "similar-groups")
+    # Candidates that fingerprints miss.
+    pairs = prefix_pairs(classes, groups, similarity)
+    # Exact likeness of both kinds.
+    crowded = groups.groupBy("_group").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_group")
+    wanted = groups.join(crowded, "_group", "left_semi").select("_class").unionByName(pairs.select(F.col("_a").alias("_class"))).unionByName(pairs.select(F.col("_b").alias("_class")))
+    heads = classes.select("_class", F.col("_least._id").alias("_own"), F.col("_least._raw").alias("_of")).join(wanted.distinct(), "_class")
+    heads = stored(heads.join(rows.drop("_class"), ["_own", "_of"]).join(groups, "_class"), "similar-heads")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, _, sets in _portions(batches, 2, width):
+            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), listed], ["_rep", "_group", "_set"])
+
+    sets = stored(_picked(docs, heads).select("_class", "_group", "_text").mapInArrow(run, "_rep long, _group long, _set array<long>"), "similar-sets")
+    links = verified_links(sets, similarity)
     full = lambda tag: sets.select(F.col("_rep").alias(f"_rep{tag}"), F.col("_set").alias(f"_set{tag}"))
     checked = pairs.join(full("_a"), F.col("_a") == F.col("_rep_a")).join(full("_b"), F.col("_b") == F.col("_rep_b"))
     shared = F.size(F.array_intersect("_set_a", "_set_b"))
-    alike = shared + 1e-9 >= least * (F.col("_n_a") + F.col("_n_b") - shared)
-    return checked.where(alike).select(F.col("_component_a").alias("src"), F.col("_component_b").alias("dst")).distinct()
+    alike = shared + 1e-9 >= similarity * (F.col("_n_a") + F.col("_n_b") - shared)
+    links = links.unionByName(checked.where(alike).select(F.col("_a").alias("src"), F.col("_b").alias("dst")))
+    found = connected_components(links).withColumnRenamed("node", "_class")
+    discard(sets, pairs, heads, groups, prints)
+    labels = rows.join(found, "_class", "left").withColumn("component", F.coalesce("component", "_class"))
+    least = labels.groupBy("component").agg(F.min(F.struct("_own", "_of")).alias("_component"))
+    out = stored(labels.join(least, "component").select("_own", "_of", "_times", "_component"), "similar")
+    discard(rows, classes)
+    return out
 
 
 def similar_groups(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = SIMILARITY, reach: int = REACH, most: int = MOST
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SIMILAR_WIDTH, similarity: float = SIMILARITY, reach: int = REACH, most: int = MOST
 ) -> DataFrame:
     """(id, component_id): groups of texts whose sets of ``width``-word shingles have a Jaccard likeness of ``similarity`` or more.
 
-    SimHash fingerprints of distinct shingles find most links cheaply: classes
-    within ``reach`` bits form candidate groups through the Gray-order index,
-    and inside them likeness is exact, over the distinct shingles of whole
-    texts. An exact prefix join then finds the links between the groups so made
-    that the fingerprints miss. Only texts of the same lower-cased words skip the
-    comparison.
+    SimHash fingerprints of the distinct shingles find most candidates cheaply:
+    those within ``reach`` bits form groups through the Gray-order index. An
+    exact prefix join finds the pairs of different groups that may be alike.
+    Inside groups and for those pairs likeness is computed exactly, over the
+    distinct shingles of whole texts. Only texts of the same lower-cased words
+    skip the comparison.
 
-    Edge cases as in ``simhash_groups``, by equal words instead of fingerprints.
+    Edge cases: texts without words are alike. Rows with a null id have no
+    group. Rows of one id may differ in text: each belongs to its own text's
+    group. Repeated rows get the same group. An empty table gives an empty table.
     """
-    made = stored(worded(docs, id_col, text_col), "simhash")
-    classes = stored(made.where("_id IS NOT NULL").groupBy("_digest").agg(F.first("_fp").alias("_fp"), F.min("_id").alias("_rep")), "simhash-classes")
-    prints = stored(classes.groupBy("_fp").agg(F.min("_rep").alias("_rep")), "simhash-prints")
-    near = connected_components(wide_links(prints, reach, most))
-    groups = prints.join(near, F.col("_rep") == F.col("node"), "left").select("_fp", F.coalesce("component", "_rep").alias("_group"))
-    candidates = stored(classes.join(groups, "_fp").select("_rep", "_group").distinct(), "candidates")
-    texts = docs.select(F.col(id_col).alias("_rep"), F.col(text_col).cast("string").alias("_text"))
-    hashed = F.transform(words(ascii_lower(F.col("_text"))), lambda w: F.xxhash64(w))
-    sets = bind(hashed, lambda h: F.when(F.size(h) == 0, F.array().cast("array<bigint>")).otherwise(F.sort_array(F.array_distinct(_shingles(h, width)))))
-    sets = stored(classes.select("_rep").distinct().join(texts, "_rep").withColumn("_set", sets).drop("_text").dropDuplicates(["_rep"]), "shingle-sets")
-    found = connected_components(verified_links(candidates.join(sets, "_rep"), similarity)).select(F.col("node").alias("_rep"), F.col("component").alias("_component"))
-    found = stored(sets.select("_rep").join(found, "_rep", "left").select("_rep", F.coalesce("_component", "_rep").alias("_component")), "similar")
-    more = connected_components(prefix_links(sets, found, similarity))
-    components = found.join(more, F.col("_component") == F.col("node"), "left").select("_rep", F.coalesce("component", "_component").alias("component_id"))
-    labels = classes.join(components, "_rep").select(F.col("_digest").alias("_class"), "component_id")
-    return made.join(labels, F.col("_digest") == F.col("_class"), "left").select(F.col("_id").alias(id_col), "component_id")
+    found = _similar(docs, id_col, text_col, width, similarity, reach, most)
+    own = docs.select(F.col(id_col).alias("_id"), _raw_digest(text_col).alias("_raw"))
+    return own.join(found, (F.col("_id") == F.col("_own")) & (F.col("_raw") == F.col("_of")), "left").select(F.col("_id").alias(id_col), F.col("_component._own").alias("component_id"))
 
 
 def simhash_groups(
@@ -551,7 +649,7 @@ def simhash_groups(
         raise ValueError("radius must be 0 to 7: more bands of fewer bits would not prune")
     made = stored(fingerprints(docs, id_col, text_col, width), "simhash")
     classes = stored(made.where("_id IS NOT NULL").groupBy("_fp").agg(F.min("_id").alias("_rep")), "simhash-classes")
-    components = connected_components(near_links(classes, radius, most))
+    components = connected_components(near_links(classes, radius, most, classes.count()))
     labels = (
         classes.join(components, F.col("_rep") == F.col("node"), "left")
         .select(F.col("_fp").alias("_class"), F.coalesce("component", "_rep").alias("component_id"))
@@ -561,12 +659,27 @@ def simhash_groups(
     )
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its group in ``similar_groups``, one row an id; rows with a null id stay."""
-    keep = similar_groups(docs, id_col, text_col, **options).where(F.col(id_col) == F.col("component_id"))
-    keep = keep.select(F.col(id_col).alias("_nb_kept")).distinct()
-    own = docs.where(F.col(id_col).isNotNull()).join(keep, F.col(id_col) == F.col("_nb_kept"), "left_semi").dropDuplicates([id_col])
-    return own.unionByName(docs.where(F.col(id_col).isNull()))
+def drop_near_copies(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SIMILAR_WIDTH, similarity: float = SIMILARITY, reach: int = REACH, most: int = MOST
+) -> DataFrame:
+    """The rows of ``docs`` less all but one of each group in ``similar_groups``: that of the smallest id stays, and of its texts that of the smallest digest.
+
+    Edge cases: rows with a null id all stay. Of repeated rows of id and text
+    one stays. An id with several unlike texts stays once for each of them.
+    Columns are unchanged. An empty table gives an empty table.
+    """
+    found = _similar(docs, id_col, text_col, width, similarity, reach, most)
+    first = (F.col("_component._own") == F.col("_own")) & (F.col("_component._of") == F.col("_of"))
+    # Most rows stay; only what goes, or stays once, is named.
+    fate = stored(found.select("_own", "_of", first.alias("_nb_stays"), "_times").where("_times > 1 OR NOT _nb_stays"), "near-copies")
+    discard(found)
+    fate = fate.select(F.col("_own").alias("_nb_own"), F.col("_of").alias("_nb_of"), "_nb_stays")
+    marked = docs.withColumn("_nb_raw", _raw_digest(text_col))
+    marked = marked.join(gathered(fate), (F.col(id_col) == F.col("_nb_own")) & (F.col("_nb_raw") == F.col("_nb_of")), "left")
+    once = marked.where("_nb_stays IS NULL")
+    if not fate.where("_nb_stays").isEmpty():
+        once = once.unionByName(marked.where("_nb_stays").dropDuplicates(["_nb_own", "_nb_of"]))
+    return once.select(*docs.columns)
 
 
 def op3_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

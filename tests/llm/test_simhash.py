@@ -205,7 +205,7 @@ def test_similar_groups_beyond_the_reach_of_fingerprints(spark, share, monkeypat
     for i in range(8):  # few shingles: five of which four are shared, and pairs just short of that
         short = vocabulary(9)
         texts[1010 + 3 * i], texts[1011 + 3 * i], texts[1012 + 3 * i] = " ".join(short), " ".join(short[:8]), " ".join(short[:7])
-    monkeypatch.setattr(sh.prefix_links, "__defaults__", (0.8, share))
+    monkeypatch.setattr(sh.prefix_pairs, "__defaults__", (0.8, share))
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in sh.similar_groups(df).collect()}
     assert got == brute_similar(texts) and got[1001] == 1000
@@ -215,7 +215,54 @@ def test_equal_fingerprints_of_different_texts(spark, monkeypatch):
     rng = np.random.default_rng(22)
     texts = {i: " ".join(f"w{k}" for k in rng.integers(0, 3000, 60)) for i in range(12)}
     texts |= {20: texts[3].upper().replace(" ", "\n"), 21: texts[7] + " end"}  # a copy but for case and space; a near copy of another
-    monkeypatch.setattr(sh, "fingerprint", lambda text, width=3, distinct=False: 5)
+    monkeypatch.setattr(sh, "majority", lambda hashes: 5)
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in sh.similar_groups(df).collect()}
     assert got == {i: {20: 3, 21: 7}.get(i, i) for i in texts}
+
+
+def test_repeated_ids_with_different_texts(spark):
+    a, b, c = ("alpha beta gamma delta epsilon zeta", "one two three four five six seven", "another text of a few words only")
+    rows = [(1, a), (1, b), (2, b), (3, a), (3, a), (4, c), (4, c), (None, a), (None, None), (5, None), (5, ""), (6, " ")]
+    df = spark.createDataFrame([(i, t, "x", b"r") for i, t in rows], "doc_id long, text string, _own string, _raw binary")
+    kept = sh.drop_near_copies(df)
+    assert kept.columns == df.columns
+    got = sorted(((r.doc_id or 0, r.text) for r in kept.collect()), key=str)
+    assert [x for x in got if x != (5, None) and x != (5, "")] == sorted([(0, None), (0, a), (1, a), (1, b), (4, c)], key=str)
+    assert sum(i == 5 for i, _ in got) == 1
+    groups = {(r.doc_id, r.component_id) for r in sh.similar_groups(df).collect()}
+    assert groups == {(1, 1), (2, 1), (3, 1), (4, 4), (None, None), (5, 5), (6, 5)}
+
+
+@pytest.mark.parametrize("bands,kept", [(4, 1), (5, 2), (6, 3)])
+def test_longer_keys_find_the_same(spark, bands, kept):
+    rng = np.random.default_rng(5)
+    fps = set(rng.integers(0, 2**63, 200, dtype=np.uint64).tolist())
+    for centre in rng.integers(0, 2**63, 30, dtype=np.uint64).tolist():
+        x = centre
+        for b in rng.choice(64, 3, replace=False):
+            x ^= 1 << int(b)
+        fps |= {centre, x}
+    fps = dict(enumerate(sorted(fps)))
+    df = spark.createDataFrame([(f - (1 << 64) if f >= 1 << 63 else f, i) for i, f in fps.items()], "_fp long, _rep long")
+    from nimboscale.operators.graph import connected_components
+
+    for most in (6, 10**6):
+        links = sh.band_links(df, 3, bands, kept, most)
+        got = {i: i for i in fps} | {r.node: r.component for r in connected_components(links).collect()}
+        assert got == brute_components(fps)
+
+
+def test_keys_grow_with_the_table():
+    plans = ((4, 1), (5, 2), (6, 3))
+    assert [sh.key_bands(n, plans) for n in (10**6, 10**9, 10**12)] == [(4, 1), (5, 2), (6, 3)]
+    # Random fingerprints a top node at 10**10, and rows a fingerprint: bounded without splitting.
+    bands, kept = sh.key_bands(10**10, plans)
+    assert 10**10 / 2 ** (64 * kept // bands) <= sh.NODE and len(list(sh.combinations(range(bands), kept))) == 10
+
+
+def test_shingle_sets_tell_orders_and_lengths_apart():
+    known = sh.WordHashes()
+    of = lambda t: sh.shingle_set(sh.lowered_words(t), known, 5)
+    assert len(of("a b c d e f g")) == 3 and len(of("")) == 0 and len(of("a b")) == 1
+    assert len({int(of(t)[0]) for t in ("a b c d e", "b a c d e", "a b c d", "a b", "b a", "a", "a a", "A a a")}) == 7 + 1
