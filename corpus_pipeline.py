@@ -29,7 +29,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of each group whose SimHash fingerprints are linked."""
+    """Keeps one document, that of the smallest id, of each group of texts alike by 0.8 over five-word shingles."""
     return drop_near_copies(docs)
 
 
@@ -39,8 +39,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One sampled segmentation of every text, as piece ids."""
-    return sample_segmentations(docs, k=1)
+    """Two distinct sampled segmentations of every text, as piece ids with inclusion scores; texts that allow only one give one."""
+    return sample_segmentations(docs)
 
 
 STAGES = [
