@@ -208,10 +208,6 @@ def _unit_links(fps: np.ndarray, reps: np.ndarray, side: np.ndarray, radius: int
     """Spanning links, as ids, of one unit in Gray order; side 0: both, 1 and 2: the two child nodes."""
     forest = Forest(len(fps))
     if side[0] == 0:
-        if len(fps) == 2:  # the usual case
-            if np.bitwise_count(fps[0] ^ fps[1]) <= radius:
-                return reps[1:], reps[:1]
-            return reps[:0], reps[:0]
         index = GrayIndex(fps, depth_for(len(fps)))
         search(index, index, 0, radius, forest)
     else:
@@ -238,9 +234,19 @@ def _links(radius: int):
                 new[1:] |= k[1:] != k[:-1]
             start = np.flatnonzero(new)
             end = np.append(start[1:], len(reps))
-            found = [_unit_links(fps[s:e], reps[s:e], side[s:e], radius) for s, e in zip(start, end) if e - s > 1]
-            src = np.concatenate([f[0] for f in found] or [reps[:0]])
-            dst = np.concatenate([f[1] for f in found] or [reps[:0]])
+            # A unit that is one leaf of the index has nothing above it to prune: all such units at once.
+            size = end - start
+            leaf = (size > 1) & (size <= FANOUT) & (side[start] == 0)
+            own = _runs(start[leaf], size[leaf])
+            left = np.repeat(end[leaf], size[leaf]) - own - 1
+            one, two = np.repeat(own, left), _runs(own + 1, left)
+            near = np.bitwise_count(fps[one] ^ fps[two]) <= radius
+            forest = Forest(len(reps))
+            forest.link(one[near], two[near])
+            moved = forest.root != np.arange(len(reps))
+            found = [_unit_links(fps[s:e], reps[s:e], side[s:e], radius) for s, e in zip(start[~leaf], end[~leaf]) if e - s > 1]
+            src = np.concatenate([reps[moved], *(f[0] for f in found)])
+            dst = np.concatenate([reps[forest.root[moved]], *(f[1] for f in found)])
             return pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], ["src", "dst"])
 
         for batch in batches:
@@ -467,8 +473,8 @@ def _described(sets: list[np.ndarray], common: np.ndarray, least: float) -> list
 
     The prefix holds the first shingles of the set, common ones last, of which
     two alike sets share one or more. The parity is that of the shingles in each
-    of 512 cells, as eight numbers: two sets differ in at least as many shingles
-    as these differ in bits.
+    of 512 cells, doubled up to the size of the set, a bit each in whole numbers:
+    two sets differ in at least as many shingles as these differ in bits.
     """
     n = np.array([len(x) for x in sets])
     at = np.concatenate([[0], np.cumsum(n)])
@@ -479,13 +485,15 @@ def _described(sets: list[np.ndarray], common: np.ndarray, least: float) -> list
     in_order = value[np.argsort(2 * doc + late, kind="stable")]
     keep = np.where(n > 0, n - np.ceil(least * n - 1e-9).astype(np.int64) + 1, 0)
     first = in_order[np.arange(len(value)) - at[doc] < keep[doc]]
-    odd = (np.bincount(doc * 512 + (value & np.uint64(511)).astype(np.int64), minlength=512 * len(n)) & 1).astype(np.uint8)
+    cells = 512 << np.ceil(np.log2(np.maximum(n, 512) / 512)).astype(np.int64)
+    seats = np.concatenate([[0], np.cumsum(cells)])
+    odd = (np.bincount(seats[doc] + (value & (cells - 1).astype(np.uint64)[doc]).astype(np.int64), minlength=seats[-1]) & 1).astype(np.uint8)
     odd = np.packbits(odd).view(np.int64)
     ends = np.concatenate([[0], np.cumsum(keep)]).astype(np.int32)
     return [
         pa.array(n, pa.int64()),
         pa.ListArray.from_arrays(pa.array(ends), pa.array(first.view(np.int64))),
-        pa.ListArray.from_arrays(pa.array(np.arange(0, len(odd) + 1, 8, dtype=np.int32)), pa.array(odd)),
+        pa.ListArray.from_arrays(pa.array((seats // 64).astype(np.int32)), pa.array(odd)),
     ]
 
 
@@ -517,6 +525,13 @@ def _worded(docs: DataFrame, common: np.ndarray, width: int, least: float) -> Da
     return docs.mapInArrow(run, f"_id {kind}, _raw binary, _digest binary, _fp long, _n long, _prefix array<long>, _odd array<long>")
 
 
+def _bits_apart(a: Column, b: Column) -> Column:
+    """Differing bits of two parities; one of twice as many cells is folded first. Alike sets never differ by more."""
+    half = lambda x: F.zip_with(F.slice(x, F.lit(1), F.shiftright(F.size(x), 1)), F.slice(x, F.shiftright(F.size(x), 1) + 1, F.shiftright(F.size(x), 1)), lambda p, q: p.bitwiseXOR(q))
+    a, b = F.when(F.size(a) > F.size(b), half(a)).otherwise(a), F.when(F.size(b) > F.size(a), half(b)).otherwise(b)
+    return F.aggregate(F.zip_with(a, b, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda x, y: x + y)
+
+
 def prefix_pairs(classes: DataFrame, groups: DataFrame, least: float = SIMILARITY, share: int = SHARE_ROWS) -> DataFrame:
     """Pairs (_a, _b, _n_a, _n_b) of classes (_class, _n, _prefix, _odd) in different ``groups`` (_class, _group) that may be alike: no pair alike by ``least`` is missing.
 
@@ -547,7 +562,7 @@ def prefix_pairs(classes: DataFrame, groups: DataFrame, least: float = SIMILARIT
     pairs = pairs.join(brief("_a"), F.col("_a") == F.col("_class_a")).join(brief("_b"), F.col("_b") == F.col("_class_b"))
     total = F.col("_n_a") + F.col("_n_b")
     needed = F.ceil(total * (least / (1 + least)) - 1e-6)
-    apart = sum((F.bit_count(F.get("_odd_a", F.lit(i)).bitwiseXOR(F.get("_odd_b", F.lit(i)))) for i in range(8)), F.lit(0))
+    apart = _bits_apart(F.col("_odd_a"), F.col("_odd_b"))
     pairs = stored(pairs.where(apart <= total - 2 * needed).select("_a", "_b", "_n_a", "_n_b"), "prefix-pairs")
     discard(dealt)
     return pairs
