@@ -29,6 +29,8 @@ from nimboscale.session import local_path, new_shared_path, stored
 
 CHUNK = 1 << 18
 STRETCH = 64 << 20
+#: Reading has a task for each stretch, up to so many tasks.
+MOST_TASKS = 50_000
 LEAST_REVISIT = 1000
 SALTS = 16
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -98,7 +100,8 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
     A payload that a third of all pages share is one row a task in the digest
     aggregation; the join back is salted, so such a payload is met by ``SALTS``
-    tasks at least, and only repeated digests are in its small side.
+    tasks at least, which adaptive execution splits further, and only repeated
+    digests are in its small side.
     """
     payload = F.encode(F.coalesce(F.col(body_col).cast("string"), F.lit("")), "UTF-8")
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
@@ -291,8 +294,9 @@ def read_chunks(manifest: DataFrame, chunk_size: int = CHUNK, with_data: bool =
         if rows:
             yield flush()
 
-    # One stretch a task where there are enough tasks: reads are dealt evenly.
-    return manifest.select("path", "start", "length").repartition("path", "start").mapInArrow(run, CHUNKS)
+    # The manifest is small whatever the archives weigh: by number, or the stretches would meet in one task.
+    where = manifest.select("path", "start", "length")
+    return where.repartition(min(max(1, where.count()), MOST_TASKS)).mapInArrow(run, CHUNKS)
 
 
 def read_records(manifest: DataFrame, chunk_size: int = CHUNK) -> DataFrame:

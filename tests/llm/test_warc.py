@@ -55,5 +55,14 @@ def test_stretches_cover_files(spark, monkeypatch):
     assert found == [f"<urn:page:{i}>" for i in range(50)]
 
 
+def test_stretches_are_read_by_many_tasks(spark):
+    df = spark.range(0, 64, 1, 16).select(F.col("id").alias("page_id"), F.lit("http://x").alias("url"), F.col("id").cast("string").alias("html"))
+    manifest = warc.write_warc(warc.plan_records(df).repartition(16), new_shared_path(spark, "warc"))
+    assert manifest.count() == 16
+    tasks = warc.read_chunks(manifest).select(F.spark_partition_id().alias("p")).distinct().count()
+    assert warc.read_chunks(manifest).rdd.getNumPartitions() == 16 and tasks > 8
+    assert warc.read_records(manifest).where("digest_ok").count() == 64
+
+
 def test_pages_table(spark, sf):
     assert warc.op1_warc_archive(spark, sf).count() == table(spark, sf, "pages").count()
