@@ -5,21 +5,27 @@ Every document gets the key ``-ln(u) / w`` with ``u`` a hash of (seed, id) in
 target is met by complete epochs, then by the documents of smallest key until
 their sizes, summed along the key, reach what is left of the target.
 
-No source is sorted in one task: keys fall into ``buckets`` equal-chance slices,
-sizes are summed by (source, slice) with map-side combine, and the prefix sum
-over slices tells which lie wholly inside the budget, wholly outside, or on its
-edge. Only rows of one slice are then sorted together. The text is read once,
-for its size; the rows that move are (id, source, size, key).
+No source is sorted in one task: keys fall into slices of equal width in the
+logarithm of the key, sizes are summed by (source, slice) with map-side combine,
+and the prefix sum over slices gives what lies before each. Only rows of one
+slice are then sorted together. The logarithm of an exponential key has a
+density of at most 1/e, and a weight only shifts it: whatever the weights are, a
+slice of width 1/r holds about 1/(e r) of its source at most. r grows with the
+table, so that this is SLICE_ROWS. The text is read once, for its size; the rows
+that move are (id, source, size, key).
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from nimboscale.llm.text import SPACE_CLASS, trim_space, without
 from nimboscale.session import stored
 
-OUT = ("size", "source_size", "target", "taken")
+#: Rows of one source that are sorted together, about, and the fewest slices for each factor e of the key.
+SLICE_ROWS, LEAST_SLICES = 50_000, 100
 WEIGHTS = (3, 1, 2)
 
 
@@ -66,14 +72,19 @@ def source_targets(sources: DataFrame, weights=WEIGHTS, share: float = 1.5, most
     )
 
 
-def take_by_key(rows: DataFrame, targets: DataFrame, buckets: int = 1024, split_last: bool = True) -> DataFrame:
-    """Words each row gives to the mix; ``rows`` has _id, source, size, _key, _u.
+def slices_for(rows: int) -> int:
+    """Slices for each factor e of the key."""
+    return max(LEAST_SLICES, math.ceil(rows / math.e / SLICE_ROWS))
+
+
+def take_by_key(rows: DataFrame, targets: DataFrame, slices: int = LEAST_SLICES, split_last: bool = True) -> DataFrame:
+    """Words each row gives to the mix; ``rows`` has _id, source, size, _key.
 
     ``split_last``: the document on the budget's edge gives only the words up to
     it, so that a source meets its target to the word; else it is taken whole
     where that brings the source nearer to its target.
     """
-    rows = rows.withColumn("_slice", F.least(F.floor(F.col("_u") * buckets), F.lit(buckets - 1)).cast("int"))
+    rows = rows.withColumn("_slice", F.floor(F.ln(F.greatest("_key", F.lit(1e-300))) * slices))
     sums = rows.groupBy("source", "_slice").agg(F.sum("size").alias("_sum"))
     before = Window.partitionBy("source").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("_start", F.coalesce(F.sum("_sum").over(before), F.lit(0)))
@@ -100,18 +111,11 @@ def take_by_key(rows: DataFrame, targets: DataFrame, buckets: int = 1024, split_
 
 
 def keyed(rows: DataFrame, id_col: str, weight: Column, seed: int) -> DataFrame:
-    """Add _id, the sampling key _key and the key's rank chance _u in [0, 1).
-
-    ``_u`` = 1 - exp(-_key) grows with the key, so its slices follow the key.
-    """
+    """Add _id and the sampling key _key."""
     hashed = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col)), 11)
     uniform = (hashed.cast("double") + 1.0) / F.lit(float(1 << 53))
     w = F.when(weight > 0, weight).otherwise(F.lit(1e-6))
-    return (
-        rows.withColumn("_id", F.col(id_col))
-        .withColumn("_key", -F.ln(uniform) / F.coalesce(w, F.lit(1e-6)))
-        .withColumn("_u", F.lit(1.0) - F.exp(-F.col("_key")))
-    )
+    return rows.withColumn("_id", F.col(id_col)).withColumn("_key", -F.ln(uniform) / F.coalesce(w, F.lit(1e-6)))
 
 
 def mix_sources(
@@ -124,7 +128,7 @@ def mix_sources(
     share: float = 1.5,
     most: float = 2.0,
     seed: int = 17,
-    buckets: int = 1024,
+    slices: int | None = None,
     split_last: bool = True,
 ) -> DataFrame:
     """One row a document: its id, source, size, source_size, target and taken.
@@ -144,23 +148,26 @@ def mix_sources(
         F.col(text_col).alias("_t"),
     )
     weight = F.col("_q") if weight_col else text_weight(F.col("_t"), F.col("size"))
-    rows = stored(keyed(rows, "_doc", weight, seed).select("_doc", "_id", "source", "size", "_key", "_u"), "mix")
+    rows = stored(keyed(rows, "_doc", weight, seed).select("_doc", "_id", "source", "size", "_key"), "mix")
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    out = take_by_key(rows, source_targets(sources, weights, share, most), buckets, split_last)
+    out = take_by_key(rows, source_targets(sources, weights, share, most), slices or slices_for(rows.count()), split_last)
     return out.select(F.col("_doc").alias(id_col), "source", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The mix itself: every document as often as the mix takes it, whole.
 
-    A document whose id the table repeats is taken as often as its id is. The
+    A document whose id the table repeats is taken as often as its id is; all
+    without an id count as one id. Texts without words are taken once. The
     columns are those of ``docs``.
     """
     plan = mix_sources(docs, id_col=id_col, split_last=False, **options)
     times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(1).cast("int")
     plan = plan.groupBy(id_col).agg(F.max(times).alias("_nb_times")).withColumnRenamed(id_col, "_nb_planned").where(F.col("_nb_times") > 0)
-    met = docs.join(plan, docs[id_col].eqNullSafe(F.col("_nb_planned")))
-    return met.withColumn("_nb_copy", F.explode(F.sequence(F.lit(1), F.col("_nb_times")))).select(*[docs[c] for c in docs.columns])
+    met = docs.join(plan, docs[id_col] == F.col("_nb_planned"))
+    # Of rows without an id the plan has one row at most.
+    met = met.unionByName(docs.where(docs[id_col].isNull()).crossJoin(F.broadcast(plan.where("_nb_planned IS NULL"))))
+    return met.withColumn("_nb_copy", F.explode(F.sequence(F.lit(1), F.col("_nb_times")))).select(*docs.columns)
 
 
 def op2_source_mix(spark, sf_dir: str) -> DataFrame:
