@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from nimboscale.llm.text import bind, words, without
+from nimboscale.session import gathered, stored
 
 K = 128
 WIDTH = 5
@@ -86,56 +87,60 @@ def from_text(s: Column) -> Column:
     return F.transform(parts, lambda x: F.conv(x, 16, -10).cast("bigint"))
 
 
-MOST_BUCKETS = 10_000
-LEAST_WIDTH = 512
-MOST_ROWS = 2_000_000
+#: Rows of a bucket of ids, as aimed at and at most.
+AIM_ROWS, MOST_ROWS = 5_000, 20_000
+#: Bits by which crowded intervals of ids are cut further.
+FINER = 6
 
 
-def _buckets(docs: DataFrame, id_col: str) -> tuple[Column, DataFrame]:
-    """An expression that cuts ids, in order, into at most MOST_BUCKETS + 2 buckets, and (_bucket, _first, _n) of each.
+def _buckets(docs: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
+    """``docs`` with ``_bucket``, which cuts the ids in their order, and (_bucket, _first) of each bucket.
 
-    Equal intervals, unless ids cluster so that one holds more than MOST_ROWS
-    rows; then intervals lie between approximate quantiles. Null ids come first.
+    Intervals are 2**shift wide, as many as the rows ask for; intervals of more
+    than MOST_ROWS rows are cut into 2**FINER finer ones, and so on, down to
+    single ids. A bucket is (level, number); null ids come first, on level -1.
+    Only ids are read to find the crowded intervals, of which there is one for
+    each MOST_ROWS rows at most.
     """
-    low, high = docs.agg(F.min(id_col), F.max(id_col)).first()
-    ident = F.col(id_col)
-
-    def stats(bucket: Column) -> DataFrame:
-        return docs.groupBy(bucket.alias("_bucket")).agg(F.min(id_col).alias("_first"), F.count(F.lit(1)).alias("_n"))
-
-    if low is None:
-        bucket = F.lit(-1).cast("long")
-        return bucket, stats(bucket)
-    width = max(LEAST_WIDTH, -(-(high - low + 1) // MOST_BUCKETS))
-    bucket = F.coalesce(F.floor((ident - F.lit(low)) / F.lit(width)).cast("long"), F.lit(-1).cast("long"))
-    found = stats(bucket)
-    if (found.agg(F.max("_n")).first()[0] or 0) > MOST_ROWS:
-        steps = [i / 1000 for i in range(1, 1000)]
-        cuts = sorted(set(docs.agg(F.percentile_approx(id_col, steps, 100_000)).first()[0]))
-        bounds = F.array(*[F.lit(c) for c in cuts])
-        bucket = F.when(ident.isNull(), F.lit(-1)).otherwise(F.size(F.filter(bounds, lambda b: b <= ident))).cast("long")
-        found = stats(bucket)
-    return bucket, found
+    ids = docs.select(F.col(id_col).cast("long").alias("_at"))
+    low, high, n = ids.agg(F.min("_at"), F.max("_at"), F.count("_at")).first()
+    shift = 0 if low is None else max(0, ((high - low) * AIM_ROWS // n).bit_length())
+    level, ident = 0, F.col(id_col).cast("long")
+    bucket = lambda k, at: F.struct(F.lit(k).alias("level"), at.alias("number"))
+    out = docs.withColumn("_bucket", F.when(ident.isNull(), bucket(-1, F.lit(0).cast("long"))).otherwise(bucket(0, F.shiftright(ident, shift))))
+    left = ids.where("_at IS NOT NULL")
+    while shift:
+        crowded = left.groupBy(F.shiftright("_at", shift).alias("_crowd")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > MOST_ROWS)
+        crowded = gathered(stored(crowded.select("_crowd"), "crowded-ids"))
+        if crowded.isEmpty():
+            break
+        left = left.join(crowded, F.shiftright("_at", shift) == F.col("_crowd"), "left_semi")
+        crowd, shift = crowded.select(bucket(level, F.col("_crowd")).alias("_crowd")), max(0, shift - FINER)
+        level += 1
+        finer = F.when(F.col("_crowd").isNull(), F.col("_bucket")).otherwise(bucket(level, F.shiftright(ident, shift)))
+        out = out.join(crowd, F.col("_bucket") == F.col("_crowd"), "left").withColumn("_bucket", finer).drop("_crowd")
+    return out, out.groupBy("_bucket").agg(F.min(id_col).alias("_first"))
 
 
 def with_next(docs: DataFrame, id_col: str, derive: dict[str, Column], cols: list[str]) -> DataFrame:
     """Add the columns ``derive``, and ``_next_<c>`` for each of ``cols``: its value in the row of the next larger id.
 
-    The last row's next is the first. A window sorts each bucket of ids on its
-    own; the first row of every bucket is also sent to the bucket before it, as
-    a guest at its end, so that no row needs another bucket's task. The guests'
-    table has a row a bucket, so broadcasting it is safe at any input size.
+    Ids are whole numbers. The last row's next is the first. A window sorts each
+    bucket of ids on its own; the first row of every bucket is also sent to the
+    bucket before it, as a guest at its end, so that no row needs another
+    bucket's task. The guests' table has a row a bucket; its size is checked
+    before it is broadcast.
     """
-    bucket, found = _buckets(docs, id_col)
-    order = Window.orderBy("_bucket")
-    last = F.max("_bucket").over(Window.partitionBy())
-    guests = found.select("_first", F.coalesce(F.lag("_bucket").over(order), last).alias("_before"))
-    guests = guests.withColumnRenamed("_first", "_guest_id")
+    held, found = _buckets(docs, id_col)
+    found = stored(found, "buckets")
+    order = Window.orderBy(F.col("_first").asc_nulls_first())
+    last = F.max(F.struct("_first", "_bucket")).over(Window.partitionBy())["_bucket"]
+    guests = gathered(found.select(F.col("_first").alias("_guest_id"), F.coalesce(F.lag("_bucket").over(order), last).alias("_before")))
     place = F.array(
-        F.struct(bucket.alias("bucket"), F.lit(0).alias("guest")), F.struct(F.col("_before").alias("bucket"), F.lit(1).alias("guest"))
+        F.struct(F.col("_bucket").alias("bucket"), F.lit(0).alias("guest")), F.struct(F.col("_before").alias("bucket"), F.lit(1).alias("guest"))
     )
     dealt = (
-        docs.join(F.broadcast(guests), F.col(id_col).eqNullSafe(F.col("_guest_id")), "left")
+        held.join(guests, F.col(id_col).eqNullSafe(F.col("_guest_id")), "left")
         .withColumn("_place", F.explode(F.filter(place, lambda p: p["bucket"].isNotNull())))
         .select(*docs.columns, F.col("_place.bucket").alias("_bucket"), F.col("_place.guest").alias("_guest"))
         .repartition("_bucket")
