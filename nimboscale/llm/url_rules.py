@@ -10,8 +10,9 @@ own rules on top of its ancestors', a closing boundary the ancestors' alone. URL
 and boundaries are sorted together inside each top-level label and the last
 boundary before a URL gives its stack, from which the path decides.
 
-Hot labels (``com``) are salted: URLs are dealt over ``salts`` parts and the
-boundaries of the label, which are as many as rules, go to each part.
+Hot labels (``com``) are salted: URLs are dealt over ``salts`` parts, as many as
+the table's rows ask for, and the boundaries of the label, which are as many as
+rules, go to each part.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from nimboscale.llm.text import ascii_lower, without
 
 #: (host, path, action); action is allow or block.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-OUT = ("host", "path", "rule", "verdict")
+PART_ROWS = 500_000
 _RULE = "struct<size:int,host_size:int,path:string,rule:string,action:string>"
 
 
@@ -47,7 +48,9 @@ def split_url(df: DataFrame, url_col: str = "url") -> DataFrame:
 
 def rule_boundaries(spark, rules) -> DataFrame:
     """(label, key, stack): the stack of open rules from ``key`` on."""
-    given = spark.createDataFrame([tuple(r) for r in rules], "host string, path string, action string")
+    listed = [F.struct(*[F.lit(v).cast("string").alias(n) for n, v in zip(("host", "path", "action"), r)]) for r in rules]
+    listed = F.array(*listed).cast("array<struct<host:string,path:string,action:string>>")
+    given = spark.range(1).select(F.inline(listed))
     given = given.where(F.col("host").isNotNull() & (F.col("host") != "")).withColumn("host", ascii_lower(F.col("host")))
     given = given.fillna({"path": "/"}).dropDuplicates(["host", "path"])
     entry = F.struct(
@@ -78,7 +81,7 @@ def rule_boundaries(spark, rules) -> DataFrame:
     return opened.unionByName(closed)
 
 
-def judge_urls(urls: DataFrame, rules=RULES, url_col: str = "url", default: str = "allow", salts: int = 32) -> DataFrame:
+def judge_urls(urls: DataFrame, rules=RULES, url_col: str = "url", default: str = "allow", salts: int | None = None) -> DataFrame:
     """Add ``host``, ``path``, ``rule`` (null if none fits) and ``verdict``.
 
     A rule fits its host and all subdomains if the path starts with the rule's
@@ -88,8 +91,10 @@ def judge_urls(urls: DataFrame, rules=RULES, url_col: str = "url", default: str
     Edge cases: null URLs and URLs without ``://`` have an empty host and path
     and get ``default``. Repeated rows are judged row by row. Input columns
     named like an output are replaced. No rules: every verdict is ``default``.
+    Without ``salts``, a label of all URLs has PART_ROWS in a part.
     """
     spark = urls.sparkSession
+    salts = salts or max(32, -(-urls.count() // PART_ROWS))
     parts = split_url(without(urls, "rule", "verdict"), url_col)
     names = parts.columns
     key = host_key(F.col("host"))

@@ -94,7 +94,7 @@ def water_fill(sizes, weights, share=1.5, most=2.0):
 def test_mix_targets_and_budgets(spark):
     rows = [(i, " ".join(["word"] * (1 + i * 7 % 23)), "abcd"[min(3, i // 40 // (1 + i % 2))]) for i in range(300)]
     rows += [(1000, None, "z"), (1001, " \t", None), (1002, "one two", None), (5, "repeated id", "a"), (None, "no id", "b")]
-    got = mix_sources(docs_of(spark, rows), buckets=8).collect()
+    got = mix_sources(docs_of(spark, rows), slices=2).collect()
     assert len(got) == len(rows)
     sizes = {}
     for _, t, s in rows:
@@ -107,7 +107,7 @@ def test_mix_targets_and_budgets(spark):
         taken[r.source] = taken.get(r.source, 0) + r.taken
     for s, n in taken.items():
         assert abs(n - want[s]) <= 1
-    again = mix_sources(docs_of(spark, rows).repartition(7), buckets=8).collect()
+    again = mix_sources(docs_of(spark, rows).repartition(7), slices=2).collect()
     assert sorted(map(str, got)) == sorted(map(str, again))
     assert mix_sources(docs_of(spark, [])).count() == 0
     whole = mixed_documents(docs_of(spark, rows))
@@ -145,7 +145,8 @@ def test_next_crosses_buckets_and_clusters(spark, monkeypatch):
     df = docs_of(spark, [(i, f"t{i}", "s") for i in ids]).select("doc_id", "text")
     want = {None: "t3", 3: "t5", 5: "t4000", 4000: "t4001", 4001: f"t{10**15}", 10**15: f"t{10**15 + 1}", 10**15 + 1: "tNone"}
     assert {r.doc_id: r._next_text for r in fp.with_next(df, "doc_id", {}, ["text"]).collect()} == want
-    monkeypatch.setattr(fp, "MOST_ROWS", 2)
+    monkeypatch.setattr(fp, "AIM_ROWS", 1)
+    monkeypatch.setattr(fp, "MOST_ROWS", 1)
     assert {r.doc_id: r._next_text for r in fp.with_next(df, "doc_id", {}, ["text"]).collect()} == want
 
 
@@ -162,3 +163,112 @@ def test_sketch_estimates(spark):
     assert r.same and r.back
     parts = s.select(F.lit(1).alias("g"), F.explode(F.array("p", "q")).alias("sketch"))
     assert fp.merge_sketches(parts, ["g"]).first().sketch == s.first().a
+
+
+def test_next_of_far_apart_ids(spark, monkeypatch):
+    ids = [-(2**63), -(2**63) + 1, -5, 0, 7, 7 + 2**40, 2**63 - 2, 2**63 - 1]
+    df = docs_of(spark, [(i, f"t{i}", "s") for i in ids]).select("doc_id", "text")
+    want = {i: f"t{j}" for i, j in zip(ids, ids[1:] + ids[:1])}
+    for most in (20_000, 2, 1):
+        monkeypatch.setattr(fp, "AIM_ROWS", max(1, most // 4))
+        monkeypatch.setattr(fp, "MOST_ROWS", most)
+        assert {r.doc_id: r._next_text for r in fp.with_next(df, "doc_id", {}, ["text"]).collect()} == want
+
+
+def test_clustered_ids_stay_in_small_buckets(spark, monkeypatch):
+    monkeypatch.setattr(fp, "AIM_ROWS", 50)
+    monkeypatch.setattr(fp, "MOST_ROWS", 200)
+    df = spark.range(3000).unionByName(spark.range(2**62, 2**62 + 2000)).unionByName(spark.range(50).select((F.col("id") * 2**56).alias("id")))
+    out, found = fp._buckets(df, "id")
+    sizes = [r["count"] for r in out.groupBy("_bucket").count().collect()]
+    assert sum(sizes) == 5050 and max(sizes) <= 200 and found.count() == len(sizes)
+
+
+def test_low_weights_fill_no_slice(spark, monkeypatch):
+    from nimboscale.llm import mixing
+
+    monkeypatch.setattr(mixing, "SLICE_ROWS", 100)
+    df = spark.range(20_000).select(F.col("id").alias("d"), F.lit("s").alias("source"), F.lit(1).cast("long").alias("size"))
+    slices = mixing.slices_for(20_000)
+    for w in (1.0, 0.1, 0.0):
+        rows = mixing.keyed(df, "d", F.lit(w), 3).withColumn("_s", F.floor(F.ln("_key") * slices))
+        assert rows.groupBy("_s").count().agg(F.max("count")).first()[0] < 160
+
+
+def brute_take(rows, targets):
+    """The documents in the order of their keys, until the target is met to the word."""
+    out = {}
+    for s in {r[1] for r in rows}:
+        own = sorted((r for r in rows if r[1] == s), key=lambda r: (r[3], r[0]))
+        size = sum(r[2] for r in own)
+        epochs = int(targets[s] // size) if size else 0
+        left = int(targets[s] - epochs * size)
+        for i, _, n, _ in own:
+            out[i] = epochs * n + min(n, left)
+            left -= min(n, left)
+    return out
+
+
+def test_mix_takes_the_least_keys(spark):
+    from nimboscale.llm import mixing
+
+    rows = [(i, " ".join(["word"] * (1 + i * 7 % 23)), "abc"[i % 3 if i < 90 else 0]) for i in range(400)]
+    df = docs_of(spark, rows)
+    got = {r.doc_id: r.taken for r in mix_sources(df, slices=5).collect()}
+    size = mixing.text_size(F.col("text"))
+    keys = mixing.keyed(df.withColumn("size", size), "doc_id", mixing.text_weight(F.col("text"), F.col("size")), 17)
+    keys = [(r.doc_id, r.source, r["size"], r._key) for r in keys.collect()]
+    sizes = {s: sum(k[2] for k in keys if k[1] == s) for s in "abc"}
+    assert got == brute_take(keys, water_fill(sizes, (3, 1, 2)))
+
+
+def test_mix_rows_without_ids(spark):
+    df = docs_of(spark, [(None, f"no id {i}", "a") for i in range(5)] + [(i, "some words here", "a") for i in range(20)])
+    n = {r.doc_id is None: r["count"] for r in mixed_documents(df).groupBy("doc_id").count().collect() if r.doc_id is None}
+    assert n.get(True, 0) in (0, 5, 10)
+
+
+def brute_sketch(text, k=128, width=5):
+    words = (text or "").lower().split()
+    return {" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
+
+
+def test_likeness_against_all_shingles(spark):
+    base = [f"w{i}" for i in range(60)]
+    texts = {1: " ".join(base), 2: " ".join(base[:40] + ["x"] * 3 + base[40:]), 3: " ".join(base[20:]), 4: "w1 w2", 5: "w1 w2"}
+    df = docs_of(spark, [(i, t, "s") for i, t in texts.items()])
+    got = {r.doc_id: r for r in fp.fingerprint_edits(df).collect()}
+    ids = sorted(texts)
+    for i, j in zip(ids, ids[1:] + ids[:1]):
+        t, nxt = texts[i], texts[j]
+        m = len(t) // 4
+        edited = t[: len(t) - m] + nxt[:m]
+        a, b, e = (brute_sketch(x) for x in (t, nxt, edited))  # fewer than k shingles: the estimates are exact
+        assert got[i].near_next == pytest.approx(len(a & b) / len(a | b)) and got[i].near_edited == pytest.approx(len(a & e) / len(a | e))
+        assert len(got[i].fingerprint) == 16 * len(a) and got[i].distinct_shingles == len(a)
+
+
+def brute_verdict(url, rules):
+    rest = url.split("://", 1)[1] if url and "://" in url else ""
+    host = re.match("[^/?#]*", rest)[0]
+    path = re.match("[^?#]*", rest[len(host):])[0]
+    host = re.sub("[A-Z]", lambda m: m[0].lower(), host)
+    fit = [(len(h + p), len(h), h + p, a) for h, p, a in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return (host, path, *((max(fit)[2], max(fit)[3]) if fit else (None, "allow")))
+
+
+def test_random_rules_and_urls(spark):
+    import random
+
+    r = random.Random(11)
+    label = lambda: r.choice(["a", "b", "ab", "a-b", "net", "co", "x1"])
+    host = lambda n: ".".join(label() for _ in range(r.randint(1, n)))
+    path = lambda: "/" + "/".join(r.choice(["", "p", "pq", "q"]) for _ in range(r.randint(0, 2)))
+    rules = list({(host(3), path()): r.choice(["allow", "block"]) for _ in range(60)}.items())
+    rules = [(h, p, a) for (h, p), a in rules]
+    # Rules of equal text fit with the longer host; brute force goes by that too.
+    urls = [r.choice(["http://", "https://", "", "x://"]) + r.choice([host(4), host(4).upper()]) + r.choice(["", path(), path() + "?a/b", "#" + label()]) for _ in range(1500)]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    for salts in (1, None):
+        got = {x.page_id: (x.host, x.path, x.rule, x.verdict) for x in judge_urls(df, rules=rules, salts=salts).collect()}
+        assert got == {i: brute_verdict(u, rules) for i, u in enumerate(urls)}
