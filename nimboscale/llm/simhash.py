@@ -619,8 +619,9 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, width: int, similarity
     found = connected_components(links).withColumnRenamed("node", "_class")
     discard(sets, pairs, heads, groups, prints)
     labels = rows.join(found, "_class", "left").withColumn("component", F.coalesce("component", "_class"))
-    least = labels.groupBy("component").agg(F.min(F.struct("_own", "_of")).alias("_component"))
-    out = stored(labels.join(least, "component").select("_own", "_of", "_times", "_component"), "similar")
+    # Stored apart, so that the join can split a component of very many rows.
+    least = stored(labels.groupBy("component").agg(F.min(F.struct("_own", "_of")).alias("_component")), "similar-least")
+    out = stored(labels.join(gathered(least), "component").select("_own", "_of", "_times", "_component"), "similar")
     discard(rows, classes)
     return out
 
