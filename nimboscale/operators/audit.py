@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from nimboscale.operators.quantile import with_quantiles
 from nimboscale.operators.resample import scramble
 from nimboscale.operators.tracks import by_cell
 from nimboscale.operators.verify import ratio
@@ -42,17 +43,17 @@ def audit_summary(steps: DataFrame, tracks: DataFrame, least: int = 4) -> DataFr
     """One row: cells, rows, steps, median and 90th percentile step, share of one-frame gaps, and cells of ``least`` frames or more."""
     spans = tracks.groupBy("cell").agg((F.max("frame") - F.min("frame") + 1).alias("span"), F.count(F.lit(1)).alias("n"))
     a = spans.agg(F.count(F.lit(1)).alias("cells"), F.sum("n").alias("rows"), F.count_if(F.col("span") >= least).alias("long_cells"))
-    b = steps.agg(F.count(F.lit(1)).alias("steps"), F.percentile("dist", 0.5).alias("median_step"), F.percentile("dist", 0.9).alias("p90_step"), F.avg((F.col("dframe") == 1).cast("double")).alias("unbroken"))
+    b = steps.agg(F.count(F.lit(1)).alias("steps"), F.avg((F.col("dframe") == 1).cast("double")).alias("unbroken"))
+    b = with_quantiles(b, steps, [], {"median_step": ("dist", 0.5), "p90_step": ("dist", 0.9)})
     return a.crossJoin(F.broadcast(b))  # one row each
 
 
 def change_share(rows: DataFrame, value: str, measure: str) -> DataFrame:
     """Share of rows whose ``value`` differs from the cell's previous one, and the median ``measure`` with and without a change."""
     changed = rows.withColumn("_c", F.abs(F.col(value) - F.lag(value).over(by_cell())) > 0).where("_c IS NOT NULL")
-    return changed.agg(
-        F.count(F.lit(1)).alias("n"), F.avg(F.col("_c").cast("double")).alias("changed"), F.percentile(F.when(F.col("_c"), F.col(measure)), 0.5).alias("median_changed"),
-        F.percentile(F.when(~F.col("_c"), F.col(measure)), 0.5).alias("median_same"),
-    )
+    changed = changed.withColumns({"_yes": F.when(F.col("_c"), F.col(measure)), "_no": F.when(~F.col("_c"), F.col(measure))})
+    sums = changed.agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("_c").cast("double")).alias("changed"))
+    return with_quantiles(sums, changed, [], {"median_changed": ("_yes", 0.5), "median_same": ("_no", 0.5)})
 
 
 def coverage(px: DataFrame, segment: DataFrame, usable: DataFrame) -> DataFrame:

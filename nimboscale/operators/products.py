@@ -19,17 +19,21 @@ def nearest_place(points: DataFrame, places: DataFrame, by: list[str], km: float
 
     Both sides are dealt to cells of latitude and longitude as wide as the
     radius, and points look into the cells around their own: an equi-join whose
-    work grows with the pairs that are near, not with all pairs.
+    work grows with the pairs that are near, not with all pairs. A row's columns
+    share the whole circle evenly, so that the first and the last are neighbours;
+    rows within a degree of a pole have one.
     """
     step = km / 110.5  # no degree of latitude is shorter
     row = lambda lat: F.floor(lat / step).cast("long")
-    # Longitude cells are as wide as the radius at the row's edge nearest a pole.
-    edge = F.radians(F.least((F.abs(F.col("_row")) + 1) * step, F.lit(89.0)))
-    wide = lambda: F.lit(step) / F.cos(edge)
-    dealt = places.withColumn("_row", row(F.col("lat"))).withColumn("_col", F.floor(F.col("lon") / wide()).cast("long"))
+    # Longitude cells are at least as wide as the radius at the row's edge nearest a pole.
+    edge = (F.abs(F.col("_row")) + 1) * step
+    columns = F.when(edge >= 89, 1).otherwise(F.greatest(F.lit(1), F.floor(360 * F.cos(F.radians(edge)) / step))).cast("long")
+    column = lambda lon: F.floor(F.pmod(lon + 180, F.lit(360.0)) / (360 / F.col("_of"))).cast("long")
+    dealt = places.withColumn("_row", row(F.col("lat"))).withColumn("_of", columns).withColumn("_col", column(F.col("lon")))
     dealt = dealt.select("place", "place_id", F.col("lat").alias("_plat"), F.col("lon").alias("_plon"), "_row", "_col")
     look = points.withColumn("_row", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: row(F.col("lat")) + d)))
-    look = look.withColumn("_own", F.floor(F.col("lon") / wide()).cast("long")).withColumn("_col", F.explode(F.sequence(F.col("_own") - 1, F.col("_own") + 1)))
+    look = look.withColumn("_of", columns).withColumn("_own", column(F.col("lon")))
+    look = look.withColumn("_col", F.explode(F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.pmod(F.col("_own") + d, F.col("_of"))))))
     ends = [F.col(c) for c in ("lat", "lon", "_plat", "_plon")]
     far = haversine_km(*ends) if sphere else geodesic(*ends)["km"]
     met = look.join(dealt, ["_row", "_col"]).withColumn("km", far).where(F.col("km") <= km)

@@ -18,15 +18,43 @@ def scramble(key: Column, seed: int) -> Column:
     return F.pmod(once * A + C, F.lit(M))
 
 
-def stratified_sample(df: DataFrame, strata: list[str], key: str, caps: dict[str, int], stratum: str, seed: int) -> DataFrame:
-    """At most ``caps[stratum]`` rows of each group of ``strata``, with the weight n / kept; weights of a group add up to its rows."""
+def stratified_sample(df: DataFrame, strata: list[str], key: str, caps: dict[str, int], stratum: str, seed: int, ties: list[str] = ()) -> DataFrame:
+    """At most ``caps[stratum]`` rows of each group of ``strata``, with the weight n / kept; weights of a group add up to its rows.
+
+    Rows are drawn in the order of the scrambled ``key``, then the key, then
+    ``ties``: name there what rows of one key may differ in, or which of them is
+    drawn is left open. Every task keeps its lowest rows of a group only, so no
+    stratum is sorted whole; groups are counted with map-side combine.
+    """
     cap = F.lit(0)
     for name, most in caps.items():
         cap = F.when(F.col(stratum) == name, most).otherwise(cap)
-    n = F.count(F.lit(1)).over(Window.partitionBy(*strata))
-    rank = F.row_number().over(Window.partitionBy(*strata).orderBy(scramble(F.col(key), seed), key))
-    out = df.withColumns({"_n": n, "_rank": rank, "_cap": cap}).where("_rank <= _cap")
-    return out.withColumn("weight", F.col("_n") / F.least("_n", "_cap").cast("double")).drop("_n", "_rank", "_cap")
+    sizes = df.groupBy(*[F.col(c).alias(f"_{c}") for c in strata]).agg(F.count(F.lit(1)).alias("_n"))
+    rank = F.row_number().over(Window.partitionBy(*strata).orderBy(scramble(F.col(key), seed), key, *ties))
+    # The constant bound lets every task cut its groups before the exchange.
+    drawn = df.withColumn("_rank", rank).where(F.col("_rank") <= max(caps.values(), default=0)).withColumn("_cap", cap).where("_rank <= _cap")
+    on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in strata]
+    out = drawn.join(sizes, on).withColumn("weight", F.col("_n") / F.least("_n", "_cap").cast("double"))
+    return out.select(*df.columns, "weight")
+
+
+def numbered(df: DataFrame, key: str, out: str, rows: int = 100_000) -> DataFrame:
+    """``df`` with ``out``, the rank of the whole-number, unique ``key`` from 0.
+
+    Counts of key ranges give each range its first number, so no task ranks all.
+    Ranges are cut at approximate quantiles, one for each ``rows``.
+    """
+    n = df.count()
+    parts = min(1000, -(-n // rows))
+    cuts = sorted(set(df.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)], 100_000)).first()[0])) if parts > 1 else []
+    part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col(key))) if cuts else F.lit(0)
+    dealt = df.withColumn("_part", part)
+    first = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    # A row a range.
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    first = first.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(key))
+    return dealt.withColumn("_in", inside).join(first, "_part").select(*df.columns, (F.col("_first") + F.col("_in") - 1).cast("long").alias(out))
 
 
 def replicate_units(spark, reps: int, units: int, block: int, seed: int) -> DataFrame:
@@ -34,7 +62,7 @@ def replicate_units(spark, reps: int, units: int, block: int, seed: int) -> Data
     blocks = -(-units // block)
     draws = spark.range(reps * blocks).select(F.expr(f"cast(id div {blocks} AS int)").alias("rep"), (F.col("id") % blocks).cast("int").alias("b"), F.pmod(scramble(F.col("id"), seed), F.lit(units)).alias("start"))
     placed = draws.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(block - 1)))).where(F.col("b") * block + F.col("k") < units)
-    return placed.select("rep", F.pmod(F.col("start") + F.col("k"), F.lit(units)).cast("int").alias("unit"))
+    return placed.select("rep", F.pmod(F.col("start") + F.col("k"), F.lit(units)).alias("unit"))
 
 
 def bootstrap_sums(rows: DataFrame, unit: str, by: list[str], sums: list[str], reps: int, units: int, block: int, seed: int) -> DataFrame:

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from nimboscale.operators import audit as A, raster as R, tracks as T, verify as V
+from nimboscale.operators.quantile import with_quantiles
 from nimboscale.plans.registry import query
 from nimboscale.plans.score_queries import LCG
 from nimboscale.plans.standins import EVENT, POS, PX, SC, SEG, pixels, positions, scores, segments
 from nimboscale.plans.track_queries import EDGES, RATES, STEPS, TRACKS, _phased, _tracks
-from nimboscale.session import table
+from nimboscale.session import stored, table
 
 
 @query(f"WITH {POS}, n AS (SELECT cell, count(*) AS n FROM pos GROUP BY cell) SELECT cell, frame FROM pos JOIN n USING (cell) WHERE n >= 42")
@@ -58,7 +59,9 @@ def coverage_shares(spark, sf_dir):
 SELECT count(*) AS n, round(quantile_cont(spread, 0.5), 3) AS median, round(quantile_cont(spread, 0.9), 3) AS p90, round(max(spread), 3) AS largest FROM d WHERE k > 1""")
 def family_spread_stats(spark, sf_dir):
     s = T.pairwise_spread(positions(spark, sf_dir).withColumn("family", F.col("cell") % 40), ["family", "frame"])
-    return s.agg(F.count(F.lit(1)).alias("n"), *[F.round(F.percentile("spread", q), 3).alias(n) for n, q in (("median", 0.5), ("p90", 0.9))], F.round(F.max("spread"), 3).alias("largest"))
+    s = stored(s, "spreads")
+    out = with_quantiles(s.agg(F.count(F.lit(1)).alias("n"), F.max("spread").alias("largest")), s, [], {"median": ("spread", 0.5), "p90": ("spread", 0.9)})
+    return out.select("n", *[F.round(c, 3).alias(c) for c in ("median", "p90", "largest")])
 
 
 @query(f"""WITH {RATES}, s AS (SELECT cell, min(min_bt) AS coldest, (max(frame) - min(frame)) * 30 AS lifetime FROM ph GROUP BY cell)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from nimboscale.operators import kernels, ml, resample, verify
 
+#: Most rows of a stratum, and first and last lead of each bin in minutes.
 CAPS = {"event": 150, "near": 150, "far": 60}
 LEAD_BINS = [(30, 30), (60, 60), (90, 120), (150, 360)]
 METHODS = ("persistence", "advection", "neighbourhood", "ml", "climatology")

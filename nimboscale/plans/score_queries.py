@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from nimboscale.functions import scalars as S
 from nimboscale.operators import ml, products, resample as B, verify as V
+from nimboscale.operators.quantile import with_quantiles
 from nimboscale.plans.registry import query
-from nimboscale.plans.standins import PLACES, PX, SC, pixels, places, scores
-from nimboscale.session import table
+from nimboscale.plans.standins import PLACES, POS, PX, SC, pixels, places, scores
+from nimboscale.session import stored, table
 
 COUNTED = """count(*) FILTER (WHERE fc AND obs) AS H, count(*) FILTER (WHERE NOT fc AND obs) AS M, count(*) FILTER (WHERE fc AND NOT obs) AS F, count(*) FILTER (WHERE NOT fc AND NOT obs) AS CN"""
 CLIM = 0.4
@@ -47,6 +48,7 @@ def reliability_bins(spark, sf_dir):
 
 
 LB = "CASE WHEN lead BETWEEN 30 AND 30 THEN 0 WHEN lead BETWEEN 60 AND 60 THEN 1 WHEN lead BETWEEN 90 AND 120 THEN 2 WHEN lead BETWEEN 150 AND 360 THEN 3 END"
+#: First and last lead of each bin, minutes.
 BINS = [(30, 30), (60, 60), (90, 120), (150, 360)]
 
 
@@ -100,15 +102,18 @@ def block_scores(spark, sf_dir):
 SELECT method, lead, count(*) AS issues, round(quantile_cont(q, 0.25), 8) AS p25, round(quantile_cont(q, 0.75), 8) AS p75 FROM i GROUP BY method, lead""")
 def issue_iqr_band(spark, sf_dir):
     i = scores(spark, sf_dir).groupBy("method", "lead", "issue").agg(F.avg("p").alias("q"))
-    return i.groupBy("method", "lead").agg(F.count(F.lit(1)).alias("issues"), F.round(F.percentile("q", 0.25), 8).alias("p25"), F.round(F.percentile("q", 0.75), 8).alias("p75"))
+    i = stored(i, "issue-means")
+    out = with_quantiles(i.groupBy("method", "lead").agg(F.count(F.lit(1)).alias("issues")), i, ["method", "lead"], {"p25": ("q", 0.25), "p75": ("q", 0.75)})
+    return out.withColumns({c: F.round(c, 8) for c in ("p25", "p75")})
 
 
 # ---- sampling -----------------------------------------------------------------
 
 LCG = lambda k, seed: f"((((({k} + {seed}) % {B.M}) * {B.A} + {B.C}) % {B.M}) * {B.A} + {B.C}) % {B.M}"
+#: Most rows of a stratum.
 CAPS = {"event": 150, "near": 150, "far": 60}
 ROWS = """mlrows AS (SELECT l_orderkey * 8 + l_linenumber AS pixel, CAST(l_linenumber * 30 AS INT) AS lead, CASE WHEN l_tax > 0.065 THEN 'event' WHEN l_discount > 0.055 THEN 'near' ELSE 'far' END AS stratum, CASE WHEN l_quantity > 30 THEN 1 ELSE 0 END AS y FROM lineitem)"""
-SAMPLE = f"""smp AS (SELECT *, n / least(n, cap)::DOUBLE AS weight FROM (SELECT *, count(*) OVER (PARTITION BY lead, stratum) AS n, row_number() OVER (PARTITION BY lead, stratum ORDER BY {LCG('pixel', 5)}, pixel) AS rk,
+SAMPLE = f"""smp AS (SELECT *, n / least(n, cap)::DOUBLE AS weight FROM (SELECT *, count(*) OVER (PARTITION BY lead, stratum) AS n, row_number() OVER (PARTITION BY lead, stratum ORDER BY {LCG('pixel', 5)}, pixel, y) AS rk,
   CASE stratum WHEN 'event' THEN 150 WHEN 'near' THEN 150 ELSE 60 END AS cap FROM mlrows) WHERE rk <= cap)"""
 
 
@@ -118,7 +123,7 @@ def _sample(spark, sf_dir):
         (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("pixel"), (F.col("l_linenumber") * 30).cast("int").alias("lead"),
         F.when(F.col("l_tax") > 0.065, "event").when(F.col("l_discount") > 0.055, "near").otherwise("far").alias("stratum"), (F.col("l_quantity") > 30).cast("int").alias("y"),
     )
-    return B.stratified_sample(rows, ["lead", "stratum"], "pixel", CAPS, "stratum", 5)
+    return B.stratified_sample(rows, ["lead", "stratum"], "pixel", CAPS, "stratum", 5, ties=["y"])
 
 
 @query(f"WITH {ROWS}, {SAMPLE} SELECT lead, stratum, count(*) AS kept, CAST(round(sum(weight)) AS BIGINT) AS population, CAST(sum(pixel % 1000) AS BIGINT) AS checksum FROM smp GROUP BY lead, stratum")
@@ -136,7 +141,7 @@ def weighted_logloss(spark, sf_dir):
     return scores(spark, sf_dir).groupBy("method").agg(F.round(ml.log_loss(F.col("p"), F.col("o"), F.col("lead") / 30), 6).alias("loss"))
 
 
-UNITS, REPS, BLOCK = 48, 100, 12
+UNITS, REPS, BLOCK = 48, 1000, 12
 DRAWS = f"""draws AS (SELECT CAST(i // {UNITS // BLOCK} AS INT) AS rep, {LCG('i', 9)} % {UNITS} AS s FROM range({REPS * UNITS // BLOCK}) t(i)),
 times AS (SELECT rep, CAST((s + k) % {UNITS} AS INT) AS unit, count(*) AS times FROM draws CROSS JOIN range({BLOCK}) b(k) GROUP BY ALL)"""
 
@@ -164,7 +169,11 @@ def paired_event_bootstrap(spark, sf_dir):
     return wide.agg(F.round(F.avg((F.col("d") > 0).cast("double")), 8).alias("second_better"), (F.round(F.percentile("d", 0.5), 7) + 0.0).alias("mid"))
 
 
-@query()
+@query(f"""WITH {POS}, pr AS (SELECT cell, min_bt - 250 AS dev, lead(min_bt - 250) OVER (PARTITION BY cell ORDER BY frame) AS nxt FROM pos),
+u AS (SELECT row_number() OVER (ORDER BY cell) - 1 AS unit, sum(dev * nxt) AS xy, sum(dev * dev) AS xx FROM pr WHERE nxt IS NOT NULL GROUP BY cell),
+draws AS (SELECT i // (SELECT count(*) FROM u) AS rep, {LCG('i', 4)} % (SELECT count(*) FROM u) AS unit FROM range({REPS} * (SELECT count(*) FROM u)) t(i)),
+r AS (SELECT rep, sum(xy) / sum(xx) AS phi FROM draws JOIN u USING (unit) GROUP BY rep)
+SELECT round(quantile_cont(phi, 0.025), 8) AS low, round(quantile_cont(phi, 0.5), 8) AS mid, round(quantile_cont(phi, 0.975), 8) AS high FROM r""")
 def cell_bootstrap_ar1(spark, sf_dir):
     """Interval of the first-order autocorrelation, cells resampled with their sufficient sums."""
     from nimboscale.operators.tracks import by_cell
@@ -173,9 +182,9 @@ def cell_bootstrap_ar1(spark, sf_dir):
     p = positions(spark, sf_dir).withColumn("dev", F.col("min_bt") - 250)
     pairs = p.withColumn("nxt", F.lead("dev").over(by_cell())).where("nxt IS NOT NULL")
     cells = pairs.groupBy("cell").agg(F.sum(F.col("dev") * F.col("nxt")).alias("xy"), F.sum(F.col("dev") * F.col("dev")).alias("xx"))
-    units = cells.withColumn("unit", F.pmod(F.col("cell"), F.lit(150)).cast("int"))
-    reps = B.bootstrap_sums(units, "unit", [], ["xy", "xx"], 200, 150, 1, 4).withColumn("phi", F.try_divide("xy", "xx"))
-    return B.interval(reps, [], "phi")
+    units = stored(B.numbered(cells, "cell", "unit"), "cell-sums")
+    reps = B.bootstrap_sums(units, "unit", [], ["xy", "xx"], REPS, units.count(), 1, 4).withColumn("phi", F.try_divide("xy", "xx"))
+    return B.interval(reps, [], "phi").select(*[F.round(c, 8).alias(c) for c in ("low", "mid", "high")])
 
 
 @query("""WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders), e AS (SELECT day FROM d WHERE extract('day' FROM day) = 15 AND extract('month' FROM day) = 6),
@@ -242,9 +251,10 @@ def cap_xml(spark, sf_dir):
     return p.select("place_id", cap.alias("cap"))
 
 
-@query()
+@query(f"""WITH {PLACES}, f AS (SELECT place_id, place_id // 25 AS block, '{{"type":"Feature","geometry":{{"type":"Point","coordinates":[' || CAST(round(lon, 4) AS VARCHAR) || ',' || CAST(round(lat, 4) AS VARCHAR) || ']}},"properties":{{"place":"' || place || '"}}}}' AS t FROM places)
+SELECT block, '{{"type":"FeatureCollection","features":[' || string_agg(t, ',' ORDER BY place_id) || ']}}' AS geojson FROM f GROUP BY block""")
 def geojson_features(spark, sf_dir):
-    rows = places(spark, sf_dir).withColumn("block", F.expr("place_id div 25"))
+    rows = places(spark, sf_dir).withColumn("block", F.expr("place_id div 25")).withColumns({c: F.round(c, 4) for c in ("lat", "lon")})
     return products.geojson_points(rows, ["block"], "lon", "lat", ["place"], "place_id")
 
 
@@ -264,15 +274,22 @@ def destination_points(spark, sf_dir):
     return p.select("place", F.round(lat, 8).alias("to_lat"), F.round(lon, 8).alias("to_lon"), F.round(S.mercator(F.col("lat")), 9).alias("merc"))
 
 
-@query()
+# Authalic latitude and its centre, with the ellipsoid's axis and squared eccentricity written out.
+_QS = lambda s: f"((1 - e2) * ({s} / (1 - e2 * {s} * {s}) - ln((1 - sqrt(e2) * {s}) / (1 + sqrt(e2) * {s})) / (2 * sqrt(e2))))"
+
+
+@query(f"""WITH {PLACES}, c AS (SELECT *, 6378137.0::DOUBLE AS a, (2 - 1 / 298.257223563::DOUBLE) / 298.257223563::DOUBLE AS e2, radians(30.0) AS p0 FROM places),
+q AS (SELECT *, {_QS('sin(radians(lat))')} AS q, {_QS('sin(p0)')} AS q0, {_QS('1.0::DOUBLE')} AS qp FROM c),
+b AS (SELECT *, asin(q / qp) AS beta, asin(q0 / qp) AS b0, a * sqrt(qp / 2) AS rq, radians(lon - 78.0) AS dl FROM q),
+d AS (SELECT *, a * cos(p0) / sqrt(1 - e2 * sin(p0) * sin(p0)) / (rq * cos(b0)) AS d, rq * sqrt(2 / (1 + sin(b0) * sin(beta) + cos(b0) * cos(beta) * cos(dl))) AS k FROM b)
+SELECT place, round(k * d * cos(beta) * sin(dl), 4) + 0.0 AS x_m, round(k / d * (cos(b0) * sin(beta) - sin(b0) * cos(beta) * cos(dl)), 4) + 0.0 AS y_m, round(lat, 7) AS lat_back, round(lon, 7) AS lon_back FROM d""")
 def projected_places(spark, sf_dir):
-    """Equal-area coordinates, the way back, and ellipsoidal distance to the centre."""
+    """Equal-area coordinates and the way back, which must give the places' own."""
     p = places(spark, sf_dir)
     x, y = S.laea(F.col("lat"), F.col("lon"), 30.0, 78.0)
     q = p.withColumns({"x_m": x, "y_m": y})
     lat, lon = S.laea_inverse(F.col("x_m"), F.col("y_m"), 30.0, 78.0)
-    g = S.geodesic(F.lit(30.0), F.lit(78.0), F.col("lat"), F.col("lon"))
-    return q.withColumns({"lat_back": lat, "lon_back": lon, "_g": g}).select("place", "lat", "lon", "x_m", "y_m", "lat_back", "lon_back", F.col("_g.km").alias("km"), F.col("_g.azimuth").alias("azimuth"))
+    return q.select("place", (F.round("x_m", 4) + 0.0).alias("x_m"), (F.round("y_m", 4) + 0.0).alias("y_m"), F.round(lat, 7).alias("lat_back"), F.round(lon, 7).alias("lon_back"))
 
 
 @query("""SELECT event_id, 'merg_' || strftime(ts, '%Y%m%d%H') || '_4km-pixel' AS name, strftime(ts, '%Y%m%dT%H%MZ') AS stamp, date_trunc('hour', ts) + INTERVAL 30 MINUTE AS second_field,
