@@ -23,18 +23,29 @@ def _along(axis: str, size: int):
     return Window.partitionBy("frame", other).orderBy(axis).rangeBetween(*offsets(size))
 
 
-def box(df: DataFrame, size: int, **aggregates: tuple[str, str]) -> DataFrame:
-    """Add columns ``name=(function, column)`` over a size x size box; sum, min, max, in the grid only, nulls skipped."""
+def box(df: DataFrame, size: int, **aggregates: tuple) -> DataFrame:
+    """Add columns ``name=(function, column)`` over a size x size box, or ``(function, column, own size)``; sum, min, max, in the grid only, nulls skipped.
+
+    Boxes of any number of sizes share the two exchanges.
+    """
     how = {"sum": F.sum, "min": F.min, "max": F.max}
-    along_x = df.withColumns({f"_{n}": how[f](c).over(_along("x", size)) for n, (f, c) in aggregates.items()})
-    along_y = along_x.withColumns({n: how[f](f"_{n}").over(_along("y", size)) for n, (f, c) in aggregates.items()})
+    wide = {n: (how[f], c, own[0] if own else size) for n, (f, c, *own) in aggregates.items()}
+    along_x = df.withColumns({f"_{n}": f(c).over(_along("x", k)) for n, (f, c, k) in wide.items()})
+    along_y = along_x.withColumns({n: f(f"_{n}").over(_along("y", k)) for n, (f, _, k) in wide.items()})
     return along_y.drop(*[f"_{n}" for n in aggregates])
 
 
+def box_fractions(df: DataFrame, boxes: dict[str, tuple[str, int]]) -> DataFrame:
+    """For each name of ``boxes`` the share of pixels with the event (column, size) in the full box, also at edges: what lies outside counts as no event, as nulls do."""
+    events = list(dict.fromkeys(e for e, _ in boxes.values()))
+    df = df.withColumns({f"_hit{i}": F.coalesce(F.col(e).cast("int"), F.lit(0)) for i, e in enumerate(events)})
+    df = box(df, 0, **{n: ("sum", f"_hit{events.index(e)}", k) for n, (e, k) in boxes.items()})
+    return df.withColumns({n: F.col(n) / F.lit(float(k * k)) for n, (_, k) in boxes.items()}).drop(*[f"_hit{i}" for i in range(len(events))])
+
+
 def box_fraction(df: DataFrame, event: str, size: int, out: str = "fraction") -> DataFrame:
-    """Share of event pixels of the full box, also at edges: what lies outside counts as no event, as nulls do."""
-    df = df.withColumn("_hit", F.coalesce(F.col(event).cast("int"), F.lit(0)))
-    return box(df, size, _hits=("sum", "_hit")).withColumn(out, F.col("_hits") / F.lit(float(size * size))).drop("_hit", "_hits")
+    """``box_fractions`` of one box."""
+    return box_fractions(df, {out: (event, size)})
 
 
 def box_min(df: DataFrame, value: str, size: int, out: str = "box_min") -> DataFrame:
@@ -92,6 +103,14 @@ def window_extreme(points: DataFrame, px: DataFrame, value: str, half: int, by:
     return spread(points, square(half)).join(px.select(*KEY, value), keys).groupBy(*by).agg(F.max(value).alias("max_value"))
 
 
+def unsegmented(features: DataFrame, segment: DataFrame, px: DataFrame, value: str = "v") -> DataFrame:
+    """Features (frame, feature, cy, cx) without a pixel in ``segment``: the least value of the 3 x 3 window around their rounded position, and no area."""
+    bare = features.select("frame", "feature", "cy", "cx").join(segment.select("frame", "feature").distinct(), ["frame", "feature"], "left_anti")
+    at = bare.withColumns({"y": F.rint("cy").cast("int"), "x": F.rint("cx").cast("int")})
+    low = spread(at, square(1)).join(px.select(*KEY, value), KEY, "left").groupBy("frame", "feature", "cy", "cx").agg(F.min(value).alias("min_bt"))
+    return low.withColumns({"area": F.lit(0.0), "core": F.lit(0.0), "touches_missing": F.lit(False)})
+
+
 def shifted_iou(first: DataFrame, second: DataFrame, by: list[str], dy: int, dx: int, height: int, width: int) -> DataFrame:
     """Intersection over union by ``by`` of pixel sets, the first moved by (dy, dx) without wrap; null for an empty union."""
     a = shifted(first, dy, dx, height, width).select(*by, "y", "x").withColumn("_a", F.lit(1))

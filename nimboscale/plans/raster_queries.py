@@ -107,19 +107,18 @@ GROUP BY o.scale, l.lead""")
 def fss_by_scale(spark, sf_dir):
     px = pixels(spark, sf_dir).withColumn("e", F.col("v") < E)
     base = px.agg(V.useful(F.count_if("e"), F.count(F.lit(1))).alias("useful"))
-    out = None
-    for s in SCALES:
-        b = R.box_fraction(px, "e", s).select("frame", "y", "x", "fraction")
-        j = R.against(R.persistence(b, [1, 2], "fraction"), b, "fraction").withColumn("scale", F.lit(s))
-        out = j if out is None else out.unionByName(j)
+    boxed = R.box_fractions(px, {f"f{s}": ("e", s) for s in SCALES}).withColumn("f", F.array(*[f"f{s}" for s in SCALES]))
+    met = R.against(R.persistence(boxed, [1, 2], "f"), boxed, "f")
+    scales = F.explode(F.arrays_zip(F.array(*[F.lit(s) for s in SCALES]).alias("scale"), "forecast", "observed"))
+    out = met.select("lead", scales.alias("s")).select("lead", "s.*")
     # base is one row.
     return V.fss(out, ["scale", "lead"], "forecast", "observed").crossJoin(F.broadcast(base)).select("scale", "lead", F.round("fss", 8).alias("fss"), F.round("useful", 6).alias("useful"))
 
 
 @query(f"""WITH {PX} SELECT frame, round(avg(CASE WHEN v IS NULL THEN 1.0::DOUBLE ELSE 0.0 END), 9) AS missing_frac,
-  round(avg(CASE WHEN v IS NOT NULL AND (v > 0.3 OR v < -0.33) THEN 1.0::DOUBLE ELSE 0.0 END), 9) AS out_of_range_frac,
+  round(coalesce((count(*) FILTER (WHERE v > 0.3 OR v < -0.33))::DOUBLE / nullif(count(v), 0), 1.0), 9) AS out_of_range_frac,
   round(min(v), 7) AS low, round(max(v), 7) AS high,
-  CASE WHEN avg(CASE WHEN v IS NULL THEN 1.0::DOUBLE ELSE 0.0 END) > 0.059 OR avg(CASE WHEN v IS NOT NULL AND (v > 0.3 OR v < -0.33) THEN 1.0::DOUBLE ELSE 0.0 END) > 0.02
+  CASE WHEN avg(CASE WHEN v IS NULL THEN 1.0::DOUBLE ELSE 0.0 END) > 0.059 OR coalesce((count(*) FILTER (WHERE v > 0.3 OR v < -0.33))::DOUBLE / nullif(count(v), 0), 1.0) > 0.02
        THEN 'QC_FAIL' ELSE 'OK' END AS status FROM pm GROUP BY frame""")
 def frame_qc(spark, sf_dir):
     from nimboscale.operators.preprocess import frame_quality
