@@ -11,10 +11,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def frame_quality(px: DataFrame, value: str, low: float, high: float, most_missing: float, most_odd: float, digits: int = 9) -> DataFrame:
-    """Missing and out-of-range shares, extremes and status of each frame; NaN counts as missing."""
+    """Missing share, out-of-range share of the valid pixels (1 where none is), extremes and status of each frame; NaN counts as missing."""
     v = F.when(~F.isnan(value), F.col(value))
-    odd = F.coalesce((v > high) | (v < low), F.lit(False)).cast("double")
-    out = px.groupBy("frame").agg(F.avg(v.isNull().cast("double")).alias("m"), F.avg(odd).alias("o"), F.min(v).alias("low"), F.max(v).alias("high"))
+    odd = ((v > high) | (v < low)).cast("double")
+    out = px.groupBy("frame").agg(F.avg(v.isNull().cast("double")).alias("m"), F.coalesce(F.avg(odd), F.lit(1.0)).alias("o"), F.min(v).alias("low"), F.max(v).alias("high"))
     status = F.when((F.col("m") > most_missing) | (F.col("o") > most_odd), "QC_FAIL").otherwise("OK")
     return out.select(
         "frame", F.round("m", digits).alias("missing_frac"), F.round("o", digits).alias("out_of_range_frac"),

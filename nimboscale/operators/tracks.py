@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from nimboscale.functions.scalars import bearing_deg, geodesic, haversine_km
 from nimboscale.operators.graph import connected_components
+from nimboscale.operators.quantile import with_quantiles
 from nimboscale.operators.verify import ratio
 from nimboscale.session import stored
 
@@ -64,6 +65,11 @@ def link_events(edges: DataFrame) -> DataFrame:
     return marked_best(edges).withColumn("kind", kind)
 
 
+def _kinds(edges: DataFrame) -> DataFrame:
+    """``edges`` as ``link_events`` gives them; those that have their kinds already, best from a stored table, are taken as they are."""
+    return edges if "kind" in edges.columns else link_events(edges)
+
+
 def chains(links: DataFrame, max_rounds: int = 40) -> DataFrame:
     """(frame, feature, root_frame, root): pointer jumping along continuations (frame, parent, child) doubles the reach each round."""
     node = links.select((F.col("frame") + 1).alias("frame"), F.col("child").alias("feature"), F.col("frame").alias("root_frame"), F.col("parent").alias("root"))
@@ -84,7 +90,7 @@ def assign_tracks(segment: DataFrame, edges: DataFrame) -> DataFrame:
     Roots are numbered by a global order over chains: counts by root frame give
     each frame its first number, so no task sorts all roots.
     """
-    linked = link_events(edges).where("kind = 'CONTINUE'")
+    linked = _kinds(edges).where("kind = 'CONTINUE'")
     rooted = chains(linked.select("frame", "parent", "child"))
     nodes = segment.select("frame", "feature").distinct().join(rooted, ["frame", "feature"], "left")
     nodes = nodes.select("frame", "feature", F.coalesce("root_frame", "frame").alias("root_frame"), F.coalesce("root", "feature").alias("root"))
@@ -99,7 +105,7 @@ def assign_tracks(segment: DataFrame, edges: DataFrame) -> DataFrame:
 
 def families(tracks: DataFrame, edges: DataFrame) -> DataFrame:
     """(cell, family): cells that merges or splits join, under their smallest cell."""
-    events = link_events(edges).where("kind IN ('MERGE', 'SPLIT')")
+    events = _kinds(edges).where("kind IN ('MERGE', 'SPLIT')")
     parent = tracks.select("frame", F.col("feature").alias("parent"), F.col("cell").alias("src"))
     child = tracks.select((F.col("frame") - 1).alias("frame"), F.col("feature").alias("child"), F.col("cell").alias("dst"))
     joined = events.join(parent, ["frame", "parent"]).join(child, ["frame", "child"]).select("src", "dst")
@@ -109,7 +115,7 @@ def families(tracks: DataFrame, edges: DataFrame) -> DataFrame:
 
 def genealogy(tracks: DataFrame, edges: DataFrame) -> DataFrame:
     """(frame, kind, from_cell, into_cell, overlap_frac) of merges and splits, at the child's frame."""
-    events = link_events(edges).where("kind IN ('MERGE', 'SPLIT')")
+    events = _kinds(edges).where("kind IN ('MERGE', 'SPLIT')")
     parent = tracks.select("frame", F.col("feature").alias("parent"), F.col("cell").alias("from_cell"))
     child = tracks.select((F.col("frame") - 1).alias("frame"), F.col("feature").alias("child"), F.col("cell").alias("into_cell"))
     out = events.join(parent, ["frame", "parent"]).join(child, ["frame", "child"])
@@ -191,15 +197,37 @@ def phases(rows: DataFrame, warming: float, mature_below: float, steady: float,
 
 
 def cell_summary(rows: DataFrame, minutes: int = 30) -> DataFrame:
-    """One row a cell from (cell, frame, x, y, min_bt, area, phase)."""
-    first, last = F.min_by("x", "frame"), F.max_by("x", "frame")
-    dx, dy = last - first, F.max_by("y", "frame") - F.min_by("y", "frame")
-    seen = F.transform(F.array_sort(F.collect_list(F.struct("frame", "phase"))), lambda s: s["phase"])
-    return rows.groupBy("cell").agg(
+    """One row a cell from (cell, frame, x, y, min_bt, area, core, d_min_bt, phase); x and y are metres.
+
+    Net motion is from the first to the last position, over the ellipsoid where
+    the rows have ``lat`` and ``lon``; cells of one frame have none. Step speeds
+    are ``speed_kmh`` where given, else planar. ``touches_missing`` and
+    ``family`` add frames touching missing data and the family's cells.
+    """
+    w, at = by_cell(), F.struct
+    if "speed_kmh" not in rows.columns:
+        hours = (F.col("frame") - F.lag("frame").over(w)) * (minutes / 60)
+        rows = rows.withColumn("speed_kmh", F.hypot(F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w)) / 1000 / hours)
+    located = [c for c in ("lat", "lon") if c in rows.columns]
+    seen = F.transform(F.array_sort(F.collect_list(at("frame", "phase"))), lambda s: s["phase"])
+    more = [F.count_if("touches_missing").alias("frames_touching_missing")] if "touches_missing" in rows.columns else []
+    more += [F.min("family").alias("family")] if "family" in rows.columns else []
+    out = rows.groupBy("cell").agg(
         F.count(F.lit(1)).alias("n_frames"), F.min("frame").alias("first_frame"), F.max("frame").alias("last_frame"),
-        ((F.max("frame") - F.min("frame")) * minutes).alias("lifetime_min"), F.min("min_bt").alias("min_bt"), F.max("area").alias("max_area"),
-        F.percentile("area", 0.5).alias("median_area"), F.hypot(dx, dy).alias("net_displacement"), F.array_join(F.array_distinct(seen), ",").alias("phases_seen"),
+        ((F.max("frame") - F.min("frame")) * minutes).alias("lifetime_min"), F.min("min_bt").alias("min_bt"), F.max("area").alias("max_area"), F.max("core").alias("max_core"),
+        F.percentile("area", 0.5).alias("median_area"), F.percentile("speed_kmh", 0.5).alias("median_step_speed"), F.min("d_min_bt").alias("largest_cooling"),
+        F.min_by(at("x", "y", *located), "frame").alias("_a"), F.max_by(at("x", "y", *located), "frame").alias("_b"), F.array_join(F.array_distinct(seen), ",").alias("phases_seen"), *more,
     )
+    dx, dy = F.col("_b.x") - F.col("_a.x"), F.col("_b.y") - F.col("_a.y")
+    length, heading = F.hypot(dx, dy), F.pmod(F.degrees(F.atan2(dx, dy)), F.lit(360.0))
+    if located:
+        out = out.withColumn("_g", geodesic(F.col("_a.lat"), F.col("_a.lon"), F.col("_b.lat"), F.col("_b.lon")))
+        length, heading = F.col("_g.km") * 1000, F.col("_g.azimuth")
+    out = out.withColumns({f"{n}_{c}": F.col(f"_{t}.{c}") for n, t in (("start", "a"), ("end", "b")) for c in ("x", "y", *located)})
+    out = out.withColumns({"net_displacement": length, "net_speed": F.try_divide(length / 1000, F.col("lifetime_min") / 60), "net_heading": F.when(F.col("lifetime_min") > 0, heading)}).drop("_a", "_b", "_g")
+    if "family" in rows.columns:
+        out = out.join(out.groupBy("family").agg(F.count(F.lit(1)).alias("family_size")), "family")
+    return out
 
 
 def with_age(rows: DataFrame, minutes: int = 30) -> DataFrame:
@@ -210,10 +238,9 @@ def with_age(rows: DataFrame, minutes: int = 30) -> DataFrame:
 
 def flow_consistency(one: DataFrame, u: str, v: str) -> DataFrame:
     """Correlation of steps with a flow along each axis, and medians of step, flow and difference lengths."""
-    return one.agg(
-        F.corr("dx", u).alias("corr_x"), F.corr("dy", v).alias("corr_y"), F.median("dist").alias("median_step"),
-        F.median(F.hypot(u, v)).alias("median_flow"), F.median(F.hypot(F.col("dx") - F.col(u), F.col("dy") - F.col(v))).alias("median_diff"),
-    )
+    rows = one.withColumns({"_flow": F.hypot(u, v), "_diff": F.hypot(F.col("dx") - F.col(u), F.col("dy") - F.col(v))})
+    both = rows.agg(F.corr("dx", u).alias("corr_x"), F.corr("dy", v).alias("corr_y"))
+    return with_quantiles(both, rows, [], {"median_step": ("dist", 0.5), "median_flow": ("_flow", 0.5), "median_diff": ("_diff", 0.5)})
 
 
 def suspicious(one: DataFrame, least: float, far: float) -> DataFrame:
@@ -291,14 +318,15 @@ def object_forecasts(pos: DataFrame, leads: list[int], window: int = 2) -> DataF
     """Persistence and extrapolation of every fix, matched to the cell's fix at frame + lead.
 
     The velocity is over ``window`` frames, else over one; frames may be absent,
-    so it is looked up by frame, not by row. ``survived`` is false and the error
-    null where the cell has no fix then.
+    so it is looked up by frame, not by row. Fixes without either are left out
+    for both methods. ``survived`` is false and the error null where the cell has
+    no fix then.
     """
     at = lambda n, tag: pos.select("cell", (F.col("frame") + n).alias("frame"), F.col("x").alias(f"_x{tag}"), F.col("y").alias(f"_y{tag}"))
     known = pos.join(at(window, "w"), ["cell", "frame"], "left").join(at(1, "o"), ["cell", "frame"], "left")
     u = F.coalesce((F.col("x") - F.col("_xw")) / window, F.col("x") - F.col("_xo"))
     v = F.coalesce((F.col("y") - F.col("_yw")) / window, F.col("y") - F.col("_yo"))
-    issue = known.withColumns({"u": u, "v": v}).select("cell", F.col("frame").alias("issue"), "x", "y", "u", "v", F.explode(F.array(*[F.lit(n) for n in leads])).alias("lead"))
+    issue = known.withColumns({"u": u, "v": v}).where("u IS NOT NULL").select("cell", F.col("frame").alias("issue"), "x", "y", "u", "v", F.explode(F.array(*[F.lit(n) for n in leads])).alias("lead"))
     seen = pos.select("cell", F.col("frame").alias("_valid"), F.col("x").alias("ox"), F.col("y").alias("oy"))
     met = issue.withColumn("_valid", F.col("issue") + F.col("lead")).join(seen, ["cell", "_valid"], "left")
     out = None
@@ -310,16 +338,19 @@ def object_forecasts(pos: DataFrame, leads: list[int], window: int = 2) -> DataF
 
 
 def forecast_summary(fc: DataFrame) -> DataFrame:
-    return fc.groupBy("method", "lead").agg(
-        F.count(F.lit(1)).alias("n"), F.count("err").alias("n_scored"), F.avg(F.col("survived").cast("double")).alias("survival"), F.avg("err").alias("mean"),
-        F.percentile("err", 0.25).alias("p25"), F.percentile("err", 0.5).alias("median"), F.percentile("err", 0.75).alias("p75"), F.count_distinct("cell").alias("cells"),
-    )
+    fc = stored(fc, "forecasts")
+    sums = fc.groupBy("method", "lead").agg(
+        F.count(F.lit(1)).alias("n"), F.count("err").alias("n_scored"), F.avg(F.col("survived").cast("double")).alias("survival"), F.avg("err").alias("mean"), F.count_distinct("cell").alias("cells")
+    )
+    return with_quantiles(sums, fc, ["method", "lead"], {"p25": ("err", 0.25), "median": ("err", 0.5), "p75": ("err", 0.75)})
 
 
 def paired(fc: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
     """On the rows that both methods score: share where b is closer, and the median difference."""
     wide = fc.groupBy("cell", "issue", *keys).pivot("method", [a, b]).agg(F.first("err")).dropna(subset=[a, b])
-    return wide.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col(b) < F.col(a)).cast("double")).alias("closer"), F.percentile(F.col(b) - F.col(a), 0.5).alias("median_diff"))
+    wide = stored(wide.withColumn("_diff", F.col(b) - F.col(a)), "paired")
+    sums = wide.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col(b) < F.col(a)).cast("double")).alias("closer"))
+    return with_quantiles(sums, wide, keys, {"median_diff": ("_diff", 0.5)})
 
 
 def ar1(rows: DataFrame, by: list[str], x: str, nxt: str) -> DataFrame:

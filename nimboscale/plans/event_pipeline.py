@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from nimboscale.functions.scalars import laea, laea_inverse
 from nimboscale.operators import audit, kernels, preprocess, raster, tracks, verify
+from nimboscale.session import stored
 from nimboscale.sources import io
 
 
@@ -39,18 +40,21 @@ class Event:
     segment_k: float = 245.0
     core_k: float = 221.0
     thresholds: list[float] = field(default_factory=lambda: [273.0, 253.0, 235.0, 221.0, 208.0])
-    least_pixels: int = 4
+    #: Of a feature, at each threshold.
+    least_pixels: list[int] = field(default_factory=lambda: [25, 8, 4, 4, 4])
     least_overlap: float = 0.2
     least_frames: int = 2
     leads: list[int] = field(default_factory=lambda: [1, 2, 3, 4, 6, 8, 10, 12])
     scales: list[int] = field(default_factory=lambda: [10, 20])
-    phase_rules: tuple[float, float, float, float, float] = (5.0, 221.0, 0.2, 273.0, -4.0)
+    phase_rules: tuple[float, float, float, float, float] = (4.0, 221.0, 0.1, 273.0, -8.0)
+    #: Lowest and highest value, largest missing and out-of-range shares of an accepted frame.
+    quality: tuple[float, float, float, float] = (170.0, 330.0, 0.05, 0.0)
     minutes: int = 30
 
     @classmethod
     def read(cls, path: str) -> Event:
         """From a YAML file whose keys are the fields."""
-        return cls(**{k: tuple(v) if k in ("box", "centre", "phase_rules") else v for k, v in io.read_config(path).items()})
+        return cls(**{k: tuple(v) if k in ("box", "centre", "phase_rules", "quality") else v for k, v in io.read_config(path).items()})
 
 
 def target_grid(spark: SparkSession, event: Event) -> tuple[DataFrame, int, int]:
@@ -93,16 +97,17 @@ def cube(spark: SparkSession, raw: str, source: Source, event: Event, grid: Data
     made = raster.bilinear(filled.select("frame", "y", "x", "v"), targets)
     out = made.select("frame", F.col("ty").alias("y"), F.col("tx").alias("x"), "v", "in_domain")
     flagged = filled.groupBy("frame").agg(F.avg(F.col("gapfilled").cast("double")).alias("gapfilled_frac"))
-    return out, preprocess.frame_quality(px, "v", 150.0, 330.0, 0.2, 0.01).join(flagged, "frame")
+    return out, preprocess.frame_quality(out.where("in_domain"), "v", *event.quality).join(flagged, "frame")
 
 
 def track(px: DataFrame, grid: DataFrame, event: Event, height: int, width: int) -> dict[str, DataFrame]:
-    """Features, segments, links, cells and lifecycles of a cube."""
+    """Features, segments, links, cells and lifecycles of a cube. Features warmer than the segments keep a row of no area in ``unsegmented``."""
     inside = px.withColumn("v", F.when(F.col("in_domain"), F.col("v"))).select("frame", "y", "x", "v")
-    features = kernels.detect(inside, height, width, event.thresholds, event.least_pixels)
-    segment = kernels.watershed(inside, features, height, width, event.segment_k)
-    edges = tracks.overlaps(segment, least=event.least_overlap)
-    named = tracks.assign_tracks(segment, edges)
+    # Each of these is read many times.
+    features = stored(kernels.detect(inside, height, width, event.thresholds, event.least_pixels), "features")
+    segment = stored(kernels.watershed(inside, features, height, width, event.segment_k), "segments")
+    edges = stored(tracks.link_events(tracks.overlaps(segment, least=event.least_overlap)), "links")
+    named = stored(tracks.assign_tracks(segment, edges), "tracks")
     kept = audit.long_enough(named, event.least_frames)
     stats = tracks.segment_stats(segment, inside, core=event.core_k, pixel_area=(event.resolution_m / 1000) ** 2)
     centre = tracks.cold_centroid(segment, inside, event.segment_k)
@@ -115,7 +120,7 @@ def track(px: DataFrame, grid: DataFrame, event: Event, height: int, width: int)
     moved = tracks.movement(rows, seconds=event.minutes * 60.0)
     phased = tracks.phases(tracks.rates(moved), *event.phase_rules)
     lifecycle = tracks.with_age(phased, event.minutes).join(tracks.families(named, edges), "cell")
-    return {"features": features, "segments": segment, "lifecycle": lifecycle, "cells": tracks.cell_summary(phased, event.minutes), "genealogy": tracks.genealogy(named, edges)}
+    return {"features": features, "segments": segment, "lifecycle": lifecycle, "cells": tracks.cell_summary(lifecycle, event.minutes), "genealogy": tracks.genealogy(named, edges), "unsegmented": raster.unsegmented(features, segment, inside)}
 
 
 def forecast_scores(px: DataFrame, event: Event, height: int, width: int) -> dict[str, DataFrame]:
@@ -130,11 +135,9 @@ def forecast_scores(px: DataFrame, event: Event, height: int, width: int) -> dic
     rows = long.select("m.*", "issue", "lead", "y", "x", "observed", valid.alias("valid")).withColumns({"fc": F.col("forecast") < event.event_k, "obs": F.col("observed") < event.event_k})
     by_issue = verify.contingency(rows, ["method", "issue", "lead"], "fc", "obs", F.col("valid"))
     boxed = rows.withColumns({c: F.coalesce(F.col(c) & F.col("valid"), F.lit(False)) for c in ("fc", "obs")}).withColumn("frame", F.struct("method", "issue", "lead"))
-    fss = None
-    for scale in event.scales:
-        made = raster.box_fraction(raster.box_fraction(boxed, "fc", scale, "pf"), "obs", scale, "po").where("valid")
-        one = verify.fss(made, ["method", "lead"], "pf", "po").withColumn("scale", F.lit(scale))
-        fss = one if fss is None else fss.unionByName(one)
+    made = raster.box_fractions(boxed, {f"box_{c}{n}": (c, n) for n in event.scales for c in ("fc", "obs")})
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("scale"), F.col(f"box_fc{n}").alias("pf"), F.col(f"box_obs{n}").alias("po")) for n in event.scales]))
+    fss = verify.fss(made.where("valid").select("method", "lead", each.alias("s")).select("method", "lead", "s.*"), ["method", "lead", "scale"], "pf", "po")
     return {"scores_by_issue": by_issue, "scores": verify.cat_scores(by_issue.groupBy("method", "lead").agg(*[F.sum(c).alias(c) for c in verify.COUNTS])), "fss": fss}
 
 
@@ -150,10 +153,9 @@ def run_event(spark: SparkSession, raw: str, out: str, source: Source, event: Ev
     px, quality = cube(spark, raw, source, event, tables["grid"], until)
     tables |= {"pixels": kept("pixels", px), "frame_quality": kept("frame_quality", quality)}
     made = track(tables["pixels"], tables["grid"], event, height, width)
-    # Links read the segments many times: they are a table before anything else.
     for name in ("features", "segments"):
         tables[name] = kept(name, made[name])
-    for name in ("lifecycle", "cells", "genealogy"):
+    for name in ("lifecycle", "cells", "genealogy", "unsegmented"):
         tables[name] = kept(name, made[name])
     for name, df in forecast_scores(tables["pixels"], event, height, width).items():
         tables[name] = kept(name, df)

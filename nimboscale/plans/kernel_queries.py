@@ -8,7 +8,7 @@ from nimboscale.operators import kernels as K, preprocess as P, products, verify
 from nimboscale.operators.graph import connected_components
 from nimboscale.operators.raster import against
 from nimboscale.plans.registry import query
-from nimboscale.plans.standins import EVENT, HEIGHT, PX, WIDTH, pixels, segments
+from nimboscale.plans.standins import EVENT, HEIGHT, PX, SEG, WIDTH, pixels, segments
 
 LEVELS = [-0.05, -0.1, -0.15]
 
@@ -77,15 +77,24 @@ def contour_rings(spark, sf_dir):
     return ring.join(seg.groupBy("frame", "feature").agg(F.count(F.lit(1)).alias("pixels")), ["frame", "feature"]).select("frame", "feature", "pixels", "perimeter")
 
 
-@query()
+SPAN = 8
+STREAMED = f"""{PX}, {SEG}, e0 AS (SELECT a.frame, a.feature AS parent, b.feature AS child, count(*) AS n FROM seg a JOIN seg b ON b.frame = a.frame + 1 AND b.y = a.y AND b.x = a.x AND b.frame // {SPAN} = a.frame // {SPAN} GROUP BY ALL),
+best AS (SELECT *, row_number() OVER (PARTITION BY frame, parent ORDER BY n DESC, child) = 1 AS bc, row_number() OVER (PARTITION BY frame, child ORDER BY n DESC, parent) = 1 AS bp FROM e0),
+nodes AS (SELECT DISTINCT frame, feature FROM seg),
+walk AS (SELECT n.frame, n.feature, n.frame AS rf, n.feature AS rr FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM best k WHERE bc AND bp AND k.frame + 1 = n.frame AND k.child = n.feature)
+  UNION ALL SELECT w.frame + 1, k.child, w.rf, w.rr FROM walk w JOIN best k ON bc AND bp AND k.frame = w.frame AND k.parent = w.feature),
+named AS (SELECT rf, rr, row_number() OVER (PARTITION BY rf // {SPAN} ORDER BY rf, rr) AS cell FROM (SELECT DISTINCT rf, rr FROM walk))"""
+
+
+@query(f"WITH RECURSIVE {STREAMED} SELECT 'e' || (w.frame // {SPAN}) AS event, w.frame, w.feature, n.cell FROM walk w JOIN named n USING (rf, rr)")
 def streamed_links(spark, sf_dir):
-    """Cells from the stateful stream, run to its end over the stored tile segments."""
+    """Cells from the stateful stream, run to its end over the stored tile segments; an event is SPAN frames."""
     import uuid
 
     from nimboscale.session import new_shared_path
     from nimboscale.streaming.frames import link_frames
 
-    seg = segments(pixels(spark, sf_dir)).select(F.lit("e").alias("event"), "frame", "y", "x", "feature")
+    seg = segments(pixels(spark, sf_dir)).select(F.concat(F.lit("e"), F.expr(f"frame div {SPAN}")).alias("event"), "frame", "y", "x", "feature")
     path = new_shared_path(spark, "stream-in")
     seg.write.parquet(path)
     name, check, out = f"links_{uuid.uuid4().hex}", new_shared_path(spark, "stream-state"), new_shared_path(spark, "stream-out")

@@ -7,6 +7,7 @@ from pyspark.sql import Window, functions as F
 from nimboscale.operators import tracks as T
 from nimboscale.plans.registry import query
 from nimboscale.plans.standins import HEIGHT, PLACES, POS, PX, SEG, WIDTH, pixels, places, positions, segments
+from nimboscale.session import stored
 
 # Each parent's tile is one label a frame; edges are between tiles of consecutive frames, moved one pixel.
 EDGES = f"""{PX}, {SEG},
@@ -34,6 +35,7 @@ def _edges(spark, sf_dir):
 
 def _tracks(spark, sf_dir):
     seg, edges = _edges(spark, sf_dir)
+    edges = stored(T.link_events(edges), "links")
     return seg, edges, T.assign_tracks(seg, edges)
 
 
@@ -179,10 +181,15 @@ def phase_labels(spark, sf_dir):
 
 
 @query(f"""WITH {RATES} SELECT cell, count(*) AS n_frames, min(frame) AS first_frame, max(frame) AS last_frame, (max(frame) - min(frame)) * 30 AS lifetime_min, round(min(min_bt), 6) AS min_bt, max(area) AS max_area,
-  quantile_cont(area, 0.5) AS median_area, round(sqrt(pow(arg_max(x, frame) - arg_min(x, frame), 2) + pow(arg_max(y, frame) - arg_min(y, frame), 2)), 3) AS net_displacement FROM ph GROUP BY cell""")
+  quantile_cont(area, 0.5) AS median_area, max(core) AS max_core, round(arg_min(x, frame), 3) AS start_x, round(arg_min(y, frame), 3) AS start_y, round(arg_max(x, frame), 3) AS end_x, round(arg_max(y, frame), 3) AS end_y,
+  round(quantile_cont(speed, 0.5), 6) AS median_step_speed, round(min(d_min_bt), 6) AS largest_cooling, round(sqrt(pow(arg_max(x, frame) - arg_min(x, frame), 2) + pow(arg_max(y, frame) - arg_min(y, frame), 2)), 3) AS net_displacement,
+  round(sqrt(pow(arg_max(x, frame) - arg_min(x, frame), 2) + pow(arg_max(y, frame) - arg_min(y, frame), 2)) / 1000 / nullif((max(frame) - min(frame)) * 0.5::DOUBLE, 0), 6) AS net_speed,
+  CASE WHEN max(frame) > min(frame) THEN round((degrees(atan2(arg_max(x, frame) - arg_min(x, frame), arg_max(y, frame) - arg_min(y, frame))) + 360) % 360, 6) END AS net_heading FROM (
+  SELECT *, sqrt(pow(x - lag(x) OVER c, 2) + pow(y - lag(y) OVER c, 2)) / 1000 / ((frame - lag(frame) OVER c) * 0.5::DOUBLE) AS speed FROM ph WINDOW c AS (PARTITION BY cell ORDER BY frame)) GROUP BY cell""")
 def cell_summary(spark, sf_dir):
     s = T.cell_summary(_phased(spark, sf_dir)).drop("phases_seen")
-    return s.withColumns({"net_displacement": F.round("net_displacement", 3), "min_bt": F.round("min_bt", 6)})
+    places = {"net_displacement": 3, "start_x": 3, "start_y": 3, "end_x": 3, "end_y": 3}
+    return s.withColumns({c: F.round(c, places.get(c, 6)) for c in ("net_displacement", "start_x", "start_y", "end_x", "end_y", "min_bt", "median_step_speed", "largest_cooling", "net_speed", "net_heading")})
 
 
 @query(f"""WITH {RATES}, f AS (SELECT cell, phase, min(frame) AS f FROM ph GROUP BY ALL) SELECT cell, string_agg(phase, ',' ORDER BY f) AS phases_seen FROM f GROUP BY cell""")
@@ -203,6 +210,7 @@ FC = f"""{POS}, iss AS (
   SELECT p.cell, p.frame AS issue, l.lead, p.x, p.y, coalesce((p.x - w.x) / 2, p.x - o.x) AS u, coalesce((p.y - w.y) / 2, p.y - o.y) AS v, s.x AS ox, s.y AS oy
   FROM pos p CROSS JOIN (VALUES (1), (2), (4)) l(lead) LEFT JOIN pos w ON w.cell = p.cell AND w.frame = p.frame - 2 LEFT JOIN pos o ON o.cell = p.cell AND o.frame = p.frame - 1
   LEFT JOIN pos s ON s.cell = p.cell AND s.frame = p.frame + l.lead
+  WHERE w.cell IS NOT NULL OR o.cell IS NOT NULL
 ), fc AS (
   SELECT cell, issue, lead, 'persistence' AS method, ox IS NOT NULL AS survived, sqrt((x - ox) * (x - ox) + (y - oy) * (y - oy)) AS err FROM iss UNION ALL
   SELECT cell, issue, lead, 'extrapolation', ox IS NOT NULL, sqrt((x + lead * u - ox) * (x + lead * u - ox) + (y + lead * v - oy) * (y + lead * v - oy)) FROM iss)"""
