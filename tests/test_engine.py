@@ -158,8 +158,10 @@ def test_phase_rules(spark):
 def test_qc_and_time_golden(spark):
     ok, hot, gap = np.full((4, 4), 280.0), np.full((4, 4), 280.0), np.full((4, 4), 280.0)
     hot[0, 0], gap[:2] = 400, np.nan
-    got = {r.frame: r.status for r in P.frame_quality(grid(spark, [ok, hot, gap]), "v", 150.0, 330.0, 0.2, 0.01).collect()}
+    got = {r.frame: r.status for r in P.frame_quality(grid(spark, [ok, hot, gap]), "v", 170.0, 330.0, 0.05, 0.0).collect()}
     assert got == {0: "OK", 1: "QC_FAIL", 2: "QC_FAIL"}
+    half, none = np.array([[100.0, 280.0], [np.nan, np.nan]]), np.full((2, 2), np.nan)
+    assert [r.out_of_range_frac for r in P.frame_quality(grid(spark, [half, none]), "v", 170.0, 330.0, 0.05, 0.0).orderBy("frame").collect()] == [0.5, 1.0]
     t = spark.createDataFrame([(1, 0, 0), (1, 1, 30), (2, 0, 30), (2, 1, 30), (3, 0, 5)], "k int, i int, t int")
     assert {r.k: r.monotonic for r in P.monotonic(t, ["k"], "i", "t").collect()} == {1: True, 2: False, 3: True}
 
@@ -419,13 +421,61 @@ def test_io_round_trips(spark, tmp_path):
 
 
 def test_streamed_links_equal_batch(spark):
-    from nimboscale.plans.kernel_queries import streamed_links
+    from nimboscale.plans.kernel_queries import SPAN, streamed_links
 
     sf = "/root/testdata/sf0.001"
     seg = standins.segments(standins.pixels(spark, sf))
-    batch = {(r.frame, r.feature): r.cell for r in T.assign_tracks(seg, T.overlaps(seg)).collect()}
-    got = {(r.frame, r.feature): r.cell for r in streamed_links(spark, sf).collect()}
-    assert got == batch
+    batch = {}
+    for k in {r.frame // SPAN for r in seg.select("frame").distinct().collect()}:
+        own = seg.where(f"frame div {SPAN} = {k}")
+        batch |= {(f"e{k}", r.frame, r.feature): r.cell for r in T.assign_tracks(own, T.overlaps(own)).collect()}
+    assert {(r.event, r.frame, r.feature): r.cell for r in streamed_links(spark, sf).collect()} == batch
+
+
+def test_exact_quantiles(spark):
+    from nimboscale.operators.quantile import exact_quantiles
+
+    rng = np.random.default_rng(2)
+    rows = [("a", float(v), None) for v in rng.normal(0, 3, 501)] + [("b", 2.0, 1.0)] * 40 + [("b", -2.0, None), ("b", 0.0, None), (None, 7.5, 1e300), (None, None, None), ("c", None, None)]
+    rows += [("d", float(v), float(v) ** 3) for v in range(-6, 8)]
+    df = spark.createDataFrame(rows, "g string, v double, w double").repartition(5)
+    want = {"lo": ("v", 0.1), "mid": ("v", 0.5), "top": ("v", 1.0), "other": ("w", 0.75)}
+    got = {r.g: r for r in exact_quantiles(df, ["g"], want).collect()}
+    truth = {r.g: r for r in df.groupBy("g").agg(*[F.percentile(c, q).alias(n) for n, (c, q) in want.items()]).collect()}
+    assert set(got) == {"a", "b", None, "d"}
+    for g, r in got.items():
+        for n in want:
+            assert r[n] == truth[g][n] or math.isclose(r[n], truth[g][n], rel_tol=1e-12)
+
+
+def test_sample_breaks_ties(spark):
+    rows = [(i % 40, "event", i) for i in range(400)]
+    one = spark.createDataFrame(rows, "id long, s string, y int").repartition(1)
+    many = one.orderBy(F.col("y").desc()).repartition(7)
+    got = [sorted((r.id, r.y, r.weight) for r in B.stratified_sample(d, ["s"], "id", {"event": 55}, "s", 1, ties=["y"]).collect()) for d in (one, many)]
+    assert got[0] == got[1] and len(got[0]) == 55 and math.isclose(sum(w for *_, w in got[0]), 400)
+
+
+def test_numbered_in_ranges(spark):
+    df = spark.range(0, 3000, 3).withColumnRenamed("id", "k").repartition(5)
+    assert all(r.k == 3 * r.n for r in B.numbered(df, "k", "n", rows=70).collect())
+
+
+def test_places_across_the_date_line_and_poles(spark):
+    pts = spark.createDataFrame([(0, 10.0, 179.99), (1, 10.0, -179.99), (2, 89.95, 10.0), (3, -89.9, -170.0)], "i int, lat double, lon double")
+    pl = spark.createDataFrame([("w", 1, 10.0, -179.995), ("e", 2, 10.2, 179.9), ("n", 3, 89.9, -170.0), ("s", 4, -89.95, 10.0)], "place string, place_id int, lat double, lon double")
+    got = {r.i: r.place for r in products.nearest_place(pts, pl, ["i"], 50.0, sphere=True).collect()}
+    assert got == {0: "w", 1: "w", 2: "n", 3: "s"}
+
+
+def test_features_without_segments(spark):
+    from nimboscale.operators import raster
+
+    px = grid(spark, [np.arange(25, dtype=float).reshape(5, 5)])
+    features = spark.createDataFrame([(0, 1, 2.5, 2.5), (0, 2, 0.0, 4.4), (0, 3, 4.0, 4.0)], "frame int, feature int, cy double, cx double")
+    segment = spark.createDataFrame([(0, 4, 4, 3)], "frame int, y int, x int, feature int")
+    got = {r.feature: (r.min_bt, r.area) for r in raster.unsegmented(features, segment, px).collect()}
+    assert got == {1: (6.0, 0.0), 2: (3.0, 0.0)}
 
 
 def test_entry(spark):
