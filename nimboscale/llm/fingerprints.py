@@ -87,8 +87,8 @@ def from_text(s: Column) -> Column:
     return F.transform(parts, lambda x: F.conv(x, 16, -10).cast("bigint"))
 
 
-#: Rows of a bucket of ids, as aimed at and at most.
-AIM_ROWS, MOST_ROWS = 5_000, 20_000
+#: Rows of a bucket of ids as aimed at, until there are MOST_BUCKETS; CROWDED times as many are cut further.
+AIM_ROWS, MOST_BUCKETS, CROWDED = 500, 400_000, 4
 #: Bits by which crowded intervals of ids are cut further.
 FINER = 6
 
@@ -96,21 +96,21 @@ FINER = 6
 def _buckets(docs: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
     """``docs`` with ``_bucket``, which cuts the ids in their order, and (_bucket, _first) of each bucket.
 
-    Intervals are 2**shift wide, as many as the rows ask for; intervals of more
-    than MOST_ROWS rows are cut into 2**FINER finer ones, and so on, down to
-    single ids. A bucket is (level, number); null ids come first, on level -1.
-    Only ids are read to find the crowded intervals, of which there is one for
-    each MOST_ROWS rows at most.
+    Intervals are 2**shift wide, as many as the rows ask for; crowded ones are
+    cut into 2**FINER finer ones, and so on, down to single ids. A bucket is
+    (level, number); null ids come first, on level -1. Only ids are read to find
+    the crowded intervals, of which there are MOST_BUCKETS / CROWDED at most.
     """
     ids = docs.select(F.col(id_col).cast("long").alias("_at"))
     low, high, n = ids.agg(F.min("_at"), F.max("_at"), F.count("_at")).first()
-    shift = 0 if low is None else max(0, ((high - low) * AIM_ROWS // n).bit_length())
+    aim = max(AIM_ROWS, n // MOST_BUCKETS)
+    shift = 0 if low is None else max(0, ((high - low) * aim // n).bit_length())
     level, ident = 0, F.col(id_col).cast("long")
     bucket = lambda k, at: F.struct(F.lit(k).alias("level"), at.alias("number"))
     out = docs.withColumn("_bucket", F.when(ident.isNull(), bucket(-1, F.lit(0).cast("long"))).otherwise(bucket(0, F.shiftright(ident, shift))))
     left = ids.where("_at IS NOT NULL")
     while shift:
-        crowded = left.groupBy(F.shiftright("_at", shift).alias("_crowd")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > MOST_ROWS)
+        crowded = left.groupBy(F.shiftright("_at", shift).alias("_crowd")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > CROWDED * aim)
         crowded = gathered(stored(crowded.select("_crowd"), "crowded-ids"))
         if crowded.isEmpty():
             break

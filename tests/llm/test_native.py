@@ -146,7 +146,7 @@ def test_next_crosses_buckets_and_clusters(spark, monkeypatch):
     want = {None: "t3", 3: "t5", 5: "t4000", 4000: "t4001", 4001: f"t{10**15}", 10**15: f"t{10**15 + 1}", 10**15 + 1: "tNone"}
     assert {r.doc_id: r._next_text for r in fp.with_next(df, "doc_id", {}, ["text"]).collect()} == want
     monkeypatch.setattr(fp, "AIM_ROWS", 1)
-    monkeypatch.setattr(fp, "MOST_ROWS", 1)
+    monkeypatch.setattr(fp, "CROWDED", 1)
     assert {r.doc_id: r._next_text for r in fp.with_next(df, "doc_id", {}, ["text"]).collect()} == want
 
 
@@ -169,15 +169,14 @@ def test_next_of_far_apart_ids(spark, monkeypatch):
     ids = [-(2**63), -(2**63) + 1, -5, 0, 7, 7 + 2**40, 2**63 - 2, 2**63 - 1]
     df = docs_of(spark, [(i, f"t{i}", "s") for i in ids]).select("doc_id", "text")
     want = {i: f"t{j}" for i, j in zip(ids, ids[1:] + ids[:1])}
-    for most in (20_000, 2, 1):
-        monkeypatch.setattr(fp, "AIM_ROWS", max(1, most // 4))
-        monkeypatch.setattr(fp, "MOST_ROWS", most)
+    for aim in (500, 2, 1):
+        monkeypatch.setattr(fp, "AIM_ROWS", aim)
+        monkeypatch.setattr(fp, "CROWDED", 1)
         assert {r.doc_id: r._next_text for r in fp.with_next(df, "doc_id", {}, ["text"]).collect()} == want
 
 
 def test_clustered_ids_stay_in_small_buckets(spark, monkeypatch):
     monkeypatch.setattr(fp, "AIM_ROWS", 50)
-    monkeypatch.setattr(fp, "MOST_ROWS", 200)
     df = spark.range(3000).unionByName(spark.range(2**62, 2**62 + 2000)).unionByName(spark.range(50).select((F.col("id") * 2**56).alias("id")))
     out, found = fp._buckets(df, "id")
     sizes = [r["count"] for r in out.groupBy("_bucket").count().collect()]
