@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 TABLE = 1 << 20
-#: Bounds of the training sample, in documents of each class.
-MAX_TOXIC, MAX_CLEAN = 2000, 4000
+#: Bounds of the training sample: documents of each class, and bytes of a text that may train. Scoring has no bounds.
+MAX_TOXIC, MAX_CLEAN, MAX_BYTES = 2000, 4000, 1 << 16
 WINDOW = 20
 MAX_WINDOWS = 12_000
 PAD = 2_000_000
@@ -267,7 +267,10 @@ def held_out(id_col: Column) -> Column:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> tuple[list[str], list[int]]:
-    """At most about MAX_TOXIC and MAX_CLEAN labelled texts that are not held out, by the order of a hash of the id."""
+    """At most about MAX_TOXIC and MAX_CLEAN labelled texts of MAX_BYTES at most that are not held out, by the order of a hash of the id.
+
+    Of an id's several texts the least trains, once.
+    """
     own = labels.where(F.col(label_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("_labelled")).agg(F.max(label_col).alias("_y"))
     counts = {r[0]: r[1] for r in own.groupBy("_y").agg(F.count(F.lit(1))).collect()}
     share = {1: MAX_TOXIC / max(1, counts.get(1, 0)), 0: MAX_CLEAN / max(1, counts.get(0, 0))}
@@ -275,7 +278,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     most = F.when(F.col("_y") == 1, int(min(1.0, share[1]) * (1 << 30))).otherwise(int(min(1.0, share[0]) * (1 << 30)))
     # The sample's ids are bounded as above, so the texts need not move to meet them.
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(own.where(draw < most)), F.col("_id") == F.col("_labelled"))
-    got = sorted(rows.select("_id", "_text", "_y").collect(), key=lambda r: (r[0], r[1] or ""))
+    rows = rows.where(F.coalesce(F.octet_length("_text"), F.lit(0)) <= MAX_BYTES)
+    got = sorted(rows.groupBy("_id").agg(F.min("_text"), F.max("_y")).collect(), key=lambda r: r[0])
     return [r[1] or "" for r in got], [int(r[2]) for r in got]
 
 
@@ -283,7 +287,12 @@ SCORED = "score double, toxic_tokens double, spans array<struct<start:int,end:in
 
 
 def score_texts(docs: DataFrame, chain: Chain, id_col: str, text_col: str, span_at: float = 0.5, with_spans: bool = True) -> DataFrame:
-    """(id, score, toxic_tokens, spans): expected toxic tokens, and byte offsets in UTF-8 of runs of tokens at ``span_at`` or more."""
+    """(id, score, toxic_tokens, spans): expected toxic tokens, and byte offsets in UTF-8 of runs of tokens at ``span_at`` or more.
+
+    Edge cases: null, empty and blank texts have the score of no tokens and no
+    spans. Rows are scored one by one, also repeated ones and those with null
+    ids. An empty table gives an empty table.
+    """
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     kind = rows.schema["_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(chain)
