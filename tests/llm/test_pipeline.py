@@ -62,7 +62,13 @@ def test_stages(spark):
     known = vocabulary(MODEL)
     texts = {r.doc_id: r.text for r in before.collect()}
     got = after.collect()
-    assert len(got) == before.count() and all(known.decode(r.ids) == texts[r.doc_id] for r in got)
+    first = [r for r in got if r["sample"] == 1]
+    assert len(first) == before.count() and all(known.decode(r.ids) == texts[r.doc_id] for r in got)
+    # Two segmentations of every text that has more than one, never the same.
+    ids = {r.doc_id: r.ids for r in first}
+    second = {r.doc_id: r.ids for r in got if r["sample"] == 2}
+    assert len(got) - len(first) == sum(r.doc_id in second for r in first)
+    assert all(ids[i] != x for i, x in second.items()) and all(len(texts[i]) < 2 for i in set(ids) - set(second))
 
 
 def test_run_equals_stages_and_empty(spark):
