@@ -214,23 +214,24 @@ def _learn(spark, sf_dir):
     x = docs.select("doc_id", F.when(F.col("doc_id") % 13 != 0, F.log1p(F.col("n_chars").cast("double"))).alias("n_chars"), F.size(F.split("text", "\n")).cast("double").alias("lines"),
                     (F.regexp_count("text", F.lit(",")) / F.col("n_chars")).cast("double").alias("commas"))
     rows = x.join(labels, "doc_id").withColumns({"y": F.col("quality").cast("double"), "weight": 1.0 + (F.col("doc_id") % 3), "lead_bin": (F.col("doc_id") % 4).cast("int")})
-    train, valid = rows.where(F.pmod("doc_id", F.lit(5)) > 1), rows.where(F.pmod("doc_id", F.lit(5)) <= 1)
+    fifth = F.pmod("doc_id", F.lit(5))
+    train, valid, test = rows.where(fifth > 1), rows.where(fifth == 1), rows.where(fifth == 0)
     stage, model, _ = ml.fit_boosted(train, valid, FEATURES, "y", "weight", rounds=8)
-    return valid, stage, model
+    return valid, test, stage, model
 
 
 @query()
 def gbt_isotonic_eval(spark, sf_dir):
-    """Weighted log-loss by lead bin before and after calibration, on the rows that chose the rounds."""
-    valid, stage, model = _learn(spark, sf_dir)
-    p = ml.scored(valid, stage, model, FEATURES)
-    c = ml.calibrated(p, p, "p", "y", "weight", "lead_bin", [0, 1, 2, 3])
+    """Weighted log-loss by lead bin before and after calibration, on rows that chose neither trees, rounds nor calibration."""
+    valid, test, stage, model = _learn(spark, sf_dir)
+    known, fresh = (ml.scored(rows, stage, model, FEATURES) for rows in (valid, test))
+    c = ml.calibrated(known, fresh, "p", "y", "weight", "lead_bin", [0, 1, 2, 3])
     return c.groupBy("lead_bin").agg(F.count(F.lit(1)).alias("n"), ml.log_loss(F.col("p"), F.col("y"), F.col("weight")).alias("raw"), ml.log_loss(F.col("calibrated"), F.col("y"), F.col("weight"), 1e-6).alias("calibrated"))
 
 
 @query()
 def permutation_importance(spark, sf_dir):
-    valid, stage, model = _learn(spark, sf_dir)
+    valid, _, stage, model = _learn(spark, sf_dir)
     return ml.permutation_importance(valid, stage, model, FEATURES, "y", "weight", "doc_id").orderBy(F.col("increase").desc())
 
 
