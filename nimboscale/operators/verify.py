@@ -125,3 +125,10 @@ def across_events(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """Pooled view of per-event values: events, mean, least, largest, and how many are above zero."""
     v = F.col(value)
     return df.groupBy(*by).agg(F.count(v).alias("events"), F.avg(v).alias("mean"), F.min(v).alias("least"), F.max(v).alias("largest"), F.count_if(v > 0).alias("positive"))
+
+
+def largest_issue(areas: DataFrame, ahead: int) -> DataFrame:
+    """(issue, area): of (frame, area) the largest frame that the last one follows by ``ahead`` frames or more, the earliest of equals; null if none does."""
+    last = areas.agg(F.max("frame").alias("_last"))  # one row
+    fit = areas.crossJoin(F.broadcast(last)).where(F.col("frame") + ahead <= F.col("_last"))
+    return fit.agg(F.max_by("frame", F.struct("area", -F.col("frame"))).alias("issue"), F.max("area").alias("area"))

@@ -135,6 +135,12 @@ def time_monotonic(spark, sf_dir):
     return monotonic(table(spark, sf_dir, "events"), ["user_id"], "event_id", "ts")
 
 
+@query(f"""WITH {PX}, a AS (SELECT frame, count(*) FILTER (WHERE v < {E}) AS area FROM px GROUP BY frame)
+SELECT frame AS issue, area FROM a WHERE frame + 6 <= (SELECT max(frame) FROM a) ORDER BY area DESC, frame LIMIT 1""")
+def largest_issue_with_outcome(spark, sf_dir):
+    return V.largest_issue(pixels(spark, sf_dir).groupBy("frame").agg(F.count_if(F.col("v") < E).alias("area")), 6)
+
+
 @query(f"""WITH {PX}, a AS (SELECT frame, count(*) FILTER (WHERE v < {E}) AS area FROM px GROUP BY frame)
 SELECT frame, area, frame = (SELECT frame FROM a ORDER BY area DESC, frame LIMIT 1) AS largest,
   round(area / 3200.0::DOUBLE, 9) AS cold_frac, round((area - lag(area, 2) OVER (ORDER BY frame)) / 3200.0::DOUBLE, 9) AS change FROM a""")

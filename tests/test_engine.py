@@ -478,6 +478,12 @@ def test_features_without_segments(spark):
     assert got == {1: (6.0, 0.0), 2: (3.0, 0.0)}
 
 
+def test_largest_issue_needs_an_outcome(spark):
+    df = spark.createDataFrame([(0, 5), (1, 7), (2, 7), (3, 9), (4, 1)], "frame int, area long")
+    got = [tuple(V.largest_issue(df, n).first()) for n in (0, 2, 4, 5)]
+    assert got == [(3, 9), (1, 7), (0, 5), (None, None)]
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
