@@ -48,6 +48,19 @@ def audit_summary(steps: DataFrame, tracks: DataFrame, least: int = 4) -> DataFr
     return a.crossJoin(F.broadcast(b))  # one row each
 
 
+def link_summary(links: DataFrame) -> DataFrame:
+    """One row of ``tracks.link_audit`` rows: links, and shares without overlap (moved or not), with a better candidate, with a jump in area.
+
+    An area jumps if it more than doubles or falls under a half. A link whose
+    parent has no shift is not counted as one without overlap.
+    """
+    share = lambda c: F.avg(F.coalesce(c, F.lit(False)).cast("double"))
+    apart = (F.col("linked_frac") == 0) & ((F.col("moved_frac") == 0) if "moved_frac" in links.columns else F.lit(True))
+    return links.agg(
+        F.count(F.lit(1)).alias("seg_links"), share(apart).alias("zero_overlap"), share(F.col("better_other")).alias("better_other"), share((F.col("area_ratio") > 2) | (F.col("area_ratio") < 0.5)).alias("area_jump")
+    )
+
+
 def change_share(rows: DataFrame, value: str, measure: str) -> DataFrame:
     """Share of rows whose ``value`` differs from the cell's previous one, and the median ``measure`` with and without a change."""
     changed = rows.withColumn("_c", F.abs(F.col(value) - F.lag(value).over(by_cell())) > 0).where("_c IS NOT NULL")

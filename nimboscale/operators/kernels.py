@@ -236,6 +236,28 @@ def advected(field: np.ndarray, u: np.ndarray, v: np.ndarray, steps: int) -> lis
     return out
 
 
+def _mean_motion(parts: dict[int, np.ndarray], k: int, frames: int, reference: float) -> tuple[np.ndarray, np.ndarray]:
+    cold = {f: np.nan_to_num(np.maximum(0.0, reference - a)) for f, a in parts.items()}
+    pairs = [motion_between(cold[f], cold[f + 1]) for f in range(k - frames + 1, k)]
+    return np.mean([p[0] for p in pairs], 0), np.mean([p[1] for p in pairs], 0)
+
+
+def motion_fields(px: DataFrame, height: int, width: int, reference: float, frames: int = 3, value: str = "v") -> DataFrame:
+    """(frame, y, x, u, v): the motion that ``extrapolate`` uses at each issue frame, in pixels a step, as a table to look steps up in."""
+    dealt = px.select("frame", "y", "x", value, F.explode(F.sequence(F.col("frame"), F.col("frame") + frames - 1)).alias("issue"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        k = int(pdf["issue"].iloc[0])
+        parts = {int(f): raster_of(g, value, (height, width)) for f, g in pdf.groupby("frame")}
+        if set(parts) != set(range(k - frames + 1, k + 1)):
+            return pd.DataFrame({n: pd.Series([], dtype=float) for n in ("frame", "y", "x", "u", "v")})
+        u, v = _mean_motion(parts, k, frames, reference)
+        yy, xx = (a.ravel() for a in np.meshgrid(np.arange(height), np.arange(width), indexing="ij"))
+        return pd.DataFrame({"frame": k, "y": yy, "x": xx, "u": u.ravel(), "v": v.ravel()})
+
+    return dealt.groupBy("issue").applyInPandas(run, "frame int, y int, x int, u double, v double")
+
+
 def extrapolate(px: DataFrame, height: int, width: int, leads: list[int], reference: float, frames: int = 3, value: str = "v") -> DataFrame:
     """(issue, lead, y, x, forecast, tendency, speed): motion of the coldness over the last frames, then semi-Lagrangian advection.
 
@@ -252,9 +274,7 @@ def extrapolate(px: DataFrame, height: int, width: int, leads: list[int], refere
         names = ["issue", "lead", "y", "x", "forecast", "tendency", "speed"]
         if set(parts) != set(range(k - frames + 1, k + 1)):
             return pd.DataFrame({n: pd.Series([], dtype=float) for n in names})
-        cold = {f: np.nan_to_num(np.maximum(0.0, reference - a)) for f, a in parts.items()}
-        pairs = [motion_between(cold[f], cold[f + 1]) for f in range(k - frames + 1, k)]
-        u, v = np.mean([p[0] for p in pairs], 0), np.mean([p[1] for p in pairs], 0)
+        u, v = _mean_motion(parts, k, frames, reference)
         moved = advected(parts[k], u, v, max(leads))
         drift = advected(parts[k] - parts[k - 1], u, v, max(leads))
         yy, xx = (a.ravel() for a in np.meshgrid(np.arange(height), np.arange(width), indexing="ij"))

@@ -53,6 +53,35 @@ def overlaps(segment: DataFrame, dy=0, dx=0, least: float = 0.0) -> DataFrame:
     return edges.withColumn("overlap_frac", frac).where(F.col("overlap_frac") >= least).select("frame", "parent", "child", "overlap_px", "overlap_frac")
 
 
+def link_audit(segment: DataFrame, links: DataFrame, shift: DataFrame | None = None) -> DataFrame:
+    """How well the segments of each link (frame, parent, child) meet: areas, overlaps, better candidates.
+
+    Adds ``area_ratio`` (child by parent), ``linked_frac`` (overlap by the smaller
+    segment) and ``better_other`` (another child overlaps the parent more). With
+    ``shift`` (frame, feature, dy, dx) the columns ``moved_frac`` and
+    ``moved_better_other`` say the same of the moved parent, null where it has no
+    shift. Links of a segment without pixels are left out.
+    """
+    size = stored(segment.groupBy("frame", "feature").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    link = links.select("frame", "parent", "child").join(size.select("frame", F.col("feature").alias("parent"), F.col("n").alias("_np")), ["frame", "parent"])
+    link = link.join(size.select((F.col("frame") - 1).alias("frame"), F.col("feature").alias("child"), F.col("n").alias("_nc")), ["frame", "child"])
+    keys = ["frame", "parent", "child"]
+
+    def measured(edges: DataFrame, frac: str, other: str, known: DataFrame) -> DataFrame:
+        met = known.join(edges.select("frame", "parent", F.col("child").alias("_to"), "overlap_px"), ["frame", "parent"], "left")
+        own = F.coalesce(F.max(F.when(F.col("_to") == F.col("child"), F.col("overlap_px"))), F.lit(0))
+        best = F.coalesce(F.max(F.when(F.col("_to") != F.col("child"), F.col("overlap_px"))), F.lit(0))
+        return met.groupBy(*keys, "_np", "_nc").agg((own / F.least("_np", "_nc")).alias(frac), (best > own).alias(other))
+
+    out = measured(overlaps(segment), "linked_frac", "better_other", link)
+    if shift is not None:
+        shifts = shift.select("frame", "feature", "dy", "dx").dropna()
+        moved = segment.join(shifts, ["frame", "feature"], "left")
+        known = link.join(shifts.select("frame", F.col("feature").alias("parent")), ["frame", "parent"], "left_semi")
+        out = out.join(measured(overlaps(moved, F.col("dy"), F.col("dx")), "moved_frac", "moved_better_other", known).drop("_np", "_nc"), keys, "left")
+    return out.withColumn("area_ratio", F.col("_nc") / F.col("_np")).drop("_np", "_nc")
+
+
 def marked_best(edges: DataFrame) -> DataFrame:
     """Flags: best child of its parent and best parent of its child; more overlap first, then the smaller id."""
     of = lambda own, other: F.row_number().over(Window.partitionBy("frame", own).orderBy(F.col("overlap_px").desc(), other)) == 1
@@ -253,6 +282,51 @@ def suspicious(one: DataFrame, least: float, far: float) -> DataFrame:
     ).withColumn("score", F.col("reversals") + 2 * F.col("jumps"))
 
 
+def suspicious_links(one: DataFrame, links: DataFrame, least: float) -> DataFrame:
+    """Problem score of a cell: reversals, better candidates and links without overlap.
+
+    ``one`` holds steps of one frame (cell, frame, dx, dy, dist); ``links`` has
+    (cell, better_other, linked_frac) of ``link_audit``. Cells without links count none.
+    """
+    w = by_cell()
+    prev = one.withColumns({"_px": F.lag("dx").over(w), "_py": F.lag("dy").over(w), "_pd": F.lag("dist").over(w)})
+    back = (F.col("dist") >= least) & (F.col("_pd") >= least) & (F.col("dx") * F.col("_px") + F.col("dy") * F.col("_py") < 0)
+    per = prev.groupBy("cell").agg(F.count(F.lit(1)).alias("n_steps"), F.count_if(back).alias("reversals"), F.max("dist").alias("max_step"), F.min("frame").alias("first_frame"))
+    met = links.groupBy("cell").agg(F.count(F.lit(1)).alias("seg_links"), F.count_if("better_other").alias("id_switch_candidates"), F.count_if(F.col("linked_frac") == 0).alias("zero_overlap_links"))
+    out = per.join(met, "cell", "left").fillna(0, ["seg_links", "id_switch_candidates", "zero_overlap_links"])
+    return out.withColumn("problem_score", F.col("reversals") + F.col("id_switch_candidates") + F.col("zero_overlap_links"))
+
+
+def motion_at(points: DataFrame, motion: DataFrame, height: int, width: int) -> DataFrame:
+    """``points`` (frame, y, x, ...) with (u, v) of ``motion`` (frame, y, x, u, v) at the nearest pixel, clipped to the grid; null without motion."""
+    near = lambda c, n: F.greatest(F.lit(0), F.least(F.rint(c).cast("int"), F.lit(n - 1)))
+    dealt = points.withColumns({"_iy": near("y", height), "_ix": near("x", width)})
+    field = motion.select("frame", F.col("y").alias("_iy"), F.col("x").alias("_ix"), "u", "v")
+    return dealt.join(field, ["frame", "_iy", "_ix"], "left").drop("_iy", "_ix")
+
+
+def parent_motion(parents: DataFrame, segment: DataFrame, motion: DataFrame, height: int, width: int) -> DataFrame:
+    """``parents`` (frame, feature, y, x, ...) with the mean (u, v) over their segment, or at their position if they have no segment."""
+    inside = segment.join(motion.select("frame", "y", "x", "u", "v"), ["frame", "y", "x"]).groupBy("frame", "feature").agg(F.avg("u").alias("_u"), F.avg("v").alias("_v"))
+    # The position speaks only for parents without any segment pixel.
+    cut = segment.select("frame", "feature").distinct().withColumn("_cut", F.lit(True))
+    met = motion_at(parents, motion, height, width).join(inside, ["frame", "feature"], "left").join(cut, ["frame", "feature"], "left")
+    pick = lambda c: F.when(F.col("_cut"), F.col(f"_{c}")).otherwise(F.col(c))
+    return met.withColumns({"u": pick("u"), "v": pick("v")}).drop("_u", "_v", "_cut")
+
+
+def field_forecasts(pos: DataFrame, motion: DataFrame, leads: list[int], height: int, width: int) -> DataFrame:
+    """Every fix (cell, frame, y, x) moved by the motion field of its own frame, held for all leads, as ``object_forecasts`` rows.
+
+    Frames without a motion field issue nothing.
+    """
+    issue = motion_at(pos.select("cell", "frame", "y", "x"), motion, height, width).where("u IS NOT NULL")
+    issue = issue.withColumn("lead", F.explode(F.array(*[F.lit(n) for n in leads]))).withColumn("_valid", F.col("frame") + F.col("lead"))
+    met = issue.join(pos.select("cell", F.col("frame").alias("_valid"), F.col("x").alias("ox"), F.col("y").alias("oy")), ["cell", "_valid"], "left")
+    err = F.hypot(F.col("x") + F.col("lead") * F.col("u") - F.col("ox"), F.col("y") + F.col("lead") * F.col("v") - F.col("oy"))
+    return met.select("cell", F.col("frame").alias("issue"), "lead", F.lit("field_advection").alias("method"), F.col("ox").isNotNull().alias("survived"), err.alias("err"))
+
+
 def _hull(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Indices of the corners of the convex hull; points that are not finite are kept."""
     order = np.lexsort((y, x))

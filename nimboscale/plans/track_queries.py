@@ -262,6 +262,74 @@ def link_overlap_audit(spark, sf_dir):
     return c.join(e, ["frame", "parent"]).groupBy("frame", "parent", "linked_px").agg(F.coalesce(F.max(F.when(F.col("child") != F.col("linked"), F.col("overlap_px"))), F.lit(0)).alias("best_other_px"))
 
 
+MOVED = "mo AS (SELECT frame, y, x, 8 * v AS u, -4 * v AS w FROM px)"
+SHIFT = f"""{MOVED}, sh AS (SELECT frame, feature, CAST(round_even(avg(w), 0) AS INT) AS dy, CAST(round_even(avg(u), 0) AS INT) AS dx FROM seg JOIN mo USING (frame, y, x) GROUP BY ALL),
+lk AS (SELECT frame, parent, child FROM kinds WHERE kind = 'CONTINUE'),
+me AS (SELECT s.frame, s.feature AS parent, b.feature AS child, count(*) AS px FROM seg s JOIN sh USING (frame, feature) JOIN seg b ON b.frame = s.frame + 1 AND b.y = s.y + sh.dy AND b.x = s.x + sh.dx GROUP BY ALL),
+pe AS (SELECT a.frame, a.feature AS parent, b.feature AS child, count(*) AS px FROM seg a JOIN seg b ON b.frame = a.frame + 1 AND b.y = a.y AND b.x = a.x GROUP BY ALL),
+own AS (SELECT l.*, p.n AS np, c.n AS nc, coalesce((SELECT px FROM pe e WHERE (e.frame, e.parent, e.child) = (l.frame, l.parent, l.child)), 0) AS o,
+  coalesce((SELECT max(px) FROM pe e WHERE e.frame = l.frame AND e.parent = l.parent AND e.child <> l.child), 0) AS b, coalesce((SELECT px FROM me e WHERE (e.frame, e.parent, e.child) = (l.frame, l.parent, l.child)), 0) AS mo,
+  coalesce((SELECT max(px) FROM me e WHERE e.frame = l.frame AND e.parent = l.parent AND e.child <> l.child), 0) AS mb
+  FROM lk l JOIN size p ON p.frame = l.frame AND p.feature = l.parent JOIN size c ON c.frame = l.frame + 1 AND c.feature = l.child),
+la AS (SELECT frame, parent, child, nc / np::DOUBLE AS area_ratio, o / least(np, nc)::DOUBLE AS linked_frac, b > o AS better_other, mo / least(np, nc)::DOUBLE AS moved_frac, mb > mo AS moved_better_other FROM own)"""
+CENTRES = "ce AS (SELECT t.cell, t.frame, avg(s.y) AS y, avg(s.x) AS x FROM tracks t JOIN seg s USING (frame, feature) GROUP BY t.cell, t.frame)"
+
+
+def _motion(px):
+    """A stand-in motion field, from the raster's own values."""
+    return px.select("frame", "y", "x", (8 * F.col("v")).alias("u"), (-4 * F.col("v")).alias("v"))
+
+
+def _link_audit(spark, sf_dir):
+    px = pixels(spark, sf_dir)
+    seg, edges, tracks = _tracks(spark, sf_dir)
+    parents = seg.groupBy("frame", "feature").agg(F.avg("y").alias("y"), F.avg("x").alias("x"))
+    flow = T.parent_motion(parents, seg, _motion(px), HEIGHT, WIDTH)
+    shift = flow.select("frame", "feature", F.rint("v").cast("int").alias("dy"), F.rint("u").cast("int").alias("dx"))
+    return seg, tracks, T.link_audit(seg, edges.where("kind = 'CONTINUE'"), shift)
+
+
+def _centres(seg, tracks):
+    return tracks.join(seg, ["frame", "feature"]).groupBy("cell", "frame").agg(F.avg("y").alias("y"), F.avg("x").alias("x"))
+
+
+@query(f"WITH {EDGES}, {SHIFT} SELECT frame, parent, child, round(area_ratio, 9) AS area_ratio, round(linked_frac, 9) AS linked_frac, better_other, round(moved_frac, 9) AS moved_frac, moved_better_other FROM la")
+def segment_link_audit(spark, sf_dir):
+    a = _link_audit(spark, sf_dir)[2]
+    return a.select("frame", "parent", "child", F.round("area_ratio", 9).alias("area_ratio"), F.round("linked_frac", 9).alias("linked_frac"), "better_other", F.round("moved_frac", 9).alias("moved_frac"), "moved_better_other")
+
+
+@query(f"""WITH {EDGES}, {SHIFT} SELECT count(*) AS seg_links, round(avg(CASE WHEN linked_frac = 0 AND moved_frac = 0 THEN 1.0::DOUBLE ELSE 0.0 END), 9) AS zero_overlap, round(avg(CASE WHEN better_other THEN 1.0::DOUBLE ELSE 0.0 END), 9) AS better_other,
+  round(avg(CASE WHEN area_ratio > 2 OR area_ratio < 0.5 THEN 1.0::DOUBLE ELSE 0.0 END), 9) AS area_jump FROM la""")
+def segment_link_summary(spark, sf_dir):
+    from nimboscale.operators.audit import link_summary
+
+    return link_summary(_link_audit(spark, sf_dir)[2]).withColumns({c: F.round(c, 9) for c in ("zero_overlap", "better_other", "area_jump")})
+
+
+@query(f"""WITH RECURSIVE {EDGES}, {TRACKS}, {SHIFT}, {CENTRES},
+s0 AS (SELECT cell, frame, x - lag(x) OVER w AS dx, y - lag(y) OVER w AS dy FROM ce WINDOW w AS (PARTITION BY cell ORDER BY frame)), s1 AS (SELECT *, sqrt(dx * dx + dy * dy) AS d FROM s0 WHERE dx IS NOT NULL),
+s2 AS (SELECT *, lag(dx) OVER w AS px, lag(dy) OVER w AS py, lag(d) OVER w AS pd FROM s1 WINDOW w AS (PARTITION BY cell ORDER BY frame)),
+a AS (SELECT cell, count(*) AS n_steps, count(*) FILTER (WHERE d >= 0.5 AND pd >= 0.5 AND dx * px + dy * py < 0) AS reversals, round(max(d), 6) AS max_step, min(frame) AS first_frame FROM s2 GROUP BY cell),
+l AS (SELECT t.cell, count(*) AS seg_links, count(*) FILTER (WHERE better_other) AS id_switch_candidates, count(*) FILTER (WHERE linked_frac = 0) AS zero_overlap_links FROM la JOIN tracks t ON t.frame = la.frame AND t.feature = la.parent GROUP BY t.cell)
+SELECT cell, n_steps, reversals, max_step, first_frame, coalesce(seg_links, 0) AS seg_links, coalesce(id_switch_candidates, 0) AS id_switch_candidates, coalesce(zero_overlap_links, 0) AS zero_overlap_links,
+  reversals + coalesce(id_switch_candidates, 0) + coalesce(zero_overlap_links, 0) AS problem_score FROM a LEFT JOIN l USING (cell) ORDER BY problem_score DESC, n_steps DESC, cell LIMIT 15""")
+def suspicious_links_top15(spark, sf_dir):
+    seg, tracks, audited = _link_audit(spark, sf_dir)
+    links = audited.join(tracks.withColumnRenamed("feature", "parent"), ["frame", "parent"])
+    one = T.steps(_centres(seg, tracks)).where("dframe = 1")
+    return T.suspicious_links(one, links, 0.5).orderBy(F.col("problem_score").desc(), F.col("n_steps").desc(), "cell").limit(15).withColumn("max_step", F.round("max_step", 6))
+
+
+@query(f"""WITH RECURSIVE {EDGES}, {TRACKS}, {MOVED}, {CENTRES}, i AS (SELECT c.*, m.u, m.w, l.lead FROM ce c JOIN mo m ON m.frame = c.frame AND m.y = CAST(round_even(c.y, 0) AS INT) AND m.x = CAST(round_even(c.x, 0) AS INT) CROSS JOIN (VALUES (1), (2)) l(lead)),
+f AS (SELECT i.*, o.x IS NOT NULL AS survived, sqrt(pow(i.x + lead * u - o.x, 2) + pow(i.y + lead * w - o.y, 2)) AS err FROM i LEFT JOIN ce o ON o.cell = i.cell AND o.frame = i.frame + lead)
+SELECT lead, count(*) AS n, count(err) AS n_scored, round(avg(CASE WHEN survived THEN 1.0::DOUBLE ELSE 0.0 END), 9) AS survival, round(avg(err), 6) AS mean, round(quantile_cont(err, 0.5), 6) AS median FROM f GROUP BY lead""")
+def field_advection_errors(spark, sf_dir):
+    seg, _, tracks = _tracks(spark, sf_dir)
+    fc = T.field_forecasts(stored(_centres(seg, tracks), "centres"), _motion(pixels(spark, sf_dir)), [1, 2], HEIGHT, WIDTH)
+    return T.forecast_summary(fc).select("lead", "n", "n_scored", F.round("survival", 9).alias("survival"), F.round("mean", 6).alias("mean"), F.round("median", 6).alias("median"))
+
+
 @query(f"""WITH {FIX}, {PLACES}, near AS (SELECT f.cell, f.frame, p.place, 2 * 6371.0::DOUBLE * asin(sqrt(least(1.0, pow(sin(radians(p.lat - f.lat) / 2), 2) + cos(radians(f.lat)) * cos(radians(p.lat)) * pow(sin(radians(p.lon - f.lon) / 2), 2)))) AS km, p.place_id
   FROM fix f CROSS JOIN places p)
 SELECT cell, frame, arg_min(place, km * 1000000 + place_id / 1000000.0) AS place, round(min(km), 5) AS km FROM near WHERE km <= 50 GROUP BY cell, frame""")
