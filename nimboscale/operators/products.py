@@ -115,11 +115,45 @@ def frozen(files: DataFrame, excluded: DataFrame, key: str, content: str) -> Dat
     return files.join(excluded, key, "left_anti").select(key, F.sha2(F.col(content), 256).alias("sha256"), F.octet_length(content).alias("bytes"))
 
 
-def rings(mask_rows: DataFrame, by: list[str]) -> DataFrame:
+def simplified(ring: list, tolerance: float) -> list:
+    """The closed ring with every corner that lies within ``tolerance`` of the lines kept left out.
+
+    The ring is halved at the corner farthest from its first; each part keeps its
+    farthest corner while that is beyond the tolerance.
+    """
+    if tolerance <= 0 or len(ring) < 4:
+        return ring
+    far = max(range(len(ring)), key=lambda k: math.dist(ring[0], ring[k]))
+    keep, parts = {0, far, len(ring) - 1}, [(0, far), (far, len(ring) - 1)]
+    while parts:
+        a, b = parts.pop()
+        (x0, y0), (x1, y1) = ring[a], ring[b]
+        span = math.hypot(x1 - x0, y1 - y0)
+        off = lambda p: abs((x1 - x0) * (p[1] - y0) - (y1 - y0) * (p[0] - x0)) / span if span else math.dist(p, (x0, y0))  # noqa: B023, E731
+        most, at = max(((off(ring[k]), k) for k in range(a + 1, b)), default=(0.0, a))
+        if most > tolerance:
+            keep.add(at)
+            parts += [(a, at), (at, b)]
+    return [ring[k] for k in sorted(keep)]
+
+
+def located_rings(df: DataFrame, x0: float, y0: float, step: float, to_latlon, column: str = "rings") -> DataFrame:
+    """``rings`` in pixel corners as [longitude, latitude] with four decimals; (x0, y0) is the centre of pixel (0, 0), ``step`` its width in metres."""
+
+    def place(p: Column) -> Column:
+        lat, lon = to_latlon(x0 + (p[0] - 0.5) * step, y0 + (p[1] - 0.5) * step)
+        return F.array(F.round(lon, 4), F.round(lat, 4))
+
+    return df.withColumn(column, F.transform(column, lambda ring: F.transform(ring, place)))
+
+
+def rings(mask_rows: DataFrame, by: list[str], tolerance: float = 0.0, least: int = 0) -> DataFrame:
     """Boundary rings of pixel sets (by..., y, x): JSON-ready arrays of [x, y] corners per group, outer rings and holes.
 
     Every pixel edge between inside and outside is one unit segment; a group's
-    segments are chained to closed rings and straight runs are merged.
+    segments are chained to closed rings and straight runs are merged. Rings are
+    simplified within ``tolerance`` pixels; those left with under ``least``
+    points (the first is repeated at the end) go, so a group may have none.
     """
     import pandas as pd
 
@@ -146,7 +180,9 @@ def rings(mask_rows: DataFrame, by: list[str]) -> DataFrame:
                 ring.append(at)
             n = len(ring)
             turn = [p for k, p in enumerate(ring) if not (ring[k - 1][0] == p[0] == ring[(k + 1) % n][0] or ring[k - 1][1] == p[1] == ring[(k + 1) % n][1])]
-            out.append([[float(a), float(b)] for a, b in [*turn, turn[0]]])
+            ring = simplified([[float(a), float(b)] for a, b in [*turn, turn[0]]], tolerance)
+            if len(ring) >= least:
+                out.append(ring)
         first = {c: [pdf[c].iloc[0]] for c in by}
         return pd.DataFrame({**first, "rings": [sorted(out)]})
 

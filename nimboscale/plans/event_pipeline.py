@@ -123,6 +123,28 @@ def track(px: DataFrame, grid: DataFrame, event: Event, height: int, width: int)
     return {"features": features, "segments": segment, "lifecycle": lifecycle, "cells": tracks.cell_summary(lifecycle, event.minutes), "genealogy": tracks.genealogy(named, edges), "unsegmented": raster.unsegmented(features, segment, inside)}
 
 
+def audited(px: DataFrame, made: dict[str, DataFrame], event: Event, height: int, width: int) -> dict[str, DataFrame]:
+    """Audit of the tracks against the motion of the field: summary (one row), cells to look at, and object forecasts along the field."""
+    motion = stored(kernels.motion_fields(px.select("frame", "y", "x", "v"), height, width, event.segment_k), "motion")
+    metres = event.resolution_m
+    life = made["lifecycle"].select("cell", "frame", "feature", "x", "y", "cx", "cy")
+    before = life.select("cell", (F.col("frame") + 1).alias("_next"), "frame", "feature", F.col("cy").alias("y"), F.col("cx").alias("x"))
+    flow = stored(tracks.parent_motion(before, made["segments"], motion, height, width), "flow")
+    one = tracks.steps(life).where("dframe = 1")
+    along = one.join(flow.select("cell", F.col("_next").alias("frame"), (F.col("u") * metres).alias("u"), (F.col("v") * metres).alias("v")), ["cell", "frame"]).where("u IS NOT NULL")
+    shift = flow.select("frame", "feature", F.rint("v").cast("int").alias("dy"), F.rint("u").cast("int").alias("dx"))
+    child = life.select("cell", (F.col("frame") - 1).alias("frame"), F.col("feature").alias("child"))
+    links = life.select("cell", "frame", F.col("feature").alias("parent")).join(child, ["cell", "frame"])
+    checked = stored(tracks.link_audit(made["segments"], links, shift).join(links, ["frame", "parent", "child"]), "audited")
+    turn = tracks.turns(life, 2 * metres).agg(F.count(F.lit(1)).alias("turns"), F.avg((F.col("cos") < 0).cast("double")).alias("zigzag"))
+    # One row each.
+    summary = audit.audit_summary(tracks.steps(life), life).withColumnRenamed("median_step", "median_all_steps").crossJoin(F.broadcast(turn))
+    summary = summary.crossJoin(F.broadcast(tracks.flow_consistency(along, "u", "v"))).crossJoin(F.broadcast(audit.link_summary(checked)))
+    pos = life.select("cell", "frame", F.col("cy").alias("y"), F.col("cx").alias("x"))
+    ahead = tracks.field_forecasts(pos, motion, event.leads, height, width).unionByName(tracks.object_forecasts(pos, event.leads))
+    return {"motion": motion, "track_audit": summary, "suspicious": tracks.suspicious_links(one, checked, 2 * metres), "object_forecasts": ahead}
+
+
 def forecast_scores(px: DataFrame, event: Event, height: int, width: int) -> dict[str, DataFrame]:
     """Contingency and fractions scores of persistence and extrapolation, by lead, on the same pixels."""
     inside = px.where("in_domain").select("frame", "y", "x", "v")
@@ -138,7 +160,14 @@ def forecast_scores(px: DataFrame, event: Event, height: int, width: int) -> dic
     made = raster.box_fractions(boxed, {f"box_{c}{n}": (c, n) for n in event.scales for c in ("fc", "obs")})
     each = F.explode(F.array(*[F.struct(F.lit(n).alias("scale"), F.col(f"box_fc{n}").alias("pf"), F.col(f"box_obs{n}").alias("po")) for n in event.scales]))
     fss = verify.fss(made.where("valid").select("method", "lead", each.alias("s")).select("method", "lead", "s.*"), ["method", "lead", "scale"], "pf", "po")
-    return {"scores_by_issue": by_issue, "scores": verify.cat_scores(by_issue.groupBy("method", "lead").agg(*[F.sum(c).alias(c) for c in verify.COUNTS])), "fss": fss}
+    by_lead = verify.cat_scores(by_issue.groupBy("method", "lead").agg(*[F.sum(c).alias(c) for c in verify.COUNTS]))
+    return {"scores_by_issue": by_issue, "scores": by_lead, "fss": fss}
+
+
+def scores_with_fss(scores: DataFrame, fss: DataFrame, scales: list[int]) -> DataFrame:
+    """A row a method and lead: ``scores`` with a column ``fss_<scale>`` for each scale, null where a scale was not scored."""
+    wide = fss.groupBy("method", "lead").pivot("scale", scales).agg(F.first("fss"))
+    return scores.join(wide.select("method", "lead", *[F.col(f"`{n}`").alias(f"fss_{n}") for n in scales]), ["method", "lead"], "left")
 
 
 def run_event(spark: SparkSession, raw: str, out: str, source: Source, event: Event, until: int = 48) -> dict[str, DataFrame]:
@@ -157,6 +186,9 @@ def run_event(spark: SparkSession, raw: str, out: str, source: Source, event: Ev
         tables[name] = kept(name, made[name])
     for name in ("lifecycle", "cells", "genealogy", "unsegmented"):
         tables[name] = kept(name, made[name])
+    for name, df in audited(tables["pixels"], tables, event, height, width).items():
+        tables[name] = kept(name, df)
     for name, df in forecast_scores(tables["pixels"], event, height, width).items():
         tables[name] = kept(name, df)
+    tables["metrics"] = kept("metrics", scores_with_fss(tables["scores"], tables["fss"], event.scales))
     return tables

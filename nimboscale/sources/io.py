@@ -134,6 +134,27 @@ def write_json(df: DataFrame, path: str) -> None:
     null_nan(df).write.option("ignoreNullFields", False).mode("overwrite").json(path)
 
 
+def record_files(df: DataFrame, path: str) -> None:
+    """Append (file, sha256, bytes, ...) rows to the manifest at ``path``, stamped with ``recorded_at``.
+
+    One write is one commit: Spark publishes its files when the job ends, and
+    rows are only ever added, so writers at the same time lose no entries.
+    """
+    df.withColumn("recorded_at", F.current_timestamp()).write.mode("append").parquet(path)
+
+
+def recorded_files(spark: SparkSession, path: str) -> DataFrame:
+    """The manifest's latest row of each file; of rows with equal stamps, that with the greatest digest."""
+    rows = spark.read.parquet(path)
+    last = F.max_by(F.struct(*rows.columns), F.struct("recorded_at", "sha256"))
+    return rows.groupBy("file").agg(last.alias("_r")).select("_r.*")
+
+
+def unrecorded(files: DataFrame, recorded: DataFrame) -> DataFrame:
+    """Rows of ``files`` (file, sha256) that the manifest lacks or holds with another digest: those to fetch or check again."""
+    return files.join(recorded.select("file", "sha256"), ["file", "sha256"], "left_anti")
+
+
 def only_new(df: DataFrame, done: DataFrame, keys: list[str], config: Column) -> DataFrame:
     """Rows of partitions not yet built with this configuration: ``done`` holds keys and config_hash."""
     tagged = df.withColumn("config_hash", F.sha2(config.cast("string"), 256))

@@ -520,6 +520,14 @@ def test_event_pipeline(spark, tmp_path):
     n = {(r.method, r.lead): r.H + r.M + r.F + r.CN for r in out["scores"].collect()}
     assert n["extrapolation", 1] == n["persistence", 1]
     assert out["fss"].count() == 4 and out["genealogy"].count() == 0
+    met = {(r.method, r.lead): r.fss_5 for r in out["metrics"].collect()}
+    assert len(met) == 4 and met["extrapolation", 2] > met["persistence", 2]
+    audit = out["track_audit"].first()
+    assert (audit.cells, audit.steps, audit.seg_links, audit.zero_overlap, audit.better_other) == (1, 5, 5, 0.0, 0.0)
+    assert audit.median_diff < 0.35 * audit.median_step
+    errors = {r.method: r.e for r in out["object_forecasts"].where("lead = 2 AND issue >= 2").groupBy("method").avg("err").withColumnRenamed("avg(err)", "e").collect()}
+    assert errors["field_advection"] < 0.6 * errors["persistence"]
+    assert out["suspicious"].first().problem_score == 0 and out["motion"].select("frame").distinct().count() == 4
 
 
 def test_probability_scores_share_pixels(spark):
@@ -534,3 +542,49 @@ def test_probability_scores_share_pixels(spark):
     bss = {(r.method, r["mask"], r.lead): r.bss for r in rows}
     assert abs(bss["climatology", "V", 1]) < 1e-9 and bss["ml", "V", 1] > bss["persistence", "V", 1]
     assert all(max(n["D", k]) >= max(n["V", k]) for k in (1, 2))
+
+
+def test_link_audit_golden(spark):
+    """A parent of four pixels, its linked child one row on, and another child over it."""
+    seg = spark.createDataFrame(
+        [(0, 0, x, 1) for x in range(4)] + [(1, 1, x, 11) for x in range(8)] + [(1, 0, x, 12) for x in range(2)] + [(0, 9, 9, 2)], "frame int, y int, x int, feature int"
+    )
+    links = spark.createDataFrame([(0, 1, 11), (0, 2, 11), (0, 7, 11)], "frame int, parent int, child int")
+    shift = spark.createDataFrame([(0, 1, 1, 0), (0, 2, None, None)], "frame int, feature int, dy int, dx int")
+    got = {r.parent: r for r in T.link_audit(seg, links, shift).collect()}
+    assert set(got) == {1, 2}
+    one, two = got[1], got[2]
+    assert (one.area_ratio, one.linked_frac, one.better_other, one.moved_frac, one.moved_better_other) == (2.0, 0.0, True, 1.0, False)
+    assert (two.linked_frac, two.better_other, two.moved_frac, two.moved_better_other) == (0.0, False, None, None)
+    plain = T.link_audit(seg, links)
+    assert "moved_frac" not in plain.columns and plain.count() == 2
+    assert T.link_audit(seg, links.limit(0), shift).count() == 0
+
+
+def test_parent_motion_of_segment_or_position(spark):
+    motion = spark.createDataFrame([(0, y, x, float(x), float(10 * y)) for y in range(3) for x in range(3)], "frame int, y int, x int, u double, v double")
+    seg = spark.createDataFrame([(0, 0, 0, 1), (0, 2, 2, 1)], "frame int, y int, x int, feature int")
+    parents = spark.createDataFrame([(0, 1, 9.0, 9.0), (0, 2, 1.2, -4.0), (5, 3, 0.0, 0.0)], "frame int, feature int, y double, x double")
+    got = {r.feature: (r.u, r.v) for r in T.parent_motion(parents, seg, motion, 3, 3).collect()}
+    assert got == {1: (1.0, 10.0), 2: (0.0, 10.0), 3: (None, None)}
+
+
+def test_rings_simplified_and_located(spark):
+    stair = spark.createDataFrame([(1, y, x) for y in range(6) for x in range(y + 1)] + [(2, 20, 20)], "id int, y int, x int")
+    full = {r.id: r.rings for r in products.rings(stair, ["id"]).collect()}
+    less = {r.id: r.rings for r in products.rings(stair, ["id"], 1.0, 4).collect()}
+    assert len(full[1][0]) == 15 and len(less[1][0]) in (4, 5) and less[1][0][0] == less[1][0][-1]
+    assert {tuple(p) for p in less[1][0]} <= {tuple(p) for p in full[1][0]}
+    assert less[2] == []
+    at = products.located_rings(products.rings(stair, ["id"]), 100.0, 0.0, 2.0, lambda x, y: (y / 10, x / 10)).where("id = 2").first()
+    assert [13.9, 3.9] in [list(p) for p in at.rings[0]]
+
+
+def test_manifest_keeps_latest(spark, tmp_path):
+    path = f"file://{tmp_path}/manifest"
+    rows = lambda *r: spark.createDataFrame(list(r), "file string, sha256 string, bytes long")
+    io.record_files(rows(("a", "1", 5), ("b", "2", 6)), path)
+    io.record_files(rows(("a", "3", 7)), path)
+    now = io.recorded_files(spark, path)
+    assert {(r.file, r.sha256, r.bytes) for r in now.collect()} == {("a", "3", 7), ("b", "2", 6)}
+    assert [r.file for r in io.unrecorded(rows(("a", "1", 5), ("b", "2", 6), ("c", "9", 1)), now).orderBy("file").collect()] == ["a", "c"]
