@@ -1,4 +1,4 @@
-"""Queries of the frame kernels on the stand-in raster; they have no SQL form."""
+"""Queries of the frame kernels on the stand-in raster; those that SQL can say have their SQL."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from nimboscale.operators.graph import connected_components
 from nimboscale.operators.raster import against
 from nimboscale.plans.registry import query
 from nimboscale.plans.standins import EVENT, HEIGHT, PX, SEG, WIDTH, pixels, segments
+from nimboscale.plans.track_queries import CENTRES, EDGES, TRACKS
 
 LEVELS = [-0.05, -0.1, -0.15]
 
@@ -17,7 +18,15 @@ def _features(spark, sf_dir):
     return K.detect(pixels(spark, sf_dir), HEIGHT, WIDTH, LEVELS)
 
 
-@query()
+_PASS = """f{b} AS (SELECT f.frame, f.y, f.x, coalesce(f.v, m.v) AS v FROM f{a} f LEFT JOIN (
+  SELECT t.frame, t.y, t.x, avg(n.v) AS v FROM small t CROSS JOIN near JOIN f{a} n ON n.frame = t.frame AND n.y = t.y + near.a AND n.x = t.x + near.b GROUP BY ALL) m ON m.frame = f.frame AND m.y = f.y AND m.x = f.x)"""
+GAPS = f"""{PX}, near AS (SELECT a, b FROM (VALUES (-1), (0), (1)) i(a) CROSS JOIN (VALUES (-1), (0), (1)) j(b) WHERE a <> 0 OR b <> 0), gap AS (SELECT frame, y, x FROM pm WHERE v IS NULL),
+reach AS (SELECT frame, y, x, y AS ty, x AS tx FROM gap UNION SELECT r.frame, r.y, r.x, g.y, g.x FROM reach r CROSS JOIN near JOIN gap g ON g.frame = r.frame AND g.y = r.ty + near.a AND g.x = r.tx + near.b),
+small AS (SELECT frame, y, x FROM reach GROUP BY ALL HAVING count(*) <= 4), f0 AS (SELECT frame, y, x, v FROM pm), {", ".join(_PASS.format(a=k, b=k + 1) for k in range(4))}"""
+
+
+@query(f"""WITH RECURSIVE {GAPS} SELECT frame, count(*) FILTER (WHERE v IS NOT NULL AND small.y IS NOT NULL) AS filled, count(*) FILTER (WHERE v IS NULL) AS missing, round(avg(v), 6) AS mean
+FROM f4 LEFT JOIN small USING (frame, y, x) GROUP BY frame""")
 def gap_filled_frames(spark, sf_dir):
     """Missing and filled pixels of each frame, and the mean after filling."""
     out = P.gap_fill(pixels(spark, sf_dir, True), HEIGHT, WIDTH)
@@ -40,7 +49,10 @@ def nearest_feature_links(spark, sf_dir):
     return K.link_nearest(_features(spark, sf_dir), 6.0)
 
 
-@query()
+@query(f"""WITH RECURSIVE {EDGES}, {TRACKS}, {CENTRES}, en AS (SELECT cell, max(frame) AS frame, arg_max(y, frame) AS y, arg_max(x, frame) AS x FROM ce GROUP BY cell),
+el AS (SELECT DISTINCT e.cell AS a, c.cell AS b FROM en e JOIN ce c ON c.frame IN (e.frame, e.frame + 1) AND c.cell <> e.cell AND sqrt(pow(e.y - c.y, 2) + pow(e.x - c.x, 2)) <= 6),
+sy AS (SELECT a, b FROM el UNION SELECT b, a FROM el), re AS (SELECT a AS node, a AS other FROM sy UNION SELECT r.node, s.b FROM re r JOIN sy s ON s.a = r.other)
+SELECT node, min(other) AS component FROM re GROUP BY node""")
 def track_end_groups(spark, sf_dir):
     """Cells grouped where one ends near another, on the tile tracks' centres."""
     from nimboscale.plans.track_queries import _tracks

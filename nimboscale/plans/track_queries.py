@@ -152,9 +152,22 @@ def movement_speed_heading(spark, sf_dir):
     return T.movement(_fixes(spark, sf_dir), sphere=True).select("cell", "frame", F.round("speed_kmh", 5).alias("speed_kmh"), F.round("heading_deg", 5).alias("heading_deg"))
 
 
-@query()
+# Vincenty's inverse formula on WGS84; its rounds are those of the recursion.
+_F = "(1 / 298.257223563::DOUBLE)"
+VINCENTY = f"""{FIX}, u AS (SELECT cell, frame, h, ln - lo AS l, atan(tan(la) * (1 - {_F})) AS u1, atan(tan(lb) * (1 - {_F})) AS u2 FROM fl),
+vi AS (SELECT cell, frame, h, l, u1, u2, l AS x, 0.0::DOUBLE AS s, 0.0::DOUBLE AS ss, 1.0::DOUBLE AS cs, 0.0::DOUBLE AS c2a, 0.0::DOUBLE AS cm, 0 AS k FROM u
+  UNION ALL SELECT cell, frame, h, l, u1, u2, l + (1 - c) * {_F} * sa * (s + c * ss * (cm + c * cs * (2 * cm * cm - 1))), s, ss, cs, c2a, cm, k + 1 FROM (
+    SELECT *, {_F} / 16 * c2a * (4 + {_F} * (4 - 3 * c2a)) AS c, coalesce(cs - 2 * sin(u1) * sin(u2) / nullif(c2a, 0), 0) AS cm FROM (
+      SELECT *, 1 - sa * sa AS c2a, atan2(ss, cs) AS s FROM (SELECT *, coalesce(cos(u1) * cos(u2) * sin(x) / nullif(ss, 0), 0) AS sa FROM (
+        SELECT cell, frame, h, l, u1, u2, x, k, sqrt(pow(cos(u2) * sin(x), 2) + pow(cos(u1) * sin(u2) - sin(u1) * cos(u2) * cos(x), 2)) AS ss, sin(u1) * sin(u2) + cos(u1) * cos(u2) * cos(x) AS cs FROM vi WHERE k < 8))))),
+vd AS (SELECT *, 6378137.0::DOUBLE * (1 - {_F}) AS b, c2a * (1 / pow(1 - {_F}, 2) - 1) AS q FROM vi WHERE k = 8),
+ve AS (SELECT *, 1 + q / 16384 * (4096 + q * (-768 + q * (320 - 175 * q))) AS ba, q / 1024 * (256 + q * (-128 + q * (74 - 47 * q))) AS bb FROM vd),
+vf AS (SELECT *, b * ba * (s - bb * ss * (cm + bb / 4 * (cs * (2 * cm * cm - 1) - bb / 6 * cm * (4 * ss * ss - 3) * (4 * cm * cm - 3)))) / 1000 AS km, degrees(atan2(cos(u2) * sin(x), cos(u1) * sin(u2) - sin(u1) * cos(u2) * cos(x))) AS az FROM ve)"""
+
+
+@query(f"WITH RECURSIVE {VINCENTY} SELECT cell, frame, round(km / h, 5) AS speed_kmh, round(CASE WHEN ss > 0 THEN CASE WHEN az < 0 THEN az + 360 ELSE az END END, 5) AS heading_deg FROM vf")
 def geodesic_movement(spark, sf_dir):
-    """Steps on the ellipsoid; the iteration has no SQL form."""
+    """Steps on the ellipsoid."""
     return T.movement(_fixes(spark, sf_dir)).select("cell", "frame", F.round("speed_kmh", 5).alias("speed_kmh"), F.round("heading_deg", 5).alias("heading_deg"))
 
 
