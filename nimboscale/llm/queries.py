@@ -13,9 +13,13 @@ from nimboscale.llm.telephony import op4_telephony_media
 from nimboscale.llm.toxicity import op8_toxic_spans
 from nimboscale.llm.url_rules import OP7_SQL, op7_url_filters
 from nimboscale.llm.warc import OP1_SQL, op1_warc_archive
+from nimboscale.llm.whitening import op11_embedding_whitening
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_warc_archive, op2_source_mix, op3_simhash_near_dedup, op4_telephony_media, op5_line_dedup, op6_document_fingerprints, op7_url_filters, op8_toxic_spans, op9_quality_rules, op10_piece_samples)
+    for f in (
+        op1_warc_archive, op2_source_mix, op3_simhash_near_dedup, op4_telephony_media, op5_line_dedup, op6_document_fingerprints, op7_url_filters, op8_toxic_spans, op9_quality_rules, op10_piece_samples,
+        op11_embedding_whitening,
+    )
 } | {"pipeline": corpus_pipeline.run}
 ORACLES = {"op1_warc_archive": OP1_SQL, "op5_line_dedup": OP5_SQL, "op7_url_filters": OP7_SQL}
