@@ -7,7 +7,8 @@ one join of the frontier with the nodes of its depth. A word enters a trie at
 its middle without an edit: an edit in its second half is found in the one trie,
 an edit in its first half in the other, so that no state ever meets the crowded
 top. A state that has spent its edit lives on only where the trie holds the rest of
-its word, and one that ends on a whole word makes the two neighbours. Letters
+its word, and one that ends on a whole word makes the two neighbours. Each letter of a node comes
+with the lengths and next letters of the words behind it, so that states without a future are not made. Letters
 after a node are a list bounded by the alphabet, so a state never has more
 successors than that, and no two words are ever compared for sharing a key.
 """
@@ -109,6 +110,11 @@ def _letter(s: Column, after: Column) -> Column:
     return F.substring(s, after + 1, F.lit(1))
 
 
+def _bit(n: Column) -> Column:
+    """A long with the bit n modulo 64."""
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(n, F.lit(64)).cast("int"))
+
+
 def _neighbours(items: DataFrame) -> DataFrame:
     """(tree, s, key, node): items of one ``place`` one edit apart; ``s`` and ``node`` are read backwards in odd trees."""
     halves = items.withColumn("_way", F.explode(F.array(F.lit(0), F.lit(1))))
@@ -126,29 +132,36 @@ def _neighbours(items: DataFrame) -> DataFrame:
     )
     # The node after i letters has the letter i + 1 behind it, the whole word an empty letter.
     steps = walkers.select("tree", "s", F.explode(F.sequence(F.col("start"), F.char_length("s"))).alias("depth"))
-    edges = steps.select("depth", "tree", F.substring("s", F.lit(1), F.col("depth")).alias("node"), _letter(F.col("s"), F.col("depth")).alias("_letter")).distinct()
-    nodes = _by(edges.groupBy("depth", "tree", "node").agg(F.collect_list("_letter").alias("letters")), "depth")
+    edges = steps.select(
+        "depth", "tree", F.substring("s", F.lit(1), F.col("depth")).alias("node"), _letter(F.col("s"), F.col("depth")).alias("letter"),
+        # Of the words behind the letter: how many letters follow it, and which comes next.
+        _bit(F.char_length("s") - F.col("depth") - 1).alias("left"), _bit(F.ascii(_letter(F.col("s"), F.col("depth") + 1))).alias("next"),
+    )
+    edges = edges.groupBy("depth", "tree", "node", "letter").agg(F.bit_or("left").alias("left"), F.bit_or("next").alias("next"))
+    nodes = _by(edges.groupBy("depth", "tree", "node").agg(F.collect_list(F.struct("letter", "left", "next")).alias("letters")), "depth")
     least, most = walkers.agg(F.min("start"), F.max(F.char_length("s"))).first()
     pairs, frontier = [], None
     for level in range(least or 0, (most or -1) + 1):
         entering = walkers.where(F.col("start") == level).select("tree", F.substring("s", 1, level).alias("node"), "s", "key", F.lit(level).alias("pos"), F.lit(0).alias("edits"))
         states = entering if frontier is None else frontier.select("tree", "node", "s", "key", "pos", "edits").unionByName(entering)
-        # A letter of the word left out: the position moves, the node stays.
-        left_out = F.struct((F.col("pos") + 1).alias("pos"), F.lit(1).alias("edits"))
-        stay = F.struct("pos", "edits")
-        states = states.select("tree", "node", "s", "key", F.inline(F.when(F.col("edits") == 1, F.array(stay)).when(F.col("pos") < F.char_length("s"), F.array(stay, left_out))))
         here = gathered(nodes.where(F.col("depth") == level).select("tree", "node", "letters"), FEW_NODES)
-        met = states.join(here, ["tree", "node"]).withColumn("_next", _letter(F.col("s"), F.col("pos")))
+        met = states.join(here, ["tree", "node"])
+        size = F.char_length("s")
+        ahead = [_letter(F.col("s"), F.col("pos") + k) for k in range(3)]
+
+        def move(by: int, edits: int):
+            return lambda x: F.struct((F.col("pos") + by).alias("pos"), F.concat("node", x["letter"]).alias("node"), F.lit(edits).alias("edits"), (x["letter"] == "").alias("done"))
 
-        def move(letter: Column, edits: int) -> Column:
-            return F.struct((F.col("pos") + 1).alias("pos"), F.concat("node", letter).alias("node"), F.lit(edits).alias("edits"), F.lit(False).alias("done"))
+        def behind(x: Column, by: int) -> Column:
+            """Whether words of the right length, with the right next letter, stand behind the letter."""
+            return ((x["left"].bitwiseAND(_bit(size - F.col("pos") - by)) != 0) & (x["next"].bitwiseAND(_bit(F.ascii(ahead[by]))) != 0)) | (x["letter"] == "")
 
-        same = F.when(F.col("_next") != "", F.array(move(F.col("_next"), 0)))
+        same = F.transform(F.filter("letters", lambda x: x["letter"] == ahead[0]), move(1, 0))
         # Replacements go to larger letters only: the other word of the pair does not need to find it again.
-        others = F.transform(F.filter("letters", lambda x: x > F.col("_next")), lambda x: move(x, 1))
-        end = F.struct("pos", "node", F.lit(1).alias("edits"), F.lit(True).alias("done"))
-        spent = F.when(F.array_contains("letters", F.col("_next")), F.array(F.when(F.col("_next") == "", end).otherwise(move(F.col("_next"), 1))))
-        moves = F.when(F.col("edits") == 1, spent).when(F.col("_next") != "", F.concat(same, others))
+        other = F.transform(F.filter("letters", lambda x: (x["letter"] > ahead[0]) & behind(x, 1)), move(1, 1))
+        left_out = F.transform(F.filter("letters", lambda x: (x["letter"] == ahead[1]) & behind(x, 2)), move(2, 1))
+        spent = F.transform(F.filter("letters", lambda x: (x["letter"] == ahead[0]) & behind(x, 1)), move(1, 1))
+        moves = F.when(F.col("edits") == 1, spent).when(F.col("pos") < size, F.concat(same, other, left_out))
         out = _by(met.select("tree", "s", "key", F.inline(moves)), "done")
         if frontier is not None:
             discard(frontier)
