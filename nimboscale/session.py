@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -74,15 +76,32 @@ def new_shared_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/nimboscale/{tag}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, tag: str) -> DataFrame:
+@contextlib.contextmanager
+def released_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Queries inside remove their shuffle files as they end, rather than when the driver next collects its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
+def stored(df: DataFrame, tag: str, release: bool = False) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     Cuts the lineage like a checkpoint, survives lost executors, and leaves
-    columnar files that later reads can prune.
+    columnar files that later reads can prune. With ``release`` the shuffle files of the
+    write are removed at once: for plans that no other query shares.
     """
     spark = df.sparkSession
     path = new_shared_path(spark, tag)
-    df.write.parquet(path)
+    with released_shuffles(spark) if release else contextlib.nullcontext():
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._nimboscale_path = path
     return out
