@@ -44,6 +44,10 @@ MOST_STRINGS = 1 << 18
 SMALL_BYTES = 32_000_000
 
 OUT = ("n_bytes", "n_removed", "n_spans", "kept")
+#: Strings whose anchors are computed at once.
+CHUNK = 1 << 16
+#: Symbols that are compared at once.
+WORD = 5
 U64 = np.uint64
 
 
@@ -89,7 +93,10 @@ def anchor_runs(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.nda
     if len(data) < length:
         return none.view(U64), none, none, none
     width = max(1, length * 2 // 5)
-    anchor = _least(_hashes(data, width), length - width + 1)
+    anchor = np.empty(len(data) - length + 1, U64)
+    for at in range(0, len(anchor), CHUNK):  # as much as caches hold
+        some = anchor[at : at + CHUNK]
+        some[:] = _least(_hashes(data[at : at + len(some) + length - 1], width), length - width + 1)
     text = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))[: len(anchor)]
     inside = np.arange(len(anchor)) + length <= ends[text]
     new = np.ones(len(anchor), bool)
@@ -118,7 +125,7 @@ class RunIndex:
         inside[self.ends] = False
         symbols[inside] = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64) + 1
         self.text = np.repeat(np.arange(len(texts)), sizes + 1)
-        left = self.ends[self.text] - np.arange(n)  # bytes up to the separator
+        self.left = left = self.ends[self.text] - np.arange(n)  # bytes up to the separator
 
         def ahead(values: np.ndarray, by: int) -> np.ndarray:
             # Past the end of a text there is nothing, which sorts first.
@@ -135,11 +142,13 @@ class RunIndex:
             rank[self.ends] = 0
             return rank, order
 
-        have = min(7, length)
+        have = min(WORD, length)
         key = symbols
-        for by in range(1, have):
+        for by in range(1, WORD):
             key = key << 9 | ahead(symbols, by)
-        rank, _ = ranked(key)
+        #: The next WORD symbols of each place, for comparing several at once.
+        self.words = np.concatenate([key, np.zeros(length + WORD, np.int64)])
+        rank, _ = ranked(key >> 9 * (WORD - have))
         while have < length:
             by = min(have, length - have)
             rank, _ = ranked(rank * (n + 1) + ahead(rank, by))
@@ -155,6 +164,7 @@ class RunIndex:
         cuts = np.flatnonzero(np.concatenate([[True], last[1:] != last[:-1]]))
         self.run_start, self.run_symbol = cuts, last[cuts]
         run_size = np.diff(np.append(cuts, n))
+        self.run = np.repeat(np.arange(len(cuts)), run_size)  # of each row
         self.head_sample, self.tail_sample = order[cuts], order[cuts + run_size - 1]
         self.tail_row = cuts + run_size - 1
         # Runs by symbol; the row that each run's first row follows to.
@@ -162,17 +172,18 @@ class RunIndex:
         self.lead = np.empty(len(cuts), np.int64)
         self.lead[by_symbol] = np.cumsum(run_size[by_symbol]) - run_size[by_symbol]
         self.runs_of, self.first_run = by_symbol, np.searchsorted(self.run_symbol[by_symbol], np.arange(258))
+        self.in_order = self.run_symbol[by_symbol] * len(cuts) + by_symbol
 
     def common(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
         """Bytes that the suffixes at ``a`` and ``b`` have in common, up to ``most``."""
         out = np.zeros(len(a), np.int64)
         live = np.flatnonzero(most > 0)
         while len(live):
-            x, y = self.symbols[a[live] + out[live]], self.symbols[b[live] + out[live]]
-            live = live[(x == y) & (x != 0)]
-            out[live] += 1
-            live = live[out[live] < most[live]]
-        return out
+            apart = self.words[a[live] + out[live]] ^ self.words[b[live] + out[live]]
+            # Whole symbols before the highest bit that differs; exact in a float, which holds 45 bits.
+            out[live] += (9 * WORD - np.frexp(apart.astype(np.float64))[1]) // 9
+            live = live[(apart == 0) & (out[live] < most[live])]
+        return np.minimum(np.minimum(out, most), np.minimum(self.left[a], self.left[b]))
 
     def stream(self, lanes: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """Matching statistics of all lanes at once, last byte first: (lanes, place in them, length of the match there, a row of its group)."""
@@ -186,7 +197,7 @@ class RunIndex:
             m = int(np.searchsorted(-size, -step, side="left"))  # lanes with a byte left
             c = flat[stop[:m] - 1 - step].astype(np.int64) + 1
             now = row[:m]
-            run = np.searchsorted(self.run_start, now, side="right") - 1
+            run = self.run[now]
             other = np.flatnonzero(self.run_symbol[run] != c)
             if len(other):
                 self._jump(other, c[other], run, now, long)
@@ -199,7 +210,7 @@ class RunIndex:
         """Move lanes whose run has another symbol to the end of the run before or the start of the run after that has it."""
         # Runs of the symbol before and after the present one, by their order among all runs of that symbol.
         first, past = self.first_run[c], self.first_run[c + 1]
-        after = first + _count_below(self.runs_of, first, past, run[lanes])
+        after = np.searchsorted(self.in_order, c * len(self.run_start) + run[lanes])
         has_before, has_after = after > first, after < past
         up = self.runs_of[np.maximum(after - 1, 0)]
         down = self.runs_of[np.minimum(after, len(self.runs_of) - 1)]
@@ -214,19 +225,6 @@ class RunIndex:
         long[lanes] = np.maximum(np.where(take_up, share_up, share_down), 0)
 
 
-def _count_below(values: np.ndarray, first: np.ndarray, past: np.ndarray, than: np.ndarray) -> np.ndarray:
-    """How many of values[first:past], which rise, are below ``than``: a binary search for each row."""
-    low, high = first.copy(), past.copy()
-    while True:
-        live = np.flatnonzero(low < high)
-        if not len(live):
-            return low - first
-        mid = (low[live] + high[live]) // 2
-        below = values[mid] < than[live]
-        low[live[below]] = mid[below] + 1
-        high[live[~below]] = mid[~below]
-
-
 def spans_of(marked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of True."""
     edge = np.flatnonzero(np.diff(marked.astype(np.int8), prepend=0, append=0))
@@ -425,7 +423,7 @@ def _judged(pieces: DataFrame, length: int, level: int = 0) -> DataFrame:
     """
     digest = F.unhex(F.md5("bytes"))
     distinct = pieces.select("key", digest.alias("digest"), "id", "bytes").groupBy("key", "digest").agg(F.min("id").alias("first"), F.first("bytes").alias("bytes"))
-    distinct = stored(distinct, "stretches")
+    distinct = stored(distinct, "stretches", release=True)
     sizes = distinct.groupBy("key").agg(F.sum(F.octet_length("bytes")).alias("size"), F.count(F.lit(1)).alias("n"))
     sizes = stored(sizes.where("n > 1").select("key", "size"), "key-sizes")
     whole, hot = sizes.agg(F.sum(F.when(F.col("size") <= HOT_BYTES, F.col("size"))), F.sum((F.col("size") > HOT_BYTES).cast("int"))).first()
@@ -467,7 +465,7 @@ def _held(id_, strings, start):
 
 def held_before(packed: DataFrame, length: int, id_type: str) -> DataFrame:
     """(batch, spans): for each batch the bytes of its texts that a smaller id holds, as int32 triples (row, from, to) in order."""
-    stretches = stored(shared_stretches(packed, shared_anchors(packed, length), length, id_type), "shared-stretches")
+    stretches = stored(shared_stretches(packed, shared_anchors(packed, length), length, id_type), "shared-stretches", release=True)
     known = _judged(stretches, length)
     mine = stretches.select("batch", "row", "id", "start", "key", F.unhex(F.md5("bytes")).alias("digest"), (F.octet_length("bytes") - length + 1).alias("strings"))
     held = mine.join(known, ["key", "digest"]).select("batch", "row", F.inline(_held(F.col("id"), F.col("strings"), F.col("start"))))
@@ -500,7 +498,7 @@ def drop_earlier_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     kind = docs.schema[id_col].dataType.simpleString()
     packed = stored(pack_texts(docs, id_col, text_col), "packed-texts")
-    spans = stored(held_before(packed, length, kind), "held-spans")
+    spans = stored(held_before(packed, length, kind), "held-spans", release=True)
     size = spans.agg(F.sum(F.octet_length("spans"))).first()[0] or 0
     joined = packed.join(F.broadcast(spans) if size <= SMALL_BYTES else spans, "batch", "left").select("ids", "ends", "data", "spans")
     names = [id_col, *OUT]
