@@ -140,8 +140,7 @@ def edited(rng, words, n):
     return " ".join(out)
 
 
-@pytest.mark.parametrize("block", [4, 4000])
-def test_similar_groups_are_exact_inside_candidates(spark, block, monkeypatch):
+def test_similar_groups_are_exact_inside_candidates(spark):
     rng = np.random.default_rng(8)
     texts, n = {}, 0
     for g in range(12):
@@ -154,23 +153,49 @@ def test_similar_groups_are_exact_inside_candidates(spark, block, monkeypatch):
     for _ in range(40):
         texts[n] = " ".join(f"w{rng.integers(3000)}" for _ in range(200))
         n += 1
-    monkeypatch.setattr(sh.verified_links, "__defaults__", (0.8, block, 10**6 if block > 10 else 2000))
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in sh.similar_groups(df).collect()}
     want = brute_similar(texts)
     assert got == want and len(set(want.values())) < n - 40
 
 
-def test_forest_of_sets_equals_all_pairs():
-    rng = np.random.default_rng(3)
-    sets = [np.unique(rng.integers(0, 60, rng.integers(0, 40))) for _ in range(80)]
-    root = sh._similar_forest(sets, 0.4)
-    texts = {i: set(x.tolist()) for i, x in enumerate(sets)}
-    for i in texts:
-        for j in texts:
-            if len(texts[i] & texts[j]) >= 0.4 * len(texts[i] | texts[j]):
-                assert root[i] == root[j]
-    assert len(set(root.tolist())) > 1
+def test_chains_of_candidates_make_no_groups(spark, monkeypatch):
+    """Fingerprints that lead from each text to the next join only what is alike."""
+    rng = np.random.default_rng(31)
+    base = [f"w{k}" for k in rng.integers(0, 3000, 200)]
+    texts = {i: " ".join(f"w{k}" for k in rng.integers(0, 3000, 60)) for i in range(40)} | {50 + i: edited(rng, base, 2) for i in range(20)}
+
+    def chained(hashes):
+        return np.int64(int(hashes.min()) % 64 and (1 << (int(hashes.min()) % 60)) - 1)
+
+    monkeypatch.setattr(sh, "majority", chained)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in sh.similar_groups(df).collect()}
+    assert got == {i: min(i, 50) if i >= 50 else i for i in texts}
+
+
+def test_templated_texts(spark, monkeypatch):
+    """Texts of the same sentences in any order: rows of the prefix join grow with the texts, not with their square."""
+    rng = np.random.default_rng(32)
+    sentences = [" ".join(f"w{k}" for k in rng.integers(0, 5000, 15)) for _ in range(12)]
+    rows = {}
+    stored = sh.stored
+    for n in (200, 800):
+        texts = {i: " ".join(sentences[k] for k in rng.permutation(12)[:7]) for i in range(n)}
+        sizes = {}
+
+        def counted(df, tag):
+            out = stored(df, tag)
+            sizes[tag] = sizes.get(tag, 0) + (out.count() if tag == "prefix-rows" else 0)
+            return out
+
+        monkeypatch.setattr(sh, "stored", counted)
+        df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+        got = {r.doc_id: r.component_id for r in sh.similar_groups(df).collect()}
+        if n == 200:
+            assert got == brute_similar(texts)
+        rows[n] = sizes["prefix-rows"]
+    assert rows[800] < 5 * rows[200]
 
 
 def test_wide_links_reach_six_bits(spark):
