@@ -30,12 +30,14 @@ from nimboscale.session import discard, stored, table
 
 #: Bytes of text a batch; a longer text is alone.
 BATCH_BYTES = 4_000_000
-#: Bytes between places that count as one when stretches are brought together.
-BLOCK_BITS = 12
+#: Places of so many bits of bytes count as one when stretches are brought together: copies keep whole stretches of them, edited only here and there.
+BLOCK_BITS = 9
+#: Bits of a block's number in a batch; what lies beyond, in a longer text, counts as its last block.
+PLACE_BITS = 13
 #: Distinct bytes of one key that go to one task; keys with more are split by anchor, then by string.
 HOT_BYTES = 2_000_000
 #: Distinct bytes that a task indexes together.
-GROUP_BYTES = 2_000_000
+GROUP_BYTES = 1_000_000
 #: Strings that one lane streams; longer stretches become several lanes.
 LANE = 512
 #: Strings of one stretch; longer ones are cut, whatever they hold.
@@ -234,9 +236,38 @@ def spans_of(marked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def earlier_strings(keys: np.ndarray, texts: list[bytes], rank: np.ndarray, length: int) -> list[tuple[int, int, int]]:
     """(text, from, to): the strings of each text that a text of smaller rank holds. Equal strings have equal keys.
 
-    Of each key the texts of the largest rank need no index and those of the
-    smallest no streaming.
+    Only what may be held elsewhere is indexed. Of each key the texts of the largest
+    rank need no index and those of the smallest no streaming.
     """
+    owner, start, pieces = _likely(texts, rank, length)
+    found = _earlier(keys[owner], pieces, rank[owner], length) if len(pieces) else []
+    return [(int(owner[i]), int(start[i]) + a, int(start[i]) + b) for i, a, b in found]
+
+
+def _likely(texts: list[bytes], rank: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """(text, start, bytes): the stretches of strings whose first and last two thirds both occur in texts of different ranks."""
+    width = max(1, length * 2 // 3)
+    sizes = np.array([len(t) for t in texts])
+    ends = np.cumsum(sizes)
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    text = np.repeat(np.arange(len(texts)), sizes)[: len(data) - width + 1]
+    parts = _hashes(data, width)
+    order = np.argsort(parts)
+    sorted_parts, ranks = parts[order], rank[text[order]]
+    first = np.flatnonzero(np.concatenate([[True], sorted_parts[1:] != sorted_parts[:-1]]))
+    shared = np.minimum.reduceat(ranks, first) != np.maximum.reduceat(ranks, first)
+    both = np.empty(len(parts), bool)
+    both[order] = np.repeat(shared, np.diff(np.append(first, len(parts))))
+    n = len(data) - length + 1
+    keep = both[:n] & both[length - width :] & (np.arange(n) + length <= ends[text[:n]])
+    new = keep & ~np.concatenate([[False], keep[:-1] & (text[1:n] == text[: n - 1])])
+    at = np.flatnonzero(new)
+    count = np.add.reduceat(keep.astype(np.int64), at) if len(at) else at
+    owner = text[at]
+    return owner, at - (ends - sizes)[owner], [data[a : a + c + length - 1].tobytes() for a, c in zip(at.tolist(), count.tolist())]
+
+
+def _earlier(keys: np.ndarray, texts: list[bytes], rank: np.ndarray, length: int) -> list[tuple[int, int, int]]:
     order = np.argsort(rank, kind="stable")
     low, high = (pd.Series(rank).groupby(keys).transform(how).to_numpy() for how in ("min", "max"))
     indexed = [i for i in order if rank[i] < high[i]]
@@ -319,7 +350,7 @@ def shared_anchors(packed: DataFrame, length: int) -> DataFrame:
                 first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
                 last = np.append(first[1:], len(anchor)) - 1
                 # Place in blocks, and whether two texts of the batch have it already.
-                where = row["batch"] << 12 | np.minimum(start[first] >> BLOCK_BITS, 2047) << 1 | (text[first] != text[last])
+                where = row["batch"] << PLACE_BITS + 1 | np.minimum(start[first] >> BLOCK_BITS, (1 << PLACE_BITS) - 1) << 1 | (text[first] != text[last])
                 yield pa.RecordBatch.from_pydict({"anchor": anchor[first].view(np.int64), "place": where})
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -337,9 +368,9 @@ def shared_anchors(packed: DataFrame, length: int) -> DataFrame:
             if not new[0]:
                 shared[0] = True
                 if not held[2]:
-                    yield pa.RecordBatch.from_pydict({"batch": [held[1] >> 12], "anchor": [held[0]], "key": [held[1] >> 1]})
+                    yield pa.RecordBatch.from_pydict({"batch": [held[1] >> PLACE_BITS + 1], "anchor": [held[0]], "key": [held[1] >> 1]})
             take = shared[group]
-            yield pa.RecordBatch.from_pydict({"batch": place[take] >> 12, "anchor": anchor[take], "key": firsts[group[take]] >> 1})
+            yield pa.RecordBatch.from_pydict({"batch": place[take] >> PLACE_BITS + 1, "anchor": anchor[take], "key": firsts[group[take]] >> 1})
             held = (int(anchor[-1]), int(firsts[-1]), bool(shared[-1]))
 
     rows = packed.mapInArrow(anchors, "anchor bigint, place bigint")
