@@ -16,14 +16,17 @@ def exact_quantiles(rows: DataFrame, by: list[str], wanted: dict[str, tuple[str,
     Values are counted by range with map-side combine; the counts tell which
     range holds a rank, and only the values of those ranges are counted one by
     one and ordered. A group without values of a column has null there; groups
-    without any value are left out.
+    without any value are left out. Infinities are values like any other; NaN counts as
+    larger than all of them. Between two neighbours of which one is infinite or NaN, the
+    result is that one wherever the quantile is not exactly the other.
     """
     columns = list(dict.fromkeys(c for c, _ in wanted.values()))
     listed = F.array(*[F.struct(F.lit(i).alias("c"), F.col(c).cast("double").alias("v")) for i, c in enumerate(columns)])
     long = rows.select(F.struct(F.lit(0).alias("_"), *by).alias("_k"), F.explode(listed).alias("_x")).where("_x.v IS NOT NULL")
     v = F.col("_x.v")
     # Grows with the value: ranges of equal width in its logarithm, on either side of zero.
-    size = F.floor((F.log2(F.abs(v)) + 1100) * FINE) + 1
+    endless = F.abs(v) == F.lit(float("inf"))
+    size = F.when(F.isnan(v), 1 << 30).when(endless, 1 << 29).otherwise(F.floor((F.log2(F.when(~endless & ~F.isnan(v), F.abs(v))) + 1100) * FINE) + 1)
     long = stored(long.select("_k", F.col("_x.c").alias("_c"), v.alias("_v"), F.when(v > 0, size).when(v < 0, -size).otherwise(0).cast("int").alias("_b")), "values")
     counts = long.groupBy("_k", "_c", "_b").agg(F.count(F.lit(1)).alias("_n"))
     group = Window.partitionBy("_k", "_c")
@@ -41,7 +44,12 @@ def exact_quantiles(rows: DataFrame, by: list[str], wanted: dict[str, tuple[str,
     near = near.withColumn("_first", F.coalesce(F.sum("_n").over(along), F.lit(0)))
     hit = near.join(picks, ["_k", "_c", "_b"]).withColumn("_at", F.col("rank") - F.col("_before")).where("_at >= _first AND _at < _first + _n")
     end = lambda name, k: F.max(F.when((F.col("name") == name) & (F.col("end") == k), F.struct("_v", "part")))
-    found = [(end(n, 0)["_v"] * (1 - end(n, 0)["part"]) + end(n, 1)["_v"] * end(n, 0)["part"]).alias(n) for n in wanted]
+
+    def between(name):
+        low, high, part = end(name, 0)["_v"], end(name, 1)["_v"], end(name, 0)["part"]
+        return F.when((part == 0) | (low == high), low).otherwise(low * (1 - part) + high * part).alias(name)
+
+    found = [between(n) for n in wanted]
     return hit.groupBy("_k").agg(*found).select(*[F.col("_k")[c].alias(c) for c in by], *wanted)
 
 

@@ -1,21 +1,34 @@
 """Sampling and resampling: stratified weights, circular block and group bootstraps.
 
-Replicates are sums of additive measures: rows are first added up by resampling
-unit, and a replicate is a join of unit numbers with those sums. Rows never
-multiply by the number of replicates.
+Every draw is a hash of a counter (seed, replicate, draw), so it depends on no
+partition or retry, and draws are independent of each other. Replicates are sums of
+additive measures: rows are first added up by resampling unit. Few units meet a
+table of draws; many units carry Poisson weights, made beside each unit and added up
+before any exchange, so that no table has a row for every replicate and unit.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-A, C, M = 1103515245, 12345, 2147483648
+def scramble(key: Column, seed: int) -> Column:
+    """Order key by a hash of the seed and ``key``; the same in any SQL engine. Equal keys need a further key."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")).cast("binary"))
 
 
-def scramble(key: Column, seed: int) -> Column:
-    """Integer order key by two steps of a linear congruence; the same in any SQL engine. Ties need a further key."""
-    once = F.pmod(F.pmod(key + seed, F.lit(M)) * A + C, F.lit(M))
-    return F.pmod(once * A + C, F.lit(M))
+def counter_hash(seed: int, *counters: Column) -> Column:
+    """A long from 0 on, all values alike, for each combination of counters."""
+    return F.xxhash64(F.lit(seed), *counters).bitwiseAND(F.lit((1 << 63) - 1))
+
+
+def poisson_one(seed: int, *counters: Column) -> Column:
+    """Weights 0, 1, 2, ... with the Poisson law of mean 1, by inversion of a hashed uniform."""
+    u = F.shiftright(counter_hash(seed, *counters), 10).cast("double") / F.lit(float(1 << 53))
+    # Beyond 18 lies less than a 53-bit uniform can say.
+    sums = [math.fsum(math.exp(-1) / math.factorial(i) for i in range(k)) for k in range(1, 19)]
+    return sum(((u >= F.lit(t)).cast("int") for t in sums), F.lit(0))
 
 
 def stratified_sample(df: DataFrame, strata: list[str], key: str, caps: dict[str, int], stratum: str, seed: int, ties: list[str] = ()) -> DataFrame:
@@ -58,9 +71,14 @@ def numbered(df: DataFrame, key: str, out: str, rows: int = 100_000) -> DataFram
 
 
 def replicate_units(spark, reps: int, units: int, block: int, seed: int) -> DataFrame:
-    """(rep, unit): circular blocks of ``block`` consecutive units until ``units`` are drawn. Its size is an argument, not data."""
+    """(rep, unit): circular blocks of ``block`` consecutive units until ``units`` are drawn.
+
+    reps x units rows: for units whose number an argument sets, as issues or event
+    days; for units that grow with the data see ``poisson_sums``.
+    """
     blocks = -(-units // block)
-    draws = spark.range(reps * blocks).select(F.expr(f"cast(id div {blocks} AS int)").alias("rep"), (F.col("id") % blocks).cast("int").alias("b"), F.pmod(scramble(F.col("id"), seed), F.lit(units)).alias("start"))
+    draws = spark.range(reps * blocks).select(F.expr(f"cast(id div {blocks} AS int)").alias("rep"), (F.col("id") % blocks).cast("int").alias("b"))
+    draws = draws.withColumn("start", F.pmod(counter_hash(seed, F.col("rep"), F.col("b")), F.lit(units)))
     placed = draws.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(block - 1)))).where(F.col("b") * block + F.col("k") < units)
     return placed.select("rep", F.pmod(F.col("start") + F.col("k"), F.lit(units)).alias("unit"))
 
@@ -72,25 +90,38 @@ def bootstrap_sums(rows: DataFrame, unit: str, by: list[str], sums: list[str], r
     return totals.join(times, "unit").groupBy("rep", *by).agg(*[F.sum(F.col(c) * F.col("_times")).alias(c) for c in sums])
 
 
+def poisson_sums(rows: DataFrame, unit: str, by: list[str], sums: list[str], reps: int, seed: int) -> DataFrame:
+    """(rep, by..., sums...) of every replicate, each unit weighted by a Poisson draw of its own: for units without number.
+
+    The draw is a hash of replicate and unit, so replicates share it across ``by``
+    and nothing is numbered. Weights are spent where the unit's sums are: a task sends a
+    row a replicate and group. Units may be of any type; a null unit is one unit.
+    """
+    totals = rows.groupBy(F.col(unit).alias("_unit"), *by).agg(*[F.sum(c).alias(c) for c in sums])
+    drawn = totals.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("_times", poisson_one(seed, F.col("rep"), F.col("_unit")))
+    return drawn.where("_times > 0").groupBy("rep", *by).agg(*[F.sum(F.col(c) * F.col("_times")).alias(c) for c in sums])
+
+
 def interval(reps: DataFrame, by: list[str], value: str, low: float = 0.025, high: float = 0.975, finite: float = 0.9) -> DataFrame:
     """Exact percentiles over replicates; null if fewer than ``finite`` of them have a value."""
     enough = F.count(value) >= finite * F.count(F.lit(1))
     return reps.groupBy(*by).agg(*[F.when(enough, F.percentile(value, q)).alias(n) for n, q in (("low", low), ("mid", 0.5), ("high", high))])
 
 
-def permuted(df: DataFrame, column: str, key: str, seed: int, buckets: int = 256) -> DataFrame:
+def permuted(df: DataFrame, column: str, key: str, seed: int, rows: int = 100_000) -> DataFrame:
     """``df`` with ``column`` shuffled over all rows.
 
     Rows are ranked twice, by their key and by a hash of it, and values move
-    between equal ranks. Ranks come from bucket counts and ranks inside buckets,
-    so no task sorts the table. Keys must be unique.
+    between equal ranks. Ranks come from bucket counts and ranks inside buckets of
+    about ``rows`` rows, so no task sorts the table. Keys must be unique.
     """
+    buckets = max(1, -(-df.count() // rows))
 
     def ranked(order: Column, keep: list[str], name: str) -> DataFrame:
         part = F.pmod(F.xxhash64(order), F.lit(buckets)).cast("int")
         dealt = df.select(*keep, part.alias("_part"), order.alias("_order"))
         first = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-        # ``buckets`` rows.
+        # A row a bucket.
         first = first.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_first"))
         inside = F.row_number().over(Window.partitionBy("_part").orderBy("_order"))
         return dealt.withColumn("_in", inside).join(F.broadcast(first), "_part").select(*keep, (F.col("_first") + F.col("_in")).alias(name))

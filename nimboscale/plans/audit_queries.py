@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from nimboscale.operators import audit as A, raster as R, tracks as T, verify as V
 from nimboscale.operators.quantile import with_quantiles
 from nimboscale.plans.registry import query
-from nimboscale.plans.score_queries import LCG
+from nimboscale.plans.score_queries import SCRAMBLED
 from nimboscale.plans.standins import EVENT, POS, PX, SC, SEG, pixels, positions, scores, segments
 from nimboscale.plans.track_queries import EDGES, RATES, STEPS, TRACKS, _phased, _tracks
 from nimboscale.session import stored, table
@@ -99,7 +99,7 @@ def event_qc_summary(spark, sf_dir):
                  ((F.count(F.lit(1)) >= 8) & (deep >= 0.5)).alias("suitable"))
 
 
-@query(f"SELECT event_id, event_type FROM events ORDER BY {LCG('event_id', 21)}, event_id LIMIT 200")
+@query(f"SELECT event_id, event_type FROM events ORDER BY {SCRAMBLED('event_id', 21)}, event_id LIMIT 200")
 def random_row_sample(spark, sf_dir):
     return A.random_rows(table(spark, sf_dir, "events").select("event_id", "event_type"), "event_id", 200, 21)
 

@@ -109,11 +109,11 @@ def issue_iqr_band(spark, sf_dir):
 
 # ---- sampling -----------------------------------------------------------------
 
-LCG = lambda k, seed: f"((((({k} + {seed}) % {B.M}) * {B.A} + {B.C}) % {B.M}) * {B.A} + {B.C}) % {B.M}"
+SCRAMBLED = lambda k, seed: f"md5('{seed}:' || CAST({k} AS VARCHAR))"
 #: Most rows of a stratum.
 CAPS = {"event": 150, "near": 150, "far": 60}
 ROWS = """mlrows AS (SELECT l_orderkey * 8 + l_linenumber AS pixel, CAST(l_linenumber * 30 AS INT) AS lead, CASE WHEN l_tax > 0.065 THEN 'event' WHEN l_discount > 0.055 THEN 'near' ELSE 'far' END AS stratum, CASE WHEN l_quantity > 30 THEN 1 ELSE 0 END AS y FROM lineitem)"""
-SAMPLE = f"""smp AS (SELECT *, n / least(n, cap)::DOUBLE AS weight FROM (SELECT *, count(*) OVER (PARTITION BY lead, stratum) AS n, row_number() OVER (PARTITION BY lead, stratum ORDER BY {LCG('pixel', 5)}, pixel, y) AS rk,
+SAMPLE = f"""smp AS (SELECT *, n / least(n, cap)::DOUBLE AS weight FROM (SELECT *, count(*) OVER (PARTITION BY lead, stratum) AS n, row_number() OVER (PARTITION BY lead, stratum ORDER BY {SCRAMBLED('pixel', 5)}, pixel, y) AS rk,
   CASE stratum WHEN 'event' THEN 150 WHEN 'near' THEN 150 ELSE 60 END AS cap FROM mlrows) WHERE rk <= cap)"""
 
 
@@ -142,49 +142,89 @@ def weighted_logloss(spark, sf_dir):
 
 
 UNITS, REPS, BLOCK = 48, 1000, 12
-DRAWS = f"""draws AS (SELECT CAST(i // {UNITS // BLOCK} AS INT) AS rep, {LCG('i', 9)} % {UNITS} AS s FROM range({REPS * UNITS // BLOCK}) t(i)),
-times AS (SELECT rep, CAST((s + k) % {UNITS} AS INT) AS unit, count(*) AS times FROM draws CROSS JOIN range({BLOCK}) b(k) GROUP BY ALL)"""
+#: The draws of the SQL form are its own: what must agree is the estimate, its spread by theory, and that the replicates follow it.
+LAW = """count(*) >= 0.9 * {reps} AND abs(stddev_pop({v}) / any_value(sd) - 1) < 0.15 AS spread_fits,
+  abs(quantile_cont({v}, 0.025) - (any_value({e}) - 1.96 * any_value(sd))) < 0.4 * any_value(sd) AS low_fits,
+  abs(quantile_cont({v}, 0.975) - (any_value({e}) + 1.96 * any_value(sd))) < 0.4 * any_value(sd) AS high_fits,
+  count(DISTINCT {v}) >= 0.5 * {reps} AS resampled"""
+
+
+def _law(reps, by: list[str], value: str, theory):
+    """(by..., estimate, sd, spread_fits, low_fits, high_fits, resampled): do the replicates of ``value`` have the spread ``sd`` around ``estimate``."""
+    seen = reps.groupBy(*by).agg(F.stddev_pop(value).alias("_sd"), F.count(value).alias("_n"), F.count_distinct(value).alias("_distinct"))
+    ends = B.interval(reps, by, value)
+    out = theory.join(seen, by).join(ends, by) if by else theory.crossJoin(F.broadcast(seen)).crossJoin(F.broadcast(ends))
+    near = lambda end, sign: F.abs(F.col(end) - (F.col("estimate") + sign * 1.96 * F.col("sd"))) < 0.4 * F.col("sd")
+    return out.select(
+        *by, F.round("estimate", 8).alias("estimate"), F.round("sd", 8).alias("sd"), ((F.col("_n") >= 0.9 * REPS) & (F.abs(F.col("_sd") / F.col("sd") - 1) < 0.15)).alias("spread_fits"),
+        near("low", -1).alias("low_fits"), near("high", 1).alias("high_fits"), (F.col("_distinct") >= 0.5 * REPS).alias("resampled"),
+    )
 
 
-@query(f"""WITH {SC}, {DRAWS}, u AS (SELECT CAST(datediff('day', DATE '1990-01-01', issue) % {UNITS} AS INT) AS unit, method, {COUNTED} FROM sc GROUP BY ALL),
-r AS (SELECT rep, method, sum(H * times) / sum((H + M + F) * times)::DOUBLE AS csi FROM u JOIN times USING (unit) GROUP BY ALL)
-SELECT method, round(quantile_cont(csi, 0.025), 8) AS low, round(quantile_cont(csi, 0.5), 8) AS mid, round(quantile_cont(csi, 0.975), 8) AS high FROM r GROUP BY method""")
+@query(f"""WITH {SC}, u AS (SELECT CAST(datediff('day', DATE '1990-01-01', issue) % {UNITS} AS INT) AS unit, method, {COUNTED} FROM sc GROUP BY ALL),
+e AS (SELECT method, sum(H) / sum(H + M + F)::DOUBLE AS csi, sum(H + M + F)::DOUBLE AS t FROM u GROUP BY method),
+inf AS (SELECT method, unit, (H - csi * (H + M + F)) / t AS v FROM u JOIN e USING (method)),
+b AS (SELECT method, s, coalesce(sum(v), 0) AS v FROM (SELECT method, v, unnest([(unit + {UNITS} - k) % {UNITS} for k in range({BLOCK})]) AS s FROM inf) GROUP BY ALL),
+theory AS (SELECT method, any_value(csi) AS csi, sqrt({UNITS // BLOCK} * sum(b.v * b.v) / {UNITS}) AS sd FROM b JOIN e USING (method) GROUP BY method),
+draws AS (SELECT i // {UNITS // BLOCK} AS rep, CAST(hash(i, 'blocks') % {UNITS} AS INT) AS s FROM range({REPS * UNITS // BLOCK}) t(i)),
+times AS (SELECT rep, (s + k) % {UNITS} AS unit, count(*) AS times FROM draws CROSS JOIN range({BLOCK}) b(k) GROUP BY ALL),
+r AS (SELECT rep, method, sum(H * times) / sum((H + M + F) * times)::DOUBLE AS v FROM u JOIN times USING (unit) GROUP BY ALL)
+SELECT method, round(any_value(csi), 8) AS estimate, round(any_value(sd), 8) AS sd, {LAW.format(v='v', e='csi', reps=REPS)} FROM r JOIN theory USING (method) GROUP BY method""")
 def block_bootstrap_ci(spark, sf_dir):
+    """CSI by method with circular blocks of issues: is the interval what the issues' spread gives."""
     s = scores(spark, sf_dir).withColumn("unit", F.datediff("issue", F.lit("1990-01-01").cast("date")) % UNITS)
-    counts = V.contingency(s, ["unit", "method"], "fc", "obs")
-    reps = B.bootstrap_sums(counts, "unit", ["method"], ["H", "M", "F"], REPS, UNITS, BLOCK, 9)
-    csi = reps.withColumn("csi", V.ratio(F.col("H"), F.col("H") + F.col("M") + F.col("F")))
-    return B.interval(csi, ["method"], "csi").select("method", *[F.round(c, 8).alias(c) for c in ("low", "mid", "high")])
-
-
-@query(f"""WITH {SC}, draws AS (SELECT CAST(i // {UNITS} AS INT) AS rep, CAST({LCG('i', 3)} % {UNITS} AS INT) AS unit FROM range({REPS * UNITS}) t(i)), times AS (SELECT rep, unit, count(*) AS times FROM draws GROUP BY ALL),
-u AS (SELECT CAST(datediff('day', DATE '1990-01-01', issue) % {UNITS} AS INT) AS unit, method, sum((p - o) * (p - o)) AS bs, count(*) AS n FROM sc GROUP BY ALL),
-r AS (SELECT rep, method, sum(bs * times) / sum(n * times) AS bs FROM u JOIN times USING (unit) GROUP BY ALL),
-w AS (SELECT rep, max(bs) FILTER (WHERE method = 'A') - max(bs) FILTER (WHERE method = 'N') AS d FROM r GROUP BY rep)
-SELECT round(avg(CASE WHEN d > 0 THEN 1.0::DOUBLE ELSE 0.0 END), 8) AS second_better, round(quantile_cont(d, 0.5), 7) + 0.0 AS mid FROM w""")
+    counts = V.contingency(s, ["unit", "method"], "fc", "obs").withColumn("T", F.col("H") + F.col("M") + F.col("F"))
+    reps = B.bootstrap_sums(counts, "unit", ["method"], ["H", "T"], REPS, UNITS, BLOCK, 9).withColumn("csi", V.ratio(F.col("H"), F.col("T")))
+    whole = counts.groupBy("method").agg(V.ratio(F.sum("H"), F.sum("T")).alias("estimate"), F.sum("T").alias("_t"))
+    parts = counts.join(whole, "method").withColumn("_v", (F.col("H") - F.col("estimate") * F.col("T")) / F.col("_t"))
+    starts = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BLOCK - 1)), lambda k: F.pmod(F.col("unit") - k, F.lit(UNITS))))
+    blocks = parts.select("method", "estimate", "_v", starts.alias("_s")).groupBy("method", "estimate", "_s").agg(F.sum("_v").alias("_v"))
+    theory = blocks.groupBy("method", "estimate").agg(F.sqrt(F.lit(UNITS // BLOCK) * F.sum(F.col("_v") * F.col("_v")) / UNITS).alias("sd"))
+    return _law(reps, ["method"], "csi", theory)
+
+
+@query(f"""WITH {SC}, u AS (SELECT CAST(datediff('day', DATE '1990-01-01', issue) % {UNITS} AS INT) AS unit, sum((p - o) * (p - o)) FILTER (WHERE method = 'A') AS a, count(*) FILTER (WHERE method = 'A') AS na,
+  sum((p - o) * (p - o)) FILTER (WHERE method = 'N') AS b, count(*) FILTER (WHERE method = 'N') AS nb FROM sc GROUP BY ALL),
+e AS (SELECT sum(a) / sum(na) AS ea, sum(b) / sum(nb) AS eb, sum(na) AS ta, sum(nb) AS tb FROM u),
+theory AS (SELECT any_value(ea - eb) AS d, sqrt(sum(((coalesce(a, 0) - ea * na) / ta - (coalesce(b, 0) - eb * nb) / tb) ** 2)) AS sd FROM u, e),
+draws AS (SELECT i // {UNITS} AS rep, CAST(hash(i, 'events') % {UNITS} AS INT) AS unit FROM range({REPS * UNITS}) t(i)),
+r AS (SELECT rep, sum(a) / sum(na) - sum(b) / sum(nb) AS v FROM draws JOIN u USING (unit) GROUP BY rep)
+SELECT round(any_value(d), 8) AS estimate, round(any_value(sd), 8) AS sd, {LAW.format(v='v', e='d', reps=REPS)}, (avg(CASE WHEN v > 0 THEN 1.0 ELSE 0.0 END) > 0.5) = (any_value(d) > 0) AS sign_fits FROM r, theory""")
 def paired_event_bootstrap(spark, sf_dir):
-    s = scores(spark, sf_dir).withColumns({"unit": F.datediff("issue", F.lit("1990-01-01").cast("date")) % UNITS, "bs": (F.col("p") - F.col("o")) * (F.col("p") - F.col("o")), "n": F.lit(1)})
-    reps = B.bootstrap_sums(s, "unit", ["method"], ["bs", "n"], REPS, UNITS, 1, 3).withColumn("score", F.col("bs") / F.col("n"))
-    wide = reps.groupBy("rep").pivot("method", ["A", "N"]).agg(F.first("score")).withColumn("d", F.col("A") - F.col("N"))
-    return wide.agg(F.round(F.avg((F.col("d") > 0).cast("double")), 8).alias("second_better"), (F.round(F.percentile("d", 0.5), 7) + 0.0).alias("mid"))
+    """Difference of two methods' Brier scores with the event days both have drawn together."""
+    square = (F.col("p") - F.col("o")) * (F.col("p") - F.col("o"))
+    s = scores(spark, sf_dir).withColumn("unit", F.datediff("issue", F.lit("1990-01-01").cast("date")) % UNITS)
+    of = lambda m, value: F.coalesce(F.sum(F.when(F.col("method") == m, value)), F.lit(0))
+    units = s.groupBy("unit").agg(of("A", square).alias("a"), of("A", F.lit(1)).alias("na"), of("N", square).alias("b"), of("N", F.lit(1)).alias("nb"))
+    reps = B.bootstrap_sums(units, "unit", [], ["a", "na", "b", "nb"], REPS, UNITS, 1, 3).withColumn("d", F.col("a") / F.col("na") - F.col("b") / F.col("nb"))
+    whole = units.agg(*[F.sum(c).alias(f"_{c}") for c in ("a", "na", "b", "nb")])
+    share = lambda c, n: (F.col(c) - F.col(f"_{c}") / F.col(f"_{n}") * F.col(n)) / F.col(f"_{n}")
+    influence = units.crossJoin(F.broadcast(whole)).withColumns({"_v": share("a", "na") - share("b", "nb"), "_d": F.col("_a") / F.col("_na") - F.col("_b") / F.col("_nb")})
+    theory = influence.agg(F.max("_d").alias("estimate"), F.sqrt(F.sum(F.col("_v") * F.col("_v"))).alias("sd"))
+    signs = reps.agg((F.avg((F.col("d") > 0).cast("double")) > 0.5).alias("_more"))
+    return _law(reps, [], "d", theory).crossJoin(F.broadcast(signs)).withColumn("sign_fits", F.col("_more") == (F.col("estimate") > 0)).drop("_more")
 
 
 @query(f"""WITH {POS}, pr AS (SELECT cell, min_bt - 250 AS dev, lead(min_bt - 250) OVER (PARTITION BY cell ORDER BY frame) AS nxt FROM pos),
 u AS (SELECT row_number() OVER (ORDER BY cell) - 1 AS unit, sum(dev * nxt) AS xy, sum(dev * dev) AS xx FROM pr WHERE nxt IS NOT NULL GROUP BY cell),
-draws AS (SELECT i // (SELECT count(*) FROM u) AS rep, {LCG('i', 4)} % (SELECT count(*) FROM u) AS unit FROM range({REPS} * (SELECT count(*) FROM u)) t(i)),
-r AS (SELECT rep, sum(xy) / sum(xx) AS phi FROM draws JOIN u USING (unit) GROUP BY rep)
-SELECT round(quantile_cont(phi, 0.025), 8) AS low, round(quantile_cont(phi, 0.5), 8) AS mid, round(quantile_cont(phi, 0.975), 8) AS high FROM r""")
+e AS (SELECT sum(xy) / sum(xx) AS phi, sum(xx) AS t FROM u),
+theory AS (SELECT any_value(phi) AS phi, sqrt(sum(((xy - phi * xx) / t) ** 2)) AS sd FROM u, e),
+draws AS (SELECT i // (SELECT count(*) FROM u) AS rep, hash(i, 'cells') % (SELECT count(*) FROM u) AS unit FROM range({REPS} * (SELECT count(*) FROM u)) t(i)),
+r AS (SELECT rep, sum(xy) / sum(xx) AS v FROM draws JOIN u USING (unit) GROUP BY rep)
+SELECT round(any_value(phi), 8) AS estimate, round(any_value(sd), 8) AS sd, {LAW.format(v='v', e='phi', reps=REPS)} FROM r, theory""")
 def cell_bootstrap_ar1(spark, sf_dir):
-    """Interval of the first-order autocorrelation, cells resampled with their sufficient sums."""
+    """First-order autocorrelation with cells resampled by weights of their own: no row for each replicate and cell is stored or exchanged."""
     from nimboscale.operators.tracks import by_cell
     from nimboscale.plans.standins import positions
 
     p = positions(spark, sf_dir).withColumn("dev", F.col("min_bt") - 250)
     pairs = p.withColumn("nxt", F.lead("dev").over(by_cell())).where("nxt IS NOT NULL")
-    cells = pairs.groupBy("cell").agg(F.sum(F.col("dev") * F.col("nxt")).alias("xy"), F.sum(F.col("dev") * F.col("dev")).alias("xx"))
-    units = stored(B.numbered(cells, "cell", "unit"), "cell-sums")
-    reps = B.bootstrap_sums(units, "unit", [], ["xy", "xx"], REPS, units.count(), 1, 4).withColumn("phi", F.try_divide("xy", "xx"))
-    return B.interval(reps, [], "phi").select(*[F.round(c, 8).alias(c) for c in ("low", "mid", "high")])
+    cells = stored(pairs.groupBy("cell").agg(F.sum(F.col("dev") * F.col("nxt")).alias("xy"), F.sum(F.col("dev") * F.col("dev")).alias("xx")), "cell-sums")
+    reps = B.poisson_sums(cells, "cell", [], ["xy", "xx"], REPS, 4).withColumn("phi", F.try_divide("xy", "xx"))
+    whole = cells.agg(F.try_divide(F.sum("xy"), F.sum("xx")).alias("_phi"), F.sum("xx").alias("_xx"))
+    influence = cells.crossJoin(F.broadcast(whole)).withColumn("_v", (F.col("xy") - F.col("_phi") * F.col("xx")) / F.col("_xx"))
+    theory = influence.agg(F.max("_phi").alias("estimate"), F.sqrt(F.sum(F.col("_v") * F.col("_v"))).alias("sd"))
+    return _law(reps, [], "phi", theory)
 
 
 @query("""WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders), e AS (SELECT day FROM d WHERE extract('day' FROM day) = 15 AND extract('month' FROM day) = 6),

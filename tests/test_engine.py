@@ -316,10 +316,37 @@ def test_sample_weights_and_bootstrap(spark):
     rows = spark.createDataFrame([(i, "m", 2, 1, 1) for i in range(24)], "unit int, k string, H int, M int, F int")
     reps = B.bootstrap_sums(rows, "unit", ["k"], ["H", "M", "F"], 30, 24, 6, 3)
     assert {r.csi for r in reps.select((F.col("H") / (F.col("H") + F.col("M") + F.col("F"))).alias("csi")).collect()} == {0.5}
-    p = B.permuted(df.withColumn("v", F.col("id") * 2), "v", "id", 4, 16)
+    p = B.permuted(df.withColumn("v", F.col("id") * 2), "v", "id", 4, 300)
     assert p.count() == 5000 and p.select(F.sum("v")).first()[0] == df.select(F.sum(F.col("id") * 2)).first()[0] and p.where("v = 2 * id").count() < 50
 
 
+@pytest.mark.parametrize("units", [48, 64, 100, 150, 1024])
+def test_bootstrap_spread_follows_theory(spark, units):
+    """Replicates of a mean spread as independent draws do, whatever the number of units; both generators."""
+    reps, values = 3000, [math.sqrt((i * 7919) % 101) for i in range(units)]
+    rows = spark.createDataFrame([(i, v, 1) for i, v in enumerate(values)], "unit int, v double, n int")
+    mean = sum(values) / units
+    theory = math.sqrt(sum((v - mean) ** 2 for v in values)) / units
+    for sums in (B.bootstrap_sums(rows, "unit", [], ["v", "n"], reps, units, 1, 3), B.poisson_sums(rows, "unit", [], ["v", "n"], reps, 3)):
+        r = sums.select((F.col("v") / F.col("n")).alias("m")).agg(F.stddev_pop("m").alias("sd"), F.avg("m").alias("mean"), F.count_distinct("m").alias("k")).first()
+        # The Poisson total varies, which adds a part in the number of units.
+        assert abs(r["sd"] / theory - 1) < 0.05 + 1.0 / units and abs(r["mean"] - mean) < 4 * theory / math.sqrt(reps) + theory / units and r["k"] > 0.9 * reps
+
+
+def test_draws_are_alike_and_independent(spark):
+    draws = B.replicate_units(spark, 1000, 48, 12, 5).groupBy("rep").agg(F.sort_array(F.collect_list("unit")).alias("u"))
+    assert draws.select("u").distinct().count() > 950
+    one = B.replicate_units(spark, 400, 100, 1, 6)
+    counts = [r["count"] for r in one.groupBy("unit").count().collect()]
+    assert len(counts) == 100 and sum((c - 400) ** 2 / 400 for c in counts) < 160  # chi squared of 99 degrees
+    w = spark.range(200_000).select(B.poisson_one(1, F.col("id")).alias("w")).groupBy("w").count().collect()
+    share = {r["w"]: r["count"] / 200_000 for r in w}
+    assert all(abs(share.get(k, 0) - math.exp(-1) / math.factorial(k)) < 0.004 for k in range(6))
+    kept = sorted(r["id"] for r in B.stratified_sample(spark.range(4096).withColumn("s", F.lit("a")), ["s"], "id", {"a": 1024}, "s", 2).collect())
+    gaps = [b - a for a, b in zip(kept, kept[1:])]
+    assert len(set(gaps)) > 10  # no lattice
+
+
 def test_bias_product_and_rollups(spark):
     rows = spark.createDataFrame([(1, 5, 7, 6, 4, 3), (1, 6, 3, 2, 5, 4), (2, 4, 4, 4, 8, 8)], "k int, a0 int, af int, afv int, aod int, aov int")
     for r in V.bias_factors(rows, ["k"]).collect():
@@ -432,6 +459,17 @@ def test_streamed_links_equal_batch(spark):
     assert {(r.event, r.frame, r.feature): r.cell for r in streamed_links(spark, sf).collect()} == batch
 
 
+def test_quantiles_of_endless_values(spark):
+    from nimboscale.operators.quantile import exact_quantiles
+
+    inf, nan = float("inf"), float("nan")
+    df = spark.createDataFrame([("a", v) for v in (1.0, 2.0, inf)] + [("b", v) for v in (-inf, -inf, 5.0, inf)] + [("c", v) for v in (1.0, nan, inf)], "g string, v double")
+    got = {r["g"]: r for r in exact_quantiles(df, ["g"], {"low": ("v", 0.0), "mid": ("v", 0.5), "high": ("v", 1.0)}).collect()}
+    assert (got["a"]["low"], got["a"]["mid"], got["a"]["high"]) == (1.0, 2.0, inf)
+    assert (got["b"]["low"], got["b"]["mid"], got["b"]["high"]) == (-inf, -inf, inf)
+    assert got["c"]["low"] == 1.0 and got["c"]["mid"] == inf and math.isnan(got["c"]["high"])
+
+
 def test_exact_quantiles(spark):
     from nimboscale.operators.quantile import exact_quantiles
 
