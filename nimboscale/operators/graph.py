@@ -58,3 +58,40 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     found = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component"))
     return found.unionByName(roots).unionByName(loops).groupBy("node").agg(F.min("component").alias("component"))
+
+
+def minimum_spanning_forest(edges: DataFrame, src: str = "src", dst: str = "dst", weight: str = "weight", max_rounds: int = 60) -> DataFrame:
+    """(src, dst, weight), src < dst: the edges of the forest of least total weight, of equal weights those of smaller ends.
+
+    Boruvka's rounds: every tree takes its lightest edge out (a map-side combined
+    minimum), the trees so joined are contracted, and edges inside a tree go. The
+    number of trees at least halves, so rounds grow with its logarithm; each is
+    stored. Self-loops, edges with a null end or weight and all but the lightest of
+    parallel edges never take part.
+    """
+    given = edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull() & F.col(weight).isNotNull() & (F.col(src) != F.col(dst)))
+    given = given.select(F.least(src, dst).alias("src"), F.greatest(src, dst).alias("dst"), F.col(weight).alias("weight")).groupBy("src", "dst").agg(F.min("weight").alias("weight"))
+    now = stored(given.withColumns({"u": F.col("src"), "v": F.col("dst")}), "trees")
+    taken = []
+    for _ in range(max_rounds):
+        if now.isEmpty():
+            break
+        edge = F.struct("weight", "src", "dst")
+        ends = now.select(F.col("u").alias("tree"), edge.alias("e")).unionByName(now.select(F.col("v").alias("tree"), edge.alias("e")))
+        best = stored(ends.groupBy("tree").agg(F.min("e").alias("e")).select("e.*").distinct(), "forest")
+        taken.append(best)
+        # Trees that an edge joins: its ends' trees, not its ends.
+        met = now.join(best.select("src", "dst"), ["src", "dst"]).select("u", "v")
+        tree = stored(connected_components(met, "u", "v"), "joined-trees")
+        of = lambda end, name: tree.select(F.col("node").alias(end), F.col("component").alias(name))
+        moved = now.join(of("u", "_u"), "u", "left").join(of("v", "_v"), "v", "left")
+        moved = moved.select("src", "dst", "weight", F.coalesce("_u", "u").alias("u"), F.coalesce("_v", "v").alias("v")).where("u <> v")
+        after = stored(moved, "trees")
+        discard(now, tree)
+        now = after
+    else:
+        raise RuntimeError(f"trees did not join in {max_rounds} rounds")
+    out = given.select("src", "dst", "weight").limit(0)
+    for part in taken:
+        out = out.unionByName(part.select("src", "dst", "weight"))
+    return out

@@ -1,4 +1,4 @@
-"""Sequential raster kernels, each a grouped function on one frame or one issue.
+"""Sequential raster kernels, each a grouped function on one frame, one issue or one subnet.
 
 A frame's size is fixed, so a task's memory is too, however many frames there
 are. Results are not those of any particular tracking library bit for bit.
@@ -12,75 +12,17 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from nimboscale.operators import regions
+from nimboscale.operators.graph import connected_components, minimum_spanning_forest
 from nimboscale.operators.preprocess import raster_of
+from nimboscale.session import stored
 
 # ---- detection ------------------------------------------------------------------
 
 
-def smoothed(field: np.ndarray, sigma: float) -> np.ndarray:
-    """Gaussian smoothing over valid pixels; missing stays missing."""
-    half = max(1, int(3 * sigma + 0.5))
-    k = np.exp(-0.5 * (np.arange(-half, half + 1) / sigma) ** 2)
-    ok = ~np.isnan(field)
-    total, weight = np.where(ok, field, 0.0), ok.astype(float)
-    for axis in (0, 1):
-        total, weight = (np.apply_along_axis(lambda r: np.convolve(r, k, "same")[: len(r)] if len(r) >= len(k) else np.convolve(r, k)[half : half + len(r)], axis, a) for a in (total, weight))
-    return np.where(ok & (weight > 0), total / np.maximum(weight, 1e-12), np.nan)
-
-
-def labelled(mask: np.ndarray) -> np.ndarray:
-    """4-connected regions numbered from 1 in scan order of their first pixel, by smallest-label sweeps."""
-    label = np.where(mask, np.arange(1, mask.size + 1).reshape(mask.shape), 0)
-    while True:
-        before = label.copy()
-        for axis in (0, 1):
-            for flip in (False, True):
-                a = np.flip(label, axis) if flip else label
-                a = np.moveaxis(a, axis, 0)
-                for i in range(1, len(a)):
-                    both = (a[i] > 0) & (a[i - 1] > 0)
-                    a[i][both] = np.minimum(a[i], a[i - 1])[both]
-        if (label == before).all():
-            break
-    return np.where(mask, np.searchsorted(np.unique(label[mask]), label) + 1, 0) if mask.any() else label
-
-
-def features_of(field: np.ndarray, least: dict[float, int], sigma: float) -> list[tuple[float, float, float, int]]:
-    """(row, col, threshold, pixels) of minima: regions of ``least`` pixels or more below each threshold, weighted centroids; a region of a
-    colder threshold replaces the warmer one that holds it."""
-    smooth = smoothed(field, sigma)
-    kept: list[tuple[float, float, float, int, np.ndarray]] = []
-    for t in sorted(least, reverse=True):
-        label = labelled(np.nan_to_num(smooth, nan=np.inf) < t)
-        new = []
-        for n in range(1, int(label.max(initial=0)) + 1):
-            at = label == n
-            if at.sum() < least[t]:
-                continue
-            y, x = np.nonzero(at)
-            w = t - smooth[at]
-            w = w / w.sum() if w.sum() > 0 else np.full(len(y), 1 / len(y))
-            new.append((float(y @ w), float(x @ w), t, int(at.sum()), at))
-        inner = np.zeros(field.shape, bool)
-        for f in new:
-            inner |= f[4]
-        kept = [f for f in kept if not (f[4] & inner).any()] + new
-    return [f[:4] for f in sorted(kept, key=lambda f: (f[0], f[1]))]
-
-
 def detect(px: DataFrame, height: int, width: int, thresholds: list[float], least: int | list[int] = 4, sigma: float = 1.0, value: str = "v") -> DataFrame:
-    """(frame, feature, cy, cx, threshold, pixels); features are numbered from 1 in a frame. ``least`` pixels, or a number for each threshold."""
-    sizes = [least] * len(thresholds) if isinstance(least, int) else list(least)
-    if len(sizes) != len(thresholds):
-        raise ValueError("as many least sizes as thresholds")
-    sizes = dict(zip(thresholds, sizes))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = features_of(raster_of(pdf, value, (height, width)), sizes, sigma)
-        out = pd.DataFrame(found, columns=["cy", "cx", "threshold", "pixels"])
-        return out.assign(frame=pdf["frame"].iloc[0], feature=np.arange(1, len(out) + 1))[["frame", "feature", "cy", "cx", "threshold", "pixels"]]
-
-    return px.select("frame", "y", "x", value).groupBy("frame").applyInPandas(run, "frame int, feature int, cy double, cx double, threshold double, pixels int")
+    """(frame, feature, cy, cx, threshold, pixels) by run-length regions, after Gaussian smoothing; see ``regions.detect``."""
+    return regions.detect(px, thresholds, least, sigma, value)
 
 
 def flooded(field: np.ndarray, seeds: list[tuple[int, int, int]], below: float) -> np.ndarray:
@@ -143,8 +85,109 @@ def link_nearest(features: DataFrame, reach: float) -> DataFrame:
     return pairs.groupBy("frame").applyInPandas(choose, pairs.schema)
 
 
+def candidate_links(features: DataFrame, later: DataFrame, reach: float, gap: int = 1) -> DataFrame:
+    """(frame, parent, child, dist): features and those ``gap`` frames after them within ``reach``, by cells as wide as the reach."""
+    cell = lambda c: F.floor(F.col(c) / reach).cast("long")
+    near = F.sequence(F.lit(-1), F.lit(1))
+    a = features.select("frame", F.col("feature").alias("parent"), "cy", "cx", cell("cy").alias("gy"), cell("cx").alias("gx"))
+    a = a.withColumn("_i", F.explode(near)).withColumn("_j", F.explode(near)).withColumns({"gy": F.col("gy") + F.col("_i"), "gx": F.col("gx") + F.col("_j")})
+    b = later.select((F.col("frame") - gap).alias("frame"), F.col("feature").alias("child"), F.col("cy").alias("_cy"), F.col("cx").alias("_cx"), cell("cy").alias("gy"), cell("cx").alias("gx"))
+    dist = F.hypot(F.col("cy") - F.col("_cy"), F.col("cx") - F.col("_cx"))
+    return a.join(b, ["frame", "gy", "gx"]).select("frame", "parent", "child", dist.alias("dist")).where(F.col("dist") <= reach)
+
+
+def least_cost(cost: dict[int, dict[int, float]], alone: float) -> dict[int, int]:
+    """Child of each linked parent, at the least sum of costs, an unlinked parent costing ``alone``: shortest augmenting paths, one parent at a time."""
+    owner: dict[int, int] = {}
+    taken: dict[int, int] = {}
+    at_parent, at_child = dict.fromkeys(cost, 0.0), {}
+    for start in sorted(cost):
+        # Distances by costs less potentials, which stay non-negative; a parent may end the path by giving its child up.
+        far, before, heap, done = {}, {}, [], set()
+        best, end, reached = None, None, {start: 0.0}
+
+        def leave(p, d):
+            nonlocal best, end
+            give_up = d + alone - at_parent[p]
+            if best is None or give_up < best - 1e-12:
+                best, end = give_up, ("parent", p)
+            for c, w in cost[p].items():
+                if taken.get(p) == c:
+                    continue
+                step = d + w - at_parent[p] - at_child.get(c, 0.0)
+                if c not in far or step < far[c] - 1e-12:
+                    far[c], before[c] = step, p
+                    heapq.heappush(heap, (step, c))
+
+        leave(start, 0.0)
+        while heap:
+            d, c = heapq.heappop(heap)
+            if c in done or d > far[c]:
+                continue
+            if best is not None and d >= best - 1e-12:
+                break
+            done.add(c)
+            if c not in owner:
+                best, end = d, ("child", c)
+                break
+            reached[owner[c]] = d
+            leave(owner[c], d)
+        for p, d in reached.items():
+            at_parent[p] += best - d
+        for c in done:
+            at_child[c] = at_child.get(c, 0.0) - (best - far[c])
+        kind, at = end
+        if kind == "parent":
+            # ``at`` ends unlinked; what it had goes to the parent before it on the path.
+            if at == start:
+                continue
+            c = taken.pop(at)
+        else:
+            c = at
+        while True:
+            p = before[c]
+            had = taken.get(p)
+            taken[p], owner[c] = c, p
+            if p == start:
+                break
+            c = had
+    return taken
+
+
+def link_optimal(features: DataFrame, reach: float, memory: int = 0) -> DataFrame:
+    """(frame, parent, child, gap, dist): links of least total cost between features of consecutive frames.
+
+    A link costs its squared distance, a feature left without a child the squared
+    ``reach``. Features fall into subnets, the connected components of the
+    candidate pairs, and each is solved by itself, exactly. With ``memory``, what ended without a
+    child then meets what began without a parent two frames on, and so on to ``memory`` + 1.
+    A subnet is one task: it holds features that candidates chain together, not a frame.
+    """
+    number = lambda frame, feature, side: frame.cast("bigint") * (1 << 32) + feature.cast("bigint") * 2 + side
+    links, ends, starts = None, features, features
+    for gap in range(1, memory + 2):
+        pairs = stored(candidate_links(ends, starts, reach, gap), "candidate-links")
+        named = pairs.withColumns({"_u": number(F.col("frame"), F.col("parent"), 0), "_v": number(F.col("frame"), F.col("child"), 1)})
+        net = connected_components(named, "_u", "_v").select(F.col("node").alias("_u"), F.col("component").alias("_net"))
+
+        def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+            cost: dict[int, dict[int, float]] = {}
+            for p, c, d in zip(pdf["parent"].tolist(), pdf["child"].tolist(), pdf["dist"].tolist()):
+                cost.setdefault(p, {})[c] = d * d
+            chosen = least_cost(cost, reach * reach)
+            return pdf.loc[[chosen.get(p) == c for p, c in zip(pdf["parent"], pdf["child"])], ["frame", "parent", "child", "dist"]]
+
+        found = named.join(net, "_u").groupBy("_net").applyInPandas(solve, pairs.schema)
+        found = stored(found.select("frame", "parent", "child", F.lit(gap).alias("gap"), "dist"), "links")
+        links = found if links is None else links.unionByName(found)
+        if gap <= memory:
+            ends = stored(ends.join(found.select("frame", F.col("parent").alias("feature")), ["frame", "feature"], "left_anti"), "link-ends")
+            starts = stored(starts.join(found.select((F.col("frame") + gap).alias("frame"), F.col("child").alias("feature")), ["frame", "feature"], "left_anti"), "link-starts")
+    return links
+
+
 def end_links(tracks: DataFrame, reach: float, gap: int = 1) -> DataFrame:
-    """(src, dst) of cells one of which ends within ``reach`` of another's start or course, ``gap`` frames apart at most."""
+    """(src, dst, length) of cells one of which ends within ``reach`` of another's start or course, ``gap`` frames apart at most; the least distance of each pair."""
     ends = tracks.groupBy("cell").agg(F.max("frame").alias("frame"), F.max_by(F.struct("cy", "cx"), "frame").alias("at"))
     ends = ends.select(F.col("cell").alias("src"), F.explode(F.sequence(F.col("frame"), F.col("frame") + gap)).alias("frame"), "at.cy", "at.cx")
     cell = lambda c: F.floor(F.col(c) / reach).cast("long")
@@ -153,7 +196,13 @@ def end_links(tracks: DataFrame, reach: float, gap: int = 1) -> DataFrame:
     a = a.withColumns({"gy": F.col("gy") + F.col("_i"), "gx": F.col("gx") + F.col("_j")})
     b = tracks.select(F.col("cell").alias("dst"), "frame", F.col("cy").alias("_cy"), F.col("cx").alias("_cx"), cell("cy").alias("gy"), cell("cx").alias("gx"))
     met = a.join(b, ["frame", "gy", "gx"]).where(F.col("src") != F.col("dst"))
-    return met.where(F.hypot(F.col("cy") - F.col("_cy"), F.col("cx") - F.col("_cx")) <= reach).select("src", "dst").distinct()
+    length = F.hypot(F.col("cy") - F.col("_cy"), F.col("cx") - F.col("_cx"))
+    return met.withColumn("length", length).where(F.col("length") <= reach).groupBy("src", "dst").agg(F.min("length").alias("length"))
+
+
+def end_forest(tracks: DataFrame, reach: float, gap: int = 1) -> DataFrame:
+    """(src, dst, weight): the merge and split links kept, a minimum spanning forest of ``end_links`` by length."""
+    return minimum_spanning_forest(end_links(tracks, reach, gap), weight="length")
 
 
 # ---- motion and extrapolation --------------------------------------------------------

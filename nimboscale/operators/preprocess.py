@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from nimboscale.operators import regions
+
 
 def frame_quality(px: DataFrame, value: str, low: float, high: float, most_missing: float, most_odd: float, digits: int = 9) -> DataFrame:
     """Missing share, out-of-range share of the valid pixels (1 where none is), extremes and status of each frame; NaN counts as missing."""
@@ -100,43 +101,6 @@ def unpack_z(data: bytes) -> bytes:
     return b"".join(out)
 
 
-def _regions(missing: np.ndarray) -> list[np.ndarray]:
-    """8-connected regions of a mask, as arrays of flat indices."""
-    left = {tuple(p) for p in np.argwhere(missing)}
-    out = []
-    while left:
-        todo, region = deque([left.pop()]), []
-        while todo:
-            i, j = todo.popleft()
-            region.append(i * missing.shape[1] + j)
-            for p in ((i + a, j + b) for a in (-1, 0, 1) for b in (-1, 0, 1)):
-                if p in left:
-                    left.discard(p)
-                    todo.append(p)
-        out.append(np.array(region))
-    return out
-
-
-def fill_gaps(field: np.ndarray, most: int = 4, passes: int = 4) -> tuple[np.ndarray, np.ndarray]:
-    """Fill missing regions of at most ``most`` pixels with means of valid neighbours, pass by pass."""
-    small = np.zeros(field.size, bool)
-    for region in _regions(np.isnan(field)):
-        if len(region) <= most:
-            small[region] = True
-    small = small.reshape(field.shape)
-    out = field.astype(np.float64).copy()
-    for _ in range(passes):
-        todo = small & np.isnan(out)
-        if not todo.any():
-            break
-        wide = np.pad(out, 1, constant_values=np.nan)
-        around = np.stack([wide[1 + a : 1 + a + out.shape[0], 1 + b : 1 + b + out.shape[1]] for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b])
-        count = (~np.isnan(around)).sum(0)
-        mean = np.where(count > 0, np.nansum(around, axis=0) / np.maximum(count, 1), np.nan)
-        out[todo] = mean[todo]
-    return out, small & ~np.isnan(out)
-
-
 def raster_of(pdf: pd.DataFrame, value: str, shape: tuple[int, int]) -> np.ndarray:
     out = np.full(shape, np.nan)
     out[pdf["y"].to_numpy(), pdf["x"].to_numpy()] = pd.to_numeric(pdf[value]).to_numpy(dtype=float, na_value=np.nan)
@@ -144,12 +108,5 @@ def raster_of(pdf: pd.DataFrame, value: str, shape: tuple[int, int]) -> np.ndarr
 
 
 def gap_fill(px: DataFrame, height: int, width: int, value: str = "v", most: int = 4) -> DataFrame:
-    """(frame, y, x, value, gapfilled): a frame is the unit of work, which bounds a task at any number of frames."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        filled, made = fill_gaps(raster_of(pdf, value, (height, width)), most)
-        y, x = pdf["y"].to_numpy(), pdf["x"].to_numpy()
-        v = filled[y, x]
-        return pd.DataFrame({"frame": pdf["frame"], "y": y, "x": x, value: pd.Series(v, index=pdf.index).astype("Float64").mask(np.isnan(v)), "gapfilled": made[y, x]})
-
-    return px.select("frame", "y", "x", value).groupBy("frame").applyInPandas(run, f"frame int, y int, x int, {value} double, gapfilled boolean")
+    """(frame, y, x, value, gapfilled); see ``regions.gap_fill``."""
+    return regions.gap_fill(px, value, most)

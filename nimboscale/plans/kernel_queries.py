@@ -7,17 +7,11 @@ from pyspark.sql import functions as F
 from nimboscale.operators import kernels as K, preprocess as P, products, verify as V
 from nimboscale.operators.graph import connected_components
 from nimboscale.operators.raster import against
+from nimboscale.plans.region_queries import features
 from nimboscale.plans.registry import query
 from nimboscale.plans.standins import EVENT, HEIGHT, PX, SEG, WIDTH, pixels, segments
 from nimboscale.plans.track_queries import CENTRES, EDGES, TRACKS
 
-LEVELS = [-0.05, -0.1, -0.15]
-
-
-def _features(spark, sf_dir):
-    return K.detect(pixels(spark, sf_dir), HEIGHT, WIDTH, LEVELS)
-
-
 _PASS = """f{b} AS (SELECT f.frame, f.y, f.x, coalesce(f.v, m.v) AS v FROM f{a} f LEFT JOIN (
   SELECT t.frame, t.y, t.x, avg(n.v) AS v FROM small t CROSS JOIN near JOIN f{a} n ON n.frame = t.frame AND n.y = t.y + near.a AND n.x = t.x + near.b GROUP BY ALL) m ON m.frame = f.frame AND m.y = f.y AND m.x = f.x)"""
 GAPS = f"""{PX}, near AS (SELECT a, b FROM (VALUES (-1), (0), (1)) i(a) CROSS JOIN (VALUES (-1), (0), (1)) j(b) WHERE a <> 0 OR b <> 0), gap AS (SELECT frame, y, x FROM pm WHERE v IS NULL),
@@ -33,22 +27,12 @@ def gap_filled_frames(spark, sf_dir):
     return out.groupBy("frame").agg(F.count_if("gapfilled").alias("filled"), F.count_if(F.col("v").isNull()).alias("missing"), F.round(F.avg("v"), 6).alias("mean"))
 
 
-@query()
-def detected_features(spark, sf_dir):
-    return _features(spark, sf_dir)
-
-
 @query()
 def watershed_segments(spark, sf_dir):
-    seg = K.watershed(pixels(spark, sf_dir), _features(spark, sf_dir), HEIGHT, WIDTH, -0.02)
+    seg = K.watershed(pixels(spark, sf_dir), features(spark, sf_dir), HEIGHT, WIDTH, -0.02)
     return seg.groupBy("frame", "feature").agg(F.count(F.lit(1)).alias("pixels"))
 
 
-@query()
-def nearest_feature_links(spark, sf_dir):
-    return K.link_nearest(_features(spark, sf_dir), 6.0)
-
-
 @query(f"""WITH RECURSIVE {EDGES}, {TRACKS}, {CENTRES}, en AS (SELECT cell, max(frame) AS frame, arg_max(y, frame) AS y, arg_max(x, frame) AS x FROM ce GROUP BY cell),
 el AS (SELECT DISTINCT e.cell AS a, c.cell AS b FROM en e JOIN ce c ON c.frame IN (e.frame, e.frame + 1) AND c.cell <> e.cell AND sqrt(pow(e.y - c.y, 2) + pow(e.x - c.x, 2)) <= 6),
 sy AS (SELECT a, b FROM el UNION SELECT b, a FROM el), re AS (SELECT a AS node, a AS other FROM sy UNION SELECT r.node, s.b FROM re r JOIN sy s ON s.a = r.other)
