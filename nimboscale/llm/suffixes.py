@@ -11,7 +11,7 @@ Burrows-Wheeler transform with sampled run ends of the distinct stretches and
 streams those of later documents through it, whose matching statistics mark
 every string that a document of smaller id holds. Equal stretches are reduced to the
 least id before anything is gathered, and keys with more text than a task
-should hold are split further, by anchor and at last by string. Nothing grows
+should hold are split further, by longer anchors and at last by string. Nothing grows
 with the number of documents that share a passage but the rows that say so.
 """
 
@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from nimboscale.llm.text import without
-from nimboscale.session import discard, stored, table
+from nimboscale.session import gathered, stored, table
 
 #: Bytes of text a batch; a longer text is alone.
 BATCH_BYTES = 4_000_000
@@ -46,6 +46,8 @@ MOST_STRINGS = 1 << 18
 SMALL_BYTES = 32_000_000
 
 OUT = ("n_bytes", "n_removed", "n_spans", "kept")
+#: Length of an anchor in that of a string: the shorter, the fewer anchors a text has; longer ones tell apart what shorter ones have by chance.
+ANCHOR_SHARE, LONG_ANCHOR_SHARE = 0.4, 0.7
 #: Strings whose anchors are computed at once.
 CHUNK = 1 << 16
 #: Symbols that are compared at once.
@@ -89,12 +91,12 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[: len(values) - (width - size)], values[width - size :]) if width > size else values
 
 
-def anchor_runs(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, text, start, strings): runs of neighbouring strings of ``length`` bytes with one anchor; texts end at ``ends``."""
+def anchor_runs(data: np.ndarray, ends: np.ndarray, length: int, share: float = ANCHOR_SHARE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, text, start, strings): runs of neighbouring strings of ``length`` bytes with one anchor, of a ``share`` of their bytes; texts end at ``ends``."""
     none = np.zeros(0, np.int64)
     if len(data) < length:
         return none.view(U64), none, none, none
-    width = max(1, length * 2 // 5)
+    width = max(1, int(length * share))
     anchor = np.empty(len(data) - length + 1, U64)
     for at in range(0, len(anchor), CHUNK):  # as much as caches hold
         some = anchor[at : at + CHUNK]
@@ -414,36 +416,37 @@ def shared_stretches(packed: DataFrame, anchors: DataFrame, length: int, id_type
     return packed.groupBy("batch").cogroup(anchors.groupBy("batch")).applyInArrow(cut, f"batch bigint, row int, id {id_type}, start bigint, key bigint, bytes binary")
 
 
-def _finer(pieces: DataFrame, length: int, by_string: bool) -> DataFrame:
-    """Pieces (owner, owner_digest, id, start, key, bytes) of hot stretches: one for each run of an anchor, or for each string."""
-    kind = pieces.schema["first"].dataType.simpleString()
+def _finer(owners: DataFrame, length: int, by_string: bool) -> DataFrame:
+    """Pieces (owner, owner_digest, id, start, strings, key[, digest]) of hot stretches (key, digest, first, bytes), without their bytes: one for each run of a longer anchor, or for each string with its digest."""
+    kind = owners.schema["first"].dataType.simpleString()
+    names = ["owner", "owner_digest", "id", "start", "strings", "key", *["digest"] * by_string]
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            whose, starts, keys, parts = [], [], [], []
-            for i, data in enumerate(batch.column(3).to_pylist()):
+            sizes = np.array([len(v.as_buffer()) for v in batch.column(3)], np.int64)
+            for some in np.split(np.arange(len(sizes)), np.flatnonzero(np.diff(np.cumsum(sizes) // BATCH_BYTES)) + 1):
+                part = batch.slice(some[0], len(some)) if len(some) else batch.slice(0, 0)
+                if not part.num_rows:
+                    continue
+                data = np.frombuffer(b"".join(part.column(3).to_pylist()), np.uint8)
+                ends = np.cumsum(sizes[some])
+                begins = ends - sizes[some]
                 if by_string:
-                    view = np.frombuffer(data, np.uint8)
-                    key, at, n = _hashes(view, length), np.arange(len(data) - length + 1), np.ones(len(data) - length + 1, np.int64)
+                    both = [_hashes(data if k == 0 else data ^ 0x5A, length) for k in (0, 1)]
+                    whose = np.repeat(np.arange(len(some)), sizes[some])[: len(both[0])]
+                    at = np.flatnonzero(np.arange(len(both[0])) + length <= ends[whose])
+                    key, whose, n = both[0][at], whose[at], np.ones(len(at), np.int64)
                 else:
-                    key, _, at, n = anchor_runs(np.frombuffer(data, np.uint8), np.array([len(data)]), length)
-                for first in range(0, len(at), 20_000):
-                    some = slice(first, first + 20_000)
-                    whose += [i] * len(at[some])
-                    starts += at[some].tolist()
-                    keys.append(key[some].view(np.int64))
-                    parts += [data[a : a + c + length - 1] for a, c in zip(at[some].tolist(), n[some].tolist())]
-                    if len(parts) > 20_000:
-                        yield out(batch, whose, starts, keys, parts)
-                        whose, starts, keys, parts = [], [], [], []
-            if parts:
-                yield out(batch, whose, starts, keys, parts)
-
-    def out(batch, whose, starts, keys, parts) -> pa.RecordBatch:
-        own = [batch.column(j).take(pa.array(whose)) for j in range(3)]
-        return pa.RecordBatch.from_arrays([*own, pa.array(starts, pa.int64()), pa.array(np.concatenate(keys)), pa.array(parts, pa.binary())], ["owner", "owner_digest", "id", "start", "key", "bytes"])
-
-    return pieces.select("key", "digest", F.col("first").alias("id"), "bytes").mapInArrow(split, f"owner bigint, owner_digest binary, id {kind}, start bigint, key bigint, bytes binary")
+                    key, whose, at, n = anchor_runs(data, ends, length, LONG_ANCHOR_SHARE)
+                for first in range(0, len(at), 100_000):
+                    cut = slice(first, first + 100_000)
+                    own = [part.column(j).take(pa.array(whose[cut])) for j in range(3)]
+                    columns = [*own, pa.array(at[cut] - begins[whose[cut]]), pa.array(n[cut]), pa.array(key[cut].view(np.int64))]
+                    if by_string:
+                        columns.append(pa.FixedSizeBinaryArray.from_buffers(pa.binary(8), len(at[cut]), [None, pa.py_buffer(np.ascontiguousarray(both[1][at[cut]]).tobytes())]).cast(pa.binary()))
+                    yield pa.RecordBatch.from_arrays(columns, names)
+
+    return owners.select("key", "digest", F.col("first").alias("id"), "bytes").mapInArrow(split, f"owner bigint, owner_digest binary, id {kind}, start bigint, strings bigint, key bigint" + ", digest binary" * by_string)
 
 
 def _judged(pieces: DataFrame, length: int, level: int = 0) -> DataFrame:
@@ -475,13 +478,20 @@ def _judged(pieces: DataFrame, length: int, level: int = 0) -> DataFrame:
     found = cold.groupBy((F.xxhash64("key") % F.lit(groups)).alias("group")).applyInArrow(judge, f"key bigint, digest binary, spans {spans}")
     if hot:
         owners = distinct.join(sizes.where(F.col("size") > HOT_BYTES).select("key"), "key", "left_semi")
-        finer = stored(_finer(owners, length, level > 0), "finer-stretches")
+        mine = _finer(owners, length, level > 0)
         if level == 0:
-            known = _judged(finer.select("id", "key", "bytes"), length, 1)
+            # Longer anchors tell most of what a short one has by chance apart: only those of several stretches go on, and only then with their bytes.
+            several = mine.groupBy("key").agg(F.min("owner_digest").alias("_a"), F.max("owner_digest").alias("_b")).where("_a < _b").select("key")
+            mine = stored(mine.join(gathered(stored(several, "long-anchors", release=True)), "key", "left_semi"), "finer-stretches", release=True)
+            whole = owners.select(F.col("key").alias("owner"), F.col("digest").alias("owner_digest"), "bytes")
+            cut = F.expr(f"substring(bytes, cast(start + 1 as int), cast(strings + {length - 1} as int))")
+            mine = stored(mine.join(whole, ["owner", "owner_digest"]).withColumn("bytes", cut), "finer-bytes", release=True)
+            known = _judged(mine.select("id", "key", "bytes"), length, 1)
+            mine = mine.withColumn("digest", F.unhex(F.md5("bytes"))).drop("bytes")
         else:
-            # A key is one string now, if hashes agree: what its least id does not hold first is held by a smaller one.
-            known = finer.groupBy("key", F.unhex(F.md5("bytes")).alias("digest")).agg(F.min("id").alias("first")).withColumn("spans", F.lit(None).cast(spans))
-        mine = finer.select("owner", "owner_digest", "id", "start", "key", F.unhex(F.md5("bytes")).alias("digest"), (F.octet_length("bytes") - length + 1).alias("strings"))
+            # A key and digest are one string now: what its least id does not hold first is held by a smaller one.
+            mine = stored(mine, "strings", release=True)
+            known = mine.groupBy("key", "digest").agg(F.min("id").alias("first")).withColumn("spans", F.lit(None).cast(spans))
         held = mine.join(known, ["key", "digest"]).select("owner", "owner_digest", F.inline(_held(F.col("id"), F.col("strings"), F.col("start"))))
         found = found.unionByName(held.groupBy(F.col("owner").alias("key"), F.col("owner_digest").alias("digest")).agg(F.collect_list(F.struct(F.col("a"), F.col("b"))).alias("spans")))
     return distinct.select("key", "digest", "first").join(found, ["key", "digest"], "left")
