@@ -23,6 +23,30 @@ def frame_quality(px: DataFrame, value: str, low: float, high: float, most_missi
     )
 
 
+def missing_shares(raw: DataFrame, filled: DataFrame, value: str = "v") -> DataFrame:
+    """(frame, raw_missing, residual_missing, gapfilled): shares of pixels missing before and after filling, and filled; ``filled`` has gapfilled."""
+    before = raw.groupBy("frame").agg(F.avg(F.col(value).isNull().cast("double")).alias("raw_missing"))
+    after = filled.groupBy("frame").agg(F.avg(F.col(value).isNull().cast("double")).alias("residual_missing"), F.avg(F.col("gapfilled").cast("double")).alias("gapfilled"))
+    return before.join(after, "frame")
+
+
+def event_quality(raw: DataFrame, filled: DataFrame, cells: DataFrame, event_below: float, frames: int, least_deep: float, long: int, value: str = "v") -> DataFrame:
+    """One row on an event's pixels inside its domain: missing before and after filling, filled, deep frames and areas, cells, suitability.
+
+    ``cells`` has a row a cell and frame; a cell of ``long`` frames or more is a long one.
+    The event is suitable with ``frames`` frames of which ``least_deep`` have a pixel under
+    ``event_below``.
+    """
+    shares = missing_shares(raw, filled, value).agg(F.max("raw_missing").alias("raw_missing_max"), F.max("residual_missing").alias("residual_missing_max"), F.avg("gapfilled").alias("gapfilled_mean"))
+    deep = filled.groupBy("frame").agg(F.count_if(F.col(value) < event_below).alias("_deep"), F.count(F.lit(1)).alias("_all"))
+    share = F.col("_deep") / F.col("_all").cast("double")
+    deep = deep.agg(F.count(F.lit(1)).alias("n_frames"), F.avg((F.col("_deep") > 0).cast("double")).alias("deep_frames"), F.avg(share).alias("deep_area_mean"), F.max(share).alias("deep_area_max"))
+    spans = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("_n")).agg(F.count(F.lit(1)).alias("n_cells"), F.count_if(F.col("_n") >= long).alias("n_long_cells"))
+    # One row each.
+    out = deep.crossJoin(F.broadcast(shares)).crossJoin(F.broadcast(spans))
+    return out.withColumn("suitable", (F.col("n_frames") == frames) & (F.col("deep_frames") >= least_deep))
+
+
 def monotonic(df: DataFrame, by: list[str], order: str, time: str) -> DataFrame:
     """Whether times strictly grow along ``order``; single rows do."""
     step = df.withColumn("_prev", F.lag(time).over(Window.partitionBy(*by).orderBy(order)))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from nimboscale.functions.scalars import geodesic, haversine_km, slug, xml_escape
 from nimboscale.operators.raster import window_extreme
+from nimboscale.session import stored
 
 
 def nearest_place(points: DataFrame, places: DataFrame, by: list[str], km: float, sphere: bool = False) -> DataFrame:
@@ -54,7 +55,9 @@ def window_alerts(points: DataFrame, px: DataFrame, p: str, half: int, leads: li
 NOTICE = "Exercise only: replay of past data, not an official warning."
 
 
-def cap_alert(alert: dict[str, Column], issue: Column, event: Column, model: Column, sender: str = "demo@example.invalid", prefix: str = "demo") -> Column:
+def cap_alert(
+    alert: dict[str, Column], issue: Column, event: Column, model: Column, sender: str = "demo@example.invalid", prefix: str = "demo", hazard: str = "Deep convection", below_k: float = 235, radius_km: float = 10
+) -> Column:
     """A CAP 1.2 alert as XML text; status is always Exercise, values are escaped, and it expires an hour after the lead.
 
     ``alert`` has alert_id, prediction_id, place, lat, lon, p_max and lead_min.
@@ -69,12 +72,12 @@ def cap_alert(alert: dict[str, Column], issue: Column, event: Column, model: Col
         tag("identifier", F.lit(f"{prefix}-"), event, F.lit("-"), slug(alert["alert_id"])), tag("sender", F.lit(sender)), tag("sent", time(issue)),
         F.lit("<status>Exercise</status><msgType>Alert</msgType><scope>Private</scope>"),
         tag("note", F.lit(NOTICE + " Prediction "), alert["prediction_id"], F.lit(", model "), model, F.lit(".")),
-        F.lit("<info><category>Met</category><event>Deep convection</event><urgency>Expected</urgency><severity>Moderate</severity><certainty>Possible</certainty>"),
+        F.lit("<info><category>Met</category>"), tag("event", F.lit(hazard)), F.lit("<urgency>Expected</urgency><severity>Moderate</severity><certainty>Possible</certainty>"),
         tag("expires", time(expires)),
         tag("headline", F.lit("EXERCISE: probability "), p, F.lit(" of cold cloud near "), place, F.lit(" within "), lead, F.lit(" min")),
-        tag("description", F.lit("Probability "), p, F.lit(" that the cloud top is colder than 235 K within 10 km of "), place, F.lit(" at +"), lead, F.lit(" min.")),
+        tag("description", F.lit("Probability "), p, F.lit(f" that the cloud top is colder than {below_k:g} K within {radius_km:g} km of "), place, F.lit(" at +"), lead, F.lit(" min.")),
         F.lit("<parameter><valueName>prediction_id</valueName>"), tag("value", alert["prediction_id"]), F.lit("</parameter><area>"),
-        tag("areaDesc", place, F.lit(" (10 km)")), tag("circle", fixed(alert["lat"], 4), F.lit(","), fixed(alert["lon"], 4), F.lit(" 10")), F.lit("</area></info></alert>"),
+        tag("areaDesc", place, F.lit(f" ({radius_km:g} km)")), tag("circle", fixed(alert["lat"], 4), F.lit(","), fixed(alert["lon"], 4), F.lit(f" {radius_km:g}")), F.lit("</area></info></alert>"),
     )
 
 
@@ -115,6 +118,52 @@ def frozen(files: DataFrame, excluded: DataFrame, key: str, content: str) -> Dat
     return files.join(excluded, key, "left_anti").select(key, F.sha2(F.col(content), 256).alias("sha256"), F.octet_length(content).alias("bytes"))
 
 
+def archived(files: DataFrame, path: str, name: str, content: str) -> DataFrame:
+    """Copy files that the archive at ``path`` lacks, each under its digest, with name, size and time; returns what was added.
+
+    The copy of a file is a row of the folder named by the first two digits of its SHA-256. Equal
+    contents are kept once, under the smallest name. One write is one commit.
+    """
+    spark = files.sparkSession
+    rows = files.groupBy(F.sha2(F.col(content), 256).alias("sha256")).agg(F.min(F.struct(F.col(name).alias("name"), F.col(content).alias("content"))).alias("_f"))
+    rows = rows.select("sha256", "_f.name", F.octet_length("_f.content").cast("bigint").alias("bytes"), "_f.content", F.current_timestamp().alias("archived_at"), F.substring("sha256", 1, 2).alias("folder"))
+    here = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if here.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(here):
+        rows = rows.join(spark.read.schema(rows.schema).parquet(path).select("sha256"), "sha256", "left_anti")
+    added = stored(rows, "archive")
+    added.write.partitionBy("folder").mode("append").parquet(path)
+    return added.drop("content")
+
+
+def event_index(listed: DataFrame, bundled: DataFrame) -> DataFrame:
+    """A card for each event: those of ``listed`` (code, date, place, hazard, status, reason) and the built ones of ``bundled`` (code, event, date, place, hazard, held_out)."""
+    built = bundled.withColumns({"status": F.lit("BUNDLED"), "reason": F.when(F.col("held_out"), "held-out test event (never used in training)")})
+    cards = listed.withColumns({"event": F.lit(None).cast("string"), "held_out": F.lit(None).cast("boolean")}).unionByName(built)
+    return cards.select("code", "event", "date", "place", "hazard", "status", "held_out", "reason")
+
+
+def document(rows: DataFrame, order: str, default: str | None = None, key: str = "events") -> DataFrame:
+    """One row ``json``: the rows as a list in the order of ``order``, nulls left out, with the default's name; for tables of a card an event."""
+    cards = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("_order"), *rows.columns))), lambda c: c.dropFields("_order"))
+    named = [F.lit(default).alias("default")] if default is not None else []
+    return rows.agg(cards.alias(key)).select(F.to_json(F.struct(*named, key)).alias("json"))
+
+
+def run_summary(px: DataFrame, quality: DataFrame, features: DataFrame, lifecycle: DataFrame, cells: DataFrame, event: str, frame_minutes: int = 30, long_minutes: int = 120, cold: float = 221.0) -> DataFrame:
+    """One row ``json`` on a finished event: frames, failures, missing share, features, linked ones, cells, long and cold ones, families."""
+    one = [
+        quality.agg(F.count(F.lit(1)).alias("n_frames"), F.count_if(F.col("status") != "OK").alias("qc_fail_frames"), F.array_sort(F.collect_list(F.when(F.col("status") != "OK", F.col("frame")))).alias("qc_fail_list"), F.max("missing_frac").alias("residual_missing_max")),
+        px.agg((F.max("y") + 1).alias("height"), (F.max("x") + 1).alias("width")),
+        features.agg(F.count(F.lit(1)).alias("n_features")), lifecycle.agg(F.count(F.lit(1)).alias("n_features_linked")),
+        cells.agg(F.count(F.lit(1)).alias("n_cells"), F.count_if(F.col("lifetime_min") >= long_minutes).alias("n_cells_long"), F.count_if(F.col("min_bt") < cold).alias("n_cells_cold"), F.count_if(F.col("frames_touching_missing") > 0).alias("cells_touching_missing")),
+        lifecycle.select("cell", "family").distinct().groupBy("family").agg(F.count(F.lit(1)).alias("_k")).agg(F.count_if(F.col("_k") > 1).alias("n_families_gt1")),
+    ]
+    out = one[0]
+    for part in one[1:]:  # one row each
+        out = out.crossJoin(F.broadcast(part))
+    return out.select(F.to_json(F.struct(F.lit(event).alias("event"), F.lit(frame_minutes).alias("frame_minutes"), *out.columns)).alias("json"))
+
+
 def simplified(ring: list, tolerance: float) -> list:
     """The closed ring with every corner that lies within ``tolerance`` of the lines kept left out.
 

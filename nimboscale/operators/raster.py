@@ -8,7 +8,11 @@ are equi-joins on exploded offsets, never range joins.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+
+from nimboscale.session import gathered
 
 KEY = ["frame", "y", "x"]
 
@@ -159,6 +163,35 @@ def bilinear(px: DataFrame, targets: DataFrame, value: str = "v", least: float =
         (x0 + F.col("_c.b")).cast("int").alias("x"),
         (F.when(F.col("_c.a") == 1, ty).otherwise(1 - ty) * F.when(F.col("_c.b") == 1, tx).otherwise(1 - tx)).alias("_w"),
     )
-    met = px.where(F.col(value).isNotNull()).join(corners.where("_w > 0"), ["y", "x"])
+    # The corners are as many as the targets, whatever the number of frames: the cube need not be exchanged to meet them.
+    met = px.where(F.col(value).isNotNull()).join(gathered(corners.where("_w > 0")), ["y", "x"])
     total = F.sum("_w")
     return met.groupBy("frame", *[c for c in targets.columns if c not in ("fy", "fx")]).agg(F.when(total >= least, F.sum(F.col("_w") * F.col(value)) / total).alias(value))
+
+
+def display_height(bounds: tuple[float, float, float, float], width: int) -> int:
+    """Rows of a Web-Mercator image of ``width`` columns over (south, north, west, east), so that its pixels are square."""
+    south, north, west, east = bounds
+    up = lambda d: math.log(math.tan(math.pi / 4 + math.radians(d) / 2))
+    return round(width * (up(north) - up(south)) / math.radians(east - west))
+
+
+def display_cells(spark: SparkSession, bounds: tuple[float, float, float, float], width: int) -> DataFrame:
+    """(row, col, lat, lon) of the image's pixel centres, rows even in Web Mercator from the north; the height follows from the width."""
+    south, north, west, east = (F.lit(float(b)) for b in bounds)
+    height = display_height(bounds, width)
+    cells = spark.range(height * width).select(F.expr(f"cast(id div {width} AS int)").alias("row"), (F.col("id") % width).cast("int").alias("col"))
+    up = lambda d: F.ln(F.tan(F.lit(math.pi / 4) + F.radians(d) / 2))
+    at = up(north) - (F.col("row") + 0.5) / F.lit(float(height)) * (up(north) - up(south))
+    return cells.select("row", "col", F.degrees(2 * F.atan(F.exp(at)) - F.lit(math.pi / 2)).alias("lat"), (west + (F.col("col") + 0.5) / F.lit(float(width)) * (east - west)).alias("lon"))
+
+
+def display_regrid(px: DataFrame, cells: DataFrame, to_xy, x0: float, y0: float, step: float, value: str = "v") -> DataFrame:
+    """(frame, row, col, value): the source pixel nearest to each display cell (row, col, lat, lon); cells off the source have no row.
+
+    ``to_xy`` maps latitude and longitude to the source's plane, where pixel (0, 0) is centred at
+    (x0, y0) and pixels are ``step`` apart. The map's size is that of the image, not of the frames.
+    """
+    x, y = to_xy(F.col("lat"), F.col("lon"))
+    look = cells.select("row", "col", F.rint((y - y0) / step).cast("int").alias("y"), F.rint((x - x0) / step).cast("int").alias("x"))
+    return px.select("frame", "y", "x", value).join(gathered(look), ["y", "x"]).select("frame", "row", "col", value)

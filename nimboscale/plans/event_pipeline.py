@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from nimboscale.functions.scalars import laea, laea_inverse
-from nimboscale.operators import audit, kernels, preprocess, raster, tracks, verify
+from nimboscale.operators import audit, kernels, preprocess, products, raster, tracks, verify
 from nimboscale.session import stored
 from nimboscale.sources import io
 
@@ -191,4 +191,6 @@ def run_event(spark: SparkSession, raw: str, out: str, source: Source, event: Ev
     for name, df in forecast_scores(tables["pixels"], event, height, width).items():
         tables[name] = kept(name, df)
     tables["metrics"] = kept("metrics", scores_with_fss(tables["scores"], tables["fss"], event.scales))
+    summary = products.run_summary(tables["pixels"], tables["frame_quality"], tables["features"], tables["lifecycle"], tables["cells"], event.name, event.minutes)
+    tables["run_summary"] = kept("run_summary", summary)
     return tables
