@@ -10,9 +10,10 @@ own rules on top of its ancestors', a closing boundary the ancestors' alone. URL
 and boundaries are sorted together inside each top-level label and the last
 boundary before a URL gives its stack, from which the path decides.
 
-Hot labels (``com``) are salted: URLs are dealt over ``salts`` parts, as many as
-the table's rows ask for, and the boundaries of the label, which are as many as
-rules, go to each part.
+Hot labels (``com``) are salted: each label's URLs are dealt over as many parts as
+their number asks for, and the label's boundaries go to each of them. A part has at least as
+many URLs as its label has boundaries, so copies of boundaries are never more than
+URLs, and a rare label's boundaries are not copied at all.
 """
 
 from __future__ import annotations
@@ -20,10 +21,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from nimboscale.llm.text import ascii_lower, without
+from nimboscale.session import gathered, stored
 
 #: (host, path, action); action is allow or block.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-PART_ROWS = 500_000
+PART_ROWS = 1000
 _RULE = "struct<size:int,host_size:int,path:string,rule:string,action:string>"
 
 
@@ -81,7 +83,16 @@ def rule_boundaries(spark, rules) -> DataFrame:
     return opened.unionByName(closed)
 
 
-def judge_urls(urls: DataFrame, rules=RULES, url_col: str = "url", default: str = "allow", salts: int | None = None) -> DataFrame:
+def label_parts(urls: DataFrame, bounds: DataFrame, url_col: str, part_rows: int) -> DataFrame:
+    """(label, parts) of the labels that have boundaries and more URLs than one part should hold: a row for ``part_rows`` URLs or more."""
+    label = F.substring_index(host_key(F.col("host")), ".", 1)
+    counts = split_url(urls.select(F.col(url_col)), url_col).groupBy(label.alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    size = bounds.groupBy("label").agg(F.count(F.lit(1)).alias("_b"))
+    parts = F.ceil(F.col("n") / F.greatest(F.lit(part_rows), F.col("_b"))).cast("int")
+    return counts.join(size, "label").select("label", parts.alias("parts")).where("parts > 1")
+
+
+def judge_urls(urls: DataFrame, rules=RULES, url_col: str = "url", default: str = "allow", part_rows: int = PART_ROWS) -> DataFrame:
     """Add ``host``, ``path``, ``rule`` (null if none fits) and ``verdict``.
 
     A rule fits its host and all subdomains if the path starts with the rule's
@@ -91,27 +102,28 @@ def judge_urls(urls: DataFrame, rules=RULES, url_col: str = "url", default: str
     Edge cases: null URLs and URLs without ``://`` have an empty host and path
     and get ``default``. Repeated rows are judged row by row. Input columns
     named like an output are replaced. No rules: every verdict is ``default``.
-    Without ``salts``, a label of all URLs has PART_ROWS in a part.
+    A label with rules has ``part_rows`` URLs in a part, or as many as it has boundaries; labels without
+    any are dealt freely.
     """
     spark = urls.sparkSession
-    salts = salts or max(32, -(-urls.count() // PART_ROWS))
     parts = split_url(without(urls, "rule", "verdict"), url_col)
     names = parts.columns
     key = host_key(F.col("host"))
-    salt = F.pmod(F.xxhash64(F.col(url_col), F.monotonically_increasing_id()), F.lit(salts)).cast("int")
-    left = parts.select(
-        F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"),
-        key.alias("_key"),
-        F.substring_index(key, ".", 1).alias("_label"),
-        salt.alias("_salt"),
-        F.lit(1).alias("_kind"),
-        F.lit(None).cast(f"array<{_RULE}>").alias("_stack"),
-    )
-    bounds = rule_boundaries(spark, rules).select(
+    given = stored(rule_boundaries(spark, rules), "rule-boundaries")
+    dealt = gathered(stored(label_parts(urls, given, url_col, part_rows), "label-parts"))
+    ruled = F.broadcast(given.select(F.col("label").alias("_ruled")).distinct())  # as many as the rules of the driver's list at most
+    spread = F.xxhash64(F.col(url_col), F.monotonically_increasing_id())
+    row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row")
+    left = parts.select(row, key.alias("_key"), F.substring_index(key, ".", 1).alias("_label"), spread.alias("_spread"))
+    left = left.join(ruled, F.col("_label") == F.col("_ruled"), "left").join(dealt, F.col("_label") == F.col("label"), "left")
+    # A label without rules needs none of its URLs together.
+    salt = F.when(F.col("_ruled").isNull(), F.col("_spread")).otherwise(F.pmod(F.col("_spread"), F.coalesce(F.col("parts"), F.lit(1)).cast("bigint")))
+    left = left.select("_row", "_key", "_label", salt.alias("_salt"), F.lit(1).alias("_kind"), F.lit(None).cast(f"array<{_RULE}>").alias("_stack"))
+    bounds = given.join(dealt.withColumnRenamed("label", "_of"), F.col("label") == F.col("_of"), "left").select(
         F.lit(None).cast(left.schema["_row"].dataType).alias("_row"),
         F.col("key").alias("_key"),
         F.col("label").alias("_label"),
-        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce(F.col("parts"), F.lit(1)) - F.lit(1).cast("bigint"))).alias("_salt"),
         F.lit(0).alias("_kind"),
         F.col("stack").cast(f"array<{_RULE}>").alias("_stack"),
     )

@@ -268,6 +268,21 @@ def test_random_rules_and_urls(spark):
     # Rules of equal text fit with the longer host; brute force goes by that too.
     urls = [r.choice(["http://", "https://", "", "x://"]) + r.choice([host(4), host(4).upper()]) + r.choice(["", path(), path() + "?a/b", "#" + label()]) for _ in range(1500)]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
-    for salts in (1, None):
-        got = {x.page_id: (x.host, x.path, x.rule, x.verdict) for x in judge_urls(df, rules=rules, salts=salts).collect()}
+    for part_rows in (1, 7, 10**6):
+        got = {x.page_id: (x.host, x.path, x.rule, x.verdict) for x in judge_urls(df, rules=rules, part_rows=part_rows).collect()}
         assert got == {i: brute_verdict(u, rules) for i, u in enumerate(urls)}
+
+
+def test_copies_of_boundaries_stay_below_the_urls(spark):
+    """A hot label is dealt over many parts, rare ones are not, and boundaries are never more than URLs."""
+    from nimboscale.llm import url_rules as u
+
+    rules = [(f"h{i}.com", "/", "block") for i in range(20)] + [(f"r{i}", "/", "block") for i in range(300)]
+    urls = [f"http://h{i % 40}.com/{i}" for i in range(3000)] + [f"http://x.r{i}/" for i in range(5)] + ["http://free.org/"] * 500 + [None, "no url"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    parts = {r.label: r.parts for r in u.label_parts(df, u.rule_boundaries(spark, rules), "url", 10).collect()}
+    assert parts == {"com": 75}
+    clash = df.selectExpr("page_id", "url", "'a' as _key", "'b' as label", "'c' as parts", "'d' as _label")
+    out = u.judge_urls(clash, rules, part_rows=10)
+    assert set(clash.columns) <= set(out.columns) and {r._key + r.label + r.parts + r._label for r in out.collect()} == {"abcd"}
+    assert out.where("verdict = 'block'").count() == sum(int(x[8:].split(".")[0]) < 20 for x in urls[:3000]) + 5
