@@ -494,7 +494,8 @@ def prefix_pairs(classes: DataFrame, groups: DataFrame, least: float = SIMILARIT
     ``share`` strays of a shingle are dealt into parts, each a key of its own.
     """
     rows = classes.join(gathered(groups), "_class", "left").withColumn("_group", F.coalesce("_group", "_class"))
-    folded = [F.aggregate(F.filter("_odd", lambda x, i, k=k: i % 4 == k), F.lit(0).cast("bigint"), lambda x, y: x.bitwiseXOR(y)).alias(f"_odd{k}") for k in range(4)]
+    every_fourth = lambda k: F.filter("_odd", lambda x, i: i % 4 == k)
+    folded = [F.aggregate(every_fourth(k), F.lit(0).cast("bigint"), lambda x, y: x.bitwiseXOR(y)).alias(f"_odd{k}") for k in range(4)]
     rows = rows.select("_class", "_group", F.col("_n").cast("int").alias("_n"), *folded, "_prefix")
     rows = rows.select("_class", "_group", "_n", *[f"_odd{k}" for k in range(4)], F.posexplode("_prefix").alias("_at", "_h"))
     counts = rows.groupBy("_h", "_group").agg(F.count(F.lit(1)).alias("_k"))
