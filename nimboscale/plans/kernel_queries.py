@@ -100,6 +100,33 @@ def streamed_links(spark, sf_dir):
     return spark.read.parquet(out)
 
 
+@query(f"WITH RECURSIVE {STREAMED} SELECT 'e' || (w.frame // {SPAN}) AS event, w.frame, w.feature, n.cell, false AS late FROM walk w JOIN named n USING (rf, rr)")
+def scattered_links(spark, sf_dir):
+    """Cells from the stateful stream where every frame's rows come in several batches, in no order; a far later row closes the last frames."""
+    import uuid
+
+    from nimboscale.session import new_shared_path
+    from nimboscale.streaming.frames import ROCKS, link_scattered_frames
+
+    time = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("frame") * 1800)
+    seg = segments(pixels(spark, sf_dir)).select(F.concat(F.lit("e"), F.expr(f"frame div {SPAN}")).alias("event"), time.alias("time"), "frame", "y", "x", "feature")
+    path = new_shared_path(spark, "scattered-in")
+    for part in range(3):
+        seg.where(F.pmod(F.xxhash64("y", "x"), F.lit(3)) == part).coalesce(1).write.mode("append").parquet(path)
+    end = seg.select("event").distinct().select("event", F.timestamp_seconds(F.lit(1_900_000_000)).alias("time"), F.lit(1 << 30).alias("frame"), F.lit(0).alias("y"), F.lit(0).alias("x"), F.lit(0).alias("feature"))
+    end.coalesce(1).write.mode("append").parquet(path)
+    name, check, out = f"links_{uuid.uuid4().hex}", new_shared_path(spark, "stream-state"), new_shared_path(spark, "stream-out")
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, ROCKS)
+    try:
+        flow = link_scattered_frames(spark.readStream.schema(seg.schema).option("maxFilesPerTrigger", 1).parquet(path), WIDTH, 30 * 1440)
+        flow.writeStream.format("parquet").option("path", out).option("checkpointLocation", check).queryName(name).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(key, before)
+    return spark.read.parquet(out)
+
+
 @query()
 def probability_scores(spark, sf_dir):
     """Five methods on identical pixels: trained on even issues, scored on odd ones."""

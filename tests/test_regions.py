@@ -193,3 +193,36 @@ def test_random_contours_close_and_have_the_floods_signs(spark):
     assert len(set(flood(cold, True).values())) <= outer <= len(set(flood(cold, False).values()))
     order = chains.groupBy("line").agg(F.count("ord").alias("n"), F.count_distinct("ord").alias("k"), F.max("ord").alias("m")).collect()
     assert all(r.n == r.k == r.m + 1 for r in order)
+
+
+def test_scattered_frames_close_by_time_and_late_rows_show(spark, tmp_path):
+    from nimboscale.streaming.frames import ROCKS, link_scattered_frames
+
+    schema = "event string, time timestamp, frame int, y int, x int, feature int"
+    base = 1_700_000_000
+    row = lambda frame, y, x, feature: ("e", base + frame * 1800, frame, y, x, feature)
+    batches = [
+        [row(0, 1, 1, 5), row(1, 1, 1, 7)],  # frame 0 is not whole yet
+        [row(0, 1, 2, 5), row(0, 5, 5, 6), row(1, 1, 2, 7)],
+        [row(3, 0, 0, 1)],  # lets frames 0 and 1 be closed with the next batch
+        [row(3, 0, 1, 1)],
+        [row(1, 9, 9, 8), row(2, 1, 1, 4), row(0, 3, 3, 2)],  # frames 0 and 1 are closed, 2 is not
+        [row(60, 0, 0, 1)],
+        [row(61, 0, 0, 1)],
+    ]
+    for k, rows in enumerate(batches):
+        df = spark.createDataFrame(rows, "event string, time long, frame int, y int, x int, feature int")
+        df.withColumn("time", F.timestamp_seconds("time")).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, ROCKS)
+    try:
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in")
+        flow = link_scattered_frames(stream, 16, 60)
+        flow.writeStream.format("parquet").option("path", f"file://{tmp_path}/out").option("checkpointLocation", f"file://{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(key, before)
+    got = {(r.frame, r.feature): (r.cell, r.late) for r in spark.read.parquet(f"file://{tmp_path}/out").collect()}
+    assert got[0, 5] == (1, False) and got[0, 6] == (2, False) and got[1, 7] == (1, False)
+    assert got[1, 8] == (None, True) and got[0, 2] == (None, True)
+    assert got[2, 4] == (1, False) and got[3, 1] == (3, False)
