@@ -39,10 +39,12 @@ RADIUS = 3
 MOST = 20_000
 #: Members of a top node, as expected of random fingerprints, up to which short keys do.
 NODE = 2000
-#: Of the search for similar texts: words of a shingle, bits of candidates, likeness of links.
-SIMILAR_WIDTH, REACH, SIMILARITY = 5, 9, 0.8
+#: Of the search for similar texts: words of a shingle, bits of candidates, likeness of links, members and shingles of a task.
+SIMILAR_WIDTH, REACH, SIMILARITY, BLOCK_ROWS, BLOCK_HASHES = 5, 9, 0.8, 4000, 6_000_000
+#: Likeness that the parities of two candidates must allow before they make a group.
+LOOSE = 0.5
 #: Of the prefix join: one text in SAMPLED names the common shingles, at most COMMON of them; members of a shingle in a task; shingles and distinct words held at once.
-SAMPLED, COMMON, SHARE_ROWS, PIECE, KNOWN_WORDS = 16, 200_000, 2000, 1 << 19, 1 << 19
+SAMPLED, COMMON, SHARE_ROWS, PIECE, KNOWN_WORDS = 16, 200_000, 1000, 1 << 19, 1 << 19
 FANOUT = 16
 CHUNK = 1 << 18
 
@@ -384,7 +386,69 @@ def wide_links(classes: DataFrame, radius: int = REACH, most: int = MOST, n: int
     return band_links(classes, radius, *key_bands(n or 0, ((8, 2), (5, 2))), most)
 
 
-# ---- exact check of candidate pairs ------------------------------------------
+# ---- exact check of candidate groups ----------------------------------------
+
+
+def _similar_forest(sets: list[np.ndarray], least: float) -> np.ndarray:
+    """Root of each set under links of Jaccard likeness ``least`` or more, exactly; two empty sets are alike.
+
+    Postings of every hash give the overlaps of one set with all others at
+    once. A set is compared only with those not reached yet.
+    """
+    n = len(sets)
+    size = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(n), size)
+    _, word = np.unique(np.concatenate(sets) if size.sum() else np.zeros(0, np.int64), return_inverse=True)
+    order = np.argsort(word, kind="stable")
+    posting = owner[order]
+    count = np.bincount(word)
+    first = np.cumsum(count) - count
+    start = np.cumsum(size) - size
+    root, left = np.arange(n), np.ones(n, bool)
+    for seed in range(n):
+        if not left[seed]:
+            continue
+        left[seed] = False
+        todo = [seed]
+        while todo and left.any():
+            p = todo.pop()
+            own = word[start[p] : start[p] + size[p]]
+            shared = np.bincount(posting[_runs(first[own], count[own])], minlength=n) if len(own) else np.zeros(n, np.int64)
+            union = size + size[p] - shared
+            alike = left & (shared + 1e-9 >= least * union)
+            found = np.flatnonzero(alike)
+            root[found], left[found] = seed, False
+            todo += found.tolist()
+    return root
+
+
+def verified_links(members: DataFrame, least: float = SIMILARITY, block: int = BLOCK_ROWS, hashes: int = BLOCK_HASHES) -> DataFrame:
+    """Links (src, dst) between members (_group, _rep, _set) of a group whose sets are alike by ``least``: a spanning forest.
+
+    A group of up to ``block`` members with ``hashes`` shingles is one task. A
+    larger one is cut into blocks of about half as many, and every pair of its
+    blocks is a task, so that tasks stay small and every pair meets in some task.
+    """
+    sizes = members.groupBy("_group").agg(F.count(F.lit(1)).alias("_n"), F.sum(F.size("_set")).alias("_h")).where("_n > 1")
+    share = F.greatest(F.col("_n") / block, F.col("_h") / hashes)
+    parts = F.when(share <= 1, 1).otherwise(F.ceil(2 * share)).cast("int")
+    own = F.pmod(F.xxhash64("_rep"), F.col("_parts")).cast("int")
+    dealt = members.join(sizes.withColumn("_parts", parts), "_group").withColumn("_own", own)
+    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    dealt = dealt.select("_group", F.least("_own", "_other").alias("_one"), F.greatest("_own", "_other").alias("_two"), "_rep", "_set")
+    kind = members.schema["_rep"].dataType.simpleString()
+
+    def check(table: pa.Table) -> pa.Table:
+        reps = table.column("_rep").to_numpy()
+        order = np.argsort(reps, kind="stable")
+        listed = table.column("_set").combine_chunks()
+        sets = [listed[int(i)].values.to_numpy(zero_copy_only=False) for i in order]
+        reps = reps[order]
+        root = _similar_forest(sets, least)
+        moved = root != np.arange(len(reps))
+        return pa.table({"src": reps[moved], "dst": reps[root[moved]]})
+
+    return dealt.groupBy("_group", "_one", "_two").applyInArrow(check, f"src {kind}, dst {kind}")
 
 
 def _common_shingles(docs: DataFrame, width: int) -> np.ndarray:
@@ -541,37 +605,36 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, width: int, similarity
     rows = made.groupBy(F.col("_id").alias("_own"), F.col("_raw").alias("_of")).agg(F.first("_digest").alias("_digest"), F.count(F.lit(1)).alias("_times"))
     rows = stored(rows.join(classes.select("_digest", "_class"), "_digest").drop("_digest"), "similar-ids")
     discard(made)
-
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, _, sets in _portions(batches, 1, width):
-            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-            listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), listed], ["_rep", "_set"])
-
-    def alike(pairs: DataFrame) -> DataFrame:
-        """Links (src, dst): the pairs whose likeness, computed on their texts, is enough."""
-        wanted = pairs.select(F.col("_a").alias("_class")).unionByName(pairs.select(F.col("_b").alias("_class"))).distinct()
-        heads = classes.select("_class", F.col("_least._id").alias("_own"), F.col("_least._raw").alias("_of")).join(wanted, "_class")
-        heads = stored(heads.join(rows.drop("_class"), ["_own", "_of"]), "similar-heads")
-        sets = stored(_picked(docs, heads).select("_class", "_text").mapInArrow(sets_of, "_rep long, _set array<long>"), "similar-sets")
-        full = lambda tag: sets.select(F.col("_rep").alias(f"_rep{tag}"), F.col("_set").alias(f"_set{tag}"))
-        checked = pairs.join(full("_a"), F.col("_a") == F.col("_rep_a")).join(full("_b"), F.col("_b") == F.col("_rep_b"))
-        shared = F.size(F.array_intersect("_set_a", "_set_b"))
-        enough = shared + 1e-9 >= similarity * (F.col("_n_a") + F.col("_n_b") - shared)
-        links = stored(checked.where(enough).select(F.col("_a").alias("src"), F.col("_b").alias("dst")), "similar-links")
-        discard(heads, sets, pairs)
-        return links
-
-    # Candidates by fingerprint: links of the index, and equal fingerprints. Each is checked before any group is made of it.
+    # Candidates by fingerprint: links of the index, and equal fingerprints. Only those that their parities show to have much in
+    # common make groups: fingerprints that are near by chance do not chain texts together.
     prints = stored(classes.groupBy("_fp").agg(F.min("_class").alias("_rep")), "similar-prints")
     close = wide_links(prints, reach, most, prints.count()).select(F.least("src", "dst").alias("_a"), F.greatest("src", "dst").alias("_b"))
     equal = classes.join(prints, "_fp").where("_class > _rep").select(F.col("_rep").alias("_a"), F.col("_class").alias("_b"))
-    links = alike(stored(_thinned(close.unionByName(equal).distinct(), classes, similarity), "near-pairs"))
-    groups = stored(connected_components(links).select(F.col("node").alias("_class"), F.col("component").alias("_group")), "similar-groups")
-    # Candidates that fingerprints, or the links that stand for them, miss.
-    more = alike(prefix_pairs(classes, groups, similarity))
-    found = connected_components(links.unionByName(more)).withColumnRenamed("node", "_class")
-    discard(groups, prints)
+    close = _thinned(close.unionByName(equal).distinct(), classes, min(LOOSE, similarity))
+    groups = stored(connected_components(close, "_a", "_b").select(F.col("node").alias("_class"), F.col("component").alias("_group")), "similar-groups")
+    # Candidates that fingerprints miss.
+    pairs = prefix_pairs(classes, groups, similarity)
+    # Exact likeness of both kinds.
+    wanted = groups.select("_class").unionByName(pairs.select(F.col("_a").alias("_class"))).unionByName(pairs.select(F.col("_b").alias("_class")))
+    heads = classes.select("_class", F.col("_least._id").alias("_own"), F.col("_least._raw").alias("_of")).join(wanted.distinct(), "_class")
+    heads = heads.join(rows.drop("_class"), ["_own", "_of"]).join(groups, "_class", "left")
+    heads = stored(heads.withColumn("_group", F.coalesce("_group", "_class")), "similar-heads")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, _, sets in _portions(batches, 2, width):
+            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), listed], ["_rep", "_group", "_set"])
+
+    sets = stored(_picked(docs, heads).select("_class", "_group", "_text").mapInArrow(run, "_rep long, _group long, _set array<long>"), "similar-sets")
+    links = verified_links(sets, similarity)
+    full = lambda tag: sets.select(F.col("_rep").alias(f"_rep{tag}"), F.col("_set").alias(f"_set{tag}"))
+    checked = pairs.join(full("_a"), F.col("_a") == F.col("_rep_a")).join(full("_b"), F.col("_b") == F.col("_rep_b"))
+    shared = F.size(F.array_intersect("_set_a", "_set_b"))
+    alike = shared + 1e-9 >= similarity * (F.col("_n_a") + F.col("_n_b") - shared)
+    links = links.unionByName(checked.where(alike).select(F.col("_a").alias("src"), F.col("_b").alias("dst")))
+    found = connected_components(links).withColumnRenamed("node", "_class")
+    discard(sets, pairs, heads, groups, prints)
     labels = rows.join(found, "_class", "left").withColumn("component", F.coalesce("component", "_class"))
     # Stored apart, so that the join can split a component of very many rows.
     least = stored(labels.groupBy("component").agg(F.min(F.struct("_own", "_of")).alias("_component")), "similar-least")
@@ -586,12 +649,12 @@ def similar_groups(
     """(id, component_id): groups of texts whose sets of ``width``-word shingles have a Jaccard likeness of ``similarity`` or more.
 
     SimHash fingerprints of the distinct shingles find most candidates cheaply:
-    the Gray-order index links those within ``reach`` bits, a spanning forest of
-    them. Each link is checked exactly, over the distinct shingles of whole texts,
-    before groups are made of links, so chains of mere candidates join nothing. An
-    exact prefix join then finds the pairs of different groups that may be alike,
-    and they are checked alike. Only texts of the same lower-cased words skip the
-    comparison.
+    the Gray-order index links those within ``reach`` bits. Links whose sizes and
+    parities rule a likeness of LOOSE out go, so that fingerprints near by
+    chance chain no texts together; the rest make groups. An exact prefix
+    join finds the pairs of different groups that may be alike. Inside groups and
+    for those pairs likeness is computed exactly, over the distinct shingles of
+    whole texts. Only texts of the same lower-cased words skip the comparison.
 
     Edge cases: texts without words are alike. Rows with a null id have no
     group. Rows of one id may differ in text: each belongs to its own text's
