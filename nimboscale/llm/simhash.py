@@ -564,8 +564,8 @@ def prefix_pairs(classes: DataFrame, groups: DataFrame, least: float = SIMILARIT
     rows = rows.select("_class", "_group", "_n", *[f"_odd{k}" for k in range(4)], F.posexplode("_prefix").alias("_at", "_h"))
     counts = rows.groupBy("_h", "_group").agg(F.count(F.lit(1)).alias("_k"))
     held = counts.groupBy("_h").agg(F.sum("_k").alias("_df"), F.max(F.struct("_k", "_group")).alias("_big"), F.count(F.lit(1)).alias("_groups"))
-    held = stored(held.where("_groups > 1").select("_h", F.col("_big._group").alias("_big"), F.ceil((F.col("_df") - F.col("_big._k")) / share).cast("int").alias("_parts")), "shared-shingles")
-    dealt = stored(rows.join(gathered(held), "_h"), "prefix-rows")
+    held = stored(held.where("_groups > 1").select("_h", F.col("_big._group").alias("_big"), F.ceil((F.col("_df") - F.col("_big._k")) / share).cast("int").alias("_parts")), "shared-shingles", release=True)
+    dealt = stored(rows.join(gathered(held), "_h"), "prefix-rows", release=True)
     discard(held)
     a = dealt.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).alias("a")
     b = dealt.where("_group <> _big").withColumn("_part", F.pmod(F.xxhash64("_class"), F.col("_parts")).cast("int")).alias("b")
@@ -578,7 +578,7 @@ def prefix_pairs(classes: DataFrame, groups: DataFrame, least: float = SIMILARIT
     once = (F.col("a._group") == F.col("a._big")) | (F.col("a._class") < F.col("b._class"))
     pairs = a.join(b, [*meet, F.col("a._group") != F.col("b._group"), once, can >= need, _may_be_alike(F.col("a._n"), F.col("b._n"), apart, least)])
     pairs = pairs.select(F.least("a._class", "b._class").alias("_a"), F.greatest("a._class", "b._class").alias("_b")).distinct()
-    pairs = stored(_thinned(pairs, classes, least), "prefix-pairs")
+    pairs = stored(_thinned(pairs, classes, least), "prefix-pairs", release=True)
     discard(dealt)
     return pairs
 
@@ -601,24 +601,24 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, width: int, similarity
     made = stored(_worded(docs, _common_shingles(docs, width), width, similarity), "similar-rows")
     same = [F.first(c).alias(c) for c in ("_fp", "_n", "_prefix", "_odd")]
     classes = made.groupBy("_digest").agg(F.min(F.struct("_id", "_raw")).alias("_least"), *same)
-    classes = stored(classes.withColumn("_class", F.monotonically_increasing_id()), "similar-classes")
+    classes = stored(classes.withColumn("_class", F.monotonically_increasing_id()), "similar-classes", release=True)
     rows = made.groupBy(F.col("_id").alias("_own"), F.col("_raw").alias("_of")).agg(F.first("_digest").alias("_digest"), F.count(F.lit(1)).alias("_times"))
-    rows = stored(rows.join(classes.select("_digest", "_class"), "_digest").drop("_digest"), "similar-ids")
+    rows = stored(rows.join(classes.select("_digest", "_class"), "_digest").drop("_digest"), "similar-ids", release=True)
     discard(made)
     # Candidates by fingerprint: links of the index, and equal fingerprints. Only those that their parities show to have much in
     # common make groups: fingerprints that are near by chance do not chain texts together.
-    prints = stored(classes.groupBy("_fp").agg(F.min("_class").alias("_rep")), "similar-prints")
+    prints = stored(classes.groupBy("_fp").agg(F.min("_class").alias("_rep")), "similar-prints", release=True)
     close = wide_links(prints, reach, most, prints.count()).select(F.least("src", "dst").alias("_a"), F.greatest("src", "dst").alias("_b"))
     equal = classes.join(prints, "_fp").where("_class > _rep").select(F.col("_rep").alias("_a"), F.col("_class").alias("_b"))
     close = _thinned(close.unionByName(equal).distinct(), classes, min(LOOSE, similarity))
-    groups = stored(connected_components(close, "_a", "_b").select(F.col("node").alias("_class"), F.col("component").alias("_group")), "similar-groups")
+    groups = stored(connected_components(close, "_a", "_b").select(F.col("node").alias("_class"), F.col("component").alias("_group")), "similar-groups", release=True)
     # Candidates that fingerprints miss.
     pairs = prefix_pairs(classes, groups, similarity)
     # Exact likeness of both kinds.
     wanted = groups.select("_class").unionByName(pairs.select(F.col("_a").alias("_class"))).unionByName(pairs.select(F.col("_b").alias("_class")))
     heads = classes.select("_class", F.col("_least._id").alias("_own"), F.col("_least._raw").alias("_of")).join(wanted.distinct(), "_class")
     heads = heads.join(rows.drop("_class"), ["_own", "_of"]).join(groups, "_class", "left")
-    heads = stored(heads.withColumn("_group", F.coalesce("_group", "_class")), "similar-heads")
+    heads = stored(heads.withColumn("_group", F.coalesce("_group", "_class")), "similar-heads", release=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, _, sets in _portions(batches, 2, width):
@@ -626,7 +626,7 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, width: int, similarity
             listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), listed], ["_rep", "_group", "_set"])
 
-    sets = stored(_picked(docs, heads).select("_class", "_group", "_text").mapInArrow(run, "_rep long, _group long, _set array<long>"), "similar-sets")
+    sets = stored(_picked(docs, heads).select("_class", "_group", "_text").mapInArrow(run, "_rep long, _group long, _set array<long>"), "similar-sets", release=True)
     links = verified_links(sets, similarity)
     full = lambda tag: sets.select(F.col("_rep").alias(f"_rep{tag}"), F.col("_set").alias(f"_set{tag}"))
     checked = pairs.join(full("_a"), F.col("_a") == F.col("_rep_a")).join(full("_b"), F.col("_b") == F.col("_rep_b"))
@@ -637,8 +637,8 @@ def _similar(docs: DataFrame, id_col: str, text_col: str, width: int, similarity
     discard(sets, pairs, heads, groups, prints)
     labels = rows.join(found, "_class", "left").withColumn("component", F.coalesce("component", "_class"))
     # Stored apart, so that the join can split a component of very many rows.
-    least = stored(labels.groupBy("component").agg(F.min(F.struct("_own", "_of")).alias("_component")), "similar-least")
-    out = stored(labels.join(gathered(least), "component").select("_own", "_of", "_times", "_component"), "similar")
+    least = stored(labels.groupBy("component").agg(F.min(F.struct("_own", "_of")).alias("_component")), "similar-least", release=True)
+    out = stored(labels.join(gathered(least), "component").select("_own", "_of", "_times", "_component"), "similar", release=True)
     discard(rows, classes)
     return out
 
@@ -705,7 +705,7 @@ def drop_near_copies(
     found = _similar(docs, id_col, text_col, width, similarity, reach, most)
     first = (F.col("_component._own") == F.col("_own")) & (F.col("_component._of") == F.col("_of"))
     # Most rows stay; only what goes, or stays once, is named.
-    fate = stored(found.select("_own", "_of", first.alias("_nb_stays"), "_times").where("_times > 1 OR NOT _nb_stays"), "near-copies")
+    fate = stored(found.select("_own", "_of", first.alias("_nb_stays"), "_times").where("_times > 1 OR NOT _nb_stays"), "near-copies", release=True)
     discard(found)
     fate = fate.select(F.col("_own").alias("_nb_own"), F.col("_of").alias("_nb_of"), "_nb_stays")
     marked = docs.withColumn("_nb_raw", _raw_digest(text_col))

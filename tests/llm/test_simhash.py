@@ -184,8 +184,8 @@ def test_templated_texts(spark, monkeypatch):
         texts = {i: " ".join(sentences[k] for k in rng.permutation(12)[:7]) for i in range(n)}
         sizes = {}
 
-        def counted(df, tag):
-            out = stored(df, tag)
+        def counted(df, tag, **more):
+            out = stored(df, tag, **more)
             sizes[tag] = sizes.get(tag, 0) + (out.count() if tag == "prefix-rows" else 0)
             return out
 
