@@ -9,7 +9,7 @@ import zlib
 from pyspark.sql import Column, DataFrame, functions as F
 
 from nimboscale.functions.scalars import geodesic, haversine_km, slug, xml_escape
-from nimboscale.operators.raster import window_extreme
+from nimboscale.operators.raster import window_max
 from nimboscale.session import stored
 
 
@@ -42,14 +42,29 @@ def nearest_place(points: DataFrame, places: DataFrame, by: list[str], km: float
 
 
 def window_alerts(points: DataFrame, px: DataFrame, p: str, half: int, leads: list[int], least: float, prefix: str) -> DataFrame:
-    """First lead at which the largest p near a place reaches ``least``: (issue, place, lead_min, p_max, alert_id)."""
-    near = window_extreme(points.select("place", "y", "x"), px, p, half, ["frame", "place"])
+    """First lead at which the largest p near a place reaches ``least``: (issue, place, lead_min, p_max, alert_id).
+
+    Only pixels that reach ``least`` are spread over the windows they lie in. Places of the same
+    pixels share their alerts until the end, so that the work before the last join grows with
+    the raster, not with places times frames. A place issues in the frames that have a pixel in its windows.
+    """
+    at = points.select("place", "y", "x").distinct()
+    sites = stored(at.groupBy("place").agg(F.sort_array(F.collect_set(F.struct("y", "x"))).alias("site")), "sites")  # at most the raster's pixels a place
+    spots = sites.select("site").distinct().select("site", F.inline("site"))
+    near = window_max(px.where(F.col(p) >= least), p, half).join(F.broadcast(spots) if spots.limit(500_001).count() <= 500_000 else spots, ["y", "x"])
+    near = near.groupBy("frame", "site").agg(F.max("max_value").alias("p_max"))
     lead = F.explode(F.array(*[F.lit(n) for n in leads]))
-    ahead = near.where(F.col("max_value") >= least).select((F.col("frame")).alias("_valid"), "place", F.col("max_value").alias("p_max"), lead.alias("lead"))
-    issued = px.select(F.col("frame").alias("issue")).distinct()
-    hit = ahead.withColumn("issue", F.col("_valid") - F.col("lead")).join(issued, "issue", "left_semi")
-    first = hit.groupBy("issue", "place").agg((F.min("lead") * 30).alias("lead_min"), F.min_by("p_max", "lead").alias("p_max"))
-    return first.withColumn("alert_id", F.concat(F.lit(prefix + "/"), "issue", F.lit("/L"), "lead_min", F.lit("#"), slug(F.col("place"))))
+    ahead = near.select(F.col("frame").alias("_valid"), "site", "p_max", lead.alias("lead"))
+    hit = ahead.withColumn("issue", F.col("_valid") - F.col("lead"))
+    # A frame of all the raster's pixels has one in every window that another frame has one in; the others are looked at.
+    sizes = px.groupBy(F.col("frame").alias("issue")).agg(F.count_distinct("y", "x").alias("_n")).withColumn("_whole", F.col("_n") == F.lit(px.select("y", "x").distinct().count())).drop("_n")
+    part = px.join(sizes.where("NOT _whole").select(F.col("issue").alias("frame")), "frame").withColumn("_one", F.lit(1))
+    seen = window_max(part, "_one", half).join(spots, ["y", "x"]).select(F.col("frame").alias("issue"), "site").distinct().withColumn("_seen", F.lit(True))
+    first = hit.groupBy("issue", "site").agg(F.min("lead").alias("_lead"), *[F.max(F.when(F.col("lead") == n, F.col("p_max"))).alias(f"_p{n}") for n in leads])
+    first = first.join(sizes, "issue").join(seen, ["issue", "site"], "left").where("_whole OR _seen")
+    value = F.coalesce(*[F.when(F.col("_lead") == n, F.col(f"_p{n}")) for n in leads])
+    alerts = first.select("issue", "site", (F.col("_lead") * 30).alias("lead_min"), value.alias("p_max")).join(sites.withColumn("_slug", slug(F.col("place"))), "site")
+    return alerts.select("issue", "place", "lead_min", "p_max", F.concat(F.lit(prefix + "/"), "issue", F.lit("/L"), "lead_min", F.lit("#"), "_slug").alias("alert_id"))
 
 
 NOTICE = "Exercise only: replay of past data, not an official warning."
