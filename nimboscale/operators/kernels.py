@@ -10,7 +10,7 @@ import heapq
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from nimboscale.operators import regions
 from nimboscale.operators.graph import connected_components, minimum_spanning_forest
@@ -59,6 +59,11 @@ def watershed(px: DataFrame, features: DataFrame, height: int, width: int, below
     return pixels.cogroup(features.select("frame", "feature", "cy", "cx").groupBy("frame")).applyInPandas(run, "frame int, y int, x int, feature int")
 
 
+def distance(dy: Column, dx: Column) -> Column:
+    """Square root of the sum of squares, as SQL writes it, so that ties and the reach fall alike."""
+    return F.sqrt(dy * dy + dx * dx)
+
+
 def link_nearest(features: DataFrame, reach: float) -> DataFrame:
     """(frame, parent, child, dist): pairs of consecutive frames within ``reach``, closest first, each feature once.
 
@@ -70,7 +75,7 @@ def link_nearest(features: DataFrame, reach: float) -> DataFrame:
     near = F.sequence(F.lit(-1), F.lit(1))
     a = a.withColumn("_i", F.explode(near)).withColumn("_j", F.explode(near)).withColumns({"gy": F.col("gy") + F.col("_i"), "gx": F.col("gx") + F.col("_j")})
     b = features.select((F.col("frame") - 1).alias("frame"), F.col("feature").alias("child"), F.col("cy").alias("_cy"), F.col("cx").alias("_cx"), cell("cy").alias("gy"), cell("cx").alias("gx"))
-    dist = F.hypot(F.col("cy") - F.col("_cy"), F.col("cx") - F.col("_cx"))
+    dist = distance(F.col("cy") - F.col("_cy"), F.col("cx") - F.col("_cx"))
     pairs = a.join(b, ["frame", "gy", "gx"]).select("frame", "parent", "child", dist.alias("dist")).where(F.col("dist") <= reach)
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -92,7 +97,7 @@ def candidate_links(features: DataFrame, later: DataFrame, reach: float, gap: in
     a = features.select("frame", F.col("feature").alias("parent"), "cy", "cx", cell("cy").alias("gy"), cell("cx").alias("gx"))
     a = a.withColumn("_i", F.explode(near)).withColumn("_j", F.explode(near)).withColumns({"gy": F.col("gy") + F.col("_i"), "gx": F.col("gx") + F.col("_j")})
     b = later.select((F.col("frame") - gap).alias("frame"), F.col("feature").alias("child"), F.col("cy").alias("_cy"), F.col("cx").alias("_cx"), cell("cy").alias("gy"), cell("cx").alias("gx"))
-    dist = F.hypot(F.col("cy") - F.col("_cy"), F.col("cx") - F.col("_cx"))
+    dist = distance(F.col("cy") - F.col("_cy"), F.col("cx") - F.col("_cx"))
     return a.join(b, ["frame", "gy", "gx"]).select("frame", "parent", "child", dist.alias("dist")).where(F.col("dist") <= reach)
 
 

@@ -94,7 +94,8 @@ def detect(px: DataFrame, thresholds: list[float], least: int | list[int] = 4, s
     Of each threshold the side-connected regions of at least ``least`` pixels (a
     number, or one for each threshold) are taken; a region with a taken region of
     a colder threshold inside is left out. Centres are weighted by the depth below
-    the threshold. Features are numbered from 1 in a frame, by centre. Missing pixels
+    the threshold. Features are numbered from 1 in a frame, by centre to nine decimals, then
+    threshold and first pixel, so that numbers do not hang on the order of sums. Missing pixels
     (null) are above every threshold.
     """
     sizes = [least] * len(thresholds) if isinstance(least, int) else list(least)
@@ -119,7 +120,7 @@ def detect(px: DataFrame, thresholds: list[float], least: int | list[int] = 4, s
     around = runs.select(whole.alias("_f"), level.alias("_outer"), "y", "x0", "x1", F.col("region"), F.explode(F.sequence(F.floor(F.col("x0") / STRIP).cast("int"), F.floor(F.col("x1") / STRIP).cast("int"))).alias("_s"))
     replaced = firsts.join(around, ["_f", "y", "_s"]).where("_outer < _inner AND _x BETWEEN x0 AND x1").select("region").distinct()
     kept = taken.join(replaced, "region", "left_anti").withColumns({"_t": F.get(listed, level)["t"], "frame": whole.cast("int")})
-    number = F.row_number().over(Window.partitionBy("frame").orderBy("cy", "cx", "_t"))
+    number = F.row_number().over(Window.partitionBy("frame").orderBy(F.round("cy", 9), F.round("cx", 9), "_t", "region"))
     return kept.select("frame", number.alias("feature"), "cy", "cx", F.col("_t").alias("threshold"), "pixels")
 
 
