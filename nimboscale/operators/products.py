@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from nimboscale.functions.scalars import geodesic, haversine_km, slug, xml_escape
 from nimboscale.operators.raster import window_max
-from nimboscale.session import stored
+from nimboscale.session import gathered, stored
 
 
 def nearest_place(points: DataFrame, places: DataFrame, by: list[str], km: float, sphere: bool = False) -> DataFrame:
@@ -18,26 +18,54 @@ def nearest_place(points: DataFrame, places: DataFrame, by: list[str], km: float
 
     Distances are on the ellipsoid, or on the sphere that displays use.
 
-    Both sides are dealt to cells of latitude and longitude as wide as the
-    radius, and points look into the cells around their own: an equi-join whose
-    work grows with the pairs that are near, not with all pairs. A row's columns
+    Of places at one spot only that of the smallest id can be nearest. Both sides are dealt to
+    cells of latitude and longitude as wide as the radius, and points look into the cells around
+    their own. Where places are dense this is done first within a part of ``km``, and only points that found none
+    there look farther, so that pairs grow with the points. A row's columns
     share the whole circle evenly, so that the first and the last are neighbours;
     rows within a degree of a pole have one.
     """
+    spots = places.where("lat IS NOT NULL AND lon IS NOT NULL").groupBy("lat", "lon").agg(F.min(F.struct("place_id", "place")).alias("_p"))
+    spots = stored(spots.select("_p.place", "_p.place_id", "lat", "lon"), "spots")
+    rest = stored(points, "points")
+    dealt, _ = _cells(spots, km)
+    most = dealt.groupBy("_row", "_col").count().agg(F.max("count")).first()[0] or 1
+    # A quarter of the radius has about a sixteenth of the places.
+    reaches = [km / 4**k for k in range(math.ceil(math.log(max(1, most / 4), 16)), 0, -1)] + [km]
+    found = []
+    for reach in reaches:
+        found.append(_nearest_within(rest, spots, by, reach, sphere))
+        if reach < km:
+            found[-1] = stored(found[-1], "near-places")
+            keys = [rest[c].eqNullSafe(found[-1][c]) for c in by]
+            rest = stored(rest.join(found[-1], keys, "left_anti"), "points")
+    out = found[0]
+    for part in found[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _cells(df: DataFrame, km: float):
+    """``df`` (lat, lon) with ``_row``, ``_of`` and ``_col`` of cells as wide as ``km``; and the functions that give a row, a row's columns and a column."""
     step = km / 110.5  # no degree of latitude is shorter
     row = lambda lat: F.floor(lat / step).cast("long")
     # Longitude cells are at least as wide as the radius at the row's edge nearest a pole.
     edge = (F.abs(F.col("_row")) + 1) * step
     columns = F.when(edge >= 89, 1).otherwise(F.greatest(F.lit(1), F.floor(360 * F.cos(F.radians(edge)) / step))).cast("long")
     column = lambda lon: F.floor(F.pmod(lon + 180, F.lit(360.0)) / (360 / F.col("_of"))).cast("long")
-    dealt = places.withColumn("_row", row(F.col("lat"))).withColumn("_of", columns).withColumn("_col", column(F.col("lon")))
+    return df.withColumn("_row", row(F.col("lat"))).withColumn("_of", columns).withColumn("_col", column(F.col("lon"))), (row, columns, column)
+
+
+def _nearest_within(points: DataFrame, spots: DataFrame, by: list[str], km: float, sphere: bool) -> DataFrame:
+    """One search of ``nearest_place``: (by..., place, km) of the points that have one of ``spots`` within ``km``."""
+    dealt, (row, columns, column) = _cells(spots, km)
     dealt = dealt.select("place", "place_id", F.col("lat").alias("_plat"), F.col("lon").alias("_plon"), "_row", "_col")
     look = points.withColumn("_row", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: row(F.col("lat")) + d)))
     look = look.withColumn("_of", columns).withColumn("_own", column(F.col("lon")))
     look = look.withColumn("_col", F.explode(F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.pmod(F.col("_own") + d, F.col("_of"))))))
     ends = [F.col(c) for c in ("lat", "lon", "_plat", "_plon")]
     far = haversine_km(*ends) if sphere else geodesic(*ends)["km"]
-    met = look.join(dealt, ["_row", "_col"]).withColumn("km", far).where(F.col("km") <= km)
+    met = look.join(gathered(dealt), ["_row", "_col"]).withColumn("km", far).where(F.col("km") <= km)
     return met.groupBy(*by).agg(F.min_by("place", F.struct("km", "place_id")).alias("place"), F.min("km").alias("km"))
 
 
