@@ -354,16 +354,22 @@ def issue_features(px: DataFrame, forecast: DataFrame, event: float, minutes: in
     """
     import math
 
-    from nimboscale.operators.raster import box_fraction, box_mean, box_min
+    from nimboscale.operators.raster import box
 
-    now = box_min(box_fraction(px.select("frame", "y", "x", value).withColumn("_e", F.col(value) < event), "_e", 31, "pers_frac31"), value, 11, "pers_min11")
+    # All boxes of a table share its two exchanges; shares are of the full box, so nulls and what lies outside count as no event.
+    hit = lambda c: F.coalesce(c.cast("int"), F.lit(0))
+    share_of = lambda c, size: F.col(c) / F.lit(float(size * size))
+    now = box(px.select("frame", "y", "x", value).withColumn("_e", hit(F.col(value) < event)), 11, _f31=("sum", "_e", 31), pers_min11=("min", value))
+    now = now.withColumn("pers_frac31", share_of("_f31", 31))
     last = px.select((F.col("frame") + 1).alias("frame"), "y", "x", F.col(value).alias("_last"))
     now = now.join(last, ["frame", "y", "x"], "left").withColumn("tend30", F.col(value) - F.col("_last"))
     now = now.select(F.col("frame").alias("issue"), "y", "x", F.col(value).alias("pers_bt"), "pers_frac31", "pers_min11", "tend30")
     # The box operators' frame is a forecast's (issue, lead) here.
-    fc = forecast.withColumns({"frame": F.struct("issue", "lead"), "_e": F.col("forecast") < event, "_ok": F.col("forecast").isNotNull()})
-    fc = box_fraction(box_fraction(fc, "_e", 11, "adv_frac11"), "_e", 31, "adv_frac31")
-    fc = box_mean(box_min(box_fraction(fc, "_ok", 31, "adv_valid_frac31"), "forecast", 11, "adv_min11"), "tendency", 31, "adv_tend_mean31")
+    fc = forecast.withColumns({"frame": F.struct("issue", "lead")}).drop("issue", "lead")
+    fc = fc.withColumns({"_e": hit(F.col("forecast") < event), "_ok": hit(F.col("forecast").isNotNull()), "_one": hit(F.col("tendency").isNotNull())})
+    fc = box(fc, 31, _f11=("sum", "_e", 11), _f31=("sum", "_e"), _v31=("sum", "_ok"), adv_min11=("min", "forecast", 11), _sum=("sum", "tendency"), _count=("sum", "_one"))
+    fc = fc.select("frame.*", "y", "x", "forecast", "tendency", "speed", "adv_min11", share_of("_f11", 11).alias("adv_frac11"), share_of("_f31", 31).alias("adv_frac31"),
+                   share_of("_v31", 31).alias("adv_valid_frac31"), F.try_divide("_sum", F.col("_count").cast("double")).alias("adv_tend_mean31"))
     share = px.groupBy(F.col("frame").alias("issue")).agg(F.coalesce(F.avg(F.when(F.col(value).isNotNull(), (F.col(value) < event).cast("double"))), F.lit(0.0)).alias("dom_cold_frac"))
     before = share.select((F.col("issue") + 2).alias("issue"), F.col("dom_cold_frac").alias("_before"))
     share = share.join(before, "issue", "left").withColumn("dom_cold_change60", F.col("dom_cold_frac") - F.col("_before"))
