@@ -159,6 +159,34 @@ def least_cost(cost: dict[int, dict[int, float]], alone: float) -> dict[int, int
     return taken
 
 
+#: Candidate pairs that one call of the solver takes, whole subnets at a time.
+SOLVED = 20_000
+
+
+def subnets(pairs: DataFrame) -> DataFrame:
+    """Candidate pairs (frame, parent, child, dist) with ``_net``, the connected component they belong to, stored."""
+    number = lambda feature, side: F.col("frame").cast("bigint") * (1 << 32) + F.col(feature).cast("bigint") * 2 + side
+    named = pairs.withColumns({"_u": number("parent", 0), "_v": number("child", 1)})
+    net = connected_components(named, "_u", "_v").select(F.col("node").alias("_u"), F.col("component").alias("_net"))
+    return stored(named.join(net, "_u").select("frame", "parent", "child", "dist", "_net"), "subnets")
+
+
+def least_links(nets: DataFrame, reach: float) -> DataFrame:
+    """(frame, parent, child, dist) of the links of least total cost of every subnet (``subnets``); many subnets share a call of the solver."""
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        costs: dict[int, dict[int, dict[int, float]]] = {}
+        rows = list(zip(pdf["_net"].tolist(), pdf["parent"].tolist(), pdf["child"].tolist(), pdf["dist"].tolist()))
+        for n, p, c, d in rows:
+            costs.setdefault(n, {}).setdefault(p, {})[c] = d * d
+        chosen = {n: least_cost(cost, reach * reach) for n, cost in costs.items()}
+        return pdf.loc[[chosen[n].get(p) == c for n, p, c, _ in rows], ["frame", "parent", "child", "dist"]]
+
+    parts = max(1, -(-nets.count() // SOLVED))
+    dealt = nets.withColumn("_part", F.pmod(F.xxhash64("_net"), F.lit(parts)))
+    return dealt.groupBy("_part").applyInPandas(solve, nets.drop("_net").schema)
+
+
 def link_optimal(features: DataFrame, reach: float, memory: int = 0) -> DataFrame:
     """(frame, parent, child, gap, dist): links of least total cost between features of consecutive frames.
 
@@ -166,23 +194,11 @@ def link_optimal(features: DataFrame, reach: float, memory: int = 0) -> DataFram
     ``reach``. Features fall into subnets, the connected components of the
     candidate pairs, and each is solved by itself, exactly. With ``memory``, what ended without a
     child then meets what began without a parent two frames on, and so on to ``memory`` + 1.
-    A subnet is one task: it holds features that candidates chain together, not a frame.
+    A subnet stays in one task: it holds features that candidates chain together, not a frame.
     """
-    number = lambda frame, feature, side: frame.cast("bigint") * (1 << 32) + feature.cast("bigint") * 2 + side
     links, ends, starts = None, features, features
     for gap in range(1, memory + 2):
-        pairs = stored(candidate_links(ends, starts, reach, gap), "candidate-links")
-        named = pairs.withColumns({"_u": number(F.col("frame"), F.col("parent"), 0), "_v": number(F.col("frame"), F.col("child"), 1)})
-        net = connected_components(named, "_u", "_v").select(F.col("node").alias("_u"), F.col("component").alias("_net"))
-
-        def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-            cost: dict[int, dict[int, float]] = {}
-            for p, c, d in zip(pdf["parent"].tolist(), pdf["child"].tolist(), pdf["dist"].tolist()):
-                cost.setdefault(p, {})[c] = d * d
-            chosen = least_cost(cost, reach * reach)
-            return pdf.loc[[chosen.get(p) == c for p, c in zip(pdf["parent"], pdf["child"])], ["frame", "parent", "child", "dist"]]
-
-        found = named.join(net, "_u").groupBy("_net").applyInPandas(solve, pairs.schema)
+        found = least_links(subnets(stored(candidate_links(ends, starts, reach, gap), "candidate-links")), reach)
         found = stored(found.select("frame", "parent", "child", F.lit(gap).alias("gap"), "dist"), "links")
         links = found if links is None else links.unionByName(found)
         if gap <= memory:

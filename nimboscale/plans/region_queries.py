@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from nimboscale.operators import kernels as K, regions as R
-from nimboscale.operators.graph import connected_components
 from nimboscale.plans.registry import query
 from nimboscale.plans.standins import EVENT, HEIGHT, PX, WIDTH, pixels
 from nimboscale.plans.track_queries import CENTRES, EDGES, TRACKS
@@ -68,16 +67,12 @@ def optimal_link_costs(spark, sf_dir):
     from nimboscale.session import stored
 
     found = stored(features(spark, sf_dir), "features")
-    pairs = K.candidate_links(found, found, NEAR)
-    links = K.link_optimal(found, NEAR)
-    parents = pairs.select("frame", "parent").distinct().groupBy("frame").agg(F.count(F.lit(1)).alias("parents"))
-    # Subnets by components of the parents and children of each frame.
-    number = lambda c, side: F.col("frame").cast("bigint") * (1 << 32) + F.col(c).cast("bigint") * 2 + side
-    nets = connected_components(pairs.select(number("parent", 0).alias("src"), number("child", 1).alias("dst")))
-    nets = nets.where("node = component").groupBy(F.shiftright("component", 32).cast("int").alias("frame")).agg(F.count(F.lit(1)).alias("subnets"))
+    nets = K.subnets(stored(K.candidate_links(found, found, NEAR), "candidate-links"))
+    counted = nets.groupBy("frame").agg(F.count_distinct("_net").alias("subnets"), F.count_distinct("parent").alias("parents"))
+    links = K.least_links(nets, NEAR)
     linked = links.groupBy("frame").agg(F.count(F.lit(1)).alias("_k"), F.sum(F.col("dist") * F.col("dist")).alias("_sum"))
     total = F.coalesce("_sum", F.lit(0.0)) + (F.col("parents") - F.coalesce("_k", F.lit(0))) * NEAR * NEAR
-    return parents.join(nets, "frame").join(linked, "frame", "left").select("frame", "subnets", "parents", F.round(total, 5).alias("cost"))
+    return counted.join(linked, "frame", "left").select("frame", "subnets", "parents", F.round(total, 5).alias("cost"))
 
 
 @query(f"""WITH RECURSIVE {PX}, near AS (SELECT a, b FROM (VALUES (-1), (0), (1)) i(a) CROSS JOIN (VALUES (-1), (0), (1)) j(b) WHERE a <> 0 OR b <> 0), gap AS (SELECT frame, y, x FROM pm WHERE v IS NULL OR v > 0.1),
