@@ -13,6 +13,9 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from nimboscale.session import gathered
+
+
 def scramble(key: Column, seed: int) -> Column:
     """Order key by a hash of the seed and ``key``; the same in any SQL engine. Equal keys need a further key."""
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")).cast("binary"))
@@ -102,6 +105,18 @@ def poisson_sums(rows: DataFrame, unit: str, by: list[str], sums: list[str], rep
     return drawn.where("_times > 0").groupBy("rep", *by).agg(*[F.sum(F.col(c) * F.col("_times")).alias(c) for c in sums])
 
 
+def drawn_sums(units: DataFrame, sums: list[str], reps: int, seed: int) -> DataFrame:
+    """(rep, sums...) of every replicate, as many of the ``units`` drawn with replacement as there are; ``unit`` numbers them from 0.
+
+    A draw is the first 48 bits of an MD5 of its counter, the same in any SQL engine. Draws are made
+    where they are added up: units of three columns meet them by broadcast up to five million.
+    """
+    n = units.count()
+    hashed = F.conv(F.substring(scramble(F.col("id"), seed), 1, 12), 16, 10).cast("bigint")
+    draws = units.sparkSession.range(reps * n).select(F.expr(f"id div {max(1, n)}").alias("rep"), F.pmod(hashed, F.lit(max(1, n))).alias("unit"))
+    return draws.join(gathered(units, 5_000_000), "unit").groupBy("rep").agg(*[F.sum(c).alias(c) for c in sums])
+
+
 def interval(reps: DataFrame, by: list[str], value: str, low: float = 0.025, high: float = 0.975, finite: float = 0.9) -> DataFrame:
     """Exact percentiles over replicates; null if fewer than ``finite`` of them have a value."""
     enough = F.count(value) >= finite * F.count(F.lit(1))

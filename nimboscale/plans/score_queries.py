@@ -207,24 +207,21 @@ def paired_event_bootstrap(spark, sf_dir):
 
 @query(f"""WITH {POS}, pr AS (SELECT cell, min_bt - 250 AS dev, lead(min_bt - 250) OVER (PARTITION BY cell ORDER BY frame) AS nxt FROM pos),
 u AS (SELECT row_number() OVER (ORDER BY cell) - 1 AS unit, sum(dev * nxt) AS xy, sum(dev * dev) AS xx FROM pr WHERE nxt IS NOT NULL GROUP BY cell),
-e AS (SELECT sum(xy) / sum(xx) AS phi, sum(xx) AS t FROM u),
-theory AS (SELECT any_value(phi) AS phi, sqrt(sum(((xy - phi * xx) / t) ** 2)) AS sd FROM u, e),
-draws AS (SELECT i // (SELECT count(*) FROM u) AS rep, hash(i, 'cells') % (SELECT count(*) FROM u) AS unit FROM range({REPS} * (SELECT count(*) FROM u)) t(i)),
-r AS (SELECT rep, sum(xy) / sum(xx) AS v FROM draws JOIN u USING (unit) GROUP BY rep)
-SELECT round(any_value(phi), 8) AS estimate, round(any_value(sd), 8) AS sd, {LAW.format(v='v', e='phi', reps=REPS)} FROM r, theory""")
+n AS (SELECT count(*) AS n FROM u),
+draws AS (SELECT i // n AS rep, CAST('0x' || left(md5('4:' || i), 12) AS BIGINT) % n AS unit FROM n, range({REPS} * (SELECT count(*) FROM u)) t(i)),
+r AS (SELECT rep, sum(xy) / sum(xx) AS phi FROM draws JOIN u USING (unit) GROUP BY rep)
+SELECT round(quantile_cont(phi, 0.025), 8) AS low, round(quantile_cont(phi, 0.5), 8) AS mid, round(quantile_cont(phi, 0.975), 8) AS high FROM r""")
 def cell_bootstrap_ar1(spark, sf_dir):
-    """First-order autocorrelation with cells resampled by weights of their own: no row for each replicate and cell is stored or exchanged."""
+    """Interval of the first-order autocorrelation: in every replicate as many cells are drawn, with replacement, as there are."""
     from nimboscale.operators.tracks import by_cell
     from nimboscale.plans.standins import positions
 
     p = positions(spark, sf_dir).withColumn("dev", F.col("min_bt") - 250)
     pairs = p.withColumn("nxt", F.lead("dev").over(by_cell())).where("nxt IS NOT NULL")
     cells = stored(pairs.groupBy("cell").agg(F.sum(F.col("dev") * F.col("nxt")).alias("xy"), F.sum(F.col("dev") * F.col("dev")).alias("xx")), "cell-sums")
-    reps = B.poisson_sums(cells, "cell", [], ["xy", "xx"], REPS, 4).withColumn("phi", F.try_divide("xy", "xx"))
-    whole = cells.agg(F.try_divide(F.sum("xy"), F.sum("xx")).alias("_phi"), F.sum("xx").alias("_xx"))
-    influence = cells.crossJoin(F.broadcast(whole)).withColumn("_v", (F.col("xy") - F.col("_phi") * F.col("xx")) / F.col("_xx"))
-    theory = influence.agg(F.max("_phi").alias("estimate"), F.sqrt(F.sum(F.col("_v") * F.col("_v"))).alias("sd"))
-    return _law(reps, [], "phi", theory)
+    units = stored(B.numbered(cells, "cell", "unit").select("unit", "xy", "xx"), "cell-units")
+    reps = B.drawn_sums(units, ["xy", "xx"], REPS, 4).withColumn("phi", F.try_divide("xy", "xx"))
+    return B.interval(reps, [], "phi").select(*[F.round(c, 8).alias(c) for c in ("low", "mid", "high")])
 
 
 @query("""WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders), e AS (SELECT day FROM d WHERE extract('day' FROM day) = 15 AND extract('month' FROM day) = 6),
