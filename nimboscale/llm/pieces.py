@@ -50,12 +50,13 @@ LONGEST = 4096
 #: Spaces lead a word; no piece holds a line end beside another sign, nor a space after one.
 WORD = re.compile(r" *[^ \n]+| +|\n")
 M64 = (1 << 64) - 1
+SPREAD = 0x9E3779B97F4A7C15
 #: Units of the integer sums of chances and of log chances.
 SCALE_P, SCALE_LOG = float(1 << 50), float(1 << 32)
 
 
 class Vocabulary:
-    """Pieces as a trie: sorted keys (node, code point) -> node, and the piece that ends at a node."""
+    """Pieces as a trie: a hash table (node, code point) -> node, and the piece that ends at a node."""
 
     def __init__(self, model: str):
         import sentencepiece
@@ -91,10 +92,15 @@ class Vocabulary:
                 if at == len(ends):
                     ends.append(-1)
             ends[at] = i
-        keys = np.array([(n << 21) | c for n, c in nodes], np.int64)
-        child = np.array(list(nodes.values()), np.int64)
-        order = np.argsort(keys)
-        self.keys, self.child = keys[order], child[order]
+        # Open addressing, at most an eighth full; -1 marks a free slot.
+        self.bits = (8 * len(nodes)).bit_length()
+        self.keys, self.child = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int32)
+        free = (1 << self.bits) - 1
+        for (n, c), k in nodes.items():
+            slot = (((n << 21 | c) * SPREAD) & M64) >> (64 - self.bits)
+            while self.keys[slot] >= 0:
+                slot = (slot + 1) & free
+            self.keys[slot], self.child[slot] = n << 21 | c, k
         #: Child of the root by code point; 0 for none.
         self.first = np.zeros(0x110000, np.int32)
         self.first[[c for n, c in nodes if n == 0]] = [k for (n, _), k in nodes.items() if n == 0]
@@ -102,10 +108,38 @@ class Vocabulary:
         self.longest = max(map(len, self.by_text))
         if any("\n" in t and t != "\n" for t in self.by_text):
             raise ValueError("a piece holds a line end")
+        self.flat = np.frombuffer(b"".join(self.text), np.uint8)
+        self.width = np.array([len(t) for t in self.text], np.int64)
+        self.offset = np.cumsum(self.width) - self.width
+
+    def below(self, nodes: np.ndarray, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the nodes have a child by their sign, and these children."""
+        key = (nodes.astype(np.int64) << 21) | chars
+        slot = ((key.view(np.uint64) * np.uint64(SPREAD)) >> np.uint64(64 - self.bits)).view(np.int64)
+        found = self.keys[slot]
+        over = np.flatnonzero((found != key) & (found >= 0))
+        while len(over):
+            slot[over] = (slot[over] + 1) & (len(self.keys) - 1)
+            found[over] = self.keys[slot[over]]
+            over = over[(found[over] != key[over]) & (found[over] >= 0)]
+        hit = np.flatnonzero(found >= 0)
+        return hit, self.child[slot[hit]]
+
+    def joined(self, ids) -> bytes:
+        """Bytes of piece ids."""
+        ids, out = np.asarray(ids, np.int64), []
+        for a in range(0, len(ids), BUILD_CHARS):
+            part = ids[a : a + BUILD_CHARS]
+            width = self.width[part]
+            ends = width.cumsum()
+            at = (self.offset[part] - ends + width).repeat(width)
+            at += np.arange(len(at))
+            out.append(self.flat[at].tobytes())
+        return b"".join(out)
 
     def decode(self, ids) -> str:
         """Text of piece ids: bytes and pieces joined, less the space put before the text."""
-        return b"".join(map(self.text.__getitem__, ids)).decode("utf-8", "replace")[1:]
+        return self.joined(ids).decode("utf-8", "replace")[1:]
 
 
 @lru_cache(maxsize=2)
@@ -115,7 +149,7 @@ def vocabulary(model: str) -> Vocabulary:
 
 def mixed(x: np.ndarray) -> np.ndarray:
     """splitmix64 finaliser of uint64 values."""
-    x = x + np.uint64(0x9E3779B97F4A7C15)
+    x = x + np.uint64(SPREAD)
     spare = np.empty_like(x)
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
         np.right_shift(x, np.uint64(shift), out=spare)
@@ -138,6 +172,14 @@ def uniforms(seeds: np.ndarray, stream: int, at: np.ndarray) -> np.ndarray:
     return out
 
 
+class _Numbers(dict):
+    """Numbers keys in the order in which they are first asked for."""
+
+    def __missing__(self, key: str) -> int:
+        value = self[key] = len(self)
+        return value
+
+
 class Lattices:
     """Lattices of the distinct words of a batch, in flat arrays.
 
@@ -151,8 +193,9 @@ class Lattices:
 
     def of(self, words: list[str]) -> np.ndarray:
         """Builds the lattices of the distinct words; returns the word number of each word."""
-        unique = list(dict.fromkeys(words))
-        number = dict(zip(unique, range(len(unique))))
+        number = _Numbers()
+        numbers = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+        unique = list(number)
         ends = np.cumsum([len(w) for w in unique])
         parts, first = [], 0
         while first < len(unique) or not parts:
@@ -164,23 +207,20 @@ class Lattices:
         self.char, self.length = char, length.astype(np.int64)
         self.first_node = np.cumsum(self.length + 1) - self.length - 1
         self.first_edge = np.concatenate([[0], np.cumsum(count, dtype=np.int64)])
-        return np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+        return numbers
 
     def _edges(self, chars: np.ndarray, n: int, left: np.ndarray) -> tuple[np.ndarray, ...]:
         """Edges from each of the first ``n`` signs, which have ``left`` signs up to their word's end: counts, spans, pieces, tempered log chances."""
         v = self.v
         found = []  # (starts, piece) of each length
-        state = v.first[chars[:n]].astype(np.int64)
+        state = v.first[chars[:n]]
         at = np.flatnonzero(state)
         state = state[at]
         step = 0
         while len(at):
             if step:
-                key = (state << 21) | chars[at + step].astype(np.int64)
-                slot = v.keys.searchsorted(key)
-                np.minimum(slot, len(v.keys) - 1, out=slot)
-                hit = np.flatnonzero(v.keys[slot] == key)
-                at, state = at[hit], v.child[slot[hit]]
+                hit, state = v.below(state, chars[at + step])
+                at = at[hit]
             step += 1
             piece = v.ends[state]
             whole = piece >= 0
@@ -386,12 +426,13 @@ def sample_texts(lat: Lattices, texts: list[str], seeds: np.ndarray, k: int) ->
         part = np.rint(step * SCALE_LOG).astype(np.int64)
         run = np.concatenate([[0], np.cumsum(part)])
         base = run[path.start[:-1]]
-        path.prefix = (run[:-1] - base[path.doc]) / SCALE_LOG + before[path.doc]
+        of_doc = np.diff(path.start)
+        path.prefix = (run[:-1] - base.repeat(of_doc)) / SCALE_LOG + before.repeat(of_doc)
         path.total = (run[path.start[1:]] - base) / SCALE_LOG + before
         one = lattice_edges[path.node] == 1
         with np.errstate(divide="ignore"):
             rest = np.where(one, -np.inf, np.log(np.maximum(-np.expm1(step), 1e-300)))
-        path.keys = _truncated(path.prefix + rest, most[path.doc], uniforms(seeds[path.doc], stream, path.at))
+        path.keys = _truncated(path.prefix + rest, most.repeat(of_doc), uniforms(seeds.repeat(of_doc), stream, path.at))
 
     zero = np.zeros(n)
     path = _walk(lat, n, doc, at.copy(), first.copy(), end, seeds, 2)
@@ -484,11 +525,11 @@ def _inclusion(logp: float, threshold: float) -> float:
 
 def _ids(lat: Lattices, edges: np.ndarray) -> np.ndarray:
     """Piece ids of edges; a sign outside the vocabulary becomes its bytes in UTF-8."""
-    edges = edges.astype(np.int64)
-    piece = lat.piece[edges]
-    if not (lost := np.flatnonzero(piece < 0)).size:
+    piece = lat.piece[edges.astype(np.int64, copy=False)]
+    if piece.min(initial=0) >= 0:
         return piece
-    text = lat.char[lat.source(edges[lost])].tobytes().decode("utf-32-le", "surrogatepass")
+    lost = np.flatnonzero(piece < 0)
+    text = lat.char[lat.source(edges[lost].astype(np.int64))].tobytes().decode("utf-32-le", "surrogatepass")
     coded = text.encode("utf-8", "surrogatepass")
     width = np.array([len(c.encode("utf-8", "surrogatepass")) for c in text]) if len(coded) > len(text) else 1
     count = np.ones(len(piece), np.int64)
@@ -529,13 +570,14 @@ def sample_segmentations(
         lat = Lattices(known, alpha)
 
         def describe(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts = [t.as_py() or "" for t in batch.column(2)]
+            texts = [t or "" for t in batch.column(2).to_pylist()]
             seeds = mixed(batch.column(1).to_numpy().view(np.uint64))
             out, whose, flat = [], [], []
             for i, samples in enumerate(sample_texts(lat, texts, seeds, k)):
+                plain = texts[i].encode()
                 for j, (ids, logp, _, inclusion) in enumerate(samples):
                     ids = ids.astype("<i4")
-                    out.append((j + 1, len(ids), logp, inclusion, hashlib.sha256(ids.tobytes()).hexdigest(), known.decode(ids.tolist()) == texts[i]))
+                    out.append((j + 1, len(ids), logp, inclusion, hashlib.sha256(ids.tobytes()).hexdigest(), known.joined(ids)[1:] == plain))
                     whose.append(i)
                     if with_ids:
                         flat.append(ids)
