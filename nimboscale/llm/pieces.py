@@ -612,4 +612,4 @@ def decode_ids(df: DataFrame, ids_col: str = "ids", out_col: str = "decoded", mo
 def op10_piece_samples(spark, sf_dir: str) -> DataFrame:
     from nimboscale.session import table
 
-    return sample_segmentations(table(spark, sf_dir, "documents").select("doc_id", "text"), with_ids=False)
+    return sample_segmentations(table(spark, sf_dir, "documents").select("doc_id", "text"))
