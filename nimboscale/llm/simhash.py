@@ -560,13 +560,18 @@ def prefix_pairs(classes: DataFrame, groups: DataFrame, least: float = SIMILARIT
     rows = classes.join(gathered(groups), "_class", "left").withColumn("_group", F.coalesce("_group", "_class"))
     every_fourth = lambda k: F.filter("_odd", lambda x, i: i % 4 == k)
     folded = [F.aggregate(every_fourth(k), F.lit(0).cast("bigint"), lambda x, y: x.bitwiseXOR(y)).alias(f"_odd{k}") for k in range(4)]
-    rows = rows.select("_class", "_group", F.col("_n").cast("int").alias("_n"), *folded, "_prefix")
-    rows = rows.select("_class", "_group", "_n", *[f"_odd{k}" for k in range(4)], F.posexplode("_prefix").alias("_at", "_h"))
-    counts = rows.groupBy("_h", "_group").agg(F.count(F.lit(1)).alias("_k"))
-    held = counts.groupBy("_h").agg(F.sum("_k").alias("_df"), F.max(F.struct("_k", "_group")).alias("_big"), F.count(F.lit(1)).alias("_groups"))
-    held = stored(held.where("_groups > 1").select("_h", F.col("_big._group").alias("_big"), F.ceil((F.col("_df") - F.col("_big._k")) / share).cast("int").alias("_parts")), "shared-shingles", release=True)
-    dealt = stored(rows.join(gathered(held), "_h"), "prefix-rows", release=True)
-    discard(held)
+    # Most shingles stand in one group only: the rest of a row comes to those that are left.
+    shared = rows.select("_group", F.explode("_prefix").alias("_h")).groupBy("_h").agg(F.min("_group").alias("_low"), F.max("_group").alias("_high"))
+    shared = stored(shared.where("_low <> _high").select("_h"), "shared-shingles", release=True)
+    brief = rows.select("_class", "_group", F.col("_n").cast("int").alias("_n"), *folded)
+    met = rows.select("_class", F.posexplode("_prefix").alias("_at", "_h")).join(gathered(shared), "_h").join(brief, "_class")
+    met = stored(met, "shared-rows", release=True)
+    discard(shared)
+    counts = met.groupBy("_h", "_group").agg(F.count(F.lit(1)).alias("_k"))
+    held = counts.groupBy("_h").agg(F.sum("_k").alias("_df"), F.max(F.struct("_k", "_group")).alias("_big"))
+    held = stored(held.select("_h", F.col("_big._group").alias("_big"), F.ceil((F.col("_df") - F.col("_big._k")) / share).cast("int").alias("_parts")), "shingle-groups", release=True)
+    dealt = stored(met.join(gathered(held), "_h"), "prefix-rows", release=True)
+    discard(met, held)
     a = dealt.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).alias("a")
     b = dealt.where("_group <> _big").withColumn("_part", F.pmod(F.xxhash64("_class"), F.col("_parts")).cast("int")).alias("b")
     both = F.col("a._n") + F.col("b._n")
