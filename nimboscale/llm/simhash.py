@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -352,17 +353,22 @@ def band_links(classes: DataFrame, radius: int, bands: int, kept: int, most: int
     tables = list(combinations(range(bands), kept))
     width = min(cuts[b + 1] - cuts[b] for b in range(bands)) * kept
 
-    def rotated(chosen: tuple[int, ...]) -> Column:
-        """Bits of the chosen bands, cut to the same number for every table, then the others."""
-        out = F.lit(0).cast("long")
-        order = [*chosen, *(b for b in range(bands) if b not in chosen)]
-        for b in order:
+    # Where the bits of a table come from and go to, by place: looked up, since an expression for every table makes code that takes the driver long to compile.
+    moves = []
+    for chosen in tables:
+        moves.append([])
+        left = 64
+        for b in [*chosen, *(b for b in range(bands) if b not in chosen)]:
             size = cuts[b + 1] - cuts[b]
-            out = F.shiftleft(out, size).bitwiseOR(F.shiftrightunsigned("_fp", cuts[b]).bitwiseAND(F.lit((1 << size) - 1)))
-        return out
+            left -= size
+            moves[-1].append((cuts[b], (1 << size) - 1 if size < 64 else -1, left))
 
-    turned = F.array(*[rotated(t) for t in tables])
-    entries = classes.select("_fp", "_rep", F.posexplode(turned).alias("_band", "_rotated"))
+    def moved(place: int) -> Column:
+        off, mask, to = (F.lit([table[place][k] for table in moves]).cast(kind)[F.col("_band")] for k, kind in enumerate(("array<int>", "array<bigint>", "array<int>")))
+        return F.call_function("shiftleft", F.call_function("shiftrightunsigned", F.col("_fp"), off).bitwiseAND(mask), to)
+
+    turned = reduce(Column.bitwiseOR, map(moved, range(bands)))
+    entries = classes.select("_fp", "_rep", F.explode(F.sequence(F.lit(0), F.lit(len(tables) - 1))).alias("_band")).withColumn("_rotated", turned)
     return _indexed(entries, width, radius, most)
 
 
